@@ -1,0 +1,103 @@
+"""Secret detection (R1/R2) over the ``files`` table.
+
+Contract (the detector module itself is not part of the reference snapshot;
+each point follows the surrounding code and tests):
+
+1. finding id ``secret/<rule>``, scanner ``secrets``;
+2. gates run on the captured value (first group, else the whole match);
+3. placeholders are dropped, except for private-key headers;
+4. rules with an entropy floor drop values below it;
+5. the generic rule is suppressed where a provider rule matched on the same line;
+6. in a minified file only the provider rules run;
+7. test/docs paths are downgraded and their titles say so;
+8. evidence is the value, redacted (keep 4).
+
+Provider rules behave like one alternation among themselves: leftmost match
+first, ties by rule order; an overlapped later match is dropped.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from codeaudit import rules as R
+from codeaudit.functions.regex import ScanRule, rule_matches
+from codeaudit.functions.text import is_low_trust, is_minified, is_placeholder, shannon_entropy
+from codeaudit.model import DOWNGRADE, _map_lit, downgrade, redact
+
+SCANNER = "secrets"
+KEYS = ["repo_id", "path"]
+
+SCAN_RULES = [ScanRule(r.id, i, R.java_pattern(r.pattern), min(1, re.compile(r.pattern).groups))
+              for i, r in enumerate(R.SECRET_RULES)]
+_BY_ID = {r.id: r for r in R.SECRET_RULES}
+
+
+def _meta(field: str) -> Column:
+    return _map_lit({r.id: getattr(r, field) for r in R.SECRET_RULES})[F.col("rule_id")]
+
+
+def eligible_files(files: DataFrame) -> DataFrame:
+    """Non-empty text within the size cap, with the per-file flags the gates need."""
+    return (files.filter((F.col("size") <= R.MAX_FILE_BYTES) & (F.length("content") > 0))
+            .select(*KEYS, "name", "content",
+                    is_minified(F.col("name"), F.col("content")).alias("minified"),
+                    is_low_trust(F.col("path"), F.col("name")).alias("low_trust")))
+
+
+def raw_matches(files: DataFrame, rules: list[ScanRule] = SCAN_RULES) -> DataFrame:
+    """Every rule match with offsets and lines (before any gate)."""
+    return rule_matches(eligible_files(files), KEYS, "content", rules, carry=["minified", "low_trust"])
+
+
+def candidate_matches(files: DataFrame) -> DataFrame:
+    """Matches after overlap resolution and generic suppression (before value gates)."""
+    m = raw_matches(files)
+    generic = m.filter((F.col("rule_id") == R.GENERIC_RULE_ID) & ~F.col("minified"))
+    spec = m.filter(F.col("rule_id") != R.GENERIC_RULE_ID)
+
+    # leftmost-first among provider rules
+    w = (Window.partitionBy(*KEYS).orderBy("start", "rule_ord")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    spec = (spec.withColumn("_prev_end", F.max("end").over(w))
+                .filter(F.col("_prev_end").isNull() | (F.col("start") >= F.col("_prev_end")))
+                .drop("_prev_end"))
+
+    # generic rule suppressed on any line a provider rule matched
+    spec_lines = spec.select(*KEYS, F.explode(F.sequence("line", "end_line")).alias("ln")).distinct()
+    g_lines = generic.select(*KEYS, "start", F.explode(F.sequence("line", "end_line")).alias("ln"))
+    shadowed = g_lines.join(spec_lines, KEYS + ["ln"], "left_semi").select(*KEYS, "start").distinct()
+    generic = generic.join(shadowed, KEYS + ["start"], "left_anti")
+    return spec.unionByName(generic)
+
+
+def gated_matches(files: DataFrame) -> DataFrame:
+    """Candidates that pass the placeholder and entropy gates, with ``entropy``."""
+    c = candidate_matches(files)
+    floor = _meta("entropy")
+    c = c.withColumn("entropy", shannon_entropy("value"))
+    keep = ((F.col("rule_id") == "private-key") | ~is_placeholder("value")) & \
+           ((floor <= 0) | (F.col("entropy") >= floor))
+    return c.filter(keep)
+
+
+def secret_findings(files: DataFrame, with_order: bool = False) -> DataFrame:
+    g = gated_matches(files)
+    sev = F.when(F.col("low_trust"), downgrade(_meta("severity"), DOWNGRADE)).otherwise(_meta("severity"))
+    title = F.when(F.col("low_trust"), F.concat(_meta("title"), F.lit(" (in test/docs path)"))).otherwise(_meta("title"))
+    out = g.select(
+        "repo_id",
+        F.concat(F.lit("secret/"), "rule_id").alias("id"),
+        title.alias("title"),
+        sev.alias("severity"),
+        F.lit(SCANNER).alias("scanner"),
+        "path",
+        F.col("line").cast("int").alias("line"),
+        redact(F.col("value"), 4).alias("evidence"),
+        _meta("remediation").alias("remediation"),
+        F.lit(R.SECRET_REFERENCE).alias("reference"),
+        F.lit(0).alias("ord_scanner"), F.col("rule_ord").alias("ord_rule"), F.col("start").alias("ord_pos"))
+    return out if with_order else out.drop("ord_scanner", "ord_rule", "ord_pos")
