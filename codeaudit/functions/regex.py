@@ -1,17 +1,18 @@
 """Multi-rule regex scan with offsets and line numbers (whole texts, JVM-side).
 
-For each rule: ``rlike`` prefilter, then ``regexp_extract_all`` for the matches
-and ``split(text, rx, -1)`` for the gaps between them.  Only small per-match
-metadata (lengths, newline counts, the match text) leaves the text row; the
-offsets are prefix sums over a window partitioned by file, so the one shuffle
-in a scan moves match rows, never file contents.  Callers get the rows
-hash-partitioned by the file keys, which later windows/joins on the same keys
-reuse without another exchange.
+Per rule and file: a cheap literal prefilter (``instr`` on substrings every
+match must contain), then ``regexp_extract_all`` for the matches and, only when
+there are matches, ``split(text, rx, -1)`` for the gaps between them.  Only
+small per-match metadata (gap lengths, newline counts, the match text) leaves
+the text row.  Offsets and line numbers are running sums over a window
+partitioned by file, after one exchange of match rows (never file contents).
+Callers get rows hash-partitioned by the file keys, so later windows and joins
+on those keys add no further exchange.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,26 +24,34 @@ from codeaudit.functions.text import newline_count
 class ScanRule:
     id: str
     ord: int
-    pattern: str        # Java regex, flags already applied
-    group: int = 0      # capture group holding the value (0 = whole match)
+    pattern: str                    # Java regex, flags already applied
+    group: int = 0                  # capture group holding the value (0 = whole match)
+    hints: tuple = field(default=())      # any of these substrings must occur (case-sensitive)
+    ihints: tuple = field(default=())     # … or these, in the lower-cased text
 
 
-def _rule_array(text: Column, r: ScanRule) -> Column:
-    ms = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
-    gaps = F.slice(F.split(text, r.pattern, -1), 1, F.size(ms))
-    z = F.arrays_zip(ms.alias("m"), gaps.alias("g"))
-    arr = F.transform(z, lambda e: F.struct(
-        F.lit(r.id).alias("rule_id"),
-        F.lit(r.ord).alias("rule_ord"),
-        e["m"].alias("match"),
-        F.length(e["g"]).cast("long").alias("glen"),
-        newline_count(e["g"]).cast("long").alias("gnl")))
-    return F.when(text.rlike(r.pattern), arr)
+def _prefilter(text: Column, lower: Column, r: ScanRule) -> Column:
+    conds = [text.contains(h) for h in r.hints] + [lower.contains(h) for h in r.ihints]
+    if not conds:
+        return F.lit(True)
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
+def _match_struct(r: ScanRule):
+    def build(e: Column) -> Column:
+        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.ord).alias("rule_ord"),
+                        e["m"].alias("match"),
+                        F.length(e["g"]).cast("long").alias("glen"),
+                        newline_count(e["g"]).cast("long").alias("gnl"))
+    return build
 
 
 def value_of(rules: list[ScanRule], rule_col: str = "rule_id", match_col: str = "match") -> Column:
-    """Captured value (first group, else the whole match) re-extracted from the
-    match text only — a short string, so this is cheap."""
+    """Captured value (first group, else the whole match), re-extracted from the
+    short match text."""
     expr = None
     for r in rules:
         if r.group <= 0:
@@ -56,24 +65,50 @@ def value_of(rules: list[ScanRule], rule_col: str = "rule_id", match_col: str =
 
 
 def rule_matches(df: DataFrame, keys: list[str], text_col: str, rules: list[ScanRule],
-                 carry: list[str] | None = None) -> DataFrame:
+                 carry: list[str] | None = None, applies: dict[str, Column] | None = None) -> DataFrame:
     """One row per (file, rule, match): keys…, carry…, rule_id, rule_ord, match,
-    value, start (0-based code points), end, line (1-based), end_line."""
+    value, start (0-based code points), end, line (1-based), end_line.
+
+    ``applies`` optionally maps a rule id to a per-file boolean (e.g. a glob or
+    extension condition); the rule is not evaluated where it is false."""
     carry = carry or []
+    applies = applies or {}
     text = F.col(text_col)
-    arrays = F.filter(F.array(*[_rule_array(text, r) for r in rules]), lambda a: a.isNotNull())
-    exploded = (df.select(*keys, *carry, F.posexplode(F.flatten(arrays)).alias("pos", "m"))
+    need_lower = any(r.ihints for r in rules)
+    base = df.select(*keys, *carry, text_col,
+                     *([F.lower(text).alias("_lower")] if need_lower else []),
+                     *[applies[r.id].alias(f"_ap{r.ord}") for r in rules if r.id in applies])
+    lower = F.col("_lower") if need_lower else text
+    # stage 1: matches per rule (one regex pass, only where the literals occur)
+    ms_cols = []
+    for r in rules:
+        gate = _prefilter(text, lower, r)
+        if r.id in applies:
+            gate = F.col(f"_ap{r.ord}") & gate
+        ms_cols.append(F.when(gate, F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))).alias(f"_m{r.ord}"))
+    s1 = base.select(*keys, *carry, text_col, *ms_cols)
+    # stage 2: gaps between matches, only for rules that matched
+    s2 = s1.select(*keys, *carry, *[F.col(f"_m{r.ord}") for r in rules],
+                   *[F.when(F.size(f"_m{r.ord}") > 0, F.split(text, r.pattern, -1)).alias(f"_g{r.ord}")
+                     for r in rules])
+    # stage 3: per-match structs, flattened and exploded
+    arrays = []
+    for r in rules:
+        z = F.arrays_zip(F.col(f"_m{r.ord}").alias("m"), F.col(f"_g{r.ord}").alias("g"))
+        arrays.append(F.when(F.size(f"_m{r.ord}") > 0,
+                             F.transform(F.slice(z, 1, F.size(f"_m{r.ord}")), _match_struct(r))))
+    allm = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
+    exploded = (s2.select(*keys, *carry, F.posexplode(allm).alias("pos", "m"))
                   .select(*keys, *carry, "pos", "m.*"))
     w = (Window.partitionBy(*keys, "rule_id").orderBy("pos")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     mlen = F.length("match").cast("long")
     mnl = newline_count("match").cast("long")
-    out = (exploded.repartition(*keys)
-           .withColumn("_mlen", mlen).withColumn("_mnl", mnl)
-           .withColumn("start", F.sum(F.col("glen") + F.col("_mlen")).over(w) - F.col("_mlen"))
-           .withColumn("line", (F.sum(F.col("gnl") + F.col("_mnl")).over(w) - F.col("_mnl") + 1).cast("int"))
-           .withColumn("end", F.col("start") + F.col("_mlen"))
-           .withColumn("end_line", (F.col("line") + F.col("_mnl")).cast("int"))
-           .withColumn("value", value_of(rules))
-           .drop("glen", "gnl", "_mlen", "_mnl", "pos"))
-    return out
+    return (exploded.repartition(*keys)
+            .withColumn("_mlen", mlen).withColumn("_mnl", mnl)
+            .withColumn("start", F.sum(F.col("glen") + F.col("_mlen")).over(w) - F.col("_mlen"))
+            .withColumn("line", (F.sum(F.col("gnl") + F.col("_mnl")).over(w) - F.col("_mnl") + 1).cast("int"))
+            .withColumn("end", F.col("start") + F.col("_mlen"))
+            .withColumn("end_line", (F.col("line") + F.col("_mnl")).cast("int"))
+            .withColumn("value", value_of(rules))
+            .drop("glen", "gnl", "_mlen", "_mnl", "pos"))

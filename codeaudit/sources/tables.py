@@ -16,8 +16,27 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# Text tables whose per-row work (regex scans) is CPU-heavy.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an under-split scan before CPU-heavy per-row work.
+
+    A scan normally yields one task per file split, far more than the cluster
+    has cores, and this is a no-op.  When the input arrives as fewer splits
+    than the default parallelism (e.g. one file with a single row group), the
+    rows are spread round-robin so the scan work is not serialised in a
+    single task.  Costs one shuffle of that (small) input only."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
