@@ -65,19 +65,27 @@ def value_of(rules: list[ScanRule], rule_col: str = "rule_id", match_col: str =
 
 
 def rule_matches(df: DataFrame, keys: list[str], text_col: str, rules: list[ScanRule],
-                 carry: list[str] | None = None, applies: dict[str, Column] | None = None) -> DataFrame:
+                 carry: list[str] | None = None, applies: dict[str, Column] | None = None,
+                 extra: list[tuple[str, int, Column, Column]] | None = None) -> DataFrame:
     """One row per (file, rule, match): keys…, carry…, rule_id, rule_ord, match,
     value, start (0-based code points), end, line (1-based), end_line.
 
     ``applies`` optionally maps a rule id to a per-file boolean (e.g. a glob or
-    extension condition); the rule is not evaluated where it is false."""
+    extension condition); the rule is not evaluated where it is false.
+    ``extra`` adds file-level pseudo-matches ``(rule_id, ord, condition, text)``
+    computed in the same pass (offset 0, line 1), so file-level checks need no
+    second read of the contents."""
     carry = carry or []
     applies = applies or {}
+    extra = extra or []
     text = F.col(text_col)
     need_lower = any(r.ihints for r in rules)
+    xcols = [c for (_i, o, cond, mt) in extra for c in (cond.alias(f"_xc{o}"), mt.alias(f"_xm{o}"))]
+    xnames = [n for (_i, o, _c, _m) in extra for n in (f"_xc{o}", f"_xm{o}")]
     base = df.select(*keys, *carry, text_col,
                      *([F.lower(text).alias("_lower")] if need_lower else []),
-                     *[applies[r.id].alias(f"_ap{r.ord}") for r in rules if r.id in applies])
+                     *[applies[r.id].alias(f"_ap{r.ord}") for r in rules if r.id in applies],
+                     *xcols)
     lower = F.col("_lower") if need_lower else text
     # stage 1: matches per rule (one regex pass, only where the literals occur)
     ms_cols = []
@@ -86,9 +94,9 @@ def rule_matches(df: DataFrame, keys: list[str], text_col: str, rules: list[Scan
         if r.id in applies:
             gate = F.col(f"_ap{r.ord}") & gate
         ms_cols.append(F.when(gate, F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))).alias(f"_m{r.ord}"))
-    s1 = base.select(*keys, *carry, text_col, *ms_cols)
+    s1 = base.select(*keys, *carry, *xnames, text_col, *ms_cols)
     # stage 2: gaps between matches, only for rules that matched
-    s2 = s1.select(*keys, *carry, *[F.col(f"_m{r.ord}") for r in rules],
+    s2 = s1.select(*keys, *carry, *xnames, *[F.col(f"_m{r.ord}") for r in rules],
                    *[F.when(F.size(f"_m{r.ord}") > 0, F.split(text, r.pattern, -1)).alias(f"_g{r.ord}")
                      for r in rules])
     # stage 3: per-match structs, flattened and exploded
@@ -97,6 +105,11 @@ def rule_matches(df: DataFrame, keys: list[str], text_col: str, rules: list[Scan
         z = F.arrays_zip(F.col(f"_m{r.ord}").alias("m"), F.col(f"_g{r.ord}").alias("g"))
         arrays.append(F.when(F.size(f"_m{r.ord}") > 0,
                              F.transform(F.slice(z, 1, F.size(f"_m{r.ord}")), _match_struct(r))))
+    for (xid, o, _c, _m) in extra:
+        arrays.append(F.when(F.col(f"_xc{o}"), F.array(F.struct(
+            F.lit(xid).alias("rule_id"), F.lit(o).alias("rule_ord"),
+            F.coalesce(F.col(f"_xm{o}"), F.lit("")).alias("match"),
+            F.lit(0).cast("long").alias("glen"), F.lit(0).cast("long").alias("gnl")))))
     allm = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
     exploded = (s2.select(*keys, *carry, F.posexplode(allm).alias("pos", "m"))
                   .select(*keys, *carry, "pos", "m.*"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit.model import FINDING_COLUMNS, fingerprint
+from codeaudit.operators import config as C
 from codeaudit.operators import findings as A
 from codeaudit.operators import secrets as S
 from codeaudit.plans import reference_sql as RS
@@ -53,6 +54,16 @@ def secret_entropy(spark, sf):
                     is_placeholder("value").alias("placeholder"))
 
 
+@register("config_findings", RS.config_findings_sql())
+def config_findings(spark, sf):
+    return C.config_findings(T.files_from_documents(spark, sf))
+
+
+@register("config_findings_markup", RS.config_findings_sql(RS.FILES_FROM_PAGES))
+def config_findings_markup(spark, sf):
+    return C.config_findings(T.files_from_pages(spark, sf))
+
+
 def _secret_risk_sql(sf_level: str = "") -> str:
     return f"""WITH sf AS ({RS.secret_findings_sql()}),
 ranked AS (

@@ -32,6 +32,12 @@ FILES_FROM_DOCUMENTS = """
     FROM documents"""
 
 
+FILES_FROM_PAGES = """
+    SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS repo_id,
+           'web/page_' || page_id || '.vue' AS path, html AS content
+    FROM pages"""
+
+
 def file_cols_sql(src: str) -> str:
     return f"""
     SELECT repo_id, path, regexp_extract(path, '[^/]*$') AS name,
@@ -151,3 +157,104 @@ SELECT repo_id, 'secret/' || rule_id AS id,
 FROM sm
 WHERE (rule_id = 'private-key' OR NOT {placeholder_sql('value')})
   AND (floor_ <= 0 OR entropy >= floor_)"""
+
+
+def _re2_config(p: str) -> str:
+    """RE2 form of a config pattern: lookaheads become supersets (dropped)."""
+    p = p.replace("(?!['\\\"`])", "")
+    p = p.replace("(?!.*Loader\\s*=\\s*(?:yaml\\.)?SafeLoader)", "")
+    p = p.replace("(?:(?!max_tokens|maxOutputTokens|max_output_tokens|max_completion_tokens)[\\s\\S]){0,300}",
+                  "[\\s\\S]{0,300}")
+    return p
+
+
+def config_findings_sql(files_sql: str = FILES_FROM_DOCUMENTS) -> str:
+    from codeaudit.functions.text import glob_to_regex
+    code_ext = ", ".join(q(e) for e in R.CODE_EXT)
+    code_ids = set(R.CODE_RULE_IDS)
+    prefixes = " OR ".join(f"starts_with(name, {q(p)})" for p in R.CONFIG_NAME_PREFIXES)
+    parts = []
+    for i, r in enumerate(R.CONFIG_RULES):
+        if r.glob == "*":
+            ap = "true"
+        elif "/" in r.glob:
+            ap = (f"(regexp_matches(path, {q(glob_to_regex(r.glob))}) OR "
+                  f"regexp_matches(path, {q(glob_to_regex('*/' + r.glob))}))")
+        else:
+            ap = f"regexp_matches(name, {q(glob_to_regex(r.glob))})"
+        if r.id in code_ids:
+            ap = f"({ap} AND ext IN ({code_ext}))"
+        src = f"(SELECT * FROM cf WHERE scanned AND {ap})"
+        parts.append(_rule_rows_sql(r.id, i, _re2_config(r.pattern), 0, src)
+                     .replace("minified, low_trust,", "name, tracked, low_trust, scanned,"))
+    union = "\n    UNION ALL".join(parts)
+    danger_case = " ".join(
+        f"WHEN {('regexp_matches(name, ' + q(glob_to_regex(p)) + ')') if '*' in p else ('name = ' + q(p))} THEN {i}"
+        for i, (p, _s, _w) in enumerate(R.DANGEROUS_FILES))
+    exempt = " OR ".join(f"contains(name, {q(w)})" for w in R.EXEMPT_NAME_WORDS)
+    d_sev = "[" + ", ".join(q(s) for _, s, _ in R.DANGEROUS_FILES) + "]"
+    d_why = "[" + ", ".join(q(w) for _, _, w in R.DANGEROUS_FILES) + "]"
+    title = sql_map({r.id: r.title for r in R.CONFIG_RULES}, "rule_id")
+    sev = sql_map({r.id: r.severity for r in R.CONFIG_RULES}, "rule_id")
+    rem = sql_map({r.id: r.remediation for r in R.CONFIG_RULES}, "rule_id")
+    ref = sql_map(R.CONFIG_REFERENCE, "rule_id", "''")
+    pin = R.ACTION_USES_PATTERN
+    fp = ", ".join(q(o) for o in R.FIRST_PARTY_ACTION_ORGS)
+    pin_found = f"regexp_matches(match, {q(pin)})"
+    org = f"regexp_extract(match, {q(pin)}, 1)"
+    pin_title = (f"CASE WHEN NOT {pin_found} THEN 'GitHub Action pinned to a mutable ref' ELSE "
+                 f"(CASE WHEN lower({org}) IN ({fp}) THEN 'First-party' ELSE 'Third-party' END) || ' action ' || "
+                 f"{org} || '/' || regexp_extract(match, {q(pin)}, 2) || ' pinned to the mutable tag `' || "
+                 f"regexp_extract(match, {q(pin)}, 3) || '`' END")
+    pin_sev = f"CASE WHEN NOT {pin_found} THEN 'medium' WHEN lower({org}) IN ({fp}) THEN 'low' ELSE 'medium' END"
+    down = lambda s: sql_map(DOWNGRADE, s, s)
+    return f"""WITH cf0 AS ({file_cols_sql(files_sql)}),
+cf AS (
+    SELECT repo_id, path, name, ext, CAST(true AS BOOLEAN) AS tracked, content,
+           (ext IN ({code_ext}) OR {prefixes}) AND coalesce(length(content) > 0, false) AND size <= {R.MAX_FILE_BYTES}
+             AND NOT {minified_sql('name', 'content')} AS scanned,
+           {low_trust_sql('path', 'ext')} AS low_trust,
+           CASE WHEN NOT ({exempt}) THEN (CASE {danger_case} ELSE NULL END) END AS didx
+    FROM cf0),
+pm AS ({union}
+),
+pat AS (
+    SELECT repo_id, 'config/' || rule_id AS id,
+           CASE WHEN rule_id = 'ci-unpinned-action' THEN {pin_title} ELSE {title} END AS title,
+           CASE WHEN rule_id = 'ci-unpinned-action' THEN {pin_sev} ELSE {sev} END AS severity,
+           path, CAST(line AS INTEGER) AS line, left(trim(match), 160) AS evidence,
+           {rem} AS remediation, {ref} AS reference, scanned, low_trust
+    FROM pm),
+dng AS (
+    SELECT repo_id,
+           CASE WHEN tracked IS NOT NULL AND NOT tracked THEN 'config/untracked-secret-file' ELSE 'config/committed-secret-file' END AS id,
+           CASE WHEN tracked IS NOT NULL AND NOT tracked
+                THEN '`' || name || '` is present and not ignored — one `git add` from being committed'
+                ELSE {d_why}[didx + 1] END AS title,
+           CASE WHEN tracked IS NOT NULL AND NOT tracked THEN {sql_map(DOWNGRADE, d_sev + '[didx + 1]', "'low'")}
+                ELSE {d_sev}[didx + 1] END AS severity,
+           path, 0 AS line, name AS evidence,
+           CASE WHEN tracked IS NOT NULL AND NOT tracked
+                THEN 'Add `' || name || '` to .gitignore; it is not in git yet, so nothing needs rotating.'
+                ELSE 'Ignore it, remove it from the index, purge history and rotate its contents.' END AS remediation,
+           'https://cwe.mitre.org/data/definitions/540.html' AS reference, scanned, low_trust
+    FROM cf WHERE didx IS NOT NULL),
+dk AS (
+    SELECT *, regexp_extract_all(content, {q(R.DOCKER_USER_PATTERN)}, 1) AS users FROM cf
+    WHERE scanned AND starts_with(name, 'Dockerfile')),
+dock AS (
+    SELECT repo_id, 'config/docker-root-user' AS id, 'Container runs as root' AS title, 'medium' AS severity,
+           path, 1 AS line, 'no non-root USER directive' AS evidence,
+           'Create an unprivileged user and switch to it before CMD/ENTRYPOINT.' AS remediation,
+           'https://cwe.mitre.org/data/definitions/250.html' AS reference, scanned, low_trust
+    FROM dk WHERE len(users) = 0 OR len(list_filter(users, lambda u: lower(u) NOT IN ('root', '0'))) = 0
+    UNION ALL
+    SELECT repo_id, 'config/docker-no-healthcheck', 'No container HEALTHCHECK', 'info', path, 1, '',
+           'Add a HEALTHCHECK so orchestrators can detect a wedged process.', '', scanned, low_trust
+    FROM dk WHERE NOT regexp_matches(content, {q(R.DOCKER_HEALTH_PATTERN)})),
+allf AS (SELECT * FROM pat UNION ALL SELECT * FROM dng UNION ALL SELECT * FROM dock)
+SELECT repo_id, id,
+       CASE WHEN scanned AND low_trust THEN title || ' (in test/docs path)' ELSE title END AS title,
+       CASE WHEN scanned AND low_trust THEN {down('severity')} ELSE severity END AS severity,
+       'config' AS scanner, path, CAST(line AS INTEGER) AS line, evidence, remediation, reference
+FROM allf"""
