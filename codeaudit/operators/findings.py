@@ -31,14 +31,19 @@ def union_findings(*dfs: DataFrame) -> DataFrame:
 
 def dedupe(findings: DataFrame, scanners: list[str] = DEDUPE_SCANNERS) -> DataFrame:
     """A2: one finding per (repo, path, line, evidence[:60]) among the file
-    scanners, the most severe first, earliest on ties; other scanners pass."""
+    scanners, the most severe first, earliest on ties; other scanners pass.
+
+    Written as ``groupBy().agg(min_by(row, order))`` rather than a ranking
+    window: the hash aggregate combines map-side, so a key holding a large
+    share of the rows does not land whole in one task."""
     order = [c for c in ORDER_COLS if c in findings.columns]
-    w = Window.partitionBy("repo_id", "path", "line", F.substring("evidence", 1, 60)) \
-        .orderBy(sev_ord("severity"), *order)
+    cols = findings.columns
     scoped = F.col("scanner").isin(*scanners)
-    a = findings.filter(scoped).withColumn("_rn", F.row_number().over(w)) \
-        .filter(F.col("_rn") == 1).drop("_rn")
-    return a.unionByName(findings.filter(~scoped | F.col("scanner").isNull()))
+    keys = ["repo_id", "path", "line", F.substring("evidence", 1, 60).alias("_ev60")]
+    best = (findings.filter(scoped).groupBy(*keys)
+            .agg(F.min_by(F.struct(*cols), F.struct(sev_ord("severity").alias("_s"), *order)).alias("_b"))
+            .select("_b.*"))
+    return best.unionByName(findings.filter(~scoped | F.col("scanner").isNull()))
 
 
 def with_fingerprint(findings: DataFrame) -> DataFrame:
@@ -135,22 +140,38 @@ def gate(findings: DataFrame, fail_on: str | None = None, policy: DataFrame | No
     return g
 
 
+def top_k(df: DataFrame, group: list[str], order: list, k: int, salts: int = 16) -> DataFrame:
+    """Top ``k`` rows per group by ``order`` with a salted first phase: rows are
+    ranked within (group, salt) and only the best ``k`` of each salt survive,
+    so the final per-group ranking sees at most ``k × salts`` rows even when
+    one group holds a large share of the input.  Adds ``rank`` (1-based)."""
+    salt = (F.abs(F.xxhash64(*df.columns)) % salts).alias("_salt")
+    d = df.withColumn("_salt", salt)
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    d = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return d.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+
+
 def top_per_rule(findings: DataFrame, k: int = 5) -> DataFrame:
     """Findings grouped by rule within a repo; the bucket severity is the
     first finding's (in report order); the count; the first ``k`` shown."""
-    w_order = [sev_ord("severity"), "scanner", "path", "line", "evidence"]
-    w = Window.partitionBy("repo_id", "id").orderBy(*w_order)
-    ranked = findings.withColumn("rank", F.row_number().over(w)) \
-        .withColumn("rule_count", F.count(F.lit(1)).over(Window.partitionBy("repo_id", "id")))
-    head = ranked.filter(F.col("rank") == 1).select("repo_id", "id", F.col("severity").alias("bucket_severity"))
-    return ranked.filter(F.col("rank") <= k).join(head, ["repo_id", "id"]) \
-        .select("repo_id", "id", "bucket_severity", "rule_count", "rank", "severity", "path", "line", "evidence")
+    order = [sev_ord("severity"), "scanner", "path", "line", "evidence"]
+    counts = findings.groupBy("repo_id", "id").agg(F.count(F.lit(1)).cast("long").alias("rule_count"))
+    top = top_k(findings, ["repo_id", "id"], order, k)
+    head = top.filter(F.col("rank") == 1).select("repo_id", "id", F.col("severity").alias("bucket_severity"))
+    return top.join(head, ["repo_id", "id"]).join(counts, ["repo_id", "id"]) \
+        .select("repo_id", "id", "bucket_severity", "rule_count", F.col("rank").cast("int").alias("rank"),
+                "severity", "path", "line", "evidence")
 
 
 def first_seen_rules(findings: DataFrame) -> DataFrame:
     """A10: one row per rule id (per repo), the first in report order."""
-    w = Window.partitionBy("repo_id", "id").orderBy(sev_ord("severity"), "scanner", "path", "line", "evidence")
-    return findings.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    cols = findings.columns
+    return (findings.groupBy("repo_id", "id")
+            .agg(F.min_by(F.struct(*cols), F.struct(sev_ord("severity").alias("_s"), "scanner", "path", "line",
+                                                    "evidence")).alias("_b"))
+            .select("_b.*"))
 
 
 def scan_stats(files: DataFrame, scanned: DataFrame | None = None, cache_hits: DataFrame | None = None,

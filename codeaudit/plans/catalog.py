@@ -218,3 +218,182 @@ def top_findings_per_rule(spark, sf):
     f = A.apply_policy(A.dedupe(T.findings_from_events(spark, sf)).select(*FINDING_COLUMNS),
                        T.policy_from_events(spark, sf))
     return A.top_per_rule(f, 5)
+
+
+# --------------------------------------------------------------------------
+# packages, SBOM, advisories, typosquats, licences
+# --------------------------------------------------------------------------
+from codeaudit.operators import licenses as L  # noqa: E402
+from codeaudit.operators import packages as P  # noqa: E402
+from codeaudit.operators import supply as SU  # noqa: E402
+from codeaudit.operators import vulns as V  # noqa: E402
+from codeaudit.plans import export as X  # noqa: E402
+
+_ECO_SQL = "['npm','PyPI','crates.io','RubyGems','Go'][CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INTEGER) % 5 + 1]"
+PACKAGES_SQL = f"""
+    SELECT 'order-' || l.l_orderkey AS repo_id,
+           CASE p.eco WHEN 'npm' THEN 'package-lock.json' WHEN 'PyPI' THEN 'requirements.txt'
+                      WHEN 'crates.io' THEN 'Cargo.lock' WHEN 'RubyGems' THEN 'Gemfile.lock' ELSE 'go.mod' END AS manifest,
+           replace(p.p_name, ' ', '-') AS name,
+           '1.' || l.l_linenumber || '.' || (p.p_size % 10) AS version, p.eco,
+           l.l_returnflag = 'R' AS dev
+    FROM lineitem l JOIN (SELECT *, {_ECO_SQL} AS eco FROM part) p ON l.l_partkey = p.p_partkey"""
+_DISTINCT_PK = f"""
+    SELECT d.*, m.first_manifest FROM (SELECT DISTINCT repo_id, name, version, eco FROM ({PACKAGES_SQL})) d
+    JOIN (SELECT repo_id, min(manifest) AS first_manifest FROM ({PACKAGES_SQL}) GROUP BY repo_id) m USING (repo_id)"""
+_DEV_ONLY = f"""
+    SELECT DISTINCT repo_id, name, version, eco FROM ({PACKAGES_SQL}) WHERE dev
+    EXCEPT SELECT repo_id, name, version, eco FROM ({PACKAGES_SQL}) WHERE NOT dev"""
+
+
+def _stand(spark, sf):
+    return T.packages_from_lineitem(spark, sf)
+
+
+@register("packages_distinct", _DISTINCT_PK)
+def packages_distinct(spark, sf):
+    return P.distinct_packages(_stand(spark, sf))
+
+
+@register("dev_only", _DEV_ONLY)
+def dev_only(spark, sf):
+    return P.dev_only(_stand(spark, sf))
+
+
+@register("sbom_components", f"""
+    SELECT DISTINCT repo_id, name, version, eco, 'library' AS type,
+           'pkg:' || CASE eco WHEN 'npm' THEN 'npm' WHEN 'PyPI' THEN 'pypi' WHEN 'Go' THEN 'golang'
+                     WHEN 'crates.io' THEN 'cargo' WHEN 'RubyGems' THEN 'gem' ELSE lower(eco) END
+             || '/' || url_encode(name) || '@' || version AS bom_ref,
+           'pkg:' || CASE eco WHEN 'npm' THEN 'npm' WHEN 'PyPI' THEN 'pypi' WHEN 'Go' THEN 'golang'
+                     WHEN 'crates.io' THEN 'cargo' WHEN 'RubyGems' THEN 'gem' ELSE lower(eco) END
+             || '/' || url_encode(name) || '@' || version AS purl
+    FROM ({PACKAGES_SQL})""")
+def sbom_components(spark, sf):
+    return X.sbom_components(_stand(spark, sf))
+
+
+@register("spdx_packages", f"""
+    SELECT repo_id, CAST(i AS INTEGER) AS i, 'SPDXRef-Package-' || i AS spdx_id, name, version AS version_info,
+           'pkg:' || CASE eco WHEN 'npm' THEN 'npm' WHEN 'PyPI' THEN 'pypi' WHEN 'Go' THEN 'golang'
+                     WHEN 'crates.io' THEN 'cargo' WHEN 'RubyGems' THEN 'gem' ELSE lower(eco) END
+             || '/' || url_encode(name) || '@' || version AS purl,
+           CASE WHEN i = 0 THEN 'DESCRIBES' ELSE 'CONTAINS' END AS relationship
+    FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name, version, eco) - 1 AS i
+          FROM (SELECT DISTINCT repo_id, name, version, eco FROM ({PACKAGES_SQL})))""")
+def spdx_packages(spark, sf):
+    return X.spdx_packages(_stand(spark, sf))
+
+
+_VECTORS = "['" + "','".join(T.CVSS_VECTORS) + "']"
+_DBSEV = "['" + "','".join(T.DB_SEVERITIES) + "']"
+ADVISORIES_SQL = f"""
+    SELECT 'ADV-' || p_partkey AS id,
+           upper(left(p_name, 1)) || substr(p_name, 2) AS p_name0, p_name, p_type, p_partkey,
+           {_ECO_SQL} AS eco, replace(p_name, ' ', '-') AS name,
+           '1.' || (p_size % 7 + 1) || '.0' AS fixed, '1.' || (p_size % 7 + 1) || '.9' AS listed,
+           CASE WHEN p_partkey % 11 = 0 THEN '2024-06-01' END AS withdrawn,
+           {_DBSEV}[p_partkey % {len(T.DB_SEVERITIES)} + 1] AS db_severity,
+           {_VECTORS}[p_partkey % {len(T.CVSS_VECTORS)} + 1] AS vector,
+           CASE WHEN p_partkey % 3 = 0 THEN 'CVE-2024-' || p_partkey END AS cve
+    FROM part"""
+
+
+def _vnum(v: str) -> str:
+    return (f"list_transform(string_split(regexp_extract({v}, '^v?([0-9]+(?:\\.[0-9]+)*)', 1), '.'), "
+            f"lambda x: CAST(x AS INTEGER))")
+
+
+def _metric(k: str, default: str) -> str:
+    return f"coalesce(nullif(regexp_extract(vector, '(?:^|/){k}:([^/]*)', 1), ''), '{default}')"
+
+
+def _cvss_sql() -> str:
+    w = lambda k: f"(CASE {_metric(k, 'N')} WHEN 'H' THEN 0.56 WHEN 'L' THEN 0.22 ELSE 0.0 END)"
+    iss = f"(1.0 - ((1.0 - {w('C')}) * (1.0 - {w('I')}) * (1.0 - {w('A')})))"
+    ch = f"({_metric('S', '')} = 'C')"
+    impact = f"(CASE WHEN {ch} THEN 7.52 * ({iss} - 0.029) - 3.25 * pow({iss} - 0.02, 15.0) ELSE 6.42 * {iss} END)"
+    av = f"(CASE {_metric('AV', 'N')} WHEN 'N' THEN 0.85 WHEN 'A' THEN 0.62 WHEN 'L' THEN 0.55 WHEN 'P' THEN 0.2 ELSE 0.85 END)"
+    ac = f"(CASE {_metric('AC', 'L')} WHEN 'L' THEN 0.77 WHEN 'H' THEN 0.44 ELSE 0.77 END)"
+    pr = (f"(CASE WHEN {ch} THEN (CASE {_metric('PR', 'N')} WHEN 'N' THEN 0.85 WHEN 'L' THEN 0.68 WHEN 'H' THEN 0.50 ELSE 0.85 END) "
+          f"ELSE (CASE {_metric('PR', 'N')} WHEN 'N' THEN 0.85 WHEN 'L' THEN 0.62 WHEN 'H' THEN 0.27 ELSE 0.85 END) END)")
+    ui = f"(CASE {_metric('UI', 'N')} WHEN 'N' THEN 0.85 WHEN 'R' THEN 0.62 ELSE 0.85 END)"
+    total = f"least((CASE WHEN {ch} THEN 1.08 ELSE 1.0 END) * ({impact} + 8.22 * {av} * {ac} * {pr} * {ui}), 10.0)"
+    return (f"(CASE WHEN NOT starts_with(vector, 'CVSS:3') THEN NULL WHEN {iss} <= 0 THEN 0.0 "
+            f"ELSE ceil({total} * 10) / 10.0 END)")
+
+
+_ADV_SEV_SQL = f"""(CASE WHEN lower(db_severity) IN ('critical','high','moderate','medium','low')
+          THEN (CASE WHEN lower(db_severity) = 'moderate' THEN 'medium' ELSE lower(db_severity) END)
+     WHEN {_cvss_sql()} IS NOT NULL THEN (CASE WHEN {_cvss_sql()} >= 9 THEN 'critical' WHEN {_cvss_sql()} >= 7 THEN 'high'
+                                         WHEN {_cvss_sql()} >= 4 THEN 'medium' ELSE 'low' END)
+     WHEN regexp_matches(vector, '/(?:C|A):') THEN 'high' ELSE 'medium' END)"""
+
+
+@register("cvss_base", f"""
+    SELECT id, vector, CAST({_cvss_sql()} AS DOUBLE) AS base, {_ADV_SEV_SQL} AS severity FROM ({ADVISORIES_SQL})""")
+def cvss_base(spark, sf):
+    a = T.advisories_from_part(spark, sf)
+    return a.select("id", F.col("severity")[0]["score"].alias("vector"),
+                    V.cvss_base(F.col("severity")[0]["score"]).alias("base"),
+                    V.advisory_severity(F.col("db_severity"), F.col("severity")).alias("severity"))
+
+
+@register("fixed_version", f"SELECT id, lower(name) AS lname, fixed FROM ({ADVISORIES_SQL})")
+def fixed_version(spark, sf):
+    return V.fixed_version(T.advisories_from_part(spark, sf))
+
+
+_DEV_DOWN = RS.sql_map({"critical": "high", "high": "medium", "medium": "low", "low": "info"}, "sev", "sev")
+_VULN_SQL = f"""
+WITH pk AS ({_DISTINCT_PK}),
+adv AS (SELECT *, {_ADV_SEV_SQL} AS sev0 FROM ({ADVISORIES_SQL})),
+hits AS (
+    SELECT pk.*, adv.id, adv.cve, adv.sev0 AS sev, adv.fixed,
+           upper(left(adv.p_name, 1)) || lower(substr(adv.p_name, 2)) AS summary_name, adv.p_type, adv.withdrawn
+    FROM pk JOIN adv ON pk.eco = adv.eco AND pk.name = adv.name
+    WHERE pk.version = adv.listed OR ({_vnum('pk.version')} >= [1, 0, 0] AND {_vnum('pk.version')} < {_vnum('adv.fixed')})),
+dv AS ({_DEV_ONLY}),
+j AS (SELECT h.*, (dv.repo_id IS NOT NULL) AS is_dev FROM hits h
+      LEFT JOIN dv ON h.repo_id = dv.repo_id AND h.name = dv.name AND h.version = dv.version AND h.eco = dv.eco
+      WHERE withdrawn IS NULL)
+SELECT repo_id, 'deps/' || id AS id,
+       name || ' ' || version || CASE WHEN is_dev THEN ' (dev-only)' ELSE '' END || ' — ' || coalesce(cve, id) || ': '
+         || left(upper(left(split_part(summary_name, ' ', 1), 1)) || lower(substr(split_part(summary_name, ' ', 1), 2)) || ' '
+                 || upper(left(split_part(summary_name, ' ', 2), 1)) || lower(substr(split_part(summary_name, ' ', 2), 2))
+                 || ' ' || lower(p_type) || ' handling flaw', 110) AS title,
+       CASE WHEN is_dev THEN {_DEV_DOWN} ELSE sev END AS severity, 'deps' AS scanner, first_manifest AS path, 0 AS line,
+       eco || ':' || name || '@' || version AS evidence,
+       'Upgrade ' || name || ' to ' || fixed || ' or later.'
+         || CASE WHEN is_dev THEN ' This package is build/dev-time only, so it is ranked one level lower.' ELSE '' END AS remediation,
+       'https://osv.dev/vulnerability/' || id AS reference
+FROM j"""
+
+
+@register("vuln_join", _VULN_SQL)
+def vuln_join(spark, sf):
+    return V.vuln_findings(_stand(spark, sf), T.advisories_from_part(spark, sf))
+
+
+@register("typosquat", f"""
+WITH pk AS (SELECT DISTINCT repo_id, eco, name, version, lower(name) AS lname FROM ({PACKAGES_SQL})),
+decl AS (SELECT DISTINCT repo_id, eco, lower(name) AS lname FROM ({PACKAGES_SQL}) WHERE NOT dev),
+pop AS (SELECT * FROM (VALUES {', '.join(f"('{e}', '{n}')" for e, ns in __import__('codeaudit.rules', fromlist=['x']).POPULAR_PACKAGES.items() for n in ns)}) t(eco, target)),
+allow AS (SELECT * FROM (VALUES {', '.join(f"('{e}', '{n}')" for e, ns in __import__('codeaudit.rules', fromlist=['x']).TYPOSQUAT_ALLOWLIST.items() for n in ns)}) t(eco, lname)),
+cand AS (SELECT * FROM pk WHERE (repo_id, eco, lname) IN (SELECT repo_id, eco, lname FROM decl)
+         AND length(lname) >= 4
+         AND (eco, lname) NOT IN (SELECT eco, target FROM pop) AND (eco, lname) NOT IN (SELECT eco, lname FROM allow)),
+pairs AS (SELECT c.*, p.target FROM cand c JOIN pop p ON c.eco = p.eco
+          AND abs(length(c.lname) - length(p.target)) <= 1 AND levenshtein(c.lname, p.target) = 1),
+firsts AS (SELECT repo_id, eco, name, min(target) AS target, min(version) AS version FROM pairs GROUP BY ALL)
+SELECT repo_id, 'deps/possible-typosquat' AS id,
+       name || ' (' || eco || ') is 1 edit from the popular package ''' || target || '''' AS title,
+       'medium' AS severity, 'deps' AS scanner, '' AS path, 0 AS line,
+       eco || ':' || name || '@' || version || ' ~ ' || target AS evidence,
+       'Confirm this is not a typosquat of ''' || target || ''' before shipping it; if it is legitimate, add it to the baseline.' AS remediation,
+       'https://cwe.mitre.org/data/definitions/1357.html' AS reference
+FROM firsts""")
+def typosquat(spark, sf):
+    pk = _stand(spark, sf)
+    declared = pk.filter(~F.col("dev")).select("repo_id", "eco", F.lower("name").alias("lname"))
+    return SU.typosquats(pk, declared)

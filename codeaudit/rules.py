@@ -142,7 +142,7 @@ DEFAULT_EXCLUDES = [
     ".git", "node_modules", "vendor", "dist", "build", "out", "target",
     ".next", ".nuxt", ".venv", "venv", "env", "__pycache__", ".mypy_cache",
     ".pytest_cache", ".ruff_cache", ".tox", "site-packages", ".terraform",
-    "coverage", ".gradle", "Pods", ".dira-cache.json", ".idea", ".DS_Store",
+    "coverage", ".gradle", "Pods", ".codeaudit-cache.json", ".idea", ".DS_Store",
 ]
 BINARY_EXT = [
     ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".pdf", ".zip", ".gz",
@@ -331,3 +331,54 @@ EXEMPT_NAME_WORDS = ["example", "sample", "template"]
 # FIXED VALUES — Dockerfile structural checks.
 DOCKER_USER_PATTERN = r"(?im)^\s*USER\s+(\S+)"
 DOCKER_HEALTH_PATTERN = r"(?im)^\s*HEALTHCHECK\s"
+
+# ----------------------------------------------------------------------------
+# FIXED VALUES — dependency and licence tables.
+# ----------------------------------------------------------------------------
+POPULAR_PACKAGES = {
+    "npm": [
+        "lodash", "react", "react-dom", "express", "axios", "chalk", "commander", "debug",
+        "request", "moment", "webpack", "eslint", "jest", "typescript", "vue", "next",
+        "colors", "left-pad", "event-stream", "ua-parser-js", "node-ipc", "cross-env",
+        "dotenv", "semver", "underscore", "async", "glob", "minimist", "yargs", "inquirer",
+        "socket.io", "mongoose", "prettier", "rimraf", "mkdirp", "uuid", "classnames",
+        "styled-components", "redux", "electron", "vite", "tailwindcss", "eslint-config-next",
+    ],
+    "PyPI": [
+        "requests", "numpy", "urllib3", "django", "flask", "boto3", "pandas", "scipy",
+        "pytest", "setuptools", "pip", "six", "pyyaml", "cryptography", "click", "jinja2",
+        "sqlalchemy", "pillow", "pytz", "certifi", "idna", "attrs", "packaging", "wheel",
+        "colorama", "markdown", "protobuf", "grpcio", "docutils", "python-dateutil",
+    ],
+}
+TYPOSQUAT_ALLOWLIST = {
+    "npm": [
+        "colord", "globby", "jsesc", "commondir", "ohash", "destr", "defu", "jiti",
+        "mime", "exit", "chalk", "chai", "clone", "yargs-parser", "async-each",
+        "es6-promise", "resolve", "reselect", "asap", "acorn", "assert",
+    ],
+    "PyPI": [
+        "numba", "pyotp", "pynacl", "soxr", "six", "pytz", "pyarrow", "pytest-cov",
+        "click-plugins", "cligj", "attrs", "chardet", "charset-normalizer", "idna",
+    ],
+}
+MIN_TYPOSQUAT_LEN = 4
+
+# Licence families, tested in this order on the upper-cased licence id.
+COPYLEFT_STRONG = ["AGPL", "SSPL", "OSL", "EUPL", "CPAL"]
+COPYLEFT_FILE = ["LGPL", "MPL", "EPL", "CDDL"]
+COPYLEFT_WEAK = ["GPL-2", "GPL-3", "GPL2", "GPL3", "GPLV2", "GPLV3"]
+PERMISSIVE = ["MIT", "BSD", "APACHE", "ISC", "UNLICENSE", "0BSD", "ZLIB", "PSF",
+              "PYTHON", "WTFPL", "CC0", "BSL"]
+PROPRIETARY_MARKERS = ["PROPRIETARY", "COMMERCIAL", "NOLICENSE"]
+LICENSE_GROUP_THRESHOLD = 3
+LICENSE_GROUP_SHOWN = 6
+LICENSE_INVENTORY_TOP = 25
+LICENSE_FETCH_ECOSYSTEMS = ["npm", "PyPI"]
+PROJECT_LICENSE_FILES = ["LICENSE", "LICENSE.md", "LICENSE.txt", "COPYING"]
+PROJECT_LICENSE_SPDX_PATTERN = r"(?i)\b(MIT|Apache-2\.0|BSD-[23]-Clause|GPL-[23]\.0|AGPL-3\.0|ISC|MPL-2\.0)\b"
+PROJECT_LICENSE_MARKERS = [("MIT License", "MIT"), ("Apache License", "Apache-2.0"),
+                           ("GNU GENERAL PUBLIC", "GPL"), ("GNU AFFERO", "AGPL-3.0"), ("BSD", "BSD")]
+
+# purl types per ecosystem.
+PURL_TYPE = {"npm": "npm", "PyPI": "pypi", "Go": "golang", "crates.io": "cargo", "RubyGems": "gem"}

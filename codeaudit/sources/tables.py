@@ -130,3 +130,91 @@ def policy_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("config/view"), F.lit("high")).alias("severity"),
         F.array(F.lit("deps/signup")).alias("ignore"),
         F.array(F.concat(F.lit("src/module_"), (F.col("user_id") % 10).cast("string"), F.lit("*"))).alias("ignore_paths"))
+
+
+# FIXED stand-in shapes for the package family.
+ECOSYSTEMS = ["npm", "PyPI", "crates.io", "RubyGems", "Go"]
+LOCKFILE_OF = {"npm": "package-lock.json", "PyPI": "requirements.txt", "crates.io": "Cargo.lock",
+               "RubyGems": "Gemfile.lock", "Go": "go.mod"}
+CVSS_VECTORS = [
+    "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H",
+    "CVSS:3.1/AV:N/AC:L/PR:L/UI:N/S:C/C:H/I:L/A:N",
+    "CVSS:3.1/AV:L/AC:H/PR:H/UI:R/S:U/C:L/I:N/A:N",
+    "CVSS:3.0/AV:A/AC:L/PR:N/UI:R/S:U/C:N/I:N/A:N",
+    "CVSS:2.0/AV:N/AC:L/Au:N/C:P/I:P/A:P",
+    "CVSS:3.1/AV:P/AC:H/PR:L/UI:N/S:C/C:N/I:L/A:H",
+    "CVSS:4.0/AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:H/VA:H/SC:N/SI:N/SA:N",
+]
+DB_SEVERITIES = ["", "moderate", "CRITICAL", "low", "unknown", "high"]
+LICENSE_RING = ["MIT", "Apache-2.0", "GPL-3.0-only", "AGPL-3.0", "LGPL-2.1-or-later", "MPL-2.0", "",
+                "Proprietary", "BSD-3-Clause", "Custom-EULA", "ISC", "UNLICENSED", "EPL-2.0"]
+
+
+def _lit_array(xs):
+    return F.array(*[F.lit(x) for x in xs])
+
+
+def _eco(brand_col: str = "p_brand"):
+    n = F.regexp_extract(F.col(brand_col), r"#(\d+)", 1).cast("int")
+    return F.element_at(_lit_array(ECOSYSTEMS), (n % len(ECOSYSTEMS) + 1).cast("int"))
+
+
+def packages_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packages`` stand-in: one resolved package per line item.  repo = order,
+    name = part name, version = 1.<line>.<size mod 10>, ecosystem by brand,
+    dev = return flag R, manifest = the ecosystem's lockfile."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    eco = _eco()
+    lock = F.create_map(*[x for kv in LOCKFILE_OF.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    return j.select(
+        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("repo_id"),
+        lock[eco].alias("manifest"),
+        F.regexp_replace("p_name", " ", "-").alias("name"),
+        F.concat(F.lit("1."), F.col("l_linenumber").cast("string"), F.lit("."),
+                 (F.col("p_size") % 10).cast("string")).alias("version"),
+        eco.alias("eco"),
+        (F.col("l_returnflag") == "R").alias("dev"))
+
+
+def advisories_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``advisories`` stand-in (OSV shape): one advisory per part, affecting the
+    part's package from 1.0.0 up to a fixed version, plus one listed version."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    k = F.col("p_partkey")
+    fixed = F.concat(F.lit("1."), (F.col("p_size") % 7 + 1).cast("string"), F.lit(".0"))
+    listed = F.concat(F.lit("1."), (F.col("p_size") % 7 + 1).cast("string"), F.lit(".9"))
+    sid = k.cast("string")
+    event = "struct<introduced:string,fixed:string>"
+    events = F.array(F.struct(F.lit("1.0.0").alias("introduced"), F.lit(None).cast("string").alias("fixed")),
+                     F.struct(F.lit(None).cast("string").alias("introduced"), fixed.alias("fixed"))).cast(f"array<{event}>")
+    return p.select(
+        F.concat(F.lit("ADV-"), sid).alias("id"),
+        F.concat(F.initcap("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" handling flaw")).alias("summary"),
+        F.when(k % 3 == 0, F.array(F.concat(F.lit("GHSA-"), sid), F.concat(F.lit("CVE-2024-"), sid)))
+         .when(k % 3 == 1, F.array(F.concat(F.lit("GHSA-"), sid)))
+         .otherwise(F.array().cast("array<string>")).alias("aliases"),
+        F.when(k % 11 == 0, F.lit("2024-06-01")).alias("withdrawn"),
+        F.element_at(_lit_array(DB_SEVERITIES), (k % len(DB_SEVERITIES) + 1).cast("int")).alias("db_severity"),
+        F.array(F.struct(F.lit("CVSS_V3").alias("type"),
+                         F.element_at(_lit_array(CVSS_VECTORS), (k % len(CVSS_VECTORS) + 1).cast("int")).alias("score"))
+                ).alias("severity"),
+        F.array(F.struct(
+            F.regexp_replace("p_name", " ", "-").alias("name"), _eco().alias("eco"),
+            F.array(listed).alias("versions"),
+            F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))).alias("ranges"))).alias("affected"))
+
+
+def registry_licenses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``registry_licenses`` stand-in: the licence a registry reports for every
+    version of a part's package, from a ring of licence ids."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    v = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"))
+    rows = v.select(
+        _eco().alias("eco"), F.regexp_replace("p_name", " ", "-").alias("name"),
+        F.concat(F.lit("1."), F.col("line").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version"),
+        F.element_at(_lit_array(LICENSE_RING), ((F.col("p_partkey") + F.col("line")) % len(LICENSE_RING) + 1).cast("int")).alias("license"),
+        "p_partkey")
+    # one licence per (eco, name, version): the lowest part key's
+    return rows.groupBy("eco", "name", "version").agg(F.min_by("license", "p_partkey").alias("license"))
