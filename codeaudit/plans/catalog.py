@@ -397,3 +397,173 @@ def typosquat(spark, sf):
     pk = _stand(spark, sf)
     declared = pk.filter(~F.col("dev")).select("repo_id", "eco", F.lower("name").alias("lname"))
     return SU.typosquats(pk, declared)
+
+
+_RING = "['" + "','".join(T.LICENSE_RING) + "']"
+REGISTRY_SQL = f"""
+    SELECT eco, name, version, arg_min(license, p_partkey) AS license FROM (
+        SELECT {_ECO_SQL} AS eco, replace(p_name, ' ', '-') AS name, '1.' || line || '.' || (p_size % 10) AS version,
+               {_RING}[(p_partkey + line) % {len(T.LICENSE_RING)} + 1] AS license, p_partkey
+        FROM part, generate_series(1, 7) t(line)) GROUP BY ALL"""
+
+
+def _any(col: str, words) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+def _classify_sql(lic: str) -> str:
+    import codeaudit.rules as RR
+    up = f"upper(coalesce({lic}, ''))"
+    return f"""(CASE WHEN coalesce({lic}, '') = '' THEN 'low|unknown'
+      WHEN {_any(up, RR.COPYLEFT_STRONG)} THEN 'high|network copyleft'
+      WHEN {_any(up, RR.COPYLEFT_FILE)} THEN 'medium|file-level copyleft'
+      WHEN {_any(up, RR.COPYLEFT_WEAK)} THEN 'high|strong copyleft'
+      WHEN {_any(up, RR.PERMISSIVE)} THEN NULL
+      WHEN {_any(up, RR.PROPRIETARY_MARKERS)} THEN 'medium|proprietary'
+      ELSE 'info|unrecognised' END)"""
+
+
+_LIC_PK = f"""
+    SELECT pk.*, r.license FROM ({_DISTINCT_PK}) pk JOIN ({REGISTRY_SQL}) r USING (eco, name, version)
+    WHERE pk.eco IN ('npm', 'PyPI')"""
+
+
+@register("license_inventory", f"""
+    SELECT repo_id, license, packages, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY packages DESC, license) AS rank FROM (
+            SELECT repo_id, CASE WHEN trim(coalesce(license, '')) = '' THEN 'unknown' ELSE trim(license) END AS license,
+                   CAST(count(*) AS BIGINT) AS packages
+            FROM ({_LIC_PK}) GROUP BY ALL))
+    WHERE rank <= 25""")
+def license_inventory(spark, sf):
+    return L.license_inventory(_stand(spark, sf), T.registry_licenses_from_part(spark, sf)) \
+        .select("repo_id", "license", "packages", F.col("rank").cast("int").alias("rank"))
+
+
+_WHY_SQL = RS.sql_map(L.WHY, "family")
+_LIC_FINDINGS_SQL = f"""
+WITH h0 AS (SELECT *, {_classify_sql('license')} AS v FROM ({_LIC_PK})),
+h AS (
+    SELECT repo_id, first_manifest, name, version, eco, split_part(v, '|', 1) AS severity, split_part(v, '|', 2) AS family,
+           trim(CASE WHEN coalesce(license, '') = '' THEN 'no license' ELSE license END) AS lic,
+           eco || ':' || name || '@' || version || ' — ' || CASE WHEN coalesce(license, '') = '' THEN 'no license' ELSE license END AS evidence,
+           CASE WHEN starts_with(name, '@') THEN split_part(name, '/', 1) || '/' || split_part(split_part(name, '/', -1), '-', 1)
+                ELSE split_part(name, '-', 1) END AS fkey
+    FROM h0 WHERE v IS NOT NULL),
+hw AS (SELECT *, CASE WHEN family = 'unrecognised' THEN 'License `' || lic || '` was not recognised — check it manually before shipping.'
+                      ELSE {_WHY_SQL} END AS why,
+              count(*) OVER (PARTITION BY repo_id, family, lic, fkey) AS n FROM h)
+SELECT repo_id, 'license/' || replace(family, ' ', '-') AS id,
+       name || ' ' || version || ' is ' || lic || ' (' || family || ')' AS title, severity, 'licenses' AS scanner,
+       first_manifest AS path, 0 AS line, evidence, why AS remediation, 'https://spdx.org/licenses/' AS reference
+FROM hw WHERE n < 3
+UNION ALL
+SELECT repo_id, 'license/' || replace(family, ' ', '-'), n || ' packages are ' || lic || ' (' || family || ')', any_value(severity),
+       'licenses', any_value(first_manifest), 0,
+       array_to_string(list_slice(list_sort(list(name)), 1, 6), ', ') || CASE WHEN n > 6 THEN ' (+' || (n - 6) || ' more)' ELSE '' END,
+       any_value(why) || ' These are variant builds of one dependency — review the obligation once.',
+       'https://spdx.org/licenses/'
+FROM hw WHERE n >= 3 GROUP BY repo_id, family, lic, fkey, n"""
+
+
+@register("license_findings", _LIC_FINDINGS_SQL)
+def license_findings(spark, sf):
+    return L.license_findings(_stand(spark, sf), T.registry_licenses_from_part(spark, sf))
+
+
+# dependency reachability over per-order chains
+EDGES_SQL = """
+    SELECT 'order-' || a.l_orderkey AS repo_id, a.l_linenumber AS src, b.l_linenumber AS dst
+    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+    WHERE b.l_returnflag <> 'R'
+    UNION ALL
+    SELECT 'order-' || l_orderkey, max(l_linenumber), 1 FROM lineitem GROUP BY l_orderkey"""
+
+
+def edges_from_lineitem(spark, sf):
+    li = T.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    a, b = li.alias("a"), li.alias("b")
+    chain = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey"))
+                   & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)) \
+        .filter(F.col("b.l_returnflag") != "R") \
+        .select(F.concat(F.lit("order-"), F.col("a.l_orderkey").cast("string")).alias("repo_id"),
+                F.col("a.l_linenumber").alias("src"), F.col("b.l_linenumber").alias("dst"))
+    back = li.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("src")).select(
+        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("repo_id"), "src",
+        F.lit(1).alias("dst"))
+    return chain.unionByName(back)
+
+
+@register("dependency_reachability", f"""
+WITH RECURSIVE e AS ({EDGES_SQL}),
+r(repo_id, node) AS (
+    SELECT DISTINCT 'order-' || l_orderkey, CAST(1 AS INTEGER) FROM lineitem
+    UNION
+    SELECT e.repo_id, e.dst FROM r JOIN e ON r.repo_id = e.repo_id AND r.node = e.src)
+SELECT repo_id, CAST(node AS INTEGER) AS node FROM r""")
+def dependency_reachability(spark, sf):
+    roots = T.read(spark, sf, "lineitem").select(
+        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("repo_id"), F.lit(1).alias("node")).distinct()
+    return P.reachable(edges_from_lineitem(spark, sf), roots).select("repo_id", F.col("node").cast("int").alias("node"))
+
+
+# --------------------------------------------------------------------------
+# readiness
+# --------------------------------------------------------------------------
+from codeaudit.operators import readiness as G  # noqa: E402
+
+
+def _readiness_flags_sql(files_sql: str) -> str:
+    exprs = []
+    for i, c in enumerate(G.CHECKS):
+        conds = ["false"]
+        for f in c.files:
+            conds.append(f"(name = {RS.q(f)} OR path = {RS.q(f)} OR list_contains(dirs, {RS.q(f)}))")
+        for d in c.dirs:
+            conds.append(f"len(list_filter(dirs, lambda x: x = {RS.q(d)} OR ends_with(x, {RS.q('/' + d)}))) > 0")
+        for g in c.globs:
+            pref, _, suf = g.partition("*")
+            conds.append(f"(starts_with(name, {RS.q(pref)}) AND ends_with(name, {RS.q(suf)}))")
+        if c.content:
+            tg = " OR ".join(f"(path = {RS.q(t)} OR starts_with(path, {RS.q(t + '/')}) OR ends_with(path, {RS.q('/' + t)}) "
+                             f"OR name = {RS.q(t)})" for t in c.targets)
+            hit = " OR ".join(f"regexp_matches(left(content, {G.CONTENT_LIMIT}), {RS.q(p)})" for p in c.content)
+            conds.append(f"(({tg}) AND coalesce({hit}, false))")
+        exprs.append(f"bool_or({' OR '.join(conds)}) AS c{i}")
+    return f"""
+    SELECT repo_id, {', '.join(exprs)} FROM (
+        SELECT repo_id, path, split_part(path, '/', -1) AS name, content,
+               CASE WHEN len(string_split(path, '/')) > 1
+                    THEN list_transform(generate_series(1, len(string_split(path, '/')) - 1),
+                                        lambda i: array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))
+                    ELSE [] END AS dirs
+        FROM ({files_sql})) GROUP BY repo_id"""
+
+
+def _readiness_checks_sql(files_sql: str) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT repo_id, {RS.q(c.key)} AS key, {RS.q(c.label)} AS label, {c.weight} AS weight, c{i} AS passed FROM fl"
+        for i, c in enumerate(G.CHECKS))
+    return f"WITH fl AS ({_readiness_flags_sql(files_sql)}) {rows}"
+
+
+@register("readiness_score", f"""
+    SELECT repo_id, CAST(round_even(100.0 * earned / total, 0) AS BIGINT) AS score, earned, total,
+           CASE WHEN round_even(100.0 * earned / total, 0) >= 85 THEN 'Enterprise-ready'
+                WHEN round_even(100.0 * earned / total, 0) >= 70 THEN 'Diligence-ready'
+                WHEN round_even(100.0 * earned / total, 0) >= 45 THEN 'Early-stage gaps' ELSE 'Pre-security' END AS tier
+    FROM (SELECT repo_id, CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS BIGINT) AS earned,
+                 CAST(sum(weight) AS BIGINT) AS total
+          FROM ({_readiness_checks_sql(RS.FILES_FROM_DOCUMENTS)}) GROUP BY repo_id)""")
+def readiness_score(spark, sf):
+    return G.readiness_scores(T.files_from_documents(spark, sf))
+
+
+@register("readiness_findings", f"""
+    SELECT repo_id, 'readiness/' || key AS id, 'Missing: ' || label AS title,
+           CASE WHEN weight >= 6 THEN 'medium' WHEN weight >= 4 THEN 'low' ELSE 'info' END AS severity,
+           'readiness' AS scanner, '.' AS path, 0 AS line, {RS.sql_map({c.key: c.why for c in G.CHECKS}, 'key')} AS evidence,
+           {RS.sql_map({c.key: c.fix for c in G.CHECKS}, 'key')} AS remediation, '' AS reference
+    FROM ({_readiness_checks_sql(RS.FILES_FROM_DOCUMENTS)}) WHERE NOT passed""")
+def readiness_findings(spark, sf):
+    return G.readiness_findings(T.files_from_documents(spark, sf))
