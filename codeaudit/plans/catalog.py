@@ -567,3 +567,195 @@ def readiness_score(spark, sf):
     FROM ({_readiness_checks_sql(RS.FILES_FROM_DOCUMENTS)}) WHERE NOT passed""")
 def readiness_findings(spark, sf):
     return G.readiness_findings(T.files_from_documents(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# live surface (H1–H9) and git history
+# --------------------------------------------------------------------------
+from codeaudit import rules as RR  # noqa: E402
+from codeaudit.operators import history as HI  # noqa: E402
+from codeaudit.operators import surface as H  # noqa: E402
+
+NOW = "2025-01-01 00:00:00"
+_HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+_HTTP_SQL = f"""
+    SELECT {_HOST} AS host, 'https://' || {_HOST} || '/page/' || page_id AS url, page_id,
+           CASE WHEN page_id % 3 = 0 THEN 'max-age=' || (page_id * 100000) || '; includeSubDomains' END AS hsts,
+           CASE WHEN page_id % 2 = 0 THEN (CASE WHEN page_id % 4 = 0 THEN 'default-src ''self'' ''unsafe-inline'''
+                                                ELSE 'default-src ''self''' END) END AS csp,
+           CASE WHEN page_id % 5 <> 0 THEN 'nosniff' END AS xcto,
+           CASE WHEN page_id % 6 = 1 THEN 'no-referrer' END AS rp,
+           CASE WHEN page_id % 9 = 2 THEN 'camera=()' END AS pp,
+           CASE WHEN page_id % 4 = 1 THEN 'DENY' END AS xfo,
+           CASE WHEN page_id % 7 = 0 THEN 'nginx/1.' || (page_id % 20) END AS server,
+           CASE WHEN page_id % 8 = 3 THEN 'PHP/8.1' END AS xpb,
+           CASE WHEN page_id % 11 = 0 THEN '*' END AS acao
+    FROM pages"""
+
+
+def _missing(col, key, sev, title, fix):
+    return (f"SELECT host, 'surface/{key}', {RS.q(title)}, '{sev}', url, 'header absent', {RS.q(fix)}, "
+            f"'https://owasp.org/www-project-secure-headers/' FROM o WHERE {col} IS NULL")
+
+
+_HDR_FIX = {"strict-transport-security": ("hsts", "Send Strict-Transport-Security with a long max-age."),
+            "content-security-policy": ("csp", "Ship a Content-Security-Policy, report-only first."),
+            "x-content-type-options": ("xcto", "Send X-Content-Type-Options: nosniff."),
+            "referrer-policy": ("rp", "Send a strict Referrer-Policy."),
+            "permissions-policy": ("pp", "Send a Permissions-Policy that disables unused features."),
+            "x-frame-options": ("xfo", "Send X-Frame-Options: DENY or CSP frame-ancestors.")}
+_SURF_COLS = "repo_id, id, title, severity, scanner, path, line, evidence, remediation, reference"
+
+
+@register("surface_headers", f"""
+WITH o AS ({_HTTP_SQL}),
+u(host, id, title, severity, url, evidence, remediation, reference) AS (
+    {' UNION ALL '.join(_missing(_HDR_FIX[k][0], k, s, t, _HDR_FIX[k][1]) for k, s, t in RR.REQUIRED_HEADERS)}
+    UNION ALL SELECT host, 'surface/hsts-short', 'HSTS max-age below 180 days', 'low', url, hsts,
+                     'Raise max-age to a year once HTTPS coverage is complete.', '' FROM o
+              WHERE contains(hsts, 'max-age=') AND TRY_CAST(regexp_extract(hsts, 'max-age=([^;]*)', 1) AS BIGINT) < {RR.HSTS_MIN_AGE}
+    UNION ALL SELECT host, 'surface/csp-unsafe-inline', 'CSP allows ''unsafe-inline''', 'medium', url, left(csp, 140),
+                     'Replace ''unsafe-inline'' with nonces or hashes.', '' FROM o WHERE contains(csp, 'unsafe-inline')
+    UNION ALL SELECT host, 'surface/version-disclosure', 'Server version disclosed via `server`', 'low', url, 'server: ' || server,
+                     'Strip the `server` header at the proxy.', '' FROM o WHERE trim(server) <> ''
+    UNION ALL SELECT host, 'surface/version-disclosure', 'Server version disclosed via `x-powered-by`', 'low', url, 'x-powered-by: ' || xpb,
+                     'Strip the `x-powered-by` header at the proxy.', '' FROM o WHERE trim(xpb) <> ''
+    UNION ALL SELECT host, 'surface/cors-wildcard', 'Live response sends Access-Control-Allow-Origin: *', 'medium', url, 'ACAO: *',
+                     'Restrict to an explicit origin allowlist.', '' FROM o WHERE acao = '*'
+    UNION ALL SELECT host, 'surface/cookie-flags', 'Cookie missing secure, httponly, samesite', 'medium', url, 'pref',
+                     'Set Secure; HttpOnly; SameSite on session cookies.', 'https://cwe.mitre.org/data/definitions/1004.html'
+              FROM o WHERE page_id % 3 = 1)
+SELECT host AS repo_id, id, title, severity, 'surface' AS scanner, url AS path, 0 AS line, evidence, remediation, reference FROM u""")
+def surface_headers(spark, sf):
+    return H.header_findings(T.http_obs_from_pages(spark, sf))
+
+
+@register("surface_redirect", f"""
+    SELECT {_HOST} AS repo_id, 'surface/no-https-redirect' AS id, 'HTTP does not redirect to HTTPS' AS title, 'high' AS severity,
+           'surface' AS scanner, 'http://' || {_HOST} AS path, 0 AS line, url AS evidence,
+           'Redirect all HTTP traffic to HTTPS at the edge.' AS remediation, '' AS reference
+    FROM pages WHERE NOT starts_with(url, 'https://')""")
+def surface_redirect(spark, sf):
+    return H.redirect_findings(T.plain_http_obs_from_pages(spark, sf))
+
+
+_PROBES = "[" + ", ".join(f"'{p}'" for p, _s, _t in RR.PROBE_PATHS) + "]"
+_ENV_BODY = "'APP_KEY=base64:abc' || chr(10) || 'DB_PASSWORD=x' || chr(10)"
+
+
+@register("surface_probes", f"""
+WITH p AS (
+    SELECT {_HOST} AS host, 'https://' || {_HOST} AS base, {_PROBES}[page_id % {len(RR.PROBE_PATHS)} + 1] AS path,
+           CASE WHEN page_id % 2 = 0 THEN 200 ELSE 404 END AS status,
+           CASE WHEN page_id % 2 <> 0 THEN '' WHEN page_id % 10 = 4 THEN {_ENV_BODY} ELSE html END AS body_text,
+           CASE WHEN page_id % 2 <> 0 THEN 0 WHEN page_id % 10 = 4 THEN octet_length(encode({_ENV_BODY}))
+                ELSE least(400, octet_length(encode(html))) END AS body_len
+    FROM pages),
+m(path, sev, title) AS (VALUES {', '.join(f"('{p}', '{s}', {RS.q(t)})" for p, s, t in RR.PROBE_PATHS)})
+SELECT host AS repo_id, 'surface/no-security-txt' AS id, m.title, 'info' AS severity, 'surface' AS scanner,
+       base || p.path AS path, 0 AS line, 'HTTP ' || status AS evidence,
+       'Publish /.well-known/security.txt with a contact address.' AS remediation, '' AS reference
+FROM p JOIN m USING (path) WHERE ends_with(p.path, 'security.txt') AND NOT (status = 200 AND body_len > 0)
+UNION ALL
+SELECT host, 'surface/exposed-path', m.title, m.sev, 'surface', base || p.path, 0, 'HTTP 200, ' || body_len || '+ bytes',
+       'Block the path at the server/CDN and rotate anything it exposed.', ''
+FROM p JOIN m USING (path)
+WHERE NOT ends_with(p.path, 'security.txt') AND status = 200 AND body_len > 0
+  AND NOT contains(lower(left(body_text, 60)), '<!doctype html')""")
+def surface_probes(spark, sf):
+    return H.probe_findings(T.probe_obs_from_pages(spark, sf))
+
+
+@register("surface_tls", f"""
+WITH h AS (SELECT {_HOST} AS host, min(page_id) AS k FROM pages GROUP BY 1),
+t AS (SELECT host, k, CASE WHEN k % 13 = 5 THEN 'TLSv1.1' ELSE 'TLSv1.3' END AS version,
+             DATE '2025-01-01' + CAST(k % 60 - 10 AS INTEGER) AS d,
+             CASE WHEN k % 17 = 3 THEN 'certificate verify failed: hostname mismatch' END AS verify_error FROM h),
+t2 AS (SELECT *, strftime(d, '%b') || CASE WHEN day(d) < 10 THEN '  ' ELSE ' ' END || day(d) || ' 00:00:00 ' || year(d) || ' GMT'
+                 AS not_after,
+              CAST(floor((epoch(CAST(d AS TIMESTAMP)) - epoch(TIMESTAMP '{NOW}')) / 86400) AS BIGINT) AS days FROM t)
+SELECT host AS repo_id, 'surface/tls-invalid' AS id, 'TLS certificate does not validate' AS title, 'critical' AS severity,
+       'surface' AS scanner, host AS path, 0 AS line, left(verify_error, 140) AS evidence,
+       'Fix the chain or hostname, or renew the certificate.' AS remediation, '' AS reference
+FROM t2 WHERE verify_error IS NOT NULL
+UNION ALL
+SELECT host, 'surface/tls-old', 'Negotiated ' || version, 'high', 'surface', host, 0, version,
+       'Disable TLS below 1.2 at the load balancer.', '' FROM t2 WHERE verify_error IS NULL AND version IN ('TLSv1', 'TLSv1.1')
+UNION ALL
+SELECT host, 'surface/cert-expiring', 'TLS certificate expires in ' || days || ' days',
+       CASE WHEN days < {RR.CERT_HIGH_DAYS} THEN 'high' ELSE 'medium' END, 'surface', host, 0, not_after,
+       'Renew now and automate renewal with expiry alerting.', '' FROM t2 WHERE verify_error IS NULL AND days < {RR.CERT_WARN_DAYS}""")
+def surface_tls(spark, sf):
+    return H.tls_findings(T.tls_obs_from_pages(spark, sf), NOW)
+
+
+_COMMIT_LINES_SQL = """
+    SELECT 'team-' || (conv_id % 5) AS repo_id, conv_id * 1000000 AS seq, 'commit ' || sha1(CAST(conv_id AS VARCHAR)) AS line
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT 'team-' || (conv_id % 5), conv_id * 1000000 + (turn + 1) * 1000, '+++ b/' || role || '/notes.md' FROM conversations
+    UNION ALL
+    SELECT 'team-' || (conv_id % 5), conv_id * 1000000 + (turn + 1) * 1000 + i, '+' || t
+    FROM conversations, LATERAL (SELECT unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i)"""
+_ADDS_SQL = f"""
+WITH cl AS ({_COMMIT_LINES_SQL}),
+ev AS (SELECT *, CASE WHEN starts_with(line, 'commit ') THEN left(trim(substr(line, 8)), 8) END AS _sha,
+              CASE WHEN starts_with(line, 'commit ') THEN seq END AS _cseq,
+              CASE WHEN starts_with(line, '+++ ') THEN
+                        (CASE WHEN trim(substr(line, 5)) = '/dev/null' THEN ''
+                              WHEN starts_with(trim(substr(line, 5)), 'b/') THEN substr(trim(substr(line, 5)), 3)
+                              ELSE trim(substr(line, 5)) END)
+                   WHEN starts_with(line, 'commit ') THEN '' END AS _p FROM cl),
+ff AS (SELECT *, last_value(_sha IGNORE NULLS) OVER w AS sha, last_value(_cseq IGNORE NULLS) OVER w AS commit_ord,
+              last_value(_p IGNORE NULLS) OVER w AS path
+       FROM ev WINDOW w AS (PARTITION BY repo_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT repo_id, commit_ord, min(seq) AS first_seq, coalesce(sha, '') AS sha, path,
+       string_agg(substr(line, 2), chr(10) ORDER BY seq) AS added
+FROM ff WHERE starts_with(line, '+') AND NOT starts_with(line, '+++') AND coalesce(path, '') <> ''
+GROUP BY repo_id, commit_ord, sha, path"""
+
+
+@register("history_commits", f"SELECT repo_id, commit_ord, first_seq, sha, path, added FROM ({_ADDS_SQL})")
+def history_commits(spark, sf):
+    return HI.commit_adds(T.commit_lines_from_conversations(spark, sf))
+
+
+def _history_sql() -> str:
+    import re as _re
+    parts = []
+    for i, r in enumerate(RR.SECRET_RULES):
+        if r.id == RR.GENERIC_RULE_ID:
+            continue
+        g = min(1, _re.compile(r.pattern).groups)
+        src = "(SELECT repo_id, sha || '|' || path AS path, added AS content, first_seq, false AS minified, false AS low_trust FROM ad)"
+        parts.append(RS._rule_rows_sql(r.id, i, r.pattern, g, src).replace("minified, low_trust,", "first_seq,"))
+    union = " UNION ALL ".join(parts)
+    sev = RS.sql_map({r.id: r.severity for r in RR.SECRET_RULES}, "rule_id")
+    title = RS.sql_map({r.id: r.title for r in RR.SECRET_RULES}, "rule_id")
+    hd = RS.sql_map(HI.HISTORY_DOWNGRADE, sev, "'info'")
+    exts = ", ".join(f"'{e}'" for e in RR.HISTORY_DOC_EXT)
+    return f"""
+WITH ad AS ({_ADDS_SQL}),
+rm AS ({union}),
+lm AS (SELECT *, split_part(path, '|', 1) AS sha, substr(path, strpos(path, '|') + 1) AS fpath,
+              max(start + mlen) OVER (PARTITION BY repo_id, path ORDER BY start, rule_ord
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end
+       FROM rm WHERE NOT (rule_id = 'openai-key' AND value LIKE 'sk-ant-%')),
+g AS (SELECT * FROM lm WHERE (prev_end IS NULL OR start >= prev_end)
+      AND (rule_id = 'private-key' OR NOT {RS.placeholder_sql('value')})),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, rule_id, left(value, 24)
+                                                  ORDER BY first_seq, start, rule_ord) AS rn FROM g) WHERE rn = 1),
+lt AS (SELECT *, regexp_matches(fpath, {RS.q(RR.TEST_PATH_PATTERN)}) OR split_part(fpath, '.', -1) IN ({exts}) AS low FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY first_seq, start, rule_ord) AS k FROM lt)
+SELECT repo_id, 'git-history/' || rule_id AS id,
+       {title} || ' found in git history' || CASE WHEN low THEN ' (test/docs path)' ELSE '' END AS title,
+       CASE WHEN low THEN {hd} ELSE {sev} END AS severity, 'git' AS scanner,
+       CASE WHEN sha <> '' THEN fpath || ' @ ' || sha ELSE fpath END AS path, 0 AS line, {RS.redact_sql('value')} AS evidence,
+       'Deleting the file does not remove it from history: rotate the credential, then purge history.' AS remediation,
+       {RS.q(HI.REFERENCE)} AS reference
+FROM o WHERE k <= {HI.HISTORY_LIMIT}"""
+
+
+@register("history_findings", _history_sql())
+def history_findings(spark, sf):
+    return HI.history_findings(T.commit_lines_from_conversations(spark, sf))

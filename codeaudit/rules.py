@@ -382,3 +382,32 @@ PROJECT_LICENSE_MARKERS = [("MIT License", "MIT"), ("Apache License", "Apache-2.
 
 # purl types per ecosystem.
 PURL_TYPE = {"npm": "npm", "PyPI": "pypi", "Go": "golang", "crates.io": "cargo", "RubyGems": "gem"}
+
+# FIXED VALUES — repository hygiene.
+JS_MARKERS = ["package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb"]
+KEY_EXT = [".pem", ".key", ".p12", ".pfx", ".keystore", ".jks", ".crt"]
+KEY_SCAN_SKIP_DIRS = ["node_modules", ".git", "vendor", "dist", "build", ".venv", "venv",
+                      "site-packages", "target", ".next"]
+
+# FIXED VALUES — live surface: required headers, leaky headers, probe paths.
+REQUIRED_HEADERS = [
+    ("strict-transport-security", "high", "Strict-Transport-Security missing"),
+    ("content-security-policy", "high", "Content-Security-Policy missing"),
+    ("x-content-type-options", "medium", "X-Content-Type-Options missing"),
+    ("referrer-policy", "low", "Referrer-Policy missing"),
+    ("permissions-policy", "low", "Permissions-Policy missing"),
+    ("x-frame-options", "medium", "No clickjacking protection"),
+]
+LEAKY_HEADERS = ["server", "x-powered-by", "x-aspnet-version", "x-generator"]
+PROBE_PATHS = [
+    ("/.env", "critical", "Environment file served publicly"),
+    ("/.git/config", "critical", "Git directory exposed over HTTP"),
+    ("/.aws/credentials", "critical", "AWS credentials exposed over HTTP"),
+    ("/server-status", "medium", "Apache server-status exposed"),
+    ("/actuator/env", "critical", "Spring Actuator env endpoint exposed"),
+    ("/phpinfo.php", "high", "phpinfo() exposed"),
+    ("/.well-known/security.txt", "info", "No security.txt published"),
+]
+HSTS_MIN_AGE = 15_552_000
+CERT_WARN_DAYS = 21
+CERT_HIGH_DAYS = 8

@@ -218,3 +218,89 @@ def registry_licenses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey")
     # one licence per (eco, name, version): the lowest part key's
     return rows.groupBy("eco", "name", "version").agg(F.min_by("license", "p_partkey").alias("license"))
+
+
+def commit_lines_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``commit_lines`` stand-in in ``git log -p`` shape: one commit per
+    conversation (sha = sha1 of its id), one ``+++ b/<role>/notes.md`` header per
+    turn, one ``+`` line per text line.  repo = conversation id mod 5."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repo = F.concat(F.lit("team-"), (F.col("conv_id") % 5).cast("string"))
+    base = F.col("conv_id") * 1_000_000
+    heads = c.groupBy("conv_id").agg(F.min("turn").alias("t")).select(
+        repo.alias("repo_id"), base.alias("seq"),
+        F.concat(F.lit("commit "), F.sha1(F.col("conv_id").cast("string"))).alias("line"))
+    files = c.select(repo.alias("repo_id"), (base + (F.col("turn") + 1) * 1000).alias("seq"),
+                     F.concat(F.lit("+++ b/"), F.col("role"), F.lit("/notes.md")).alias("line"))
+    lines = c.select(repo.alias("repo_id"), "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "t")) \
+        .select("repo_id", (F.col("conv_id") * 1_000_000 + (F.col("turn") + 1) * 1000 + 1 + F.col("i")).alias("seq"),
+                F.concat(F.lit("+"), F.col("t")).alias("line"))
+    return heads.unionByName(files).unionByName(lines)
+
+
+def _host(url_col: str = "url"):
+    return F.regexp_extract(F.col(url_col), r"^[a-z]+://([^/:?#]+)", 1)
+
+
+def http_obs_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``http_obs`` stand-in: one HTTPS response per page; which security
+    headers and cookies it carries is shaped by the page id."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    k = F.col("page_id")
+    entries = F.array(
+        F.when(k % 3 == 0, F.struct(F.lit("strict-transport-security").alias("k"),
+                                   F.concat(F.lit("max-age="), (k * 100000).cast("string"), F.lit("; includeSubDomains")).alias("v"))),
+        F.when(k % 2 == 0, F.struct(F.lit("content-security-policy").alias("k"),
+                                   F.when(k % 4 == 0, F.lit("default-src 'self' 'unsafe-inline'"))
+                                    .otherwise(F.lit("default-src 'self'")).alias("v"))),
+        F.when(k % 5 != 0, F.struct(F.lit("x-content-type-options").alias("k"), F.lit("nosniff").alias("v"))),
+        F.when(k % 6 == 1, F.struct(F.lit("referrer-policy").alias("k"), F.lit("no-referrer").alias("v"))),
+        F.when(k % 9 == 2, F.struct(F.lit("permissions-policy").alias("k"), F.lit("camera=()").alias("v"))),
+        F.when(k % 4 == 1, F.struct(F.lit("x-frame-options").alias("k"), F.lit("DENY").alias("v"))),
+        F.when(k % 7 == 0, F.struct(F.lit("server").alias("k"), F.concat(F.lit("nginx/1."), (k % 20).cast("string")).alias("v"))),
+        F.when(k % 8 == 3, F.struct(F.lit("x-powered-by").alias("k"), F.lit("PHP/8.1").alias("v"))),
+        F.when(k % 11 == 0, F.struct(F.lit("access-control-allow-origin").alias("k"), F.lit("*").alias("v"))))
+    headers = F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
+    cookies = F.filter(F.array(
+        F.when(k % 2 == 1, F.concat(F.lit("sid="), k.cast("string"), F.lit("; Path=/; Secure; HttpOnly; SameSite=Lax"))),
+        F.when(k % 3 == 1, F.concat(F.lit("pref="), k.cast("string"), F.lit("; Path=/")))), lambda x: x.isNotNull())
+    return p.select(_host().alias("host"), F.concat(F.lit("https://"), _host(), F.lit("/page/"), k.cast("string")).alias("url"),
+                    F.lit(200).alias("status"), F.col("url").alias("final_url"), headers.alias("headers"),
+                    cookies.alias("set_cookie"), F.lit(None).cast("string").alias("error"))
+
+
+def plain_http_obs_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain-HTTP fetch per page: the page URL as captured is where it ended."""
+    p = read(spark, sf_dir, "pages").select("url")
+    return p.select(_host().alias("host"), F.col("url").alias("final_url"), F.lit(None).cast("string").alias("error"))
+
+
+def probe_obs_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``probe_obs`` stand-in: each page answers one well-known probe path
+    (by page id) with its own first 400 bytes, or with a small env-style
+    body for a few ids; odd ids answer 404 with no body."""
+    from codeaudit import rules as R
+    p = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    k = F.col("page_id")
+    paths = F.array(*[F.lit(x) for x, _s, _t in R.PROBE_PATHS])
+    ok = k % 2 == 0
+    body = F.when(k % 10 == 4, F.encode(F.lit("APP_KEY=base64:abc\nDB_PASSWORD=x\n"), "UTF-8")) \
+        .otherwise(F.substring(F.encode("html", "UTF-8"), 1, 400))
+    return p.select(_host().alias("host"), F.concat(F.lit("https://"), _host()).alias("base"),
+                    F.element_at(paths, (k % len(R.PROBE_PATHS) + 1).cast("int")).alias("path"),
+                    F.when(ok, F.lit(200)).otherwise(F.lit(404)).alias("status"),
+                    F.when(ok, body).otherwise(F.lit(b"").cast("binary")).alias("body"))
+
+
+def tls_obs_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tls_obs`` stand-in: one handshake per host (its lowest page id decides
+    version, expiry and validation error)."""
+    p = read(spark, sf_dir, "pages").select(_host().alias("host"), "page_id")
+    h = p.groupBy("host").agg(F.min("page_id").alias("k"))
+    k = F.col("k")
+    not_after = F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), (k % 60).cast("int") - 10),
+                              "MMM d HH:mm:ss yyyy 'GMT'")
+    not_after = F.regexp_replace(not_after, r"^(\w{3}) (\d) ", "$1  $2 ")
+    return h.select("host", F.when(k % 13 == 5, "TLSv1.1").otherwise("TLSv1.3").alias("version"),
+                    not_after.alias("not_after"),
+                    F.when(k % 17 == 3, F.lit("certificate verify failed: hostname mismatch")).alias("verify_error"))
