@@ -29,20 +29,26 @@ def allowlist_table(spark: SparkSession) -> DataFrame:
 
 def typosquats(packages: DataFrame, declared: DataFrame) -> DataFrame:
     """D12. ``declared`` is (repo_id, eco, lname) from D10.  One hit per
-    (repo, eco, name); the lexicographically first target on ties."""
+    (repo, eco, name); the lexicographically first target on ties.
+
+    The edit-distance theta join runs on the distinct (eco, name) pairs only
+    (a fleet has far fewer distinct names than package rows) against the
+    fixed popular table; hits are joined back to the declared packages."""
     spark = packages.sparkSession
     pop = popular_table(spark)
-    cand = (packages.select("repo_id", "eco", "name", "version", F.lower("name").alias("lname"))
-            .join(declared.select("repo_id", "eco", "lname").distinct(), ["repo_id", "eco", "lname"], "left_semi")
-            .filter(F.length("lname") >= R.MIN_TYPOSQUAT_LEN)
-            .join(F.broadcast(pop.select("eco", F.col("target").alias("lname"))), ["eco", "lname"], "left_anti")
-            .join(F.broadcast(allowlist_table(spark)), ["eco", "lname"], "left_anti"))
+    names = (packages.select("eco", F.lower("name").alias("lname")).distinct()
+             .filter(F.length("lname") >= R.MIN_TYPOSQUAT_LEN)
+             .join(F.broadcast(pop.select("eco", F.col("target").alias("lname"))), ["eco", "lname"], "left_anti")
+             .join(F.broadcast(allowlist_table(spark)), ["eco", "lname"], "left_anti"))
     pop2 = pop.select(F.col("eco").alias("p_eco"), "target")
-    pairs = cand.join(F.broadcast(pop2), (F.col("eco") == F.col("p_eco"))
-                      & (F.abs(F.length("lname") - F.length("target")) <= 1)
-                      & (F.levenshtein(F.col("lname"), F.col("target"), 1) == 1)).drop("p_eco")
-    first = pairs.groupBy("repo_id", "eco", "name").agg(
-        F.min("target").alias("target"), F.min("version").alias("version"))
+    near = (names.join(F.broadcast(pop2), (F.col("eco") == F.col("p_eco"))
+                       & (F.abs(F.length("lname") - F.length("target")) <= 1)
+                       & (F.levenshtein(F.col("lname"), F.col("target"), 1) == 1))
+            .groupBy("eco", "lname").agg(F.min("target").alias("target")))
+    cand = (packages.select("repo_id", "eco", "name", "version", F.lower("name").alias("lname"))
+            .join(near, ["eco", "lname"])
+            .join(declared.select("repo_id", "eco", "lname").distinct(), ["repo_id", "eco", "lname"], "left_semi"))
+    first = cand.groupBy("repo_id", "eco", "name").agg(F.min("target").alias("target"), F.min("version").alias("version"))
     return first.select(
         "repo_id", F.lit("deps/possible-typosquat").alias("id"),
         F.concat(F.col("name"), F.lit(" ("), F.col("eco"), F.lit(") is 1 edit from the popular package '"),

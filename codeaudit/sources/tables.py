@@ -22,7 +22,7 @@ TEXT_TABLES = {"documents", "pages", "conversations"}
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df)
 
 
 def spread(df: DataFrame) -> DataFrame:
