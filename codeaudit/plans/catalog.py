@@ -847,3 +847,86 @@ def install_hooks(spark, sf):
     WHERE o.o_orderstatus = 'O'""")
 def declared_names(spark, sf):
     return M.declared_names(_mfiles(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# tree eligibility, ignore rules, diff scope, incremental rescans (S1–S4, F2,
+# F6, F9, F12, A12, A13)
+# --------------------------------------------------------------------------
+from codeaudit.functions.text import is_low_trust, is_minified  # noqa: E402
+from codeaudit.plans import scan as PS  # noqa: E402
+from codeaudit.sources import tree as TR  # noqa: E402
+
+
+@register("file_flags", f"""
+    SELECT repo_id, path, ext, {RS.low_trust_sql('path', 'ext')} AS low_trust,
+           {RS.minified_sql('name', 'content')} AS minified,
+           (ext IN ({', '.join(RS.q(e) for e in RR.CODE_EXT)}) OR {' OR '.join(f"starts_with(name, {RS.q(p)})" for p in RR.CONFIG_NAME_PREFIXES)}) AS config_eligible
+    FROM ({RS.file_cols_sql(RS.FILES_FROM_DOCUMENTS)})""")
+def file_flags(spark, sf):
+    f = T.files_from_documents(spark, sf)
+    elig = F.col("ext").isin(*RR.CODE_EXT)
+    for p in RR.CONFIG_NAME_PREFIXES:
+        elig = elig | F.col("name").startswith(p)
+    return f.select("repo_id", "path", "ext", is_low_trust(F.col("path"), F.col("name")).alias("low_trust"),
+                    is_minified(F.col("name"), F.col("content")).alias("minified"), elig.alias("config_eligible"))
+
+
+_RAW_SQL = """
+    SELECT source AS repo_id,
+           CASE doc_id % 8 WHEN 0 THEN 'src/app/doc_' || doc_id || '.py'
+                           WHEN 1 THEN 'node_modules/lib' || (doc_id % 3) || '/doc_' || doc_id || '.js'
+                           WHEN 2 THEN 'logs/doc_' || doc_id || '.log'
+                           WHEN 3 THEN 'docs/guide/doc_' || doc_id || '.md'
+                           WHEN 4 THEN 'build/doc_' || doc_id || '.js'
+                           WHEN 5 THEN 'tmp/doc_' || doc_id || '.tmp'
+                           WHEN 6 THEN 'pkg/cache/doc_' || doc_id || '.txt'
+                           ELSE '.github/workflows/doc_' || doc_id || '.yml' END AS path,
+           CAST(octet_length(encode(text)) AS BIGINT) AS size
+    FROM documents
+    UNION ALL SELECT DISTINCT source, '.gitignore', CAST(34 AS BIGINT) FROM documents"""
+
+
+@register("ignored_files", f"""
+    SELECT repo_id, path, split_part(path, '/', -1) AS name,
+           lower(regexp_extract(split_part(path, '/', -1), '^.+(\\.[^.]+)$', 1)) AS ext, size
+    FROM ({_RAW_SQL})
+    WHERE NOT (starts_with(path, 'node_modules/') OR starts_with(path, 'build/') OR starts_with(path, 'logs/')
+               OR ends_with(path, '.tmp') OR contains(path, '/cache/'))""")
+def ignored_files(spark, sf):
+    return TR.files_from_raw(T.raw_tree_from_documents(spark, sf)).select("repo_id", "path", "name", "ext", "size")
+
+
+_FILE_FINDINGS_SQL = f"""
+    SELECT {_FCOLS} FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo_id, path, line, left(evidence, 60) ORDER BY {_SEV_ORD}) AS rn
+        FROM (SELECT * FROM ({RS.secret_findings_sql()}) UNION ALL SELECT * FROM ({RS.config_findings_sql()})))
+    WHERE rn = 1"""
+
+
+@register("incremental_rescan", _FILE_FINDINGS_SQL)
+def incremental_rescan(spark, sf):
+    enabled = ["secrets", "config"]
+    state = PS.initial_state(T.previous_files_from_documents(spark, sf), enabled)
+    findings, _state, _hits = PS.incremental_file_findings(T.files_from_documents(spark, sf), state, enabled)
+    return findings
+
+
+@register("scan_stats", """
+    SELECT source AS repo_id, CAST(count(*) AS BIGINT) AS files_scanned,
+           CAST(count(*) FILTER (WHERE doc_id % 4 <> 1) AS BIGINT) AS cache_hits, CAST(0 AS BIGINT) AS packages
+    FROM documents GROUP BY source""")
+def scan_stats(spark, sf):
+    enabled = ["secrets", "config"]
+    cur = T.files_from_documents(spark, sf)
+    state = PS.initial_state(T.previous_files_from_documents(spark, sf), enabled)
+    _f, _s, hits = PS.incremental_file_findings(cur, state, enabled)
+    return A.scan_stats(cur, cache_hits=hits)
+
+
+@register("diff_scope", f"""
+    SELECT * FROM ({_FILE_FINDINGS_SQL})
+    WHERE CAST(regexp_extract(path, 'doc_(\\d+)\\.', 1) AS BIGINT) % 3 = 0""")
+def diff_scope(spark, sf):
+    files = T.files_from_documents(spark, sf)
+    return PS.file_findings(PS.diff_scope(files, T.changed_files_from_documents(spark, sf)), ["secrets", "config"])

@@ -51,7 +51,53 @@ def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k == 3, F.concat(F.lit("config/doc_"), sid, F.lit(".json")))
              .otherwise(F.concat(F.lit("tests/doc_"), sid, F.lit(".py"))))
     return file_columns(d.select(F.col("source").alias("repo_id"), path.alias("path"),
-                                 F.col("text").alias("content")))
+                                 F.col("text").alias("content"), F.col("doc_id")), extra=["doc_id"]) \
+        .withColumn("mtime", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))).drop("doc_id")
+
+
+def previous_files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree one revision earlier: every fourth document (doc_id mod 4
+    = 1) had an extra trailing line and an older mtime."""
+    cur = files_from_documents(spark, sf_dir)
+    doc = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
+    changed = doc % 4 == 1
+    content = F.when(changed, F.concat("content", F.lit("\n# previous revision"))).otherwise(F.col("content"))
+    return cur.withColumn("content", content) \
+        .withColumn("size", F.octet_length("content").cast("long")) \
+        .withColumn("mtime", F.when(changed, F.timestamp_seconds(F.lit(1_600_000_000))).otherwise(F.col("mtime")))
+
+
+def changed_files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``changed_files`` stand-in: documents with doc_id mod 3 = 0 changed since the base ref."""
+    cur = files_from_documents(spark, sf_dir)
+    doc = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
+    return cur.filter(doc % 3 == 0).select("repo_id", "path")
+
+
+def raw_tree_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw walk output stand-in (before ignore rules): documents laid out in
+    vendor, build, log, cache and source directories, plus one .gitignore per
+    source (``logs/``, ``*.tmp``, ``cache``, a comment and a negation)."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sid = F.col("doc_id").cast("string")
+    k = F.col("doc_id") % 8
+    path = (F.when(k == 0, F.concat(F.lit("src/app/doc_"), sid, F.lit(".py")))
+             .when(k == 1, F.concat(F.lit("node_modules/lib"), (F.col("doc_id") % 3).cast("string"), F.lit("/doc_"), sid, F.lit(".js")))
+             .when(k == 2, F.concat(F.lit("logs/doc_"), sid, F.lit(".log")))
+             .when(k == 3, F.concat(F.lit("docs/guide/doc_"), sid, F.lit(".md")))
+             .when(k == 4, F.concat(F.lit("build/doc_"), sid, F.lit(".js")))
+             .when(k == 5, F.concat(F.lit("tmp/doc_"), sid, F.lit(".tmp")))
+             .when(k == 6, F.concat(F.lit("pkg/cache/doc_"), sid, F.lit(".txt")))
+             .otherwise(F.concat(F.lit(".github/workflows/doc_"), sid, F.lit(".yml"))))
+    files = d.select(F.col("source").alias("repo_id"), path.alias("path"),
+                     F.octet_length("text").cast("long").alias("size"),
+                     F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("mtime"),
+                     F.lit(False).alias("is_symlink"), F.encode("text", "UTF-8").alias("data"))
+    gi = d.select("source").distinct().select(
+        F.col("source").alias("repo_id"), F.lit(".gitignore").alias("path"),
+        F.lit(34).cast("long").alias("size"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("mtime"),
+        F.lit(False).alias("is_symlink"), F.encode(F.lit("# c\nlogs/\n*.tmp\n!keep.log\ncache\n"), "UTF-8").alias("data"))
+    return files.unionByName(gi)
 
 
 def files_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +109,11 @@ def files_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("html").alias("content")))
 
 
-def file_columns(df: DataFrame, tracked: bool | None = True) -> DataFrame:
+def file_columns(df: DataFrame, tracked: bool | None = True, extra: list[str] | None = None) -> DataFrame:
     """Complete (repo_id, path, content) to the ``files`` contract."""
     name = F.element_at(F.split("path", "/"), -1)
     return df.select(
-        "repo_id", "path",
+        "repo_id", "path", *(extra or []),
         name.alias("name"),
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
         suffix(name).alias("ext"),
