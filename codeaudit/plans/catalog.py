@@ -930,3 +930,56 @@ def scan_stats(spark, sf):
 def diff_scope(spark, sf):
     files = T.files_from_documents(spark, sf)
     return PS.file_findings(PS.diff_scope(files, T.changed_files_from_documents(spark, sf)), ["secrets", "config"])
+
+
+# --------------------------------------------------------------------------
+# Structured Streaming (T1–T3): streams run to completion (availableNow);
+# the query returns the sink as a batch DataFrame
+# --------------------------------------------------------------------------
+from codeaudit.streaming import stream as ST  # noqa: E402
+
+
+def _schema(spark, sf, table):
+    return spark.read.parquet(f"{sf.rstrip('/')}/{table}.parquet").schema
+
+
+@register("stream_secret_findings", f"""
+    SELECT {_FCOLS} FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo_id, path, line, left(evidence, 60) ORDER BY {_SEV_ORD}) AS rn
+        FROM ({RS.secret_findings_sql()})) WHERE rn = 1""")
+def stream_secret_findings(spark, sf):
+    out = ST.stream_file_findings(spark, sf, "documents.parquet", _schema(spark, sf, "documents"),
+                                  T.documents_to_files, ["secrets"])
+    return spark.read.parquet(out).select(*FINDING_COLUMNS)
+
+
+@register("stream_new_findings", f"""
+    SELECT f.*, {_FP} AS fingerprint FROM ({EVENTS_FINDINGS}) f
+    WHERE NOT EXISTS (SELECT 1 FROM ({_BASELINE_SQL}) b WHERE b.repo_id = f.repo_id AND b.fingerprint = {_FP})""")
+def stream_new_findings(spark, sf):
+    out = ST.stream_new_findings(spark, sf, "events.parquet", _schema(spark, sf, "events"),
+                                 T.events_to_findings, T.baseline_from_labels(spark, sf))
+    return spark.read.parquet(out).select(*FINDING_COLUMNS, "ord_pos", "fingerprint")
+
+
+def _first_seen_sql() -> str:
+    import re as _re
+    parts = []
+    for i, r in enumerate(RR.SECRET_RULES):
+        if r.id == RR.GENERIC_RULE_ID:
+            continue
+        g = min(1, _re.compile(r.pattern).groups)
+        rx = RS.q(RS.re2(r.pattern))
+        parts.append(f"SELECT repo_id, '{r.id}' AS rule_id, unnest(regexp_extract_all(added, {rx}, {g})) AS value FROM a")
+    return f"""
+WITH a AS (SELECT 'team-' || (conv_id % 5) AS repo_id, text AS added FROM conversations),
+m AS ({' UNION ALL '.join(parts)})
+SELECT DISTINCT repo_id, rule_id, left(value, 24) AS v24 FROM m
+WHERE value <> '' AND (rule_id = 'private-key' OR NOT {RS.placeholder_sql('value')})"""
+
+
+@register("stream_first_seen", _first_seen_sql())
+def stream_first_seen(spark, sf):
+    out = ST.stream_first_seen(spark, sf, "conversations.parquet", _schema(spark, sf, "conversations"),
+                               T.conversations_to_adds)
+    return spark.read.schema("repo_id string, rule_id string, v24 string").parquet(out)

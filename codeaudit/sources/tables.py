@@ -42,7 +42,12 @@ def spread(df: DataFrame) -> DataFrame:
 def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files``: one file per document.  repo = source; the path shape is chosen
     by ``doc_id % 5`` so that code, YAML, docs, JSON and test paths all occur."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return documents_to_files(read(spark, sf_dir, "documents"))
+
+
+def documents_to_files(documents: DataFrame) -> DataFrame:
+    """Row-wise mapping documents → files (usable on a stream)."""
+    d = documents.select("doc_id", "source", "text")
     k = F.col("doc_id") % 5
     sid = F.col("doc_id").cast("string")
     path = (F.when(k == 0, F.concat(F.lit("app/doc_"), sid, F.lit(".py")))
@@ -131,7 +136,12 @@ def findings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``findings`` stand-in: one finding per event.  repo = user, scanner from a
     ring by event id, severity by event type, evidence = props; ``ord_pos`` keeps
     the arrival order for "first on ties"."""
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return events_to_findings(read(spark, sf_dir, "events"))
+
+
+def events_to_findings(events: DataFrame) -> DataFrame:
+    """Row-wise mapping events → findings (usable on a stream)."""
+    e = events.select("event_id", "user_id", "event_type", "value", "props")
     sev_map = F.create_map(*[x for kv in EVENT_SEVERITY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     scanner = F.element_at(F.array(*[F.lit(s) for s in SCANNER_RING]),
                            (F.col("event_id") % len(SCANNER_RING) + 1).cast("int"))
@@ -400,3 +410,11 @@ def manifest_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(o.filter(F.col("o_orderstatus") == "O"), F.col("l_orderkey") == F.col("o_orderkey")) \
         .select("repo_id", F.lit("requirements.txt").alias("path"), F.concat("content", F.lit("\n")).alias("content"))
     return file_columns(pj.unionByName(lock).unionByName(req))
+
+
+def conversations_to_adds(conversations: DataFrame) -> DataFrame:
+    """Row-wise mapping of conversation turns to added text (usable on a stream)."""
+    c = conversations.select("conv_id", "turn", "role", "text")
+    return c.select(F.concat(F.lit("team-"), (F.col("conv_id") % 5).cast("string")).alias("repo_id"),
+                    F.substring(F.sha1(F.col("conv_id").cast("string")), 1, 8).alias("sha"),
+                    F.concat(F.col("role"), F.lit("/notes.md")).alias("path"), F.col("text").alias("added"))
