@@ -188,20 +188,95 @@ def readiness_findings(files: DataFrame) -> DataFrame:
                     F.lit("").alias("reference"))
 
 
-# Follow-up steps keyed by the finding ids present (G5); our own texts.
+# Follow-up steps triggered by the finding ids present (G5); the triggers
+# follow the behaviour reproduced, the texts are ours.
 MANUAL_STEPS = [
-    ("secret/%", "Rotate every credential reported under secret/ and purge it from history."),
-    ("git-history/%", "Rotate credentials found in history, then rewrite history and force-push."),
-    ("config/committed-secret-file", "Remove committed secret files from the index and rotate their contents."),
-    ("surface/%", "Fix the live-surface findings at the edge (headers, TLS, exposed paths)."),
-    ("deps/%", "Upgrade vulnerable dependencies or record accepted risk."),
+    ("rotate", "Rotate every reported credential: finding a key does not un-leak it."),
+    ("purge", "Purge the leaked files from history, force-push, and have collaborators re-clone."),
+    ("untrack", "Untrack committed credential files (git rm --cached)."),
+    ("upgrade", "Upgrade the vulnerable dependencies, then scan again."),
 ]
+MANUAL_SHOWN = 3
 
 
-def manual_steps(findings: DataFrame) -> DataFrame:
-    """Attestations for every repo plus steps triggered by finding ids."""
-    flags = findings.groupBy("repo_id").agg(*[F.bool_or(F.col("id").like(p)).alias(f"m{i}")
-                                              for i, (p, _s) in enumerate(MANUAL_STEPS)])
-    steps = F.array(*[F.when(F.col(f"m{i}"), F.lit(s)) for i, (_p, s) in enumerate(MANUAL_STEPS)])
-    att = F.array(*[F.lit(m) for m in MANUAL])
-    return flags.select("repo_id", F.explode(F.concat(att, F.filter(steps, lambda x: x.isNotNull()))).alias("step"))
+def manual_steps(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Per repo, the steps a tool must not take itself (in order), then the
+    first three attestations."""
+    i = F.col("id")
+    flags = findings.groupBy("repo_id").agg(
+        F.bool_or(i.startswith("secret/") | i.startswith("git-history/")).alias("rotate"),
+        F.bool_or(i.startswith("git-history/")).alias("purge"),
+        F.bool_or(i.isin("config/committed-secret-file", "git/tracked-secret-file")).alias("untrack"),
+        F.bool_or(i.startswith("deps/")).alias("upgrade"))
+    if repos is not None:
+        flags = repos.select("repo_id").distinct().join(flags, "repo_id", "left").fillna(False)
+    steps = F.array(*[F.when(F.col(k), F.struct(F.lit(n).alias("n"), F.lit(t).alias("step")))
+                      for n, (k, t) in enumerate(MANUAL_STEPS)],
+                    *[F.struct(F.lit(len(MANUAL_STEPS) + n).alias("n"), F.lit(m).alias("step"))
+                      for n, m in enumerate(MANUAL[:MANUAL_SHOWN])])
+    return flags.select("repo_id", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("s")) \
+        .select("repo_id", F.col("s.n").cast("int").alias("step_no"), F.col("s.step").alias("step"))
+
+
+# FIXED VALUES — ignore lines a repo should carry, and ecosystems by root file.
+GITIGNORE_LINES = [
+    ".env", ".env.*", "!.env.example", "*.pem", "*.key", "*.p12", "*.keystore",
+    "id_rsa", "id_ed25519", "credentials", "service-account.json",
+    "terraform.tfstate", "terraform.tfstate.backup", ".codeaudit-cache.json",
+]
+ECOSYSTEM_BY_FILE = [
+    ("package.json", "npm"), ("package-lock.json", "npm"), ("yarn.lock", "npm"),
+    ("pnpm-lock.yaml", "npm"), ("bun.lock", "bun"), ("bun.lockb", "bun"),
+    ("requirements.txt", "pip"), ("pyproject.toml", "pip"),
+    ("Pipfile", "pip"), ("poetry.lock", "pip"), ("go.mod", "gomod"),
+    ("Cargo.toml", "cargo"), ("Gemfile", "bundler"), ("Dockerfile", "docker"),
+]
+ENV_NAME_PATTERN = r"(?m)^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*="
+
+
+def remediation_plan(files: DataFrame) -> DataFrame:
+    """G6 (data part): per repo, the safe additive fixes — missing ignore lines,
+    a disclosure policy, an update configuration for the detected ecosystems,
+    an env example (variable names only), an incident plan, security.txt."""
+    from codeaudit.rules import java_pattern
+    p = F.col("path")
+    root = files.select("repo_id", "path", "content")
+    g = root.groupBy("repo_id").agg(
+        F.max(F.when(p == ".gitignore", F.coalesce("content", F.lit("")))).alias("gi"),
+        F.bool_or(p == "SECURITY.md").alias("has_sec"),
+        F.bool_or(p.isin(".github/dependabot.yml", "renovate.json")).alias("has_updates"),
+        F.bool_or(p == "bun.lock").alias("has_bun"), F.bool_or(p == "bun.lockb").alias("has_bunb"),
+        F.collect_set(F.when(p.isin(*[f for f, _e in ECOSYSTEM_BY_FILE]), p)).alias("eco_files"),
+        F.min_by(F.when(p.isin(".env", ".env.local"), F.col("content")),
+                 F.when(p == ".env", 0).when(p == ".env.local", 1)).alias("env"),
+        F.bool_or(p == ".env.example").alias("has_example"),
+        F.bool_or(p.isin("docs/INCIDENT-RESPONSE.md", "INCIDENT-RESPONSE.md")).alias("has_ir"),
+        F.bool_or(p == ".well-known/security.txt").alias("has_sectxt"),
+        F.bool_or(p == "index.html").alias("has_index"))
+    lines = F.split(F.coalesce("gi", F.lit("")), r"\r?\n")
+    missing = F.filter(F.array(*[F.lit(x) for x in GITIGNORE_LINES]), lambda x: ~F.array_contains(lines, x))
+    ecos = F.array_distinct(F.filter(F.array(*[
+        F.when(F.array_contains("eco_files", f) & ~((F.lit(e) == "npm") & F.lit(f == "package.json")
+                                                   & (F.col("has_bun") | F.col("has_bunb"))), F.lit(e))
+        for f, e in ECOSYSTEM_BY_FILE]), lambda x: x.isNotNull()))
+    keys = F.regexp_extract_all(F.coalesce("env", F.lit("")), F.lit(java_pattern(ENV_NAME_PATTERN)), F.lit(1))
+    fix = lambda k, d, path, cond: F.when(cond, F.struct(F.lit(k).alias("key"), d.alias("description"),
+                                                          F.lit(path).alias("path"), F.array().cast("array<string>").alias("names")))
+    rows = F.array(
+        F.when(F.size(missing) > 0, F.struct(F.lit("gitignore").alias("key"),
+               F.concat(F.lit("add "), F.size(missing).cast("string"), F.lit(" secret patterns to .gitignore")).alias("description"),
+               F.lit(".gitignore").alias("path"), missing.alias("names"))),
+        fix("security-policy", F.lit("create SECURITY.md (vulnerability disclosure policy)"), "SECURITY.md",
+            ~F.col("has_sec")),
+        F.when(~F.col("has_updates"), F.struct(F.lit("dep-updates").alias("key"),
+               F.concat(F.lit("create .github/dependabot.yml ("),
+                        F.when(F.size(ecos) > 0, F.array_join(ecos, ", ")).otherwise(F.lit("actions")), F.lit(")")).alias("description"),
+               F.lit(".github/dependabot.yml").alias("path"), ecos.alias("names"))),
+        F.when(F.col("env").isNotNull() & ~F.col("has_example"), F.struct(F.lit("env-example").alias("key"),
+               F.lit("derive .env.example from .env (names only, no values)").alias("description"),
+               F.lit(".env.example").alias("path"), keys.alias("names"))),
+        fix("incident-plan", F.lit("create docs/INCIDENT-RESPONSE.md"), "docs/INCIDENT-RESPONSE.md", ~F.col("has_ir")),
+        fix("security-txt", F.lit("publish /.well-known/security.txt"), ".well-known/security.txt",
+            ~F.col("has_sectxt") & F.col("has_index")))
+    return g.select("repo_id", F.posexplode(F.filter(rows, lambda x: x.isNotNull())).alias("fix_no", "f")) \
+        .select("repo_id", F.col("fix_no").cast("int").alias("fix_no"), "f.key", "f.description", "f.path", "f.names")

@@ -983,3 +983,102 @@ def stream_first_seen(spark, sf):
     out = ST.stream_first_seen(spark, sf, "conversations.parquet", _schema(spark, sf, "conversations"),
                                T.conversations_to_adds)
     return spark.read.schema("repo_id string, rule_id string, v24 string").parquet(out)
+
+
+# --------------------------------------------------------------------------
+# exports (K1–K7) and remediation
+# --------------------------------------------------------------------------
+def _applied(spark, sf):
+    return A.apply_policy(A.dedupe(T.findings_from_events(spark, sf)).select(*FINDING_COLUMNS),
+                          T.policy_from_events(spark, sf))
+
+
+_LEVEL = RS.sql_map({"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}, "severity")
+_RANK = RS.sql_map({"critical": "9.5", "high": "8.0", "medium": "5.0", "low": "3.0", "info": "1.0"}, "severity")
+
+
+@register("sarif_results", f"""
+    SELECT repo_id, id AS rule_id, {_LEVEL} AS level,
+           CASE WHEN coalesce(evidence, '') <> '' THEN title || ' — ' || evidence ELSE title END AS message,
+           CASE WHEN coalesce(path, '') <> '' AND NOT starts_with(path, 'http') THEN path ELSE '.' END AS uri,
+           CAST(CASE WHEN coalesce(path, '') <> '' AND NOT starts_with(path, 'http') THEN greatest(1, line) ELSE 1 END AS INTEGER) AS start_line,
+           {_FP} AS fingerprint
+    FROM ({_POLICY_APPLIED_SQL})""")
+def sarif_results(spark, sf):
+    return X.sarif_results(_applied(spark, sf))
+
+
+@register("sarif_rules", f"""
+    SELECT repo_id, id, replace(id, '/', '_') AS name, left(title, 120) AS short_description,
+           CASE WHEN coalesce(remediation, '') <> '' THEN remediation ELSE title END AS full_description,
+           coalesce(reference, '') AS help_uri, {_RANK} AS security_severity, {_LEVEL} AS level, scanner
+    FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, id ORDER BY {_SEV_ORD}, scanner, path, line, evidence) AS rn
+          FROM ({_POLICY_APPLIED_SQL})) WHERE rn = 1""")
+def sarif_rules(spark, sf):
+    return X.sarif_rules(_applied(spark, sf))
+
+
+@register("markdown_rows", f"""
+    SELECT repo_id, CAST(rank AS INTEGER) AS rank, severity, left(replace(title, '|', '\\|'), 90) AS title,
+           CASE WHEN coalesce(path, '') <> '' AND path <> '.'
+                THEN '`' || path || CASE WHEN coalesce(line, 0) <> 0 THEN ':' || line ELSE '' END || '`' ELSE '—' END AS location
+    FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_SEV_ORD}, scanner, path, line, id, evidence) AS rank
+          FROM ({_POLICY_APPLIED_SQL}) WHERE severity IN ('critical', 'high', 'medium'))
+    WHERE rank <= 25""")
+def markdown_rows(spark, sf):
+    return X.markdown_rows(_applied(spark, sf))
+
+
+@register("baseline_rows", f"SELECT DISTINCT repo_id, {_FP} AS fingerprint FROM ({_POLICY_APPLIED_SQL})")
+def baseline_rows(spark, sf):
+    return X.baseline_rows(_applied(spark, sf))
+
+
+@register("sarif_documents")
+def sarif_documents(spark, sf):
+    return X.sarif_documents(_applied(spark, sf))
+
+
+@register("cyclonedx_documents")
+def cyclonedx_documents(spark, sf):
+    return X.cyclonedx_documents(_stand(spark, sf))
+
+
+@register("json_reports")
+def json_reports(spark, sf):
+    f = _applied(spark, sf)
+    repos = T.repos_from_events(spark, sf)
+    return X.json_reports(f, A.risk_scores(f, repos), A.severity_counts(f, repos))
+
+
+_STEPS = G.MANUAL_STEPS
+_MAN = G.MANUAL[:G.MANUAL_SHOWN]
+
+
+@register("manual_steps", f"""
+WITH fl AS (SELECT repo_id,
+                   bool_or(starts_with(id, 'secret/') OR starts_with(id, 'git-history/')) AS rotate,
+                   bool_or(starts_with(id, 'git-history/')) AS purge,
+                   bool_or(id IN ('config/committed-secret-file', 'git/tracked-secret-file')) AS untrack,
+                   bool_or(starts_with(id, 'deps/')) AS upgrade
+            FROM ({_POLICY_APPLIED_SQL}) GROUP BY repo_id)
+{' UNION ALL '.join(f"SELECT repo_id, {n} AS step_no, {RS.q(t)} AS step FROM fl WHERE {k}" for n, (k, t) in enumerate(_STEPS))}
+UNION ALL {' UNION ALL '.join(f"SELECT repo_id, {len(_STEPS) + n}, {RS.q(m)} FROM fl" for n, m in enumerate(_MAN))}""")
+def manual_steps(spark, sf):
+    return G.manual_steps(_applied(spark, sf))
+
+
+_GI = "[" + ", ".join(RS.q(x) for x in G.GITIGNORE_LINES) + "]"
+
+
+@register("remediation_plan", f"""
+    SELECT DISTINCT source AS repo_id, 0 AS fix_no, 'gitignore' AS key, 'add {len(G.GITIGNORE_LINES)} secret patterns to .gitignore' AS description,
+           '.gitignore' AS path, {_GI} AS names FROM documents
+    UNION ALL SELECT DISTINCT source, 1, 'security-policy', 'create SECURITY.md (vulnerability disclosure policy)', 'SECURITY.md',
+           CAST([] AS VARCHAR[]) FROM documents
+    UNION ALL SELECT DISTINCT source, 2, 'dep-updates', 'create .github/dependabot.yml (actions)', '.github/dependabot.yml',
+           CAST([] AS VARCHAR[]) FROM documents
+    UNION ALL SELECT DISTINCT source, 3, 'incident-plan', 'create docs/INCIDENT-RESPONSE.md', 'docs/INCIDENT-RESPONSE.md',
+           CAST([] AS VARCHAR[]) FROM documents""")
+def remediation_plan(spark, sf):
+    return G.remediation_plan(T.files_from_documents(spark, sf))
