@@ -881,7 +881,8 @@ _RAW_SQL = """
                            WHEN 4 THEN 'build/doc_' || doc_id || '.js'
                            WHEN 5 THEN 'tmp/doc_' || doc_id || '.tmp'
                            WHEN 6 THEN 'pkg/cache/doc_' || doc_id || '.txt'
-                           ELSE '.github/workflows/doc_' || doc_id || '.yml' END AS path,
+                           ELSE (CASE WHEN doc_id % 16 = 15 THEN 'secrets/doc_' || doc_id || '.pem'
+                                      ELSE '.github/workflows/doc_' || doc_id || '.yml' END) END AS path,
            CAST(octet_length(encode(text)) AS BIGINT) AS size
     FROM documents
     UNION ALL SELECT DISTINCT source, '.gitignore', CAST(34 AS BIGINT) FROM documents"""
@@ -1082,3 +1083,51 @@ _GI = "[" + ", ".join(RS.q(x) for x in G.GITIGNORE_LINES) + "]"
            CAST([] AS VARCHAR[]) FROM documents""")
 def remediation_plan(spark, sf):
     return G.remediation_plan(T.files_from_documents(spark, sf))
+
+
+
+# --------------------------------------------------------------------------
+# repository hygiene
+# --------------------------------------------------------------------------
+from codeaudit.operators import hygiene as HY  # noqa: E402
+
+
+def _tree_files(spark, sf):
+    raw = T.raw_tree_from_documents(spark, sf)
+    return TR.files_from_raw(raw, tracked=T.tracked_from_raw(raw))
+
+
+_KEPT_SQL = f"""
+    SELECT * FROM ({_RAW_SQL})
+    WHERE NOT (starts_with(path, 'node_modules/') OR starts_with(path, 'build/') OR starts_with(path, 'logs/')
+               OR ends_with(path, '.tmp') OR contains(path, '/cache/'))"""
+
+
+@register("tracked_secret_files", f"""
+    SELECT repo_id, 'git/tracked-secret-file' AS id, 'Certificate/key material committed to the repo (tracked by git)' AS title,
+           'high' AS severity, 'git' AS scanner, path, 0 AS line, split_part(path, '/', -1) AS evidence,
+           'Untrack it, ignore it, purge it from history and rotate the credentials.' AS remediation, '' AS reference
+    FROM ({_KEPT_SQL}) WHERE ends_with(path, '.pem')""")
+def tracked_secret_files(spark, sf):
+    return HY.tracked_secret_files(_tree_files(spark, sf))
+
+
+@register("gitignore_findings", f"""
+    SELECT repo_id, 'git/gitignore-gap' AS id, '.gitignore does not cover `' || needle || '`' AS title, 'low' AS severity,
+           'git' AS scanner, '.gitignore' AS path, 0 AS line, needle AS evidence, 'Add `' || needle || '` to .gitignore.' AS remediation,
+           '' AS reference
+    FROM (SELECT DISTINCT repo_id, '.env' AS needle FROM ({_KEPT_SQL})
+          UNION SELECT DISTINCT repo_id, '*.pem' FROM ({_KEPT_SQL}) WHERE ends_with(path, '.pem'))""")
+def gitignore_findings(spark, sf):
+    return HY.gitignore_findings(_tree_files(spark, sf))
+
+
+@register("remote_credentials", f"""
+    SELECT host AS repo_id, 'git/remote-credentials' AS id, 'Git remote URL embeds credentials' AS title, 'high' AS severity,
+           'git' AS scanner, '.git/config' AS path, 0 AS line,
+           left(u, 12) || repeat('*', least(12, length(u) - 24)) || right(u, 12) AS evidence,
+           'Use SSH or a credential helper; the token sits in plaintext in .git/config.' AS remediation, '' AS reference
+    FROM (SELECT host, 'https://ci-bot:ghs' || sha1(host) || '@' || host || '/app.git' AS u
+          FROM (SELECT {_HOST} AS host, min(page_id) AS k FROM pages GROUP BY 1) WHERE k % 9 = 0)""")
+def remote_credentials(spark, sf):
+    return HY.remote_credentials(T.repos_from_pages(spark, sf))

@@ -93,6 +93,7 @@ def raw_tree_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k == 4, F.concat(F.lit("build/doc_"), sid, F.lit(".js")))
              .when(k == 5, F.concat(F.lit("tmp/doc_"), sid, F.lit(".tmp")))
              .when(k == 6, F.concat(F.lit("pkg/cache/doc_"), sid, F.lit(".txt")))
+             .when(F.col("doc_id") % 16 == 15, F.concat(F.lit("secrets/doc_"), sid, F.lit(".pem")))
              .otherwise(F.concat(F.lit(".github/workflows/doc_"), sid, F.lit(".yml"))))
     files = d.select(F.col("source").alias("repo_id"), path.alias("path"),
                      F.octet_length("text").cast("long").alias("size"),
@@ -418,3 +419,19 @@ def conversations_to_adds(conversations: DataFrame) -> DataFrame:
     return c.select(F.concat(F.lit("team-"), (F.col("conv_id") % 5).cast("string")).alias("repo_id"),
                     F.substring(F.sha1(F.col("conv_id").cast("string")), 1, 8).alias("sha"),
                     F.concat(F.col("role"), F.lit("/notes.md")).alias("path"), F.col("text").alias("added"))
+
+
+def repos_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repos`` stand-in: one repository per page host; hosts of pages whose id
+    is a multiple of 9 carry a token in their https origin URL."""
+    p = read(spark, sf_dir, "pages").select("page_id", _host().alias("host"))
+    h = p.groupBy("host").agg(F.min("page_id").alias("k"))
+    url = F.when(F.col("k") % 9 == 0, F.concat(F.lit("https://ci-bot:ghs"), F.sha1(F.col("host")), F.lit("@"),
+                                               F.col("host"), F.lit("/app.git"))) \
+        .otherwise(F.concat(F.lit("https://"), F.col("host"), F.lit("/app.git")))
+    return h.select(F.col("host").alias("repo_id"), url.alias("origin_url"))
+
+
+def tracked_from_raw(raw: DataFrame) -> DataFrame:
+    """Every walked path is in the git index (the stand-in trees are clean checkouts)."""
+    return raw.select("repo_id", "path")
