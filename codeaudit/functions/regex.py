@@ -30,38 +30,29 @@ class ScanRule:
     ihints: tuple = field(default=())     # … or these, in the lower-cased text
 
 
-def _prefilter(text: Column, lower: Column, r: ScanRule) -> Column:
-    conds = [text.contains(h) for h in r.hints] + [lower.contains(h) for h in r.ihints]
-    if not conds:
-        return F.lit(True)
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal holding exactly ``v``."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _match_struct(r: ScanRule):
-    def build(e: Column) -> Column:
-        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.ord).alias("rule_ord"),
-                        e["m"].alias("match"),
-                        F.length(e["g"]).cast("long").alias("glen"),
-                        newline_count(e["g"]).cast("long").alias("gnl"))
-    return build
+def _prefilter_sql(text: str, lower: str, r: ScanRule) -> str:
+    conds = [f"contains({text}, {sql_str(h)})" for h in r.hints] + \
+            [f"contains({lower}, {sql_str(h)})" for h in r.ihints]
+    return "(" + " OR ".join(conds) + ")" if conds else "true"
+
+
+NL_SQL = "(length({x}) - length(replace({x}, '\\n', '')))"
 
 
 def value_of(rules: list[ScanRule], rule_col: str = "rule_id", match_col: str = "match") -> Column:
     """Captured value (first group, else the whole match), re-extracted from the
-    short match text."""
-    expr = None
-    for r in rules:
-        if r.group <= 0:
-            continue
-        v = F.regexp_extract(F.col(match_col), r.pattern, r.group)
-        expr = F.when(F.col(rule_col) == r.id, v) if expr is None else expr.when(F.col(rule_col) == r.id, v)
-    if expr is None:
+    short match text; one SQL CASE over the rule id."""
+    whens = [f"WHEN {sql_str(r.id)} THEN regexp_extract({match_col}, {sql_str(r.pattern)}, {r.group})"
+             for r in rules if r.group > 0]
+    if not whens:
         return F.col(match_col)
-    v = expr.otherwise(F.col(match_col))
-    return F.when(v == "", F.col(match_col)).otherwise(v)
+    v = f"(CASE {rule_col} {' '.join(whens)} ELSE {match_col} END)"
+    return F.expr(f"CASE WHEN {v} = '' THEN {match_col} ELSE {v} END")
 
 
 def rule_matches(df: DataFrame, keys: list[str], text_col: str, rules: list[ScanRule],
@@ -78,50 +69,49 @@ def rule_matches(df: DataFrame, keys: list[str], text_col: str, rules: list[Scan
     carry = carry or []
     applies = applies or {}
     extra = extra or []
-    text = F.col(text_col)
     need_lower = any(r.ihints for r in rules)
-    xcols = [c for (_i, o, cond, mt) in extra for c in (cond.alias(f"_xc{o}"), mt.alias(f"_xm{o}"))]
-    xnames = [n for (_i, o, _c, _m) in extra for n in (f"_xc{o}", f"_xm{o}")]
+    xcols = [c for j, (_i, _o, cond, mt) in enumerate(extra) for c in (cond.alias(f"_xc{j}"), mt.alias(f"_xm{j}"))]
+    xnames = [n for j in range(len(extra)) for n in (f"_xc{j}", f"_xm{j}")]
     base = df.select(*keys, *carry, text_col,
-                     *([F.lower(text).alias("_lower")] if need_lower else []),
+                     *([F.lower(F.col(text_col)).alias("_lower")] if need_lower else []),
                      *[applies[r.id].alias(f"_ap{r.ord}") for r in rules if r.id in applies],
                      *xcols)
-    lower = F.col("_lower") if need_lower else text
+    t, lo = f"`{text_col}`", "_lower" if need_lower else f"`{text_col}`"
+    names = [f"`{k}`" for k in [*keys, *carry, *xnames]]
     # stage 1: matches per rule (one regex pass, only where the literals occur)
-    ms_cols = []
+    s1 = []
     for r in rules:
-        gate = _prefilter(text, lower, r)
+        gate = _prefilter_sql(t, lo, r)
         if r.id in applies:
-            gate = F.col(f"_ap{r.ord}") & gate
-        ms_cols.append(F.when(gate, F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))).alias(f"_m{r.ord}"))
-    s1 = base.select(*keys, *carry, *xnames, text_col, *ms_cols)
+            gate = f"_ap{r.ord} AND {gate}"
+        s1.append(f"CASE WHEN {gate} THEN regexp_extract_all({t}, {sql_str(r.pattern)}, 0) END AS _m{r.ord}")
+    st1 = base.selectExpr(*names, t, *s1)
     # stage 2: gaps between matches, only for rules that matched
-    s2 = s1.select(*keys, *carry, *xnames, *[F.col(f"_m{r.ord}") for r in rules],
-                   *[F.when(F.size(f"_m{r.ord}") > 0, F.split(text, r.pattern, -1)).alias(f"_g{r.ord}")
-                     for r in rules])
+    s2 = [f"CASE WHEN size(_m{r.ord}) > 0 THEN split({t}, {sql_str(r.pattern)}, -1) END AS _g{r.ord}" for r in rules]
+    st2 = st1.selectExpr(*names, *[f"_m{r.ord}" for r in rules], *s2)
     # stage 3: per-match structs, flattened and exploded
     arrays = []
     for r in rules:
-        z = F.arrays_zip(F.col(f"_m{r.ord}").alias("m"), F.col(f"_g{r.ord}").alias("g"))
-        arrays.append(F.when(F.size(f"_m{r.ord}") > 0,
-                             F.transform(F.slice(z, 1, F.size(f"_m{r.ord}")), _match_struct(r))))
-    for (xid, o, _c, _m) in extra:
-        arrays.append(F.when(F.col(f"_xc{o}"), F.array(F.struct(
-            F.lit(xid).alias("rule_id"), F.lit(o).alias("rule_ord"),
-            F.coalesce(F.col(f"_xm{o}"), F.lit("")).alias("match"),
-            F.lit(0).cast("long").alias("glen"), F.lit(0).cast("long").alias("gnl")))))
-    allm = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
-    exploded = (s2.select(*keys, *carry, F.posexplode(allm).alias("pos", "m"))
-                  .select(*keys, *carry, "pos", "m.*"))
+        m, g = f"_m{r.ord}", f"_g{r.ord}"
+        arrays.append(
+            f"CASE WHEN size({m}) > 0 THEN transform(slice(arrays_zip({m}, {g}), 1, size({m})), "
+            f"e -> named_struct('rule_id', {sql_str(r.id)}, 'rule_ord', {r.ord}, 'match', e.{m}, "
+            f"'glen', CAST(length(e.{g}) AS BIGINT), 'gnl', CAST({NL_SQL.format(x='e.' + g)} AS BIGINT))) END")
+    for j, (xid, o, _c, _m) in enumerate(extra):
+        arrays.append(f"CASE WHEN _xc{j} THEN array(named_struct('rule_id', {sql_str(xid)}, 'rule_ord', {o}, "
+                      f"'match', coalesce(_xm{j}, ''), 'glen', CAST(0 AS BIGINT), 'gnl', CAST(0 AS BIGINT))) END")
+    allm = f"flatten(filter(array({', '.join(arrays)}), a -> a IS NOT NULL))"
+    exploded = st2.selectExpr(*[f"`{k}`" for k in [*keys, *carry]], f"posexplode({allm}) AS (pos, m)") \
+        .selectExpr(*[f"`{k}`" for k in [*keys, *carry]], "pos", "m.*")
     w = (Window.partitionBy(*keys, "rule_id").orderBy("pos")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     mlen = F.length("match").cast("long")
     mnl = newline_count("match").cast("long")
     return (exploded.repartition(*keys)
-            .withColumn("_mlen", mlen).withColumn("_mnl", mnl)
-            .withColumn("start", F.sum(F.col("glen") + F.col("_mlen")).over(w) - F.col("_mlen"))
-            .withColumn("line", (F.sum(F.col("gnl") + F.col("_mnl")).over(w) - F.col("_mnl") + 1).cast("int"))
-            .withColumn("end", F.col("start") + F.col("_mlen"))
-            .withColumn("end_line", (F.col("line") + F.col("_mnl")).cast("int"))
-            .withColumn("value", value_of(rules))
+            .select("*", mlen.alias("_mlen"), mnl.alias("_mnl"))
+            .select("*", (F.sum(F.col("glen") + F.col("_mlen")).over(w) - F.col("_mlen")).alias("start"),
+                    (F.sum(F.col("gnl") + F.col("_mnl")).over(w) - F.col("_mnl") + 1).cast("int").alias("line"))
+            .select("*", (F.col("start") + F.col("_mlen")).alias("end"),
+                    (F.col("line") + F.col("_mnl")).cast("int").alias("end_line"),
+                    value_of(rules).alias("value"))
             .drop("glen", "gnl", "_mlen", "_mnl", "pos"))

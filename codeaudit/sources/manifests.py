@@ -78,7 +78,7 @@ def npm_lock(files: DataFrame) -> DataFrame:
         v = F.expr("try_variant_get(m, '$.version', 'string')")
         ok = F.schema_of_variant("m").startswith("OBJECT") & (F.coalesce(v, F.lit("")) != "")
         level = level.filter(ok).persist(StorageLevel.MEMORY_AND_DISK)
-        if level.isEmpty():
+        if level.count() == 0:
             break
         outs.append(level.select("repo_id", "manifest", F.col("k").alias("name"), v.alias("version"),
                                  F.lit("npm").alias("eco"), F.lit(None).cast("boolean").alias("dev")))
