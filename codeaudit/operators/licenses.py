@@ -81,8 +81,8 @@ def license_findings(packages: DataFrame, registry: DataFrame) -> DataFrame:
     finding each; otherwise one grouped finding naming the first 6 (sorted)."""
     h = license_hits(packages, registry)
     gk = ["repo_id", "family", "lic", "fkey"]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*gk))
-    h = h.withColumn("n", n)
+    # member counts by aggregate + join (combines map-side; no group lands whole in one task)
+    h = h.join(h.groupBy(*gk).agg(F.count(F.lit(1)).alias("n")), gk)
     fid = F.concat(F.lit("license/"), F.regexp_replace("family", " ", "-"))
     single = h.filter(F.col("n") < R.LICENSE_GROUP_THRESHOLD).select(
         "repo_id", fid.alias("id"),

@@ -54,11 +54,11 @@ def sbom_components(packages: DataFrame) -> DataFrame:
 def spdx_packages(packages: DataFrame) -> DataFrame:
     """K6 rows: SPDX packages with index i (sorted by name, version, eco) and the
     relationship (DESCRIBES for the first, CONTAINS after).  The index is a
-    per-repo ranking, so a group is one repository's package list."""
+    per-repo position computed with ``row_index`` (range-partitioned), so a
+    repository with a very large package list is spread over many tasks."""
+    from codeaudit.functions.windows import row_index
     d = packages.select("repo_id", "name", "version", "eco").distinct()
-    w = Window.partitionBy("repo_id").orderBy("name", "version", "eco")
-    i = F.row_number().over(w) - 1
-    d = d.withColumn("i", i.cast("int"))
+    d = row_index(d, ["repo_id"], ["name", "version", "eco"]).withColumn("i", F.col("i").cast("int"))
     return d.select(
         "repo_id", "i", F.concat(F.lit("SPDXRef-Package-"), F.col("i").cast("string")).alias("spdx_id"),
         "name", F.col("version").alias("version_info"),
