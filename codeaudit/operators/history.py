@@ -1,8 +1,9 @@
 """Git history as a table (S18) and the history secret scan.
 
 ``commit_lines(repo_id, seq, line)`` is the text of ``git log -p`` in order.
-Commit and file headers are forward-filled onto the ``+`` lines with running
-``last(…, ignorenulls)`` windows; added lines are then grouped per (repo,
+Commit and file headers are forward-filled onto the ``+`` lines
+(``functions.windows.forward_fill``: running fills per range-partition block
+plus a carry across blocks, so one huge repository is not one task); added lines are then grouped per (repo,
 commit, path) into one text each — a group is one file's diff in one commit.
 The provider rules run over those texts (the generic rule is skipped), the
 placeholder gate applies (private keys exempt), one finding per
@@ -30,7 +31,7 @@ REFERENCE = "https://cwe.mitre.org/data/definitions/540.html"
 
 def commit_adds(commit_lines: DataFrame) -> DataFrame:
     """(repo_id, commit_ord, sha, path, added) from raw diff lines."""
-    w = Window.partitionBy("repo_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from codeaudit.functions.windows import forward_fill
     line = F.col("line")
     is_commit = line.startswith("commit ")
     is_target = line.startswith("+++ ")
@@ -44,9 +45,9 @@ def commit_adds(commit_lines: DataFrame) -> DataFrame:
         F.when(is_commit, F.col("seq")).alias("_cseq"),
         F.when(is_target, F.struct(F.col("seq").alias("s"), tpath.alias("p")))
          .when(is_commit, F.struct(F.col("seq").alias("s"), F.lit("").alias("p"))).alias("_pev"))
-    d = (d.withColumn("sha", F.last("_sha", ignorenulls=True).over(w))
-          .withColumn("commit_ord", F.last("_cseq", ignorenulls=True).over(w))
-          .withColumn("path", F.last("_pev", ignorenulls=True).over(w)["p"]))
+    # headers forward-filled onto the lines that follow them (balanced for large repos)
+    d = forward_fill(d, ["repo_id"], ["seq"], ["_sha", "_cseq", "_pev"]) \
+        .withColumn("sha", F.col("_sha")).withColumn("commit_ord", F.col("_cseq")).withColumn("path", F.col("_pev")["p"])
     adds = d.filter(line.startswith("+") & ~line.startswith("+++") & (F.coalesce(F.col("path"), F.lit("")) != ""))
     g = adds.groupBy("repo_id", "commit_ord", "sha", "path").agg(
         F.min("seq").alias("first_seq"),
