@@ -1131,3 +1131,34 @@ def gitignore_findings(spark, sf):
           FROM (SELECT {_HOST} AS host, min(page_id) AS k FROM pages GROUP BY 1) WHERE k % 9 = 0)""")
 def remote_credentials(spark, sf):
     return HY.remote_credentials(T.repos_from_pages(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# policy files
+# --------------------------------------------------------------------------
+from codeaudit.sources import config_files as CF  # noqa: E402
+
+
+@register("policy_validation", """
+    SELECT DISTINCT 'repo-' || user_id AS repo_id, '.codeaudit-policy.json' AS path,
+           CASE user_id % 9 WHEN 4 THEN 'policy fail_on must be one of [''critical'', ''high'', ''info'', ''low'', ''medium''] or ''never'''
+                            WHEN 5 THEN 'policy ''ignore_paths'' must be a list of strings'
+                            ELSE 'policy file is not valid JSON' END AS error
+    FROM events WHERE user_id % 9 IN (4, 5, 6)""")
+def policy_validation(spark, sf):
+    _good, errors = CF.validate_policies(T.policy_files_from_events(spark, sf))
+    return errors
+
+
+@register("policy_from_files", f"""
+    SELECT f.repo_id, f.id, f.title,
+           CASE WHEN f.id = 'config/view' AND p.repo_id IS NOT NULL THEN 'high' ELSE f.severity END AS severity,
+           f.scanner, f.path, f.line, f.evidence, f.remediation, f.reference
+    FROM ({_DEDUPED_SQL}) f LEFT JOIN (SELECT * FROM ({_POLICY_SQL}) WHERE CAST(substr(repo_id, 6) AS BIGINT) % 9 NOT IN (4, 5, 6)) p USING (repo_id)
+    WHERE NOT (p.repo_id IS NOT NULL AND f.id = 'deps/signup')
+      AND NOT (coalesce(f.path, '') <> '' AND p.ignore_glob IS NOT NULL
+               AND regexp_full_match(f.path, replace(replace(p.ignore_glob, '.', '\\.'), '*', '.*')))""")
+def policy_from_files(spark, sf):
+    good, _errors = CF.validate_policies(T.policy_files_from_events(spark, sf))
+    f = A.dedupe(T.findings_from_events(spark, sf)).select(*FINDING_COLUMNS)
+    return A.apply_policy(f, good)

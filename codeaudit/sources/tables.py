@@ -435,3 +435,22 @@ def repos_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracked_from_raw(raw: DataFrame) -> DataFrame:
     """Every walked path is in the git index (the stand-in trees are clean checkouts)."""
     return raw.select("repo_id", "path")
+
+
+def policy_files_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policy files, one per repo (user), written as JSON text by Spark; every
+    ninth user's file has a defect (bad level, wrong type or broken JSON)."""
+    u = read(spark, sf_dir, "events").select("user_id").distinct()
+    k = F.col("user_id") % 9
+    good = F.to_json(F.struct(
+        F.when(F.col("user_id") % 4 == 0, "high").when(F.col("user_id") % 4 == 1, "medium")
+         .when(F.col("user_id") % 4 == 2, "never").alias("fail_on"),
+        F.create_map(F.lit("config/view"), F.lit("high")).alias("severity"),
+        F.array(F.lit("deps/signup")).alias("ignore"),
+        F.array(F.concat(F.lit("src/module_"), (F.col("user_id") % 10).cast("string"), F.lit("*"))).alias("ignore_paths")))
+    content = (F.when(k == 4, F.lit('{"fail_on": "catastrophic"}'))
+               .when(k == 5, F.lit('{"ignore_paths": [1, 2]}'))
+               .when(k == 6, F.lit("{not json"))
+               .otherwise(good))
+    return u.select(F.concat(F.lit("repo-"), F.col("user_id").cast("string")).alias("repo_id"),
+                    F.lit(".codeaudit-policy.json").alias("path"), content.alias("content"))
