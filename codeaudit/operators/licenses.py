@@ -52,7 +52,8 @@ def licensed_packages(packages: DataFrame, registry: DataFrame) -> DataFrame:
     """Distinct packages of the fetchable ecosystems with their registry licence;
     packages the registry does not know are skipped (unknown ≠ unlicensed)."""
     pk = distinct_packages(packages).filter(F.col("eco").isin(*R.LICENSE_FETCH_ECOSYSTEMS))
-    return pk.join(registry.select("eco", "name", "version", "license"), ["eco", "name", "version"])
+    reg = registry.select("eco", "name", "version", "license").filter(F.col("license").isNotNull())
+    return pk.join(reg, ["eco", "name", "version"])
 
 
 def license_inventory(packages: DataFrame, registry: DataFrame, top: int = R.LICENSE_INVENTORY_TOP) -> DataFrame:
@@ -123,3 +124,43 @@ def project_license(files: DataFrame) -> DataFrame:
     for marker, sp in R.PROJECT_LICENSE_MARKERS:
         lic = lic.when(F.lower("head").contains(marker.lower()), F.lit(sp))
     return first.select("repo_id", lic.otherwise(F.lit("custom")).alias("license"))
+
+
+def registry_license(doc: Column, eco: Column) -> Column:
+    """The licence string of a registry document (VARIANT).
+    npm: ``license`` or ``licenses`` — a list (types joined by ', '), an object
+    (its ``type``) or a string.  PyPI: ``info.license_expression`` or
+    ``info.license`` (stripped); when empty or longer than 60 characters, the
+    last part of the first ``License :: `` classifier; cut to 80."""
+    def g(path: str, typ: str) -> Column:
+        return F.try_variant_get(doc, path, typ)
+    first_lic = g("$.license", "variant")
+    k1 = F.schema_of_variant(first_lic)
+    falsy = (first_lic.isNull() | (k1 == "NULL") | (F.try_variant_get(first_lic, "$", "string") == "")
+             | (k1.startswith("ARRAY") & (F.size(F.try_variant_get(first_lic, "$", "array<variant>")) == 0))
+             | (k1.startswith("OBJECT") & (F.size(F.try_variant_get(first_lic, "$", "map<string,variant>")) == 0))
+             | (k1 == "BOOLEAN") & ~F.coalesce(F.try_variant_get(first_lic, "$", "boolean"), F.lit(False)))
+    lic = F.when(~falsy, first_lic).otherwise(g("$.licenses", "variant"))
+    kind = F.schema_of_variant(lic)
+    as_list = F.array_join(F.transform(F.coalesce(F.try_variant_get(lic, "$", "array<variant>"), F.array()),
+                                       lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"),
+                                                        F.coalesce(F.try_variant_get(x, "$.type", "string"), F.lit("")))
+                                       .otherwise(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))), ", ")
+    npm = (F.when(kind.startswith("ARRAY"), as_list)
+           .when(kind.startswith("OBJECT"), F.coalesce(F.try_variant_get(lic, "$.type", "string"), F.lit("")))
+           .otherwise(F.coalesce(F.try_variant_get(lic, "$", "string"), F.lit(""))))
+    expr = F.coalesce(F.try_variant_get(doc, "$.info.license_expression", "string"), F.lit(""))
+    plain = F.coalesce(F.try_variant_get(doc, "$.info.license", "string"), F.lit(""))
+    first = F.trim(F.when(expr != "", expr).otherwise(plain))
+    classifiers = F.coalesce(F.try_variant_get(doc, "$.info.classifiers", "array<string>"), F.array().cast("array<string>"))
+    cls = F.try_element_at(F.filter(classifiers, lambda c: c.startswith("License :: ")), F.lit(1))
+    from_cls = F.trim(F.element_at(F.split(cls, "::"), -1))
+    pypi = F.substring(F.when((first == "") | (F.length(first) > 60), F.coalesce(from_cls, first)).otherwise(first), 1, 80)
+    # an unreadable document is "unknown", not "unlicensed": no licence at all
+    return F.when(doc.isNull(), F.lit(None).cast("string")).when(eco == "npm", npm).when(eco == "PyPI", pypi)
+
+
+def registry_licenses(docs: DataFrame) -> DataFrame:
+    """(eco, name, version, doc JSON) → (eco, name, version, license)."""
+    d = docs.select("eco", "name", "version", F.try_parse_json("doc").alias("doc"))
+    return d.select("eco", "name", "version", registry_license(F.col("doc"), F.col("eco")).alias("license"))

@@ -1162,3 +1162,35 @@ def policy_from_files(spark, sf):
     good, _errors = CF.validate_policies(T.policy_files_from_events(spark, sf))
     f = A.dedupe(T.findings_from_events(spark, sf)).select(*FINDING_COLUMNS)
     return A.apply_policy(f, good)
+
+
+@register("registry_licenses", f"""
+    SELECT eco, name, version, CASE WHEN eco IN ('npm', 'PyPI') THEN license END AS license FROM ({REGISTRY_SQL})""")
+def registry_licenses(spark, sf):
+    return T.registry_licenses_from_part(spark, sf)
+
+
+_MARKERS = " ".join(f"WHEN contains(lower(head), {RS.q(m.lower())}) THEN {RS.q(sp)}" for m, sp in RR.PROJECT_LICENSE_MARKERS)
+
+
+@register("project_license", f"""
+    SELECT repo_id, CASE WHEN spdx <> '' THEN spdx {_MARKERS} ELSE 'custom' END AS license
+    FROM (SELECT source AS repo_id, left(arg_min(text, doc_id), 2000) AS head,
+                 regexp_extract(left(arg_min(text, doc_id), 2000), {RS.q(RR.PROJECT_LICENSE_SPDX_PATTERN)}, 1) AS spdx
+          FROM documents WHERE contains(text, 'icense') OR contains(text, 'rights reserved') GROUP BY source)""")
+def project_license(spark, sf):
+    return L.project_license(T.license_files_from_documents(spark, sf))
+
+
+@register("package_stats", f"""
+WITH v AS ({_VULN_SQL}),
+pk AS (SELECT repo_id, count(DISTINCT (name, version, eco)) AS packages, count(DISTINCT manifest) AS manifests
+       FROM ({PACKAGES_SQL}) GROUP BY repo_id),
+dv AS (SELECT repo_id, count(*) AS dev_only_packages FROM ({_DEV_ONLY}) GROUP BY repo_id),
+vf AS (SELECT repo_id, count(DISTINCT evidence) AS vulnerable_packages FROM v GROUP BY repo_id)
+SELECT pk.repo_id, CAST(pk.packages AS BIGINT) AS packages, CAST(coalesce(dv.dev_only_packages, 0) AS BIGINT) AS dev_only_packages,
+       CAST(pk.manifests AS BIGINT) AS manifests, CAST(coalesce(vf.vulnerable_packages, 0) AS BIGINT) AS vulnerable_packages
+FROM pk LEFT JOIN dv USING (repo_id) LEFT JOIN vf USING (repo_id)""")
+def package_stats(spark, sf):
+    pk = _stand(spark, sf)
+    return V.package_stats(pk, V.vuln_findings(pk, T.advisories_from_part(spark, sf)))

@@ -263,18 +263,36 @@ def advisories_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))).alias("ranges"))).alias("affected"))
 
 
-def registry_licenses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``registry_licenses`` stand-in: the licence a registry reports for every
-    version of a part's package, from a ring of licence ids."""
+def registry_docs_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry documents (npm and PyPI JSON shapes) for every version of a
+    part's package; the licence comes from a ring of ids and is written in one
+    of the shapes registries use (string, list, object, classifier)."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     v = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"))
-    rows = v.select(
-        _eco().alias("eco"), F.regexp_replace("p_name", " ", "-").alias("name"),
-        F.concat(F.lit("1."), F.col("line").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version"),
-        F.element_at(_lit_array(LICENSE_RING), ((F.col("p_partkey") + F.col("line")) % len(LICENSE_RING) + 1).cast("int")).alias("license"),
-        "p_partkey")
-    # one licence per (eco, name, version): the lowest part key's
-    return rows.groupBy("eco", "name", "version").agg(F.min_by("license", "p_partkey").alias("license"))
+    lic = F.element_at(_lit_array(LICENSE_RING), ((F.col("p_partkey") + F.col("line")) % len(LICENSE_RING) + 1).cast("int"))
+    shape = (F.col("p_partkey") + F.col("line")) % 4
+    npm = (F.when(shape == 1, F.to_json(F.struct(F.array(F.struct(lic.alias("type"))).alias("licenses"))))
+           .when(shape == 2, F.to_json(F.struct(F.struct(lic.alias("type"), F.lit("https://x").alias("url")).alias("license"))))
+           .otherwise(F.to_json(F.struct(lic.alias("license")))))
+    long_text = F.lit("Permission is hereby granted, free of charge, to any person obtaining a copy of this software")
+    pypi = (F.when(shape == 0, F.to_json(F.struct(F.struct(lic.alias("license_expression")).alias("info"))))
+            .when(shape == 2, F.to_json(F.struct(F.struct(long_text.alias("license"), F.array(
+                F.lit("Topic :: Security"), F.concat(F.lit("License :: OSI Approved :: "), lic)).alias("classifiers")).alias("info"))))
+            .otherwise(F.to_json(F.struct(F.struct(lic.alias("license")).alias("info")))))
+    eco = _eco()
+    rows = v.select(eco.alias("eco"), F.regexp_replace("p_name", " ", "-").alias("name"),
+                    F.concat(F.lit("1."), F.col("line").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version"),
+                    F.when(eco == "npm", npm).when(eco == "PyPI", pypi).otherwise(F.to_json(F.struct(lic.alias("license")))).alias("doc"),
+                    "p_partkey")
+    # one document per (eco, name, version): the lowest part key's
+    return rows.groupBy("eco", "name", "version").agg(F.min_by("doc", "p_partkey").alias("doc"))
+
+
+def registry_licenses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``registry_licenses``: the licence extracted from each registry document."""
+    from codeaudit.operators.licenses import registry_licenses
+    return registry_licenses(registry_docs_from_part(spark, sf_dir))
+
 
 
 def commit_lines_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -454,3 +472,12 @@ def policy_files_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                .otherwise(good))
     return u.select(F.concat(F.lit("repo-"), F.col("user_id").cast("string")).alias("repo_id"),
                     F.lit(".codeaudit-policy.json").alias("path"), content.alias("content"))
+
+
+def license_files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A root ``LICENSE`` file per source: the text of its lowest-id document
+    that names a licence or reserves rights."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    lic = d.filter(F.col("text").contains("icense") | F.col("text").contains("rights reserved"))
+    first = lic.groupBy("source").agg(F.min_by("text", "doc_id").alias("content"))
+    return file_columns(first.select(F.col("source").alias("repo_id"), F.lit("LICENSE").alias("path"), "content"))
