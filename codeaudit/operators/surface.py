@@ -103,7 +103,9 @@ def probe_findings(probe_obs: DataFrame) -> DataFrame:
 
 def tls_findings(tls_obs: DataFrame, now: str) -> DataFrame:
     """H9: invalid chain → critical (only that); TLS 1.0/1.1 → high; expiry in
-    under 21 days medium, under 8 high."""
+    under 21 days medium, under 8 high.  ``now`` should carry its zone
+    (e.g. ``2025-01-01T00:00:00Z``) so the result does not depend on the
+    session time zone."""
     bad = F.coalesce(F.col("verify_error"), F.lit("")) != ""
     a = tls_obs.filter(bad).select(*_f(
         F.col("host"), F.lit("surface/tls-invalid"), F.lit("TLS certificate does not validate"), F.lit("critical"),

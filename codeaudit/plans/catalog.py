@@ -576,7 +576,7 @@ from codeaudit import rules as RR  # noqa: E402
 from codeaudit.operators import history as HI  # noqa: E402
 from codeaudit.operators import surface as H  # noqa: E402
 
-NOW = "2025-01-01 00:00:00"
+NOW = "2025-01-01T00:00:00Z"  # an absolute instant, whatever the session time zone
 _HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
 _HTTP_SQL = f"""
     SELECT {_HOST} AS host, 'https://' || {_HOST} || '/page/' || page_id AS url, page_id,
@@ -673,7 +673,7 @@ t AS (SELECT host, k, CASE WHEN k % 13 = 5 THEN 'TLSv1.1' ELSE 'TLSv1.3' END AS
              CASE WHEN k % 17 = 3 THEN 'certificate verify failed: hostname mismatch' END AS verify_error FROM h),
 t2 AS (SELECT *, strftime(d, '%b') || CASE WHEN day(d) < 10 THEN '  ' ELSE ' ' END || day(d) || ' 00:00:00 ' || year(d) || ' GMT'
                  AS not_after,
-              CAST(floor((epoch(CAST(d AS TIMESTAMP)) - epoch(TIMESTAMP '{NOW}')) / 86400) AS BIGINT) AS days FROM t)
+              CAST(floor((epoch(CAST(d AS TIMESTAMP)) - epoch(TIMESTAMP '2025-01-01 00:00:00')) / 86400) AS BIGINT) AS days FROM t)
 SELECT host AS repo_id, 'surface/tls-invalid' AS id, 'TLS certificate does not validate' AS title, 'critical' AS severity,
        'surface' AS scanner, host AS path, 0 AS line, left(verify_error, 140) AS evidence,
        'Fix the chain or hostname, or renew the certificate.' AS remediation, '' AS reference

@@ -162,6 +162,8 @@ def initial_state(files: DataFrame, enabled: list[str]) -> DataFrame:
     """State after a full scan (every file, with or without findings),
     written to the session's checkpoint directory — the state is a stored
     table that the next run reads, not a plan to recompute."""
+    from codeaudit.session import checkpoint_dir
+    checkpoint_dir(files.sparkSession)
     empty = files.limit(0).select("repo_id", "path", "size", "mtime", F.lit("").alias("ruleset"),
                                   F.array().cast(STATE_FINDING).alias("findings"))
     _f, st, _h = incremental_file_findings(files, empty, enabled)

@@ -33,9 +33,12 @@ def spread(df: DataFrame) -> DataFrame:
     than the default parallelism (e.g. one file with a single row group), the
     rows are spread round-robin so the scan work is not serialised in a
     single task.  Costs one shuffle of that (small) input only."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            return df.repartition(par)
+    except Exception:  # noqa: BLE001 — no RDD view (e.g. a remote session): leave the scan as it is
+        pass
     return df
 
 
