@@ -41,6 +41,14 @@ def _files(files: DataFrame, *names: str) -> DataFrame:
     return files.filter(F.col("name").isin(*names) & (F.coalesce(F.length("content"), F.lit(0)) > 0))
 
 
+def _subset(files: DataFrame, *names: str) -> DataFrame:
+    """The rows of the named manifests, read once and kept for the branches
+    that follow (a small share of a tree's files)."""
+    from pyspark import StorageLevel
+    return files.filter(F.col("name").isin(*names)).select("repo_id", "path", "name", "dir", "content") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _pairs(files: DataFrame, pattern: str, eco: str, dev: Column | None = None) -> DataFrame:
     """Two-group line format → rows, via regexp_extract_all on both groups."""
     rx = J(pattern)
@@ -229,7 +237,8 @@ def unlocked_manifests(files: DataFrame) -> DataFrame:
     rows = [(m, lock, eco) for m, (locks, eco) in UNRESOLVED_MANIFESTS.items() for lock in locks]
     spark = files.sparkSession
     need = spark.createDataFrame(rows, "mname string, lock string, eco string")
-    man = _files(files, *UNRESOLVED_MANIFESTS).select("repo_id", "dir", "path", F.col("name").alias("mname"), "content")
+    man = _files(_subset(files, *UNRESOLVED_MANIFESTS), *UNRESOLVED_MANIFESTS).select(
+        "repo_id", "dir", "path", F.col("name").alias("mname"), "content")
     present = files.select("repo_id", "dir", F.col("name").alias("lock"))
     have = man.join(F.broadcast(need), "mname").join(present, ["repo_id", "dir", "lock"], "left_semi") \
         .select("repo_id", "path").distinct()
@@ -258,7 +267,7 @@ def unlocked_manifests(files: DataFrame) -> DataFrame:
 
 
 def _package_json_entries(files: DataFrame) -> DataFrame:
-    f = _files(files, "package.json").select("repo_id", "path", F.try_parse_json("content").alias("j"))
+    f = _files(_subset(files, "package.json"), "package.json").select("repo_id", "path", F.try_parse_json("content").alias("j"))
     parts = [f.select("repo_id", "path", F.lit(i).alias("sec"), F.posexplode(F.expr(
         f"try_variant_get(j, '$.{s}', 'map<string,variant>')")).alias("pos", "dep", "spec"))
              for i, s in enumerate(DEP_SECTIONS)]
@@ -290,7 +299,7 @@ def floating_dependencies(files: DataFrame) -> DataFrame:
 
 def install_hooks(files: DataFrame) -> DataFrame:
     """Npm lifecycle scripts run on install; remote-fetch or eval → high."""
-    f = _files(files, "package.json").select("repo_id", "path", F.try_parse_json("content").alias("j"))
+    f = _files(_subset(files, "package.json"), "package.json").select("repo_id", "path", F.try_parse_json("content").alias("j"))
     parts = [f.select("repo_id", "path", F.lit(i).alias("k"), F.lit(key).alias("hook"),
                       F.expr(f"try_variant_get(j, '$.scripts.{key}', 'string')").alias("cmd"))
              for i, key in enumerate(INSTALL_HOOK_KEYS)]
@@ -308,6 +317,8 @@ def install_hooks(files: DataFrame) -> DataFrame:
 
 def declared_names(files: DataFrame) -> DataFrame:
     """Lower-cased names a human declared, per (repo, ecosystem)."""
+    files = _subset(files, "package.json", "requirements.txt", "requirements-dev.txt", "pyproject.toml",
+                    "Cargo.toml", "Gemfile", "Pipfile")
     pj = _files(files, "package.json").select("repo_id", F.try_parse_json("content").alias("j"))
     npm = reduce(lambda a, b: a.unionByName(b), [
         pj.select("repo_id", F.explode(F.map_keys(F.expr(f"try_variant_get(j, '$.{s}', 'map<string,variant>')")))

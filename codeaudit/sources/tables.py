@@ -396,10 +396,12 @@ def manifest_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    from pyspark import StorageLevel
     j = li.join(p, li.l_partkey == p.p_partkey).select(
         F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("repo_id"), "l_orderkey",
         F.regexp_replace("p_name", " ", "-").alias("name"), "l_linenumber", "l_returnflag", "l_linestatus",
-        F.concat(F.lit("1."), F.col("l_linenumber").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version"))
+        F.concat(F.lit("1."), F.col("l_linenumber").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)  # shared by the three generated files
     spec = (F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), F.lit("*"))
             .when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "A"), F.lit("latest"))
             .when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R"),
