@@ -1192,5 +1192,4 @@ SELECT pk.repo_id, CAST(pk.packages AS BIGINT) AS packages, CAST(coalesce(dv.dev
        CAST(pk.manifests AS BIGINT) AS manifests, CAST(coalesce(vf.vulnerable_packages, 0) AS BIGINT) AS vulnerable_packages
 FROM pk LEFT JOIN dv USING (repo_id) LEFT JOIN vf USING (repo_id)""")
 def package_stats(spark, sf):
-    pk = _stand(spark, sf)
-    return V.package_stats(pk, V.vuln_findings(pk, T.advisories_from_part(spark, sf)))
+    return V.package_stats(_stand(spark, sf), T.advisories_from_part(spark, sf))

@@ -462,10 +462,13 @@ def tracked_from_raw(raw: DataFrame) -> DataFrame:
 
 def policy_files_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy files, one per repo (user), written as JSON text by Spark; every
-    ninth user's file has a defect (bad level, wrong type or broken JSON)."""
-    u = read(spark, sf_dir, "events").select("user_id").distinct()
+    ninth user's file has a defect (bad level, wrong type or broken JSON).
+    The text records the user's event count (an extra key the validator
+    ignores), so it is computed after the per-user aggregate."""
+    u = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     k = F.col("user_id") % 9
     good = F.to_json(F.struct(
+        F.col("n").alias("observed_events"),
         F.when(F.col("user_id") % 4 == 0, "high").when(F.col("user_id") % 4 == 1, "medium")
          .when(F.col("user_id") % 4 == 2, "never").alias("fail_on"),
         F.create_map(F.lit("config/view"), F.lit("high")).alias("severity"),
