@@ -80,7 +80,9 @@ def license_hits(packages: DataFrame, registry: DataFrame) -> DataFrame:
 def license_findings(packages: DataFrame, registry: DataFrame) -> DataFrame:
     """Per (repo, family, licence, family key): fewer than 3 members → one
     finding each; otherwise one grouped finding naming the first 6 (sorted)."""
-    h = license_hits(packages, registry)
+    from pyspark import StorageLevel
+    # the hits feed three branches (counts, singles, groups): compute them once
+    h = license_hits(packages, registry).persist(StorageLevel.MEMORY_AND_DISK)
     gk = ["repo_id", "family", "lic", "fkey"]
     # member counts by aggregate + join (combines map-side; no group lands whole in one task)
     h = h.join(h.groupBy(*gk).agg(F.count(F.lit(1)).alias("n")), gk)

@@ -1193,3 +1193,14 @@ SELECT pk.repo_id, CAST(pk.packages AS BIGINT) AS packages, CAST(coalesce(dv.dev
 FROM pk LEFT JOIN dv USING (repo_id) LEFT JOIN vf USING (repo_id)""")
 def package_stats(spark, sf):
     return V.package_stats(_stand(spark, sf), T.advisories_from_part(spark, sf))
+
+
+@register("license_classify", f"""
+    SELECT license, split_part(v, '|', 1) AS severity, split_part(v, '|', 2) AS family
+    FROM (SELECT DISTINCT license, {_classify_sql('license')} AS v
+          FROM ({REGISTRY_SQL}) WHERE eco IN ('npm', 'PyPI'))
+    WHERE v IS NOT NULL""")
+def license_classify(spark, sf):
+    reg = T.registry_licenses_from_part(spark, sf).filter(F.col("eco").isin("npm", "PyPI"))
+    v = reg.select("license").distinct().withColumn("v", L.classify(F.col("license"))).filter(F.col("v").isNotNull())
+    return v.select("license", F.col("v.severity").alias("severity"), F.col("v.family").alias("family"))
