@@ -79,16 +79,18 @@ def _meta(field: str, col: str = "rule_id") -> Column:
 
 
 def file_flags(files: DataFrame) -> DataFrame:
-    """Per-file flags shared by the config branches (no text kept except where needed)."""
+    """Per-file flags shared by the file detectors, computed once per file:
+    ``scanned`` (config-eligible, non-empty, within the cap, not minified),
+    ``secret_ok`` (non-empty, within the cap), ``minified``, ``low_trust``."""
     name, ext = F.col("name"), F.col("ext")
     eligible = ext.isin(*R.CODE_EXT) | F.lit(False)
     for p in R.CONFIG_NAME_PREFIXES:
         eligible = eligible | name.startswith(p)
     has_text = F.coalesce(F.length("content") > 0, F.lit(False)) & (F.col("size") <= R.MAX_FILE_BYTES)
-    scanned = eligible & has_text & ~is_minified(name, F.col("content"))
-    return files.select(*KEYS, "name", "ext", "tracked", "content",
-                        scanned.alias("scanned"),
-                        is_low_trust(F.col("path"), name).alias("low_trust"))
+    f = files.select(*KEYS, "name", "ext", "tracked", "content", has_text.alias("secret_ok"),
+                     eligible.alias("_eligible"), is_minified(name, F.col("content")).alias("minified"),
+                     is_low_trust(F.col("path"), name).alias("low_trust"))
+    return f.withColumn("scanned", F.col("_eligible") & F.col("secret_ok") & ~F.col("minified")).drop("_eligible")
 
 
 def _dangerous_idx() -> Column:
@@ -120,10 +122,8 @@ DANGER_ID, ROOT_ID, HEALTH_ID = "@dangerous-file", "@docker-root-user", "@docker
 DANGER_ORD, ROOT_ORD, HEALTH_ORD = -1, 1000, 1001
 
 
-def config_matches(files: DataFrame) -> DataFrame:
-    """One pass over the files: pattern-rule matches plus file-level
-    pseudo-matches for dangerous names and Dockerfile structure."""
-    f = file_flags(files).withColumn("didx", _dangerous_idx())
+def scan_spec(f: DataFrame) -> tuple[dict, list]:
+    """(applies, extra) for ``rule_matches`` on a ``file_flags`` frame with ``didx``."""
     applies = {}
     for r in R.CONFIG_RULES:
         a = F.col("scanned") & path_glob_match(F.col("path"), F.col("name"), r.glob)
@@ -137,12 +137,26 @@ def config_matches(files: DataFrame) -> DataFrame:
     extra = [(DANGER_ID, DANGER_ORD, F.col("didx").isNotNull(), F.col("name")),
              (ROOT_ID, ROOT_ORD, docker & root_only, F.lit("no non-root USER directive")),
              (HEALTH_ID, HEALTH_ORD, docker & no_health, F.lit(""))]
-    return rule_matches(f, KEYS, "content", SCAN_RULES, carry=["name", "tracked", "scanned", "low_trust", "didx"],
-                        applies=applies, extra=extra)
+    return applies, extra
+
+
+CARRY = ["name", "tracked", "scanned", "low_trust", "didx"]
+
+
+def config_matches(files: DataFrame) -> DataFrame:
+    """One pass over the files: pattern-rule matches plus file-level
+    pseudo-matches for dangerous names and Dockerfile structure."""
+    f = file_flags(files).withColumn("didx", _dangerous_idx())
+    applies, extra = scan_spec(f)
+    return rule_matches(f, KEYS, "content", SCAN_RULES, carry=CARRY, applies=applies, extra=extra)
 
 
 def config_findings(files: DataFrame, with_order: bool = False, cap: int | None = None) -> DataFrame:
-    m = config_matches(files)
+    return findings_from_matches(config_matches(files), with_order, cap)
+
+
+def findings_from_matches(m: DataFrame, with_order: bool = False, cap: int | None = None) -> DataFrame:
+    """Config findings from match rows carrying ``CARRY``."""
     rid = F.col("rule_id")
     is_danger, is_root, is_health = rid == DANGER_ID, rid == ROOT_ID, rid == HEALTH_ID
     is_pin = rid == "ci-unpinned-action"

@@ -88,7 +88,12 @@ def candidate_matches(files: DataFrame) -> DataFrame:
     """Matches after overlap resolution and generic suppression (before value
     gates).  Both steps are windows over the file partitioning the scan already
     produced, so no further exchange and no self-join."""
-    m = raw_matches(files)
+    return candidates_from_matches(raw_matches(files))
+
+
+def candidates_from_matches(m: DataFrame) -> DataFrame:
+    """``candidate_matches`` on match rows produced elsewhere (e.g. by a scan
+    shared with other detectors); needs the ``minified`` carry column."""
     is_generic = F.col("rule_id") == R.GENERIC_RULE_ID
     m = m.filter(~is_generic | ~F.col("minified")).withColumn("_gen", is_generic.cast("int"))
 
@@ -111,7 +116,10 @@ def candidate_matches(files: DataFrame) -> DataFrame:
 
 def gated_matches(files: DataFrame) -> DataFrame:
     """Candidates that pass the placeholder and entropy gates, with ``entropy``."""
-    c = candidate_matches(files)
+    return gate(candidate_matches(files))
+
+
+def gate(c: DataFrame) -> DataFrame:
     floor = _meta("entropy")
     c = c.withColumn("entropy", shannon_entropy("value"))
     keep = ((F.col("rule_id") == "private-key") | ~is_placeholder("value")) & \
@@ -120,7 +128,13 @@ def gated_matches(files: DataFrame) -> DataFrame:
 
 
 def secret_findings(files: DataFrame, with_order: bool = False) -> DataFrame:
-    g = gated_matches(files)
+    return findings_from_matches(raw_matches(files), with_order)
+
+
+def findings_from_matches(m: DataFrame, with_order: bool = False) -> DataFrame:
+    """Secret findings from raw match rows (keys, minified, low_trust, rule_id,
+    rule_ord, match, value, start, end, line, end_line)."""
+    g = gate(candidates_from_matches(m))
     sev = F.when(F.col("low_trust"), downgrade(_meta("severity"), DOWNGRADE)).otherwise(_meta("severity"))
     title = F.when(F.col("low_trust"), F.concat(_meta("title"), F.lit(" (in test/docs path)"))).otherwise(_meta("title"))
     out = g.select(

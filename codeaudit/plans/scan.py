@@ -57,15 +57,41 @@ def diff_scope(files: DataFrame, changed: DataFrame) -> DataFrame:
     return files.join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
 
 
+def file_matches(files: DataFrame) -> DataFrame:
+    """One pass over the file contents for both file detectors: the secret
+    rules and the config rules (plus the file-level pseudo-matches) run in the
+    same ``rule_matches`` scan, so contents are read once and the match rows
+    share one exchange; the two detectors then split the rows by rule."""
+    from codeaudit.functions.regex import rule_matches
+    f = C.file_flags(files).withColumn("didx", C._dangerous_idx())
+    applies, extra = C.scan_spec(f)
+    applies.update({r.id: F.col("secret_ok") for r in S.SCAN_RULES})
+    rules = list(S.SCAN_RULES) + [r.__class__(r.id, r.ord + CONFIG_ORD_OFFSET, r.pattern, r.group, r.hints, r.ihints)
+                                  for r in C.SCAN_RULES]
+    return rule_matches(f, S.KEYS, "content", rules, carry=[*C.CARRY, "minified"], applies=applies, extra=extra)
+
+
+CONFIG_ORD_OFFSET = 100
+_SECRET_IDS = [r.id for r in S.SCAN_RULES]
+
+
 def file_findings(files: DataFrame, enabled: list[str]) -> DataFrame | None:
     """Secret + config findings of the given files, deduplicated (A2)."""
-    parts = []
-    if "secrets" in enabled:
-        parts.append(S.secret_findings(files, with_order=True))
-    if "config" in enabled:
-        parts.append(C.config_findings(files, with_order=True))
-    if not parts:
+    want_s, want_c = "secrets" in enabled, "config" in enabled
+    if not (want_s or want_c):
         return None
+    if want_s and want_c:
+        m = file_matches(files)
+        is_secret = F.col("rule_id").isin(*_SECRET_IDS)
+        sec = S.findings_from_matches(m.filter(is_secret), with_order=True)
+        cfg = m.filter(~is_secret).withColumn(
+            "rule_ord", F.when(F.col("rule_ord") >= CONFIG_ORD_OFFSET, F.col("rule_ord") - CONFIG_ORD_OFFSET)
+            .otherwise(F.col("rule_ord")))
+        parts = [sec, C.findings_from_matches(cfg, with_order=True)]
+    elif want_s:
+        parts = [S.secret_findings(files, with_order=True)]
+    else:
+        parts = [C.config_findings(files, with_order=True)]
     return A.dedupe(A.union_findings(*parts)).select(*FINDING_COLUMNS)
 
 
