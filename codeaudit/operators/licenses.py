@@ -93,12 +93,15 @@ def license_findings(packages: DataFrame, registry: DataFrame) -> DataFrame:
                  F.col("family"), F.lit(")")).alias("title"),
         "severity", F.lit(SCANNER).alias("scanner"), F.col("first_manifest").alias("path"), F.lit(0).alias("line"),
         "evidence", F.col("why").alias("remediation"), F.lit(SPDX_REF).alias("reference"))
-    g = h.filter(F.col("n") >= R.LICENSE_GROUP_THRESHOLD).groupBy(*gk).agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("name")).alias("names"),
-        F.first("severity").alias("severity"), F.first("why").alias("why"),
-        F.first("first_manifest").alias("path"))
-    # names are collected per group of one repo's licence family; a group is at
-    # most the packages of one repo, so the list is bounded by a lockfile.
+    # a group shows its first 6 names (sorted): a salted top-k keeps what is
+    # collected at 6 per group however many members the group has
+    from codeaudit.operators.findings import top_k
+    big = h.filter(F.col("n") >= R.LICENSE_GROUP_THRESHOLD)
+    shown = top_k(big.select(*gk, "name"), gk, ["name"], R.LICENSE_GROUP_SHOWN) \
+        .groupBy(*gk).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    g = big.groupBy(*gk).agg(
+        F.first("n").alias("n"), F.first("severity").alias("severity"), F.first("why").alias("why"),
+        F.first("first_manifest").alias("path")).join(shown, gk)
     more = F.when(F.col("n") > R.LICENSE_GROUP_SHOWN,
                   F.concat(F.lit(" (+"), (F.col("n") - R.LICENSE_GROUP_SHOWN).cast("string"), F.lit(" more)"))
                   ).otherwise(F.lit(""))
