@@ -52,6 +52,19 @@ def select_scanners(only: list[str] | None = None, skip: list[str] | None = None
     return enabled
 
 
+class DiffRefError(RuntimeError):
+    """A diff base that git could not resolve: scanning "nothing changed"
+    would be a false green, so it is an error."""
+
+
+def check_diff_refs(refs: DataFrame) -> None:
+    """``refs`` = (repo_id, ref, resolved boolean) from the ingestion that
+    listed the changed files; any unresolved ref is an error (a tiny action)."""
+    bad = refs.filter(~F.coalesce(F.col("resolved"), F.lit(False))).limit(5).collect()
+    if bad:
+        raise DiffRefError("cannot resolve diff ref(s): " + ", ".join(f"{r['repo_id']}@{r['ref']}" for r in bad))
+
+
 def diff_scope(files: DataFrame, changed: DataFrame) -> DataFrame:
     """only the changed files (left-semi join on repo and path)."""
     return files.join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")

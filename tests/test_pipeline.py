@@ -79,3 +79,19 @@ def test_driver_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and set(df.columns) == {"repo_id", "risk_score", "grade"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_unresolved_diff_ref_is_an_error(spark):
+    ok = spark.createDataFrame([("r", "main", True)], "repo_id string, ref string, resolved boolean")
+    PS.check_diff_refs(ok)
+    bad = spark.createDataFrame([("r", "origin/does-not-exist", False)], "repo_id string, ref string, resolved boolean")
+    with pytest.raises(PS.DiffRefError):
+        PS.check_diff_refs(bad)
+
+
+def test_rule_catalogue(spark):
+    from codeaudit.plans.export import rule_catalogue
+    kinds = {r["kind"]: 0 for r in rule_catalogue(spark).collect()}
+    rows = rule_catalogue(spark).groupBy("kind").count().collect()
+    got = {r["kind"]: r["count"] for r in rows}
+    assert got == {"secret": 24, "config": 38, "dangerous-file": 13, "readiness": 18} and kinds
