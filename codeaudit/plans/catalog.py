@@ -1052,6 +1052,13 @@ def json_reports(spark, sf):
     return X.json_reports(f, A.risk_scores(f, repos), A.severity_counts(f, repos))
 
 
+@register("markdown_documents")
+def markdown_documents(spark, sf):
+    f = _applied(spark, sf)
+    repos = T.repos_from_events(spark, sf)
+    return X.markdown_documents(f, A.risk_scores(f, repos), A.severity_counts(f, repos))
+
+
 _STEPS = G.MANUAL_STEPS
 _MAN = G.MANUAL[:G.MANUAL_SHOWN]
 

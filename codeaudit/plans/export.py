@@ -169,18 +169,52 @@ def baseline_rows(findings: DataFrame) -> DataFrame:
     return findings.select("repo_id", fingerprint().alias("fingerprint")).distinct()
 
 
-def json_reports(findings: DataFrame, scores: DataFrame, counts: DataFrame) -> DataFrame:
-    """K1: per repo: grade, risk, counts and the findings with fingerprints."""
+def json_reports(findings: DataFrame, scores: DataFrame, counts: DataFrame,
+                 readiness: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """K1: per repo: grade, risk, counts, readiness and stats (when given) and
+    the findings with fingerprints."""
     f = findings.withColumn("fingerprint", fingerprint())
     cols = [c for c in f.columns if c != "repo_id"]
     g = f.groupBy("repo_id").agg(F.collect_list(F.struct(*cols)).alias("findings"))
     j = scores.join(counts, "repo_id").join(g, "repo_id", "left")
+    extra = []
+    if readiness is not None:
+        j = j.join(readiness.select("repo_id", F.struct(*[c for c in readiness.columns if c != "repo_id"]).alias("readiness")),
+                   "repo_id", "left")
+        extra.append(F.col("readiness"))
+    if stats is not None:
+        j = j.join(stats.select("repo_id", F.struct(*[c for c in stats.columns if c != "repo_id"]).alias("stats")),
+                   "repo_id", "left")
+        extra.append(F.col("stats"))
     doc = F.struct(F.lit(TOOL_NAME).alias("tool"), F.col("repo_id").alias("root"), "grade", "risk_score",
-                   F.struct("critical", "high", "medium", "low", "info").alias("counts"),
+                   F.struct("critical", "high", "medium", "low", "info").alias("counts"), *extra,
                    F.coalesce("findings", F.array()).alias("findings"))
     return j.select("repo_id", F.to_json(doc).alias("document"))
 
 
+def markdown_documents(findings: DataFrame, scores: DataFrame, counts: DataFrame, k: int = 25) -> DataFrame:
+    """K3 text: header with grade and risk, the severity counts table, the top
+    ``k`` critical/high/medium rows, and "+N more" — assembled from relations."""
+    rows = markdown_rows(findings, k)
+    line = F.concat(F.lit("| "), F.col("severity"), F.lit(" | "), F.col("title"), F.lit(" | "), F.col("location"), F.lit(" |"))
+    body = rows.groupBy("repo_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]).alias("lines"),
+        F.count(F.lit(1)).alias("shown"))
+    total = findings.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total"))
+    j = scores.join(counts, "repo_id").join(body, "repo_id", "left").join(total, "repo_id", "left")
+    table = F.when(F.col("lines").isNull(), F.lit("No critical, high, or medium findings."))\
+        .otherwise(F.concat(F.lit("| Sev | Finding | Location |\n|---|---|---|\n"), F.array_join("lines", "\n")))
+    more = F.coalesce(F.col("total"), F.lit(0)) - F.coalesce(F.col("shown"), F.lit(0))
+    text = F.concat(
+        F.lit("## Security scan\n\n**Grade `"), F.col("grade"), F.lit("`** · risk "), F.col("risk_score").cast("string"),
+        F.lit("/100\n\n| Critical | High | Medium | Low | Info |\n|---:|---:|---:|---:|---:|\n| "),
+        F.concat_ws(" | ", *[F.col(c).cast("string") for c in ("critical", "high", "medium", "low", "info")]),
+        F.lit(" |\n\n"), table,
+        F.when((F.col("lines").isNotNull()) & (more > 0),
+               F.concat(F.lit("\n\n_+"), more.cast("string"), F.lit(" more findings._"))).otherwise(F.lit("")))
+    return j.select("repo_id", text.alias("document"))
+
+
 def rule_catalogue(spark: SparkSession) -> DataFrame:
     """K9: every rule the engine knows, one row each."""
     from codeaudit.operators.readiness import CHECKS

@@ -95,3 +95,23 @@ def test_rule_catalogue(spark):
     rows = rule_catalogue(spark).groupBy("kind").count().collect()
     got = {r["kind"]: r["count"] for r in rows}
     assert got == {"secret": 24, "config": 38, "dangerous-file": 13, "readiness": 18} and kinds
+
+
+def test_reports(spark, tmp_path):
+    import json as _json
+
+    from codeaudit.operators import findings as A
+    from codeaudit.plans import export as X
+    _repo(str(tmp_path))
+    files = tree.files_from_trees(spark, [("r", str(tmp_path))])
+    res = PS.scan(files, enabled=["secrets", "config", "readiness"])
+    j = _json.loads(X.json_reports(res.findings, res.scores, res.counts, res.readiness, res.stats).collect()[0]["document"])
+    assert j["findings"] and j["grade"] == "F" and "score" in j["readiness"] and j["stats"]["files_scanned"] >= 4
+    assert all(len(f["fingerprint"]) == 16 for f in j["findings"])
+    md = X.markdown_documents(res.findings, res.scores, res.counts).collect()[0]["document"]
+    assert md.startswith("## ") and "| critical |" in md and FAKE_AWS not in md
+    sarif = _json.loads(X.sarif_documents(res.findings).collect()[0]["document"])
+    assert sarif["version"] == "2.1.0" and sarif["runs"][0]["results"]
+    assert all(r["level"] in ("error", "warning", "note") for r in sarif["runs"][0]["results"])
+    assert FAKE_AWS not in _json.dumps(sarif)
+    assert A.first_seen_rules(res.findings).count() == len({f["id"] for f in j["findings"]})
