@@ -951,7 +951,8 @@ def _schema(spark, sf, table):
 def stream_secret_findings(spark, sf):
     out = ST.stream_file_findings(spark, sf, "documents.parquet", _schema(spark, sf, "documents"),
                                   T.documents_to_files, ["secrets"])
-    return spark.read.parquet(out).select(*FINDING_COLUMNS)
+    from codeaudit.model import FINDING_SCHEMA
+    return ST.read_sink(spark, out, FINDING_SCHEMA).select(*FINDING_COLUMNS)
 
 
 @register("stream_new_findings", f"""
@@ -960,7 +961,10 @@ def stream_secret_findings(spark, sf):
 def stream_new_findings(spark, sf):
     out = ST.stream_new_findings(spark, sf, "events.parquet", _schema(spark, sf, "events"),
                                  T.events_to_findings, T.baseline_from_labels(spark, sf))
-    return spark.read.parquet(out).select(*FINDING_COLUMNS, "ord_pos", "fingerprint")
+    from codeaudit.model import FINDING_SCHEMA
+    from pyspark.sql import types as Ty
+    schema = Ty.StructType(list(FINDING_SCHEMA.fields)).add("ord_pos", "long").add("fingerprint", "string")
+    return ST.read_sink(spark, out, schema).select(*FINDING_COLUMNS, "ord_pos", "fingerprint")
 
 
 def _first_seen_sql() -> str:
@@ -983,7 +987,7 @@ WHERE value <> '' AND (rule_id = 'private-key' OR NOT {RS.placeholder_sql('value
 def stream_first_seen(spark, sf):
     out = ST.stream_first_seen(spark, sf, "conversations.parquet", _schema(spark, sf, "conversations"),
                                T.conversations_to_adds)
-    return spark.read.schema("repo_id string, rule_id string, v24 string").parquet(out)
+    return ST.read_sink(spark, out, "repo_id string, rule_id string, v24 string")
 
 
 # --------------------------------------------------------------------------

@@ -33,6 +33,37 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
 
 
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def is_dir(spark: SparkSession, path: str) -> bool:
+    """Directory test on any Hadoop file system (local, HDFS, object stores)."""
+    fs, p = _fs_path(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
+def read_sink(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The parquet sink of a finished stream; empty when no batch ran."""
+    if is_dir(spark, path):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def _source(spark: SparkSession, source_dir: str, glob: str, schema: T.StructType, **options):
+    """A parquet file stream over ``source_dir`` filtered to ``glob``; when
+    ``glob`` names a directory (a table written by Spark), stream that directory."""
+    reader = spark.readStream.schema(schema)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    table_dir = source_dir.rstrip("/") + "/" + glob
+    if is_dir(spark, table_dir):
+        return reader.parquet(table_dir)
+    return reader.option("pathGlobFilter", glob).parquet(source_dir)
+
+
 def run_to_completion(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
@@ -52,8 +83,7 @@ def stream_file_findings(spark: SparkSession, source_dir: str, glob: str, schema
         f = file_findings(to_files(df), enabled)
         f.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}"))
 
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", 64).parquet(source_dir))
+    stream = _source(spark, source_dir, glob, schema, maxFilesPerTrigger=64)
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(base, "ckpt"))
          .trigger(availableNow=True).start())
     run_to_completion(q)
@@ -82,7 +112,7 @@ def stream_first_seen(spark: SparkSession, source_dir: str, glob: str, schema: T
     from codeaudit.functions.text import is_placeholder
     base = _scratch(spark, "first-seen")
     out = os.path.join(base, "out")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
+    stream = _source(spark, source_dir, glob, schema)
     m = credential_matches(to_adds(stream))
     m = m.filter((F.col("rule_id") == "private-key") | ~is_placeholder("value"))
     keyed = m.select("repo_id", "rule_id", F.substring("value", 1, 24).alias("v24")).dropDuplicates(
@@ -99,7 +129,7 @@ def stream_new_findings(spark: SparkSession, source_dir: str, glob: str, schema:
     """Findings that are not in the accepted baseline (stream–static join)."""
     base = _scratch(spark, "new-findings")
     out = os.path.join(base, "out")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
+    stream = _source(spark, source_dir, glob, schema)
     f = to_findings(stream).withColumn("fingerprint", fingerprint())
     b = baseline.select("repo_id", "fingerprint", F.lit(True).alias("_accepted")).distinct()
     alerts = f.join(b, ["repo_id", "fingerprint"], "left_outer").filter(F.col("_accepted").isNull()).drop("_accepted")
