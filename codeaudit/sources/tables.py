@@ -65,22 +65,23 @@ def documents_to_files(documents: DataFrame) -> DataFrame:
 
 
 def previous_files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same tree one revision earlier: every fourth document (doc_id mod 4
-    = 1) had an extra trailing line and an older mtime."""
-    cur = files_from_documents(spark, sf_dir)
+    """The same tree one revision earlier: the French documents had an extra
+    trailing line and an older mtime."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang")
+    changed = F.col("lang") == "fr"
+    d = d.withColumn("text", F.when(changed, F.concat("text", F.lit("\n# previous revision"))).otherwise(F.col("text")))
+    f = documents_to_files(d.withColumnRenamed("lang", "_lang"))
+    old = d.select(F.col("source").alias("repo_id"), F.col("doc_id"), changed.alias("_changed"))
     doc = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
-    changed = doc % 4 == 1
-    content = F.when(changed, F.concat("content", F.lit("\n# previous revision"))).otherwise(F.col("content"))
-    return cur.withColumn("content", content) \
-        .withColumn("size", F.octet_length("content").cast("long")) \
-        .withColumn("mtime", F.when(changed, F.timestamp_seconds(F.lit(1_600_000_000))).otherwise(F.col("mtime")))
+    return f.withColumn("doc_id", doc).join(old, ["repo_id", "doc_id"]) \
+        .withColumn("mtime", F.when(F.col("_changed"), F.timestamp_seconds(F.lit(1_600_000_000))).otherwise(F.col("mtime"))) \
+        .drop("doc_id", "_changed")
 
 
 def changed_files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``changed_files`` stand-in: documents with doc_id mod 3 = 0 changed since the base ref."""
-    cur = files_from_documents(spark, sf_dir)
-    doc = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
-    return cur.filter(doc % 3 == 0).select("repo_id", "path")
+    """``changed_files`` stand-in: the documents not written in English changed since the base ref."""
+    d = read(spark, sf_dir, "documents").filter(F.col("lang") != "en")
+    return documents_to_files(d).select("repo_id", "path")
 
 
 def raw_tree_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
