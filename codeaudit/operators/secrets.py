@@ -71,12 +71,21 @@ def _meta(field: str) -> Column:
     return _map_lit({r.id: getattr(r, field) for r in R.SECRET_RULES})[F.col("rule_id")]
 
 
+# Example env files are documentation of configuration, not configuration.
+EXAMPLE_ENV_FILES = [".env.example"]
+
+
+def secret_low_trust(path: Column, name: Column) -> Column:
+    """Test/docs paths and doc extensions (F2), plus example env files."""
+    return is_low_trust(path, name) | name.isin(*EXAMPLE_ENV_FILES)
+
+
 def eligible_files(files: DataFrame) -> DataFrame:
     """Non-empty text within the size cap, with the per-file flags the gates need."""
     return (files.filter((F.col("size") <= R.MAX_FILE_BYTES) & (F.length("content") > 0))
             .select(*KEYS, "name", "content",
                     is_minified(F.col("name"), F.col("content")).alias("minified"),
-                    is_low_trust(F.col("path"), F.col("name")).alias("low_trust")))
+                    secret_low_trust(F.col("path"), F.col("name")).alias("low_trust")))
 
 
 def raw_matches(files: DataFrame, rules: list[ScanRule] = SCAN_RULES) -> DataFrame:

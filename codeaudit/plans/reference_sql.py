@@ -111,7 +111,7 @@ def secret_matches_sql(files_sql: str = FILES_FROM_DOCUMENTS) -> str:
     return f"""
 ef AS (
     SELECT repo_id, path, content, {minified_sql('name', 'content')} AS minified,
-           {low_trust_sql('path', 'ext')} AS low_trust
+           ({low_trust_sql('path', 'ext')} OR name = '.env.example') AS low_trust
     FROM ({file_cols_sql(files_sql)}) WHERE size <= {R.MAX_FILE_BYTES} AND length(content) > 0
 ),
 rm AS ({union}

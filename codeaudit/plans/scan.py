@@ -81,7 +81,9 @@ def file_matches(files: DataFrame) -> DataFrame:
     applies.update({r.id: F.col("secret_ok") for r in S.SCAN_RULES})
     rules = list(S.SCAN_RULES) + [r.__class__(r.id, r.ord + CONFIG_ORD_OFFSET, r.pattern, r.group, r.hints, r.ihints)
                                   for r in C.SCAN_RULES]
-    return rule_matches(f, S.KEYS, "content", rules, carry=[*C.CARRY, "minified"], applies=applies, extra=extra)
+    f = f.withColumn("secret_low_trust", S.secret_low_trust(F.col("path"), F.col("name")))
+    return rule_matches(f, S.KEYS, "content", rules, carry=[*C.CARRY, "minified", "secret_low_trust"],
+                        applies=applies, extra=extra)
 
 
 CONFIG_ORD_OFFSET = 100
@@ -96,7 +98,7 @@ def file_findings(files: DataFrame, enabled: list[str]) -> DataFrame | None:
     if want_s and want_c:
         m = file_matches(files)
         is_secret = F.col("rule_id").isin(*_SECRET_IDS)
-        sec = S.findings_from_matches(m.filter(is_secret), with_order=True)
+        sec = S.findings_from_matches(m.filter(is_secret).withColumn("low_trust", F.col("secret_low_trust")), with_order=True)
         cfg = m.filter(~is_secret).withColumn(
             "rule_ord", F.when(F.col("rule_ord") >= CONFIG_ORD_OFFSET, F.col("rule_ord") - CONFIG_ORD_OFFSET)
             .otherwise(F.col("rule_ord")))
