@@ -69,7 +69,11 @@ def header_findings(http_obs: DataFrame) -> DataFrame:
         F.lit("medium"), F.col("url"), F.substring(F.split("c", "=")[0], 1, 40),
         F.lit("Set Secure; HttpOnly; SameSite on session cookies."),
         F.lit("https://cwe.mitre.org/data/definitions/1004.html")))
-    return reduce(lambda a, b: a.unionByName(b), [h1, h2, h3, h4, h5, h6])
+    # a failed fetch is reported once (info) and gets no header checks
+    h0 = http_obs.filter(F.coalesce(F.col("error"), F.lit("")) != "").select(*_f(
+        F.col("host"), F.lit("surface/unreachable"), F.concat(F.lit("Could not reach "), F.col("url")), F.lit("info"),
+        F.col("url"), F.col("error"), F.lit("Check the hostname, or pass the scheme-less domain.")))
+    return reduce(lambda a, b: a.unionByName(b), [h0, h1, h2, h3, h4, h5, h6])
 
 
 def redirect_findings(plain_obs: DataFrame) -> DataFrame:

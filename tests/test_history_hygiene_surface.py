@@ -78,3 +78,11 @@ def test_surface_headers_and_tls(spark):
                                 "host string, version string, not_after string, verify_error string")
     t = {(r["repo_id"], r["id"], r["severity"]) for r in H.tls_findings(tls, "2025-01-01 00:00:00").collect()}
     assert t == {("h", "surface/tls-old", "high"), ("h", "surface/cert-expiring", "high"), ("x", "surface/tls-invalid", "critical")}
+
+
+def test_surface_unreachable(spark):
+    obs = spark.createDataFrame([("h", "https://h", None, None, None, None, "URLError")],
+                                "host string, url string, status int, final_url string, headers map<string,string>, "
+                                "set_cookie array<string>, error string")
+    r = [(x["id"], x["severity"], x["evidence"]) for x in H.header_findings(obs).collect()]
+    assert r == [("surface/unreachable", "info", "URLError")]
