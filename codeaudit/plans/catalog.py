@@ -1044,6 +1044,11 @@ def sarif_documents(spark, sf):
     return X.sarif_documents(_applied(spark, sf))
 
 
+@register("spdx_documents")
+def spdx_documents(spark, sf):
+    return X.spdx_documents(_stand(spark, sf))
+
+
 @register("cyclonedx_documents")
 def cyclonedx_documents(spark, sf):
     return X.cyclonedx_documents(_stand(spark, sf))

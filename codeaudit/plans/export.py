@@ -91,6 +91,31 @@ def cyclonedx_documents(packages: DataFrame, project_license: DataFrame | None =
     return g.select("repo_id", F.to_json(doc).alias("document"))
 
 
+def spdx_documents(packages: DataFrame, timestamp: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """K6 documents: one SPDX 2.3 JSON per repo, packages in index order, the
+    first DESCRIBED and the rest CONTAINED by the document."""
+    rows = spdx_packages(packages)
+    pkg = F.struct(
+        F.col("spdx_id").alias("SPDXID"), "name", F.col("version_info").alias("versionInfo"),
+        F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"),
+        F.lit("NOASSERTION").alias("licenseConcluded"), F.lit("NOASSERTION").alias("licenseDeclared"),
+        F.lit("NOASSERTION").alias("copyrightText"),
+        F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"),
+                         F.col("purl").alias("referenceLocator"))).alias("externalRefs"))
+    rel = F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.col("relationship").alias("relationshipType"),
+                   F.col("spdx_id").alias("relatedSpdxElement"))
+    g = rows.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("i", pkg.alias("p"), rel.alias("r")))).alias("x"))
+    doc = F.struct(
+        F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"),
+        F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), F.concat(F.col("repo_id"), F.lit("-sbom")).alias("name"),
+        F.concat(F.lit("https://spdx.org/spdxdocs/"), F.col("repo_id"), F.lit("-"), serial(F.col("repo_id"))).alias("documentNamespace"),
+        F.struct(F.lit(timestamp).alias("created"),
+                 F.array(F.lit(f"Tool: {TOOL_NAME}-{TOOL_VERSION}")).alias("creators")).alias("creationInfo"),
+        F.transform("x", lambda e: e["p"]).alias("packages"),
+        F.transform("x", lambda e: e["r"]).alias("relationships"))
+    return g.select("repo_id", F.to_json(doc).alias("document"))
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """K2 rows: one SARIF result per finding (level, message, location,
     fingerprint); URLs and empty paths point at '.', line at least 1."""
