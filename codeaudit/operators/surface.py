@@ -9,8 +9,6 @@ handshake.  ``now`` is a parameter so results are deterministic.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,52 +26,61 @@ def _f(host_col: Column, id_: Column, title: Column, sev: Column, path: Column,
             (reference if reference is not None else F.lit("")).alias("reference")]
 
 
+_FIXES = {"strict-transport-security": "Send Strict-Transport-Security with a long max-age.",
+          "content-security-policy": "Ship a Content-Security-Policy, report-only first.",
+          "x-content-type-options": "Send X-Content-Type-Options: nosniff.",
+          "referrer-policy": "Send a strict Referrer-Policy.",
+          "permissions-policy": "Send a Permissions-Policy that disables unused features.",
+          "x-frame-options": "Send X-Frame-Options: DENY or CSP frame-ancestors."}
+
+
+def _item(id_: Column, title: Column, sev: Column, evidence: Column, remediation: Column,
+          reference: Column | None = None) -> Column:
+    return F.struct(id_.alias("id"), title.alias("title"), sev.alias("severity"), evidence.alias("evidence"),
+                    remediation.alias("remediation"), (reference if reference is not None else F.lit("")).alias("reference"))
+
+
 def header_findings(http_obs: DataFrame) -> DataFrame:
-    """H1–H6 per reachable response."""
-    ok = http_obs.filter(F.col("error").isNull() | (F.col("error") == ""))
+    """H1–H6 per reachable response, one pass: every check contributes
+    optional finding structs to one array per observation, exploded once.
+    A failed fetch is reported once (info) and gets no header checks."""
     h = F.col("headers")
-    req = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(t).alias("t")) for k, s, t in R.REQUIRED_HEADERS])
-    missing = ok.select("host", "url", F.explode(F.filter(req, lambda r: ~F.map_contains_key(h, r["k"]))).alias("r"))
-    fixes = {"strict-transport-security": "Send Strict-Transport-Security with a long max-age.",
-             "content-security-policy": "Ship a Content-Security-Policy, report-only first.",
-             "x-content-type-options": "Send X-Content-Type-Options: nosniff.",
-             "referrer-policy": "Send a strict Referrer-Policy.",
-             "permissions-policy": "Send a Permissions-Policy that disables unused features.",
-             "x-frame-options": "Send X-Frame-Options: DENY or CSP frame-ancestors."}
-    fixmap = F.create_map(*[x for k, v in fixes.items() for x in (F.lit(k), F.lit(v))])
-    h1 = missing.select(*_f(F.col("host"), F.concat(F.lit("surface/"), F.col("r.k")), F.col("r.t"), F.col("r.s"),
-                            F.col("url"), F.lit("header absent"), fixmap[F.col("r.k")], F.lit(HEADERS_REF)))
-    hsts = h["strict-transport-security"]
+    ok = F.coalesce(F.col("error"), F.lit("")) == ""
+    hsts, csp = h["strict-transport-security"], h["content-security-policy"]
     age = F.regexp_extract(hsts, r"max-age=([^;]*)", 1).try_cast("bigint")
-    h2 = ok.filter(hsts.isNotNull() & hsts.contains("max-age=") & (age < R.HSTS_MIN_AGE)).select(*_f(
-        F.col("host"), F.lit("surface/hsts-short"), F.lit("HSTS max-age below 180 days"), F.lit("low"), F.col("url"),
-        hsts, F.lit("Raise max-age to a year once HTTPS coverage is complete.")))
-    csp = h["content-security-policy"]
-    h3 = ok.filter(csp.isNotNull() & csp.contains("unsafe-inline")).select(*_f(
-        F.col("host"), F.lit("surface/csp-unsafe-inline"), F.lit("CSP allows 'unsafe-inline'"), F.lit("medium"),
-        F.col("url"), F.substring(csp, 1, 140), F.lit("Replace 'unsafe-inline' with nonces or hashes.")))
-    leaky = ok.select("host", "url", F.explode(F.map_filter(h, lambda k, v: k.isin(*R.LEAKY_HEADERS) & (F.trim(v) != "")))
-                      .alias("k", "v"))
-    h4 = leaky.select(*_f(F.col("host"), F.lit("surface/version-disclosure"),
-                          F.concat(F.lit("Server version disclosed via `"), F.col("k"), F.lit("`")), F.lit("low"),
-                          F.col("url"), F.concat(F.col("k"), F.lit(": "), F.col("v")),
-                          F.concat(F.lit("Strip the `"), F.col("k"), F.lit("` header at the proxy."))))
-    h5 = ok.filter(h["access-control-allow-origin"] == "*").select(*_f(
-        F.col("host"), F.lit("surface/cors-wildcard"), F.lit("Live response sends Access-Control-Allow-Origin: *"),
-        F.lit("medium"), F.col("url"), F.lit("ACAO: *"), F.lit("Restrict to an explicit origin allowlist.")))
-    ck = ok.select("host", "url", F.explode(F.coalesce("set_cookie", F.array().cast("array<string>"))).alias("c"))
-    low = F.lower("c")
-    miss = F.filter(F.array(F.lit("secure"), F.lit("httponly"), F.lit("samesite")), lambda x: ~low.contains(x))
-    h6 = ck.filter(F.size(miss) > 0).select(*_f(
-        F.col("host"), F.lit("surface/cookie-flags"), F.concat(F.lit("Cookie missing "), F.array_join(miss, ", ")),
-        F.lit("medium"), F.col("url"), F.substring(F.split("c", "=")[0], 1, 40),
-        F.lit("Set Secure; HttpOnly; SameSite on session cookies."),
-        F.lit("https://cwe.mitre.org/data/definitions/1004.html")))
-    # a failed fetch is reported once (info) and gets no header checks
-    h0 = http_obs.filter(F.coalesce(F.col("error"), F.lit("")) != "").select(*_f(
-        F.col("host"), F.lit("surface/unreachable"), F.concat(F.lit("Could not reach "), F.col("url")), F.lit("info"),
-        F.col("url"), F.col("error"), F.lit("Check the hostname, or pass the scheme-less domain.")))
-    return reduce(lambda a, b: a.unionByName(b), [h0, h1, h2, h3, h4, h5, h6])
+    items = [F.when(~ok, _item(F.lit("surface/unreachable"), F.concat(F.lit("Could not reach "), F.col("url")),
+                               F.lit("info"), F.col("error"), F.lit("Check the hostname, or pass the scheme-less domain.")))]
+    for k, sev, title in R.REQUIRED_HEADERS:  # H1
+        items.append(F.when(ok & ~F.map_contains_key(h, k), _item(
+            F.lit(f"surface/{k}"), F.lit(title), F.lit(sev), F.lit("header absent"), F.lit(_FIXES[k]), F.lit(HEADERS_REF))))
+    items.append(F.when(ok & hsts.isNotNull() & hsts.contains("max-age=") & (age < R.HSTS_MIN_AGE), _item(  # H2
+        F.lit("surface/hsts-short"), F.lit("HSTS max-age below 180 days"), F.lit("low"), hsts,
+        F.lit("Raise max-age to a year once HTTPS coverage is complete."))))
+    items.append(F.when(ok & csp.isNotNull() & csp.contains("unsafe-inline"), _item(  # H3
+        F.lit("surface/csp-unsafe-inline"), F.lit("CSP allows 'unsafe-inline'"), F.lit("medium"), F.substring(csp, 1, 140),
+        F.lit("Replace 'unsafe-inline' with nonces or hashes."))))
+    for k in R.LEAKY_HEADERS:  # H4
+        v = h[k]
+        items.append(F.when(ok & v.isNotNull() & (F.trim(v) != ""), _item(
+            F.lit("surface/version-disclosure"), F.lit(f"Server version disclosed via `{k}`"), F.lit("low"),
+            F.concat(F.lit(f"{k}: "), v), F.lit(f"Strip the `{k}` header at the proxy."))))
+    items.append(F.when(ok & (h["access-control-allow-origin"] == "*"), _item(  # H5
+        F.lit("surface/cors-wildcard"), F.lit("Live response sends Access-Control-Allow-Origin: *"), F.lit("medium"),
+        F.lit("ACAO: *"), F.lit("Restrict to an explicit origin allowlist."))))
+
+    def cookie(c: Column) -> Column:  # H6
+        low = F.lower(c)
+        miss = F.filter(F.array(F.lit("secure"), F.lit("httponly"), F.lit("samesite")), lambda x: ~low.contains(x))
+        return F.when(F.size(miss) > 0, _item(
+            F.lit("surface/cookie-flags"), F.concat(F.lit("Cookie missing "), F.array_join(miss, ", ")), F.lit("medium"),
+            F.substring(F.split(c, "=")[0], 1, 40), F.lit("Set Secure; HttpOnly; SameSite on session cookies."),
+            F.lit("https://cwe.mitre.org/data/definitions/1004.html")))
+    cookies = F.when(ok, F.transform(F.coalesce("set_cookie", F.array().cast("array<string>")), cookie))
+    item_type = "array<struct<id:string,title:string,severity:string,evidence:string,remediation:string,reference:string>>"
+    all_items = F.concat(F.array(*items), F.coalesce(cookies, F.array().cast(item_type)))
+    x = http_obs.select("host", "url", F.explode(F.filter(all_items, lambda e: e.isNotNull())).alias("f"))
+    return x.select(F.col("host").alias("repo_id"), "f.id", "f.title", "f.severity", F.lit(SCANNER).alias("scanner"),
+                    F.col("url").alias("path"), F.lit(0).alias("line"), "f.evidence", "f.remediation", "f.reference")
 
 
 def redirect_findings(plain_obs: DataFrame) -> DataFrame:
