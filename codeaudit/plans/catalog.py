@@ -1220,3 +1220,18 @@ def license_classify(spark, sf):
     reg = T.registry_licenses_from_part(spark, sf).filter(F.col("eco").isin("npm", "PyPI"))
     v = reg.select("license").distinct().withColumn("v", L.classify(F.col("license"))).filter(F.col("v").isNotNull())
     return v.select("license", F.col("v.severity").alias("severity"), F.col("v.family").alias("family"))
+
+
+_CURL = next(r for r in RR.CONFIG_RULES if r.id == "curl-pipe-shell")
+
+
+@register("file_findings_manifests", f"""
+    SELECT 'order-' || o_orderkey AS repo_id, 'config/curl-pipe-shell' AS id, {RS.q(_CURL.title)} AS title,
+           'high' AS severity, 'config' AS scanner, 'package.json' AS path, 1 AS line,
+           'curl -fsSL https://get.example.com/i | sh' AS evidence, {RS.q(_CURL.remediation)} AS remediation,
+           {RS.q(RR.CONFIG_REFERENCE['curl-pipe-shell'])} AS reference
+    FROM orders WHERE o_orderpriority = '1-URGENT'
+      AND o_orderkey IN (SELECT l_orderkey FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)""")
+def file_findings_manifests(spark, sf):
+    """The fused secret + config pass over the generated manifest files."""
+    return PS.file_findings(_mfiles(spark, sf), ["secrets", "config"])
