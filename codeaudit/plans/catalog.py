@@ -1235,3 +1235,35 @@ _CURL = next(r for r in RR.CONFIG_RULES if r.id == "curl-pipe-shell")
 def file_findings_manifests(spark, sf):
     """The fused secret + config pass over the generated manifest files."""
     return PS.file_findings(_mfiles(spark, sf), ["secrets", "config"])
+
+
+_RAW_CONTENT_SQL = """
+    SELECT source AS repo_id,
+           CASE doc_id % 8 WHEN 0 THEN 'src/app/doc_' || doc_id || '.py'
+                           WHEN 1 THEN 'node_modules/lib' || (doc_id % 3) || '/doc_' || doc_id || '.js'
+                           WHEN 2 THEN 'logs/doc_' || doc_id || '.log'
+                           WHEN 3 THEN 'docs/guide/doc_' || doc_id || '.md'
+                           WHEN 4 THEN 'build/doc_' || doc_id || '.js'
+                           WHEN 5 THEN 'tmp/doc_' || doc_id || '.tmp'
+                           WHEN 6 THEN 'pkg/cache/doc_' || doc_id || '.txt'
+                           ELSE (CASE WHEN doc_id % 16 = 15 THEN 'secrets/doc_' || doc_id || '.pem'
+                                      ELSE '.github/workflows/doc_' || doc_id || '.yml' END) END AS path,
+           text AS content
+    FROM documents
+    UNION ALL SELECT DISTINCT source, '.gitignore', '# c' || chr(10) || 'logs/' || chr(10) || '*.tmp' || chr(10)
+                                   || '!keep.log' || chr(10) || 'cache' || chr(10) FROM documents"""
+_KEPT_CONTENT_SQL = f"""
+    SELECT * FROM ({_RAW_CONTENT_SQL})
+    WHERE NOT (starts_with(path, 'node_modules/') OR starts_with(path, 'build/') OR starts_with(path, 'logs/')
+               OR ends_with(path, '.tmp') OR contains(path, '/cache/'))"""
+
+
+@register("tree_scan", f"""
+    SELECT {_FCOLS} FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo_id, path, line, left(evidence, 60) ORDER BY {_SEV_ORD}) AS rn
+        FROM (SELECT * FROM ({RS.secret_findings_sql(_KEPT_CONTENT_SQL)})
+              UNION ALL SELECT * FROM ({RS.config_findings_sql(_KEPT_CONTENT_SQL)})))
+    WHERE rn = 1""")
+def tree_scan(spark, sf):
+    """Raw tree → ignore rules, eligibility, decoding → the fused file scan."""
+    return PS.file_findings(_tree_files(spark, sf), ["secrets", "config"])
