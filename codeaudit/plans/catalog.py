@@ -1267,3 +1267,27 @@ _KEPT_CONTENT_SQL = f"""
 def tree_scan(spark, sf):
     """Raw tree → ignore rules, eligibility, decoding → the fused file scan."""
     return PS.file_findings(_tree_files(spark, sf), ["secrets", "config"])
+
+
+@register("pipeline_scores", f"""
+WITH f AS (
+    SELECT repo_id, severity, scanner FROM ({_FILE_FINDINGS_SQL})
+    UNION ALL SELECT DISTINCT source, 'medium', 'git' FROM documents
+    UNION ALL SELECT repo_id, severity, 'readiness' FROM (
+        SELECT repo_id, CASE WHEN weight >= 6 THEN 'medium' WHEN weight >= 4 THEN 'low' ELSE 'info' END AS severity
+        FROM ({_readiness_checks_sql(RS.FILES_FROM_DOCUMENTS)}) WHERE NOT passed)),
+per_sev AS (SELECT repo_id, severity, count(*) AS n FROM f WHERE scanner <> 'readiness' GROUP BY ALL),
+per_repo AS (SELECT repo_id, sum({_SEV_W} * (1 + ln(n))) AS raw, min({_SEV_ORD}) AS worst FROM per_sev GROUP BY ALL),
+repos AS (SELECT DISTINCT source AS repo_id FROM documents),
+scored AS (SELECT r.repo_id, CAST(least(100, round_even(coalesce(p.raw, 0.0), 0)) AS BIGINT) AS risk_score, p.worst
+           FROM repos r LEFT JOIN per_repo p USING (repo_id))
+SELECT repo_id, risk_score,
+       greatest(CASE WHEN 100 - risk_score >= 85 THEN 'A' WHEN 100 - risk_score >= 70 THEN 'B'
+                     WHEN 100 - risk_score >= 50 THEN 'C' WHEN 100 - risk_score >= 30 THEN 'D' ELSE 'F' END,
+                CASE worst WHEN 0 THEN 'F' WHEN 1 THEN 'C' WHEN 2 THEN 'B' ELSE 'A' END) AS grade
+FROM scored""")
+def pipeline_scores(spark, sf):
+    """The scan pipeline end to end (file detectors, git hygiene, readiness)
+    → risk and grade per repository."""
+    files = T.files_from_documents(spark, sf)
+    return PS.scan(files, enabled=["secrets", "config", "git", "readiness"]).scores
