@@ -96,7 +96,10 @@ def file_findings(files: DataFrame, enabled: list[str]) -> DataFrame | None:
     if not (want_s or want_c):
         return None
     if want_s and want_c:
-        m = file_matches(files)
+        from pyspark import StorageLevel
+        # the two detectors filter the shared match rows by rule; kept once so
+        # those filters are not pushed below the scan (which would run it twice)
+        m = file_matches(files).persist(StorageLevel.MEMORY_AND_DISK)
         is_secret = F.col("rule_id").isin(*_SECRET_IDS)
         sec = S.findings_from_matches(m.filter(is_secret).withColumn("low_trust", F.col("secret_low_trust")), with_order=True)
         cfg = m.filter(~is_secret).withColumn(
