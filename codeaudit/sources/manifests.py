@@ -37,15 +37,20 @@ LOCK_PARSERS = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock",
                 "requirements-dev.txt", "Pipfile.lock", "Gemfile.lock", "go.mod", "poetry.lock", "uv.lock", "Cargo.lock"]
 
 
+def _kind_pruned(files: DataFrame) -> DataFrame:
+    """On a ``files`` table stored partitioned by kind, read the manifest partition only."""
+    return files.filter(F.col("kind") == "manifest") if "kind" in files.columns else files
+
+
 def _files(files: DataFrame, *names: str) -> DataFrame:
-    return files.filter(F.col("name").isin(*names) & (F.coalesce(F.length("content"), F.lit(0)) > 0))
+    return _kind_pruned(files).filter(F.col("name").isin(*names) & (F.coalesce(F.length("content"), F.lit(0)) > 0))
 
 
 def _subset(files: DataFrame, *names: str) -> DataFrame:
     """The rows of the named manifests, read once and kept for the branches
     that follow (a small share of a tree's files)."""
     from pyspark import StorageLevel
-    return files.filter(F.col("name").isin(*names)).select("repo_id", "path", "name", "dir", "content") \
+    return _kind_pruned(files).filter(F.col("name").isin(*names)).select("repo_id", "path", "name", "dir", "content") \
         .persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -195,8 +200,8 @@ def lockfile_packages(files: DataFrame, with_bun: bool = True) -> DataFrame:
     small share of a tree), so the parser branches do not each re-read the
     contents of every file."""
     from pyspark import StorageLevel
-    files = files.filter(F.col("name").isin(*LOCK_PARSERS)).select("repo_id", "path", "name", "dir", "content") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    files = _kind_pruned(files).filter(F.col("name").isin(*LOCK_PARSERS)) \
+        .select("repo_id", "path", "name", "dir", "content").persist(StorageLevel.MEMORY_AND_DISK)
     parts = [
         npm_lock(files),
         yarn_lock(files),

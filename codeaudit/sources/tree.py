@@ -156,3 +156,26 @@ def files_from_raw(raw: DataFrame, tracked: DataFrame | None = None, git_repos:
     else:
         f = f.withColumn("tracked", F.lit(None).cast("boolean"))
     return f.select("repo_id", "path", "name", "dir", "ext", "size", "mtime", "tracked", "content")
+
+
+# Storage layout: the per-name branches (lockfiles, manifests, ignore files,
+# readiness targets) read few rows, but a parquet scan reads whole column
+# chunks of ``content``.  Writing ``files`` partitioned by ``kind`` lets those
+# branches prune to their partition instead of re-reading every file's text.
+MANIFEST_NAMES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "requirements.txt",
+                  "requirements-dev.txt", "Pipfile.lock", "Gemfile.lock", "go.mod", "poetry.lock", "uv.lock",
+                  "Cargo.lock", "package.json", "pyproject.toml", "Gemfile", "Cargo.toml", "Pipfile"]
+
+
+def file_kind() -> Column:
+    name = F.element_at(F.split("path", "/"), -1)
+    return (F.when(name.isin(*MANIFEST_NAMES), F.lit("manifest"))
+             .when(name.isin(*IGNORE_FILES), F.lit("ignore"))
+             .otherwise(F.lit("source")))
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Persist a ``files`` table partitioned by kind (then by repo_id inside
+    each file by clustering), for partition-pruned manifest/ignore reads."""
+    files.withColumn("kind", file_kind()).repartition("kind", "repo_id") \
+        .write.mode("overwrite").partitionBy("kind").parquet(path)

@@ -64,3 +64,21 @@ def test_tracked_flags(spark, tmp_path):
     assert t == {".env": False, "app.py": True}
     r = config.config_findings(files).collect()
     assert [(x["id"], x["severity"]) for x in r] == [("config/untracked-secret-file", "medium")]
+
+
+def test_files_partitioned_by_kind_prune_manifest_reads(spark, tmp_path):
+    import json as _json
+
+    from codeaudit.sources import manifests as M
+    root = str(tmp_path / "tree")
+    _write(root, "package.json", _json.dumps({"dependencies": {"a": "*"}}))
+    _write(root, "src/app.py", "x = 1\n")
+    _write(root, ".gitignore", ".env\n")
+    files = tree.files_from_trees(spark, [("r", root)])
+    out = str(tmp_path / "files")
+    tree.write_files(files, out)
+    stored = spark.read.parquet(out)
+    assert {r["kind"] for r in stored.select("kind").distinct().collect()} == {"manifest", "ignore", "source"}
+    plan = M.floating_dependencies(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan and "manifest" in plan
+    assert [r["evidence"] for r in M.floating_dependencies(stored).collect()] == ["a: *"]
