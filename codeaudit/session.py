@@ -1,8 +1,9 @@
 """SparkSession construction and the shared checkpoint location.
 
 On a cluster the session is built elsewhere and ``spark.checkpoint.dir`` points
-at shared storage; we only read it.  Local runs (tests, bench) get a fresh
-scratch directory when the setting is absent.
+at shared storage; we only read it.  Sessions with a local master (tests,
+bench) get a fresh scratch directory when the setting is absent; on a cluster
+a missing setting is an error, never a machine-local folder.
 """
 
 from __future__ import annotations
@@ -41,10 +42,14 @@ def get_spark(app: str = "codeaudit", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The lineage-cutting location: ``spark.checkpoint.dir`` from the session,
-    or a fresh local scratch directory when it is unset (local runs only)."""
+    """The lineage-cutting location: ``spark.checkpoint.dir`` from the session.
+    Unset, a local master gets a fresh scratch directory and any other master
+    an error, since executors could not see a folder of the driver's."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="codeaudit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
