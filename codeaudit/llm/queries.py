@@ -16,7 +16,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate}
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeaudit.llm.jaccard import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op6_jaccard_join": op6_jaccard_join}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
