@@ -21,7 +21,28 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op6_jaccard_join": op6_jaccard_join}
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeaudit.llm.shards import shard
+    d = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+                    F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+                    F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeaudit.llm.lines import dedup_lines
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeaudit.llm.warc import archive, records
+    path = archive(table(spark, sf_dir, "pages"))
+    return records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_shards": op5_shards, "op6_jaccard_join": op6_jaccard_join,
+           "op7_line_dedup": op7_line_dedup, "op9_warc": op9_warc}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -40,4 +61,23 @@ with d as (select row_number() over () as r, doc_id, {_WORDS} as w from document
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(ids), 0)::bigint as n_items,
        sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join pos using (r) left join its using (r)""",
+    "op7_line_dedup": """
+with d as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+     w as (select doc_id, l, unnest(range(1, len(l) - 1)) as p from d where len(l) >= 3),
+     g as (select doc_id, p, row_number() over (partition by l[p:p + 2] order by doc_id, p) as k from w
+           where regexp_matches(array_to_string(l[p:p + 2], chr(10)), '\\S')),
+     gone as (select doc_id, list(distinct q) as q from (select doc_id, unnest([p, p + 1, p + 2]) as q from g where k > 1)
+              group by doc_id)
+select doc_id, case when q is null then text
+                    else coalesce(array_to_string([l[i] for i in range(1, len(l) + 1) if not list_contains(q, i)], chr(10)), '') end as text,
+       coalesce(len(l), 0)::bigint as n_lines, coalesce(len(q), 0)::bigint as n_removed
+from d left join gone using (doc_id)""",
+    "op9_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+     h as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as payload_digest,
+                  max(page_id) over (partition by sha1(b), octet_length(b)) as kept from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> kept then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> kept then kept end as refers_to
+from h""",
 }
