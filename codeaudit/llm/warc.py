@@ -28,7 +28,6 @@ an empty table makes an archive without records; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import io
 import json
 import re
 import struct
@@ -121,7 +120,7 @@ class WarcWriter(DataSourceArrowWriter):
                     for r in batch.slice(start, 256).to_pylist():
                         if out is None:
                             files.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                            out, size = fs.open_output_stream(f"{folder}/{files[-1]}"), 0
+                            out, size = fs.open_output_stream(f"{folder}/{files[-1]}", compression=None), 0
                         member = _member(_record(r), self.level)
                         out.write(member)
                         size += len(member)
@@ -184,66 +183,76 @@ def _body(block: bytes, h: dict[bytes, str]) -> bytes:
     return rest if gap else b""
 
 
-def _members(f: io.BufferedReader, wanted) -> Iterator[tuple[dict[bytes, str], bytes | None]]:
+class _Source:
+    """A file read from `at` on, through a buffer."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.at, self._start, self._held = file, 0, 0, b""
+
+    def read(self, n: int) -> bytes:
+        i = self.at - self._start
+        if not 0 <= i <= len(self._held) or len(self._held) - i < n:
+            self._start, self._held, i = self.at, self.file.read_at(max(n, 1 << 20), self.at), 0
+        out = self._held[i:i + n]
+        self.at += len(out)
+        return out
+
+
+def _members(f: _Source, wanted) -> Iterator[tuple[dict[bytes, str], bytes | None]]:
     """(headers, block or None) of each gzip record that `wanted(headers)`
     asks for: None leaves it out, False asks for the headers only."""
     while True:
-        at = f.tell()
+        begin = f.at
         fixed = f.read(12)
         if len(fixed) < 12:
             return
         extra = f.read(struct.unpack("<H", fixed[10:12])[0]) if fixed[3] & 4 else b""
         packed = struct.unpack("<I", extra[4:8])[0] if extra[:2] == b"sl" and len(extra) >= 12 else None
-        f.seek(at)
-        z, data, ask = zlib.decompressobj(31), bytearray(), None
-        while not z.eof:
-            chunk = f.read(_BLOCK)
+        f.at = begin
+        z, data, end = zlib.decompressobj(31), bytearray(), -1
+        while end < 0 and not z.eof:
+            chunk = z.unconsumed_tail or f.read(_BLOCK)
             if not chunk:
                 return
-            if ask is None:
-                data += z.decompress(chunk, 4096)
-                while b"\r\n\r\n" not in data and z.unconsumed_tail:
-                    data += z.decompress(z.unconsumed_tail, 4096)
-                end = data.find(b"\r\n\r\n")
-                if end < 0 and not z.eof:
-                    continue
-                head = _parse(bytes(data[:end]))
-                ask = wanted(head)
-                ask = "skip" if ask is None else ask
-                if ask is not True and packed:
-                    break
-                chunk = z.unconsumed_tail
-            more = z.decompress(chunk) if chunk else b""
-            if ask is True:
-                data += more
-        f.seek(at + packed if packed else f.tell() - len(z.unused_data))
-        if ask == "skip":
-            continue
+            data += z.decompress(chunk, 4096)
+            end = data.find(b"\r\n\r\n")
+        head = _parse(bytes(data[:max(end, 0)]))
+        ask = wanted(head)
         block = None
-        if ask is True:
-            size = int(head.get(b"content-length", 0))
-            block = bytes(data[end + 4:end + 4 + size])
-        yield head, block
+        if ask or not packed:
+            while not z.eof:
+                chunk = z.unconsumed_tail or f.read(_BLOCK)
+                if not chunk:
+                    break
+                more = z.decompress(chunk, 1 << 20)
+                if ask:
+                    data += more
+            if ask:
+                block = bytes(data[end + 4:end + 4 + int(head.get(b"content-length", 0))])
+        f.at = begin + packed if packed else f.at - len(z.unused_data)
+        if ask is not None:
+            yield head, block
 
 
-def _plain(f: io.BufferedReader, wanted) -> Iterator[tuple[dict[bytes, str], bytes | None]]:
+def _plain(f: _Source, wanted) -> Iterator[tuple[dict[bytes, str], bytes | None]]:
     while True:
-        head = bytearray()
-        while not head.endswith(b"\r\n\r\n"):
-            line = f.readline()
-            if not line:
+        while (mark := f.read(2)) == b"\r\n":
+            pass
+        begin, size, end = f.at - len(mark), 4096, -1
+        while end < 0:
+            f.at = begin
+            data = f.read(size)
+            end = data.find(b"\r\n\r\n")
+            if end < 0 and len(data) < size:
                 return
-            if head or line.strip():
-                head += line
-        h = _parse(bytes(head[:-4]))
-        size = int(h.get(b"content-length", 0))
+            size *= 2
+        h = _parse(data[:end])
+        f.at = begin + end + 4
+        n = int(h.get(b"content-length", 0))
         ask = wanted(h)
-        if ask is True:
-            yield h, f.read(size)
-        else:
-            f.seek(size, io.SEEK_CUR)
-            if ask is False:
-                yield h, None
+        if ask is not None:
+            yield h, f.read(n) if ask else None
+        f.at = begin + end + 4 + n
 
 
 class WarcReader(DataSourceReader):
@@ -305,8 +314,8 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for path in partition.paths:
-            with io.BufferedReader(fs.open_input_file(path), 1 << 20) as f:
-                for h, block in (_members if path.endswith(".gz") else _plain)(f, self._wanted):
+            with fs.open_input_file(path) as file:
+                for h, block in (_members if path.endswith(".gz") else _plain)(_Source(file), self._wanted):
                     rows.append({n: (_body(block, h) if h.get(b"warc-type") != "revisit" else None) if n == "payload"
                                  else _field(h, n) for n in self.names})
                     size += len(block or b"") + 500
