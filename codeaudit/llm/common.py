@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit.session import checkpoint_dir
@@ -29,15 +29,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     cut there, so a lost executor costs only re-reads of the written files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """`df` with a unique row number (`__row`), unrelated to any column, so
-    null or repeated ids never merge rows.  Write the result before using it
-    twice."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+def row_number(row: str | None = None) -> Column:
+    """The column `row`, or else a unique number a row (`__row`), unrelated to
+    any column, so null or repeated ids never merge rows.  Write the result
+    before using it twice."""
+    return (F.col(row) if row else F.monotonically_increasing_id()).alias(ROW)
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """`docs` as structs `d` with row numbers, written: a filter that decides
+    on the whole table finds the rows again by their numbers."""
+    return written(docs.select(F.struct(*docs.columns).alias("d"), row_number()), "rows")
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

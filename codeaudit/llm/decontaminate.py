@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeaudit.llm.common import ROW, map_batches, numbered, written
+from codeaudit.llm.common import ROW, map_batches, row_number, written
 from codeaudit.llm.words import ALNUM, mix, minimisers, runs, words
 
 #: Slots of the bit map: 2**25 bits, 4 MB, whatever the benchmark's size.
@@ -104,14 +104,16 @@ def _same(a: str, b: str) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
+                  item_id: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5,
+                  row: str | None = None) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, spans (array of hit word ranges
     `start` to `end`, exclusive, merged), n_hit, item_ids (distinct, as sorted
-    strings), n_items and the row number `__row` of the written scan."""
+    strings), n_items and the row number `__row` (the
+    column `row`, if named)."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
-    ids = written(numbered(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t"))), "items")
+    ids = written(items.select(row_number(), F.col(item_id).alias("item_id"), F.col(item_text).alias("t")), "items")
     prints = written(map_batches(
         ids.select(ROW, F.col("t").cast("binary")), _item_rows(gram, window),
         "item_row long, short int, fp long, before string, after string"), "item-prints")
@@ -126,8 +128,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     bits = spark.sparkContext.broadcast(table)
 
     scanned = written(map_batches(
-        numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t"))).select(
-            ROW, "doc_id", "t"),
+        docs.select(row_number(row), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")),
         _document_rows(gram, window, bits, lengths),
         f"{ROW} long, doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, "
         "found array<struct<short:int, fp:long, pos:int, before:string, after:string>>"), "scanned")
@@ -148,7 +149,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
         "item_rows"), "hits")
 
     # Ranges of a row merged: a range opens where none before it reaches.
-    from pyspark.sql import Window
     w = Window.partitionBy(ROW).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     merged = (hits.select(ROW, "start", "end").distinct()

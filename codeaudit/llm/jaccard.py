@@ -5,15 +5,19 @@ set is its distinct `shingle`-word shingles; with fewer words, the whole
 sequence as one.  Two documents link when 100 * intersection >= percent *
 union.  Shingles are compared by 64-bit hashes, equal sets by 128 bits.
 
-Method: documents of equal sets are one class.  A first prefix filter, in an
-order that puts shingles of crowded hash slots last, leaves the classes that
-can have a partner at all.  Among these, exact frequencies order the shingles
-(rarest first); classes of equal size and prefix form a group, groups that
-share a prefix shingle and pass the size and position filters are candidates,
-and their members are verified on whole sets.  In each shingle's list every
-group is first verified against the group with the fewest rare shingles; what
-that connects is not paired again, so a crowd of near copies costs one check a
-member, while every pair between still unconnected classes is.
+Method: documents of equal sets are one class.  A first prefix filter over the
+whole table leaves the classes that can have a partner at all: in hash order,
+similar sets share a known number of the shingles of their long prefixes, and
+sizes of similar sets fall into a common size bucket, so every document sends
+its long prefix under its two buckets to counters of fixed size, and a class
+stays only if enough of its own came twice.  Among these, exact frequencies
+order the shingles (rarest first); classes of equal size and prefix form a
+group, groups that share a prefix shingle and pass the size and position
+filters are candidates, and their members are verified on whole sets.  In each
+shingle's list every group is first verified against the group with the fewest
+rare shingles; what that connects is not paired again, so a crowd of near
+copies costs one check a member, while every pair between still unconnected
+classes is.
 
 Defined results: documents without words or text have the empty set and are
 linked with nothing; repeated rows are equal documents; a component's id is
@@ -28,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeaudit.llm.common import ROW, map_batches, numbered, written
+from codeaudit.llm.common import ROW, map_batches, row_number, written
 from codeaudit.llm.components import components
 from codeaudit.llm.words import SPACED, mix, runs, words
 
-#: Counters of the crowding sketch and bits of the map of shared shingles; both
-#: have this size whatever the input's.
-SKETCH_BITS, SHARED_BITS = 20, 25
-_SLICES = 64
+#: The counters: slices, each with so many bits for "seen" and "seen again",
+#: and the bits a slice has in the map sent to all tasks (8 MB).  Fixed sizes;
+#: a collision only lets a class through to the exact stage.
+SLICE_BITS, SEEN_BITS, MAP_BITS = 8, 24, 18
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -44,46 +48,82 @@ def shingles(raw: bytes | None, k: int) -> np.ndarray:
     return np.unique(runs(h, min(k, len(h)))) if len(h) else np.zeros(0, np.uint64)
 
 
-def _bit(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    slot = h & np.uint64((1 << bits) - 1)
-    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+def _long_prefix(s: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in hash order, as many as a similar set may lack and
+    a tenth of the set more."""
+    n = len(s)
+    return s[np.argsort(mix(s ^ _SALT))[:n - -(-percent * n // 100) + -(-n // 10)]]
 
 
-def _prefix(s: np.ndarray, crowded: np.ndarray, percent: int) -> np.ndarray:
-    n = len(s)
-    p = n - -(-percent * n // 100) + 1
-    order = (mix(s ^ _SALT) >> np.uint64(1)) | (_bit(crowded, s, SKETCH_BITS).astype(np.uint64) << np.uint64(63))
-    return s[np.argsort(order)[:p]]
+def _least_shared(n: int, percent: int) -> int:
+    """So many of its long prefix a set of `n` shares with a similar set's: of
+    the smaller set's, a tenth of that set is left when all it may lack is
+    taken away."""
+    smaller = -(-percent * n // 100)
+    return -(-smaller // 10)
 
 
-def _crowded(texts: DataFrame, k: int) -> np.ndarray:
-    """Bit map of the hash slots that hold clearly more shingles than the mean
-    one.  Every document counts; tasks send counters, not shingles."""
-    width = (1 << SKETCH_BITS) // _SLICES
+def _bucket(n: int, percent: int) -> int:
+    """Sizes of similar sets are in the same or neighbouring buckets."""
+    return int(np.log(n) / -np.log(percent / 100 - 1e-9)) if percent < 100 else n
 
-    def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+
+def _keys(prefix: np.ndarray, bucket: int) -> np.ndarray:
+    return mix(prefix + np.uint64(bucket) * np.uint64(0xD1342543DE82EF95))
+
+
+def _seen_twice(texts: DataFrame, k: int, percent: int) -> np.ndarray:
+    """Bit map of the long-prefix shingles that different classes of a batch,
+    or documents of different batches, have in one size bucket."""
+    shift, mask = np.uint64(64 - SLICE_BITS), np.uint64((1 << SEEN_BITS) - 1)
+
+    def send(batches):
         for b in batches:
+            sets = {}
             for raw in b.column(0).to_pylist():
-                np.add.at(total, (shingles(raw, k) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(
-            [total[i * width:(i + 1) * width].tobytes() for i in range(_SLICES)], pa.binary())], names=["slice", "n"])
+                s = shingles(raw, k)
+                if len(s):
+                    sets.setdefault(mix(s).sum(dtype=np.uint64), s)
+            if sets:
+                keys = np.concatenate([_keys(_long_prefix(s, percent), _bucket(len(s), percent) + i)
+                                       for s in sets.values() for i in (0, 1)])
+                keys.sort()
+                cuts = np.searchsorted(keys, np.arange(1 << SLICE_BITS, dtype=np.uint64) << shift)
+                low = ((keys >> np.uint64(32)) & mask).astype(np.uint32)
+                parts = np.split(low, cuts[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(
+                    [x.tobytes() for x in parts], pa.binary())], names=["slice", "keys"])
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
+    def count(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums.setdefault(i, np.zeros(width, np.uint64))[:] += np.frombuffer(n, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(
-            [x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "n"])
-
-    rows = texts.mapInArrow(count, "slice int, n binary").repartitionById(_SLICES, F.col("slice")).mapInArrow(
-        add, "slice int, n binary").collect()  # _SLICES rows, 8 MB in all
-    total = np.zeros(1 << SKETCH_BITS, np.uint64)
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                once, twice = held.setdefault(i, (np.zeros(1 << SEEN_BITS, bool), np.zeros(1 << MAP_BITS, bool)))
+                keys, n = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
+                again = keys[once[keys] | (n > 1)]
+                twice[again & np.uint32((1 << MAP_BITS) - 1)] = True
+                once[keys] = True
+        for i, (_, twice) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array(
+                [np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+
+    rows = texts.mapInArrow(send, "slice int, keys binary").repartitionById(1 << SLICE_BITS, F.col("slice")).mapInArrow(
+        count, "slice int, bits binary").collect()  # a row a slice, 8 MB in all
+    bits = np.zeros((1 << SLICE_BITS, 1 << (MAP_BITS - 3)), np.uint8)
     for r in rows:
-        total[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["n"], np.uint64)
-    mean = total.mean()
-    return np.packbits(total > mean + 8 * np.sqrt(mean) + 8, bitorder="little").view(np.uint64)
+        bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _may_match(s: np.ndarray, bits: np.ndarray, percent: int) -> bool:
+    pre, least = _long_prefix(s, percent), _least_shared(len(s), percent)
+    for i in (0, 1):
+        keys = _keys(pre, _bucket(len(s), percent) + i)
+        low = (keys >> np.uint64(32)) & np.uint64((1 << MAP_BITS) - 1)
+        at = (keys >> np.uint64(64 - SLICE_BITS)).astype(np.int64), (low >> np.uint64(3)).astype(np.int64)
+        if int(((bits[at] >> (low & np.uint64(7)).astype(np.uint8)) & 1).sum()) >= least:
+            return True
+    return False
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -96,74 +136,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
-                       percent: int = 85) -> DataFrame:
-    """Per row of `docs`: `__row` (of the written scan), doc_id, n_shingles,
-    component_id."""
+                       percent: int = 85, row: str | None = None) -> DataFrame:
+    """Per row of `docs`: `__row` (the column `row`, if named), doc_id,
+    n_shingles, component_id and component_row (the row number that stands for
+    the component: of its smallest doc_id, the smallest)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    crowded = spark.sparkContext.broadcast(_crowded(texts.select("t"), shingle))
+    seen = spark.sparkContext.broadcast(_seen_twice(docs.select(F.col(text).cast("binary").alias("t")), shingle, percent))
 
     def scan(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, k1, k2, pre = [], [], [], []
+        n, keys, tokens, known = [], [], [], set()
         for raw in b.column(2).to_pylist():
             s = shingles(raw, shingle)
             n.append(len(s))
-            k1.append(mix(s).sum(dtype=np.uint64))
-            k2.append(mix(s ^ _SALT).sum(dtype=np.uint64))
-            pre.append(_prefix(s, crowded.value, percent).view(np.int64) if len(s) else s.view(np.int64))
-        at = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int32)
+            keys.append((int(mix(s).sum(dtype=np.uint64).view(np.int64)),
+                         int(mix(s ^ _SALT).sum(dtype=np.uint64).view(np.int64))))
+            new = len(s) and keys[-1] not in known and _may_match(s, seen.value, percent)
+            known.add(keys[-1])
+            tokens.append(s.view(np.int64) if new else np.zeros(0, np.int64))
+        at = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)),
-             pa.array(np.array(k2, np.uint64).view(np.int64)),
-             pa.ListArray.from_arrays(at, pa.array(np.concatenate(pre) if pre else [], pa.int64()))],
-            names=[ROW, "doc_id", "n_shingles", "k1", "k2", "pre"])
+            [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+             pa.array([k[1] for k in keys], pa.int64()),
+             pa.ListArray.from_arrays(at, pa.array(np.concatenate(tokens) if tokens else [], pa.int64()))],
+            names=[ROW, "doc_id", "n_shingles", "k1", "k2", "tokens"])
 
     scanned = written(map_batches(
-        numbered(texts).select(ROW, "doc_id", "t"), scan,
+        docs.select(row_number(row), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")), scan,
         f"{ROW} long, doc_id {docs.schema[doc_id].dataType.simpleString()}, n_shingles long, k1 long, k2 long, "
-        "pre array<long>"), "scan")
-
-    # Shingles in the prefixes of different classes, as a bit map of fixed size.
-    shared = (scanned.select("k1", F.explode("pre").alias("token")).groupBy("token")
-              .agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b")
-              .select(F.col("token").bitwiseAND(F.lit((1 << SHARED_BITS) - 1)).alias("s"))
-              .groupBy(F.shiftright("s", 6).alias("w"))
-              .agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")))
-    bits = np.zeros(1 << (SHARED_BITS - 6), np.uint64)  # at most 2**19 rows come here
-    for r in shared.toLocalIterator():
-        bits[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
-    shared_bits = spark.sparkContext.broadcast(bits)
-
-    def live(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[tuple[int, int], np.ndarray] = {}
-        for raw in b.column(0).to_pylist():
-            s = shingles(raw, shingle)
-            if len(s) and _bit(shared_bits.value, _prefix(s, crowded.value, percent), SHARED_BITS).any():
-                key = (int(mix(s).sum(dtype=np.uint64).view(np.int64)),
-                       int(mix(s ^ _SALT).sum(dtype=np.uint64).view(np.int64)))
-                out.setdefault(key, s.view(np.int64))
-        sets = list(out.values())
-        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()),
-             pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets) if sets else [], pa.int64()))],
-            names=["k1", "k2", "tokens"])
-
-    sets = written(map_batches(texts.select("t"), live, "k1 long, k2 long, tokens array<long>")
-                   .groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))
+        "tokens array<long>"), "scan")
+    sets = written(scanned.filter(F.size("tokens") > 0).groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))
                    .withColumn("c", F.monotonically_increasing_id()), "sets")
     links = _links(sets.select("c", "tokens"), percent)
 
     reach = components(links)
-    classes = scanned.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    classes = scanned.filter("n_shingles > 0").groupBy("k1", "k2").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("least"))
     grouped = (sets.select("k1", "k2", "c").join(reach, F.col("c") == F.col("node")).select("k1", "k2", "component")
                .join(classes, ["k1", "k2"]))
     least = grouped.groupBy("component").agg(F.min("least").alias("linked"))
     named = classes.join(grouped.select("k1", "k2", "component").join(least, "component"), ["k1", "k2"], "left").select(
-        "k1", "k2", F.coalesce("linked", "least").alias("component_id"))
-    some = scanned.filter("n_shingles > 0").join(named, ["k1", "k2"]).select(ROW, "doc_id", "n_shingles", "component_id")
+        "k1", "k2", F.coalesce("linked", "least").alias("of"))
+    some = scanned.filter("n_shingles > 0").join(named, ["k1", "k2"]).select(
+        ROW, "doc_id", "n_shingles", F.col("of.doc_id").alias("component_id"), F.col(f"of.{ROW}").alias("component_row"))
     return some.union(scanned.filter("n_shingles = 0").select(
-        ROW, "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        ROW, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col(ROW).alias("component_row")))
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:

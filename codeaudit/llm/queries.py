@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codeaudit.llm.common import table
+from codeaudit.llm.decontaminate import decontaminate
+from codeaudit.llm.jaccard import jaccard_components
+from codeaudit.llm.knn import knn_join
+from codeaudit.llm.language import fit, label
+from codeaudit.llm.lines import dedup_lines
+from codeaudit.llm.packing import pack
+from codeaudit.llm.pii import pseudonymise
+from codeaudit.llm.shards import shard
+from codeaudit.llm.suffixes import repeated_passages
+from codeaudit.llm.warc import archive, records
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codeaudit.llm.decontaminate import decontaminate
     d = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", "n_items",
                     F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
@@ -17,12 +27,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codeaudit.llm.jaccard import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codeaudit.llm.shards import shard
     d = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
                     F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
@@ -30,23 +38,53 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codeaudit.llm.lines import dedup_lines
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codeaudit.llm.warc import archive, records
     path = archive(table(spark, sf_dir, "pages"))
     return records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_shards": op5_shards, "op6_jaccard_join": op6_jaccard_join,
-           "op7_line_dedup": op7_line_dedup, "op9_warc": op9_warc}
+def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    found = label(docs, fit(docs.filter(fold != 2)))
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "corpus key")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), corpus_pipeline.encode)
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("__row")
+
+
+QUERIES = {"op1_knn": op1_knn, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms,
+           "op4_decontaminate": op4_decontaminate, "op5_shards": op5_shards, "op6_jaccard_join": op6_jaccard_join,
+           "op7_line_dedup": op7_line_dedup, "op8_packing": op8_packing, "op9_warc": op9_warc,
+           "op10_passages": op10_passages, "pipeline": corpus_pipeline.run}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    "op1_knn": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+           where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))::bigint as score
+           from v as q, v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id)
+select query_id, rank, vec_id, score
+from (select *, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank from s) where rank <= 10""",
     "op4_decontaminate": rf"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
      i as (select item_id, {_WORDS} as w from benchmark),

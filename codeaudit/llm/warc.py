@@ -1,6 +1,6 @@
 """WARC archives as a PySpark data source (operator 9).
 
-`spark.dataSource.register(WarcDataSource)`, then
+`register(spark)`, then
 `df.write.format("warc").mode("append").save(folder)` and
 `spark.read.format("warc").load(folder)`.
 
@@ -13,9 +13,8 @@ that a reader sees.  Records are single gzip members with a skip-length extra
 field.
 
 Reading plans partitions of whole files by size.  Predicates on record_type,
-target_uri, record_id and refers_to are pushed down (with
-`spark.sql.python.filterPushdown.enabled`, or as options `record_types` and
-`uri_prefix`): headers are parsed first, and the payload of an unwanted record
+target_uri, record_id and refers_to are pushed down (options `record_types`
+and `uri_prefix` do the same by hand): headers are parsed first, and the payload of an unwanted record
 is neither inflated nor read, nor is any payload when the schema asked for
 (`.schema(...)`) has none.  `.warc` and `.warc.gz` of other writers are read
 as well; a member without skip lengths is inflated to find its end.
@@ -38,7 +37,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition,
                                     IsNotNull, StringStartsWith, WriterCommitMessage)
@@ -343,6 +342,13 @@ class WarcDataSource(DataSource):
         return WarcWriter(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format `warc` known; Spark asks for its push-down setting
+    before it plans a reader that takes predicates."""
+    spark.dataSource.register(WarcDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 # Pages
 
 def archive(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -352,7 +358,7 @@ def archive(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     (each of them, if repeated) is a response and the others revisit it; pages
     of equal payloads that all lack an id are responses."""
     spark = pages.sparkSession
-    spark.dataSource.register(WarcDataSource)
+    register(spark)
     path = path or scratch(spark, "warc")
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"),
                      F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload")).select(
@@ -369,11 +375,11 @@ def archive(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     return path
 
 
-def records(spark, path: str, page_type: str = "long") -> DataFrame:
+def records(spark: SparkSession, path: str, page_type: str = "long") -> DataFrame:
     """page_id, target_uri, record_type, refers_to, payload, payload_bytes and
     payload_digest of the records; of responses, the last two are taken from
     the payload itself."""
-    spark.dataSource.register(WarcDataSource)
+    register(spark)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^urn:page:(.*)$', 1) as {page_type})")
     response = F.col("record_type") == "response"
     return spark.read.format("warc").load(path).select(

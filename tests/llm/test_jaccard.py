@@ -81,3 +81,22 @@ def test_components(spark):
     got = {(r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(101)} | {(200, 200), (201, 200)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_prefixes_share_enough():
+    """Sets at the threshold share at least the stated part of their long prefixes, in a common bucket."""
+    import numpy as np
+
+    from codeaudit.llm.jaccard import _bucket, _least_shared, _long_prefix
+    r = np.random.default_rng(2)
+    for _ in range(400):
+        n, p = int(r.integers(1, 300)), int(r.choice([50, 80, 85, 100]))
+        x = r.choice(1 << 40, n, replace=False).astype(np.uint64)
+        m = int(r.integers(0, n // 3 + 1))
+        y = np.concatenate([x[m:], r.choice(1 << 40, int(r.integers(0, 4)), replace=False).astype(np.uint64) + np.uint64(1 << 41)])
+        both = n - m
+        if 100 * both < p * (len(x) + len(y) - both):
+            continue
+        shared = len(np.intersect1d(_long_prefix(x, p), _long_prefix(y, p)))
+        assert shared >= max(_least_shared(len(x), p), _least_shared(len(y), p)) >= 1
+        assert abs(_bucket(len(x), p) - _bucket(len(y), p)) <= 1

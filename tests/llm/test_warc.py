@@ -7,8 +7,9 @@ import pyarrow as pa
 
 from codeaudit.llm.warc import SCHEMA, WarcDataSource, WarcReader, WarcWriter, archive, records
 from pyspark.sql.datasource import EqualTo, StringStartsWith
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType
 
+FIELDS = StructType([StructField(x.split()[0], StringType()) for x in SCHEMA.split(", ")])
 PAGES = "page_id long, url string, html string"
 
 
@@ -45,14 +46,9 @@ def test_all_ids_null_and_empty(spark):
 
 def test_pushdown(spark):
     path = archive(build(spark, [(i, f"http://{'ab'[i % 2]}.example/{i}", "p" * (1500 if i % 3 else 40)) for i in range(60)]))
-    key = "spark.sql.python.filterPushdown.enabled"
-    spark.conf.set(key, "true")
-    try:
-        df = spark.read.format("warc").load(path).filter("record_type = 'response' and target_uri like 'http://a.%'")
-        assert sorted(x.record_id for x in df.collect()) == sorted(
-            f"urn:page:{i}" for i in range(60) if i % 2 == 0 and i % 3 == 0)
-    finally:
-        spark.conf.unset(key)
+    df = spark.read.format("warc").load(path).filter("record_type = 'response' and target_uri like 'http://a.%'")
+    assert sorted(x.record_id for x in df.collect()) == sorted(
+        f"urn:page:{i}" for i in range(60) if i % 2 == 0 and i % 3 == 0)
     few = spark.read.format("warc").option("record_types", "revisit").option("uri_prefix", "http://b").load(path)
     assert {x.record_type for x in few.collect()} == {"revisit"} and few.filter("target_uri like 'http://a%'").count() == 0
     narrow = spark.read.format("warc").schema("record_id string, payload_length long").load(path)
@@ -65,7 +61,7 @@ def batch(rows):
 
 
 def read(path, **options):
-    r = WarcReader(_parse_datatype_string(SCHEMA), {"path": path} | options)
+    r = WarcReader(FIELDS, {"path": path} | options)
     return r, [x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()]
 
 
@@ -87,7 +83,7 @@ def test_unwanted_payloads_are_not_inflated(tmp_path):
     data = bytearray((tmp_path / f).read_bytes())
     data[20_000:30_000] = b"\xff" * 10_000
     (tmp_path / f).write_bytes(data)
-    r = WarcReader(_parse_datatype_string(SCHEMA), {"path": str(tmp_path)})
+    r = WarcReader(FIELDS, {"path": str(tmp_path)})
     assert list(r.pushFilters([EqualTo(("target_uri",), "v")])) == []
     assert [x["payload"] for p in r.partitions() for b in r.read(p) for x in b.to_pylist()] == [b"abc"]
 
@@ -100,7 +96,7 @@ def test_other_writers(tmp_path):
     _, rows = read(str(tmp_path))
     assert sorted((x["record_type"], len(x["payload"])) for x in rows) == sorted(
         [("warcinfo", 11), ("response", 100_000), ("metadata", 0)] * 2)
-    r = WarcReader(_parse_datatype_string(SCHEMA), {"path": str(tmp_path)})
+    r = WarcReader(FIELDS, {"path": str(tmp_path)})
     rest = list(r.pushFilters([EqualTo(("record_type",), "response"), StringStartsWith(("target_uri",), "http://x/r"), EqualTo(("payload_length",), 3)]))
     assert len(rest) == 1 and len([x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()]) == 2
     assert WarcDataSource.name() == "warc"
