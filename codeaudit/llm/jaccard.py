@@ -69,7 +69,7 @@ def _bucket(n: int, percent: int) -> int:
 
 
 def _keys(prefix: np.ndarray, bucket: int) -> np.ndarray:
-    return mix(prefix + np.uint64(bucket) * np.uint64(0xD1342543DE82EF95))
+    return mix(prefix + np.uint64(bucket * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
 
 
 def _seen_twice(texts: DataFrame, k: int, percent: int) -> np.ndarray:

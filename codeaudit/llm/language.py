@@ -78,9 +78,10 @@ def _grams(piece: bytes):
     inside = b != 32
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    wide = np.append(b, 32).astype(np.uint32)
-    two = (wide[:-1] << 8) | np.append(wide[1:-1], 32)
-    three = (((two << 8) | np.append(wide[2:], [32, 32])[:len(two)]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    wide = np.full(len(b) + 2, 32, np.uint32)
+    wide[:-2] = b
+    two = (wide[:-2] << np.uint32(8)) | wide[1:-1]
+    three = (((two << np.uint32(8)) | wide[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
     lead = b[start].astype(np.int64)
     nxt = [b[np.minimum(start + i, len(b) - 1)].astype(np.int64) & 63 for i in (1, 2, 3)]
     point = np.where(lead < 0x80, lead, np.where(lead < 0xE0, (lead & 31) << 6 | nxt[0], np.where(
