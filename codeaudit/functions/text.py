@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,8 +66,30 @@ def is_low_trust(path: Column | str, name: Column | str) -> Column:
     return _c(path).rlike(R.java_pattern(R.TEST_PATH_PATTERN)) | suffix(name).isin(*R.DOC_EXT)
 
 
-def glob_to_regex(glob: str) -> str:
-    """fnmatch-style glob → anchored Java regex (``*`` crosses ``/``)."""
+def _class(body: str) -> str:
+    """A regex for one character of a shell class (the text between brackets).
+    Every character is written by its code, so none is special; reversed
+    ranges hold nothing."""
+    negated = body.startswith("!")
+    chars = body[1:] if negated else body
+    code = lambda c: f"\\x{{{ord(c):x}}}"
+    out, i = [], 0
+    while i < len(chars):
+        if chars[i + 1:i + 2] == "-" and i + 2 < len(chars):
+            if chars[i] <= chars[i + 2]:
+                out.append(f"{code(chars[i])}-{code(chars[i + 2])}")
+            i += 3
+        else:
+            out.append(code(chars[i]))
+            i += 1
+    if not out:
+        return "." if negated else r"[^\x{0}-\x{10ffff}]"
+    return f"[{'^' if negated else ''}{''.join(out)}]"
+
+
+def glob_body(glob: str) -> str:
+    """fnmatch-style glob → regex without anchors, for Java and RE2 alike
+    (``*`` crosses ``/``).  Total: an unclosed class is literal text."""
     out, i, n = [], 0, len(glob)
     while i < n:
         ch = glob[i]
@@ -75,26 +99,30 @@ def glob_to_regex(glob: str) -> str:
         elif ch == "?":
             out.append(".")
         elif ch == "[":
-            j = i
-            if j < n and glob[j] == "!":
-                j += 1
-            if j < n and glob[j] == "]":
-                j += 1
-            while j < n and glob[j] != "]":
-                j += 1
-            if j >= n:
+            first = i + (glob[i:i + 1] == "!")
+            end = glob.find("]", first + (glob[first:first + 1] == "]"))
+            if end < 0:
                 out.append("\\[")
             else:
-                body = glob[i:j].replace("\\", "\\\\")
-                i = j + 1
-                if body.startswith("!"):
-                    body = "^" + body[1:]
-                elif body.startswith("^"):
-                    body = "\\" + body
-                out.append(f"[{body}]")
+                out.append(_class(glob[i:end]))
+                i = end + 1
         else:
-            out.append(re.escape(ch))
-    return "(?s)^" + "".join(out) + "$"
+            out.append(ch if ch.isalnum() or ch in "_/" or ord(ch) > 127 else f"\\x{{{ord(ch):x}}}")
+    return "".join(out)
+
+
+def glob_to_regex(glob: str) -> str:
+    """``glob_body`` for whole strings."""
+    return "(?s)^(?:" + glob_body(glob) + ")\\z"
+
+
+def glob_bodies(col: Column | str) -> Column:
+    """``glob_body`` of globs held in a column; for columns of few rows, such
+    as the patterns of ignore and policy files."""
+    @F.pandas_udf("string")
+    def convert(globs: pd.Series) -> pd.Series:
+        return globs.map(lambda g: None if g is None else glob_body(g))
+    return convert(_c(col))
 
 
 def glob_match(col: Column | str, glob: str) -> Column:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeaudit.functions.text import glob_bodies
 from codeaudit.model import (SEVERITIES, FINDING_COLUMNS, fingerprint, sev_ord, sev_weight)
 
 ORDER_COLS = ["ord_scanner", "ord_rule", "ord_pos"]
@@ -56,32 +57,25 @@ def baseline_suppress(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return f.join(baseline.select("repo_id", "fingerprint").distinct(), ["repo_id", "fingerprint"], "left_anti")
 
 
-def glob_regex_sql(glob: Column) -> Column:
-    """fnmatch glob held in a column → anchored Java regex, built in SQL."""
-    esc = F.regexp_replace(glob, r"([.+^$(){}|\\])", r"\\$1")
-    esc = F.regexp_replace(esc, r"\[!", "[^")
-    esc = F.regexp_replace(esc, r"\*", ".*")
-    esc = F.regexp_replace(esc, r"\?", ".")
-    return F.concat(F.lit("(?s)^"), esc, F.lit("$"))
-
-
 def apply_policy(findings: DataFrame, policy: DataFrame) -> DataFrame:
     """A4: per-repo policy rows (repo_id, fail_on, severity map<string,string>,
     ignore array<string>, ignore_paths array<string>): drop ignored ids, drop
     findings whose path matches an ignored glob, override severities."""
-    p = policy.select("repo_id", F.col("severity").alias("_sev_map"), F.col("ignore").alias("_ignore"),
-                      F.col("ignore_paths").alias("_ignore_paths"))
-    j = findings.join(p, "repo_id", "left")
+    p = policy.select("repo_id", F.col("severity").alias("_sev_map"), F.col("ignore").alias("_ignore"))
+    # one regex per repository from its globs; each glob is converted once
+    globs = policy.select("repo_id", F.explode("ignore_paths").alias("_g")).filter("_g is not null")
+    bodies = globs.select("_g").distinct().withColumn("_b", glob_bodies("_g"))
+    paths = globs.join(bodies, "_g").groupBy("repo_id").agg(F.concat(
+        F.lit("(?s)^(?:"), F.array_join(F.collect_set("_b"), "|"), F.lit(")\\z")).alias("_rx"))
+    j = findings.join(p, "repo_id", "left").join(paths, "repo_id", "left")
     ignored_id = F.coalesce(F.array_contains("_ignore", F.col("id")), F.lit(False))
     ignored_path = F.coalesce(
         (F.coalesce(F.col("path"), F.lit("")) != "") &
-        F.exists(F.coalesce("_ignore_paths", F.array().cast("array<string>")),
-                 lambda g: F.regexp_like(F.col("path"), glob_regex_sql(g))),
-        F.lit(False))
+        F.regexp_like(F.col("path"), F.col("_rx")), F.lit(False))
     override = F.element_at(F.col("_sev_map"), F.col("id"))
     out = j.filter(~ignored_id & ~ignored_path) \
         .withColumn("severity", F.coalesce(F.when(F.coalesce(override, F.lit("")) != "", override), F.col("severity")))
-    return out.drop("_sev_map", "_ignore", "_ignore_paths")
+    return out.drop("_sev_map", "_ignore", "_rx")
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ commit, path) into one text each — a group is one file's diff in one commit.
 The provider rules run over those texts (the generic rule is skipped), the
 placeholder gate applies (private keys exempt), one finding per
 ``rule:value[:24]`` is kept (the first in history order), low-trust paths are
-downgraded, and the first 40 per repo are reported.
+downgraded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit import rules as R
@@ -21,10 +21,9 @@ from codeaudit.functions.regex import rule_matches
 from codeaudit.functions.text import is_placeholder
 from codeaudit.model import _map_lit, redact
 from codeaudit.operators.findings import top_k
-from codeaudit.operators.secrets import SCAN_RULES
+from codeaudit.operators.secrets import SCAN_RULES, alternation
 
 SCANNER = "git"
-HISTORY_LIMIT = 40
 HISTORY_DOWNGRADE = {"critical": "medium", "high": "low", "medium": "low"}
 REFERENCE = "https://cwe.mitre.org/data/definitions/540.html"
 
@@ -56,15 +55,14 @@ def commit_adds(commit_lines: DataFrame) -> DataFrame:
     return g.select("repo_id", "commit_ord", "first_seq", F.coalesce("sha", F.lit("")).alias("sha"), "path", "added")
 
 
-def history_findings(commit_lines: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+def history_findings(commit_lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """R8.  ``limit`` keeps only the first so many findings of a repository;
+    by default every leaked credential is reported."""
     adds = commit_adds(commit_lines)
     rules = [r for r in SCAN_RULES if r.id != R.GENERIC_RULE_ID]
-    keys = ["repo_id", "sha", "path"]
-    m = rule_matches(adds, keys, "added", rules, carry=["first_seq"])
-    # leftmost-first among the provider rules within one bucket
-    w1 = Window.partitionBy(*keys).orderBy("start", "rule_ord").rowsBetween(Window.unboundedPreceding, -1)
-    m = m.withColumn("_prev_end", F.max("end").over(w1)) \
-        .filter(F.col("_prev_end").isNull() | (F.col("start") >= F.col("_prev_end")))
+    # two commits may share a short sha (or have none): their order tells them apart
+    keys = ["repo_id", "commit_ord", "sha", "path"]
+    m = alternation(rule_matches(adds, keys, "added", rules, carry=["first_seq"]), keys, F.lit(False))
     m = m.filter((F.col("rule_id") == "private-key") | ~is_placeholder("value"))
     # first occurrence of rule:value[:24] in history order
     first = (m.groupBy("repo_id", "rule_id", F.substring("value", 1, 24).alias("_v24"))

@@ -7,13 +7,16 @@ each point follows the surrounding code and tests):
 2. gates run on the captured value (first group, else the whole match);
 3. placeholders are dropped, except for private-key headers;
 4. rules with an entropy floor drop values below it;
-5. the generic rule is suppressed where a provider rule matched on the same line;
+5. the generic rule is suppressed where a reported provider match covers the
+   same value;
 6. in a minified file only the provider rules run;
 7. test/docs paths are downgraded and their titles say so;
 8. evidence is the value, redacted (keep 4).
 
-Provider rules behave like one alternation among themselves: leftmost match
-first, ties by rule order; an overlapped later match is dropped.
+Rules behave like one alternation (leftmost match first, ties by rule order,
+going on after the last kept match), run twice: over all rules and over the
+provider rules alone, so the generic rule never hides a provider's.  Values are
+gated before a provider match may suppress a generic one.
 """
 
 from __future__ import annotations
@@ -94,38 +97,51 @@ def raw_matches(files: DataFrame, rules: list[ScanRule] = SCAN_RULES) -> DataFra
 
 
 def candidate_matches(files: DataFrame) -> DataFrame:
-    """Matches after overlap resolution and generic suppression (before value
-    gates).  Both steps are windows over the file partitioning the scan already
-    produced, so no further exchange and no self-join."""
+    """Matches that the two alternations keep (before value gates)."""
     return candidates_from_matches(raw_matches(files))
 
 
+def alternation(m: DataFrame, keys: list[str], generic: Column) -> DataFrame:
+    """The matches that an alternation of all rules or one without the
+    ``generic`` rules would keep.
+
+    Matches are first cut into clusters of overlapping spans (windows over the
+    file partitioning that the scan produced); within a cluster an ordered fold
+    goes on after the last kept match, so a dropped match blocks nothing."""
+    order = ["start", "rule_ord"]
+    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = [c for c in m.columns if c not in (*keys, *order, "end")]
+    c = (m.withColumn("_reach", F.max("end").over(earlier))
+         .withColumn("_open", F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), 1).otherwise(0))
+         .withColumn("_cluster", F.sum("_open").over(upto)))
+    row = F.struct(*order, "end", generic.alias("_gen"), *rest)
+    kept = (c.groupBy(*keys, "_cluster").agg(F.sort_array(F.collect_list(row)).alias("_m"))
+            .withColumn("_k", F.expr("""aggregate(_m, named_struct('a', -1L, 's', -1L, 'k', cast(array() as array<int>), 'i', 0), (t, x) ->
+                named_struct('a', if(x.start >= t.a, x.end, t.a), 's', if(not x._gen and x.start >= t.s, x.end, t.s),
+                             'k', if(x.start >= t.a or (not x._gen and x.start >= t.s), array_append(t.k, t.i), t.k), 'i', t.i + 1)).k""")))
+    return kept.select(*keys, F.explode(F.expr("transform(_k, i -> _m[i])")).alias("_x")).select(*keys, "_x.*").drop("_gen")
+
+
 def candidates_from_matches(m: DataFrame) -> DataFrame:
     """``candidate_matches`` on match rows produced elsewhere (e.g. by a scan
     shared with other detectors); needs the ``minified`` carry column."""
     is_generic = F.col("rule_id") == R.GENERIC_RULE_ID
-    m = m.filter(~is_generic | ~F.col("minified")).withColumn("_gen", is_generic.cast("int"))
-
-    # leftmost-first among provider rules: provider rows sort first, each is
-    # kept when it starts at or after every earlier provider match's end
-    w1 = (Window.partitionBy(*KEYS).orderBy("_gen", "start", "rule_ord")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    m = m.withColumn("_prev_end", F.max(F.when(F.col("_gen") == 0, F.col("end"))).over(w1)) \
-         .filter((F.col("_gen") == 1) | F.col("_prev_end").isNull() | (F.col("start") >= F.col("_prev_end")))
+    return alternation(m.filter(~is_generic | ~F.col("minified")), KEYS, is_generic)
 
-    # generic rule suppressed when a kept provider match starts on a line the
-    # generic match spans: running max of provider lines up to the generic's end line
-    okey = F.when(F.col("_gen") == 1, F.col("end_line")).otherwise(F.col("line"))
-    w2 = (Window.partitionBy(*KEYS).orderBy(okey, "_gen")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    m = m.withColumn("_spec_line", F.max(F.when(F.col("_gen") == 0, F.col("line"))).over(w2))
-    keep = (F.col("_gen") == 0) | F.col("_spec_line").isNull() | (F.col("_spec_line") < F.col("line"))
-    return m.filter(keep).drop("_gen", "_prev_end", "_spec_line")
 
-
-def gated_matches(files: DataFrame) -> DataFrame:
-    """Candidates that pass the placeholder and entropy gates, with ``entropy``."""
-    return gate(candidate_matches(files))
+def without_duplicates(g: DataFrame) -> DataFrame:
+    """Gated matches without generic ones whose value a gated provider match
+    overlaps: a running maximum of provider ends up to the value's end."""
+    is_generic = F.col("rule_id") == R.GENERIC_RULE_ID
+    value_end = F.col("end") - F.instr(F.reverse("match"), F.reverse("value")) + 1
+    g = g.withColumn("_vend", F.when(is_generic, value_end))
+    w = (Window.partitionBy(*KEYS).orderBy(F.coalesce("_vend", "start"), F.col("_vend").isNull())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max(F.when(~is_generic, F.col("end"))).over(w)
+    return (g.withColumn("_reach", reach)
+            .filter(~is_generic | F.col("_reach").isNull() | (F.col("_reach") <= F.col("_vend") - F.length("value")))
+            .drop("_vend", "_reach"))
 
 
 def gate(c: DataFrame) -> DataFrame:
@@ -143,7 +159,7 @@ def secret_findings(files: DataFrame, with_order: bool = False) -> DataFrame:
 def findings_from_matches(m: DataFrame, with_order: bool = False) -> DataFrame:
     """Secret findings from raw match rows (keys, minified, low_trust, rule_id,
     rule_ord, match, value, start, end, line, end_line)."""
-    g = gate(candidates_from_matches(m))
+    g = without_duplicates(gate(candidates_from_matches(m)))
     sev = F.when(F.col("low_trust"), downgrade(_meta("severity"), DOWNGRADE)).otherwise(_meta("severity"))
     title = F.when(F.col("low_trust"), F.concat(_meta("title"), F.lit(" (in test/docs path)"))).otherwise(_meta("title"))
     out = g.select(

@@ -39,7 +39,7 @@ def secret_findings(spark, sf):
     return S.secret_findings(T.files_from_documents(spark, sf))
 
 
-@register("secret_entropy", f"""WITH {RS.secret_matches_sql()}
+@register("secret_entropy", f"""WITH RECURSIVE {RS.secret_matches_sql()}
 SELECT repo_id, path, rule_id, CAST(line AS INTEGER) AS line, CAST(start AS BIGINT) AS start,
        round(entropy, 6) AS entropy, {RS.placeholder_sql('value')} AS placeholder
 FROM sm""")
@@ -727,7 +727,7 @@ def _history_sql() -> str:
         if r.id == RR.GENERIC_RULE_ID:
             continue
         g = min(1, _re.compile(r.pattern).groups)
-        src = "(SELECT repo_id, sha || '|' || path AS path, added AS content, first_seq, false AS minified, false AS low_trust FROM ad)"
+        src = "(SELECT repo_id, commit_ord || '|' || sha || '|' || path AS path, added AS content, first_seq, false AS minified, false AS low_trust FROM ad)"
         parts.append(RS._rule_rows_sql(r.id, i, r.pattern, g, src).replace("minified, low_trust,", "first_seq,"))
     union = " UNION ALL ".join(parts)
     sev = RS.sql_map({r.id: r.severity for r in RR.SECRET_RULES}, "rule_id")
@@ -735,25 +735,27 @@ def _history_sql() -> str:
     hd = RS.sql_map(HI.HISTORY_DOWNGRADE, sev, "'info'")
     exts = ", ".join(f"'{e}'" for e in RR.HISTORY_DOC_EXT)
     return f"""
-WITH ad AS ({_ADDS_SQL}),
+WITH RECURSIVE ad AS ({_ADDS_SQL}),
 rm AS ({union}),
-lm AS (SELECT *, split_part(path, '|', 1) AS sha, substr(path, strpos(path, '|') + 1) AS fpath,
-              max(start + mlen) OVER (PARTITION BY repo_id, path ORDER BY start, rule_ord
-                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end
+lm AS (SELECT *, start + mlen AS fin, split_part(path, '|', 2) AS sha, array_to_string(string_split(path, '|')[3:], '|') AS fpath,
+              row_number() OVER (PARTITION BY repo_id, path ORDER BY start, rule_ord) AS i
        FROM rm WHERE NOT (rule_id = 'openai-key' AND value LIKE 'sk-ant-%')),
-g AS (SELECT * FROM lm WHERE (prev_end IS NULL OR start >= prev_end)
+walk AS (SELECT repo_id, path, i, fin AS last, true AS keep FROM lm WHERE i = 1
+         UNION ALL
+         SELECT l.repo_id, l.path, l.i, CASE WHEN l.start >= w.last THEN l.fin ELSE w.last END, l.start >= w.last
+         FROM walk w JOIN lm l ON l.repo_id = w.repo_id AND l.path = w.path AND l.i = w.i + 1),
+g AS (SELECT lm.* FROM lm JOIN walk USING (repo_id, path, i) WHERE walk.keep
       AND (rule_id = 'private-key' OR NOT {RS.placeholder_sql('value')})),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, rule_id, left(value, 24)
                                                   ORDER BY first_seq, start, rule_ord) AS rn FROM g) WHERE rn = 1),
-lt AS (SELECT *, regexp_matches(fpath, {RS.q(RR.TEST_PATH_PATTERN)}) OR split_part(fpath, '.', -1) IN ({exts}) AS low FROM f),
-o AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY first_seq, start, rule_ord) AS k FROM lt)
+lt AS (SELECT *, regexp_matches(fpath, {RS.q(RR.TEST_PATH_PATTERN)}) OR split_part(fpath, '.', -1) IN ({exts}) AS low FROM f)
 SELECT repo_id, 'git-history/' || rule_id AS id,
        {title} || ' found in git history' || CASE WHEN low THEN ' (test/docs path)' ELSE '' END AS title,
        CASE WHEN low THEN {hd} ELSE {sev} END AS severity, 'git' AS scanner,
        CASE WHEN sha <> '' THEN fpath || ' @ ' || sha ELSE fpath END AS path, 0 AS line, {RS.redact_sql('value')} AS evidence,
        'Deleting the file does not remove it from history: rotate the credential, then purge history.' AS remediation,
        {RS.q(HI.REFERENCE)} AS reference
-FROM o WHERE k <= {HI.HISTORY_LIMIT}"""
+FROM lt"""
 
 
 @register("history_findings", _history_sql())

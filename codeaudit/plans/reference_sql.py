@@ -120,43 +120,55 @@ rm2 AS (
     SELECT *, start + mlen AS "end", line + mnl AS end_line FROM rm
     WHERE NOT (rule_id = 'openai-key' AND value LIKE 'sk-ant-%')
 ),
-spec AS (
-    SELECT * FROM (
-        SELECT *, max("end") OVER (PARTITION BY repo_id, path ORDER BY start, rule_ord
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end
-        FROM rm2 WHERE rule_id <> 'generic-secret')
-    WHERE prev_end IS NULL OR start >= prev_end
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY start, rule_ord) AS i FROM rm2
+    WHERE rule_id <> 'generic-secret' OR NOT minified
 ),
-gen AS (
-    SELECT g.* FROM rm2 g
-    WHERE g.rule_id = 'generic-secret' AND NOT g.minified
-      AND NOT EXISTS (SELECT 1 FROM spec s WHERE s.repo_id = g.repo_id AND s.path = g.path
-                      AND s.line <= g.end_line AND s.end_line >= g.line)
+walk AS (
+    SELECT repo_id, path, i, "end" AS a, CASE WHEN rule_id <> 'generic-secret' THEN "end" ELSE 0 END AS s, true AS keep
+    FROM ordered WHERE i = 1
+    UNION ALL
+    SELECT o.repo_id, o.path, o.i, CASE WHEN o.start >= w.a THEN o."end" ELSE w.a END,
+           CASE WHEN o.rule_id <> 'generic-secret' AND o.start >= w.s THEN o."end" ELSE w.s END,
+           o.start >= w.a OR (o.rule_id <> 'generic-secret' AND o.start >= w.s)
+    FROM walk w JOIN ordered o ON o.repo_id = w.repo_id AND o.path = w.path AND o.i = w.i + 1
 ),
 cand AS (
-    SELECT repo_id, path, minified, low_trust, rule_id, rule_ord, match, value, start, line FROM spec
-    UNION ALL
-    SELECT repo_id, path, minified, low_trust, rule_id, rule_ord, match, value, start, line FROM gen
+    SELECT o.repo_id, o.path, o.minified, o.low_trust, o.rule_id, o.rule_ord, o.match, o.value, o.start, o.line, o."end"
+    FROM ordered o JOIN walk w USING (repo_id, path, i) WHERE w.keep
 ),
 sm AS (
     SELECT *, {entropy_sql('value')} AS entropy, {sql_map(ent, 'rule_id', '0.0')} AS floor_ FROM cand
 )"""
 
 
+def reported_sql() -> str:
+    """CTE ``rep``: gated matches, without generic ones whose value a gated
+    provider match overlaps (positions found by plain string search)."""
+    return f"""gated AS (
+    SELECT *, "end" - instr(reverse(match), reverse(value)) + 1 AS vend FROM sm
+    WHERE (rule_id = 'private-key' OR NOT {placeholder_sql('value')}) AND (floor_ <= 0 OR entropy >= floor_)
+),
+rep AS (
+    SELECT * FROM gated g WHERE rule_id <> 'generic-secret' OR NOT EXISTS (
+        SELECT 1 FROM gated p WHERE p.rule_id <> 'generic-secret' AND p.repo_id = g.repo_id AND p.path = g.path
+          AND p.start < g.vend AND p."end" > g.vend - length(g.value))
+)"""
+
+
 def secret_findings_sql(files_sql: str = FILES_FROM_DOCUMENTS) -> str:
     sev = sql_map({r.id: r.severity for r in R.SECRET_RULES}, "rule_id")
     title = sql_map({r.id: r.title for r in R.SECRET_RULES}, "rule_id")
     rem = sql_map({r.id: r.remediation for r in R.SECRET_RULES}, "rule_id")
     down = sql_map(DOWNGRADE, sev, sev)
-    return f"""WITH {secret_matches_sql(files_sql)}
+    return f"""WITH RECURSIVE {secret_matches_sql(files_sql)},
+{reported_sql()}
 SELECT repo_id, 'secret/' || rule_id AS id,
        CASE WHEN low_trust THEN {title} || ' (in test/docs path)' ELSE {title} END AS title,
        CASE WHEN low_trust THEN {down} ELSE {sev} END AS severity,
        'secrets' AS scanner, path, CAST(line AS INTEGER) AS line, {redact_sql('value')} AS evidence,
        {rem} AS remediation, {q(R.SECRET_REFERENCE)} AS reference
-FROM sm
-WHERE (rule_id = 'private-key' OR NOT {placeholder_sql('value')})
-  AND (floor_ <= 0 OR entropy >= floor_)"""
+FROM rep"""
 
 
 def _re2_config(p: str) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeaudit import rules as R
-from codeaudit.functions.text import glob_to_regex, suffix
+from codeaudit.functions.text import glob_bodies, glob_body, suffix
 
 IGNORE_FILES = [".codeauditignore", ".gitignore"]
 
@@ -87,8 +87,7 @@ def ignore_patterns(raw: DataFrame) -> DataFrame:
 
 def _forms(pattern: str) -> tuple[str, str]:
     """(name regex, rel regex) for one shell pattern."""
-    inner = lambda g: glob_to_regex(g)[len("(?s)^"):-1]
-    return inner(pattern), "|".join(inner(g) for g in (pattern, "*/" + pattern, pattern + "/*"))
+    return glob_body(pattern), "|".join(glob_body(g) for g in (pattern, "*/" + pattern, pattern + "/*"))
 
 
 def _default_regexes() -> tuple[str, str]:
@@ -96,19 +95,13 @@ def _default_regexes() -> tuple[str, str]:
     return "(?s)^(?:" + "|".join(names) + ")$", "(?s)^(?:" + "|".join(rels) + ")$"
 
 
-def _sql_glob(col: Column) -> Column:
-    """Shell glob in a column → regex body (``*``→``.*``, ``?``→``.``, classes kept)."""
-    esc = F.regexp_replace(col, r"([.+^$(){}|\\])", r"\\$1")
-    esc = F.regexp_replace(esc, r"\[!", "[^")
-    esc = F.regexp_replace(esc, r"\*", ".*")
-    return F.regexp_replace(esc, r"\?", ".")
-
-
 def repo_ignore_regexes(patterns: DataFrame) -> DataFrame:
     """One (name regex, rel regex) pair per repo built from its own patterns."""
-    g = _sql_glob(F.col("pattern"))
+    g = F.col("g")
     rel = F.concat(F.lit("(?:"), g, F.lit(")|(?:.*/"), g, F.lit(")|(?:"), g, F.lit("/.*)"))
-    agg = patterns.groupBy("repo_id").agg(F.collect_set(g).alias("n"), F.collect_set(rel).alias("r"))
+    # each pattern is converted once, however many repositories have it
+    bodies = patterns.select("pattern").distinct().withColumn("g", glob_bodies("pattern"))
+    agg = patterns.join(bodies, "pattern").groupBy("repo_id").agg(F.collect_set(g).alias("n"), F.collect_set(rel).alias("r"))
     return agg.select("repo_id",
                       F.concat(F.lit("(?s)^(?:"), F.array_join("n", "|"), F.lit(")$")).alias("rx_name"),
                       F.concat(F.lit("(?s)^(?:"), F.array_join("r", "|"), F.lit(")$")).alias("rx_rel"))
