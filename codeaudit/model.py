@@ -52,10 +52,6 @@ def downgrade(col: Column | str, table: dict = DOWNGRADE, default: Column | None
     return F.coalesce(_map_lit(table)[c], default if default is not None else c)
 
 
-def severity_dim(spark: SparkSession) -> DataFrame:
-    rows = [(s, i, SEVERITY_WEIGHT[s], SARIF_LEVEL[s], SARIF_RANK[s]) for i, s in enumerate(SEVERITIES)]
-    return spark.createDataFrame(rows, "severity string, sev_ord int, weight int, sarif_level string, sarif_rank double")
-
 
 def fingerprint(id_col="id", path_col="path", evidence_col="evidence") -> Column:
     """First 16 hex chars of sha256(id|path|evidence); line/title/severity excluded."""
@@ -77,13 +73,6 @@ def redact(col: Column, keep: int = 4) -> Column:
                                 F.substring(s, -keep, keep))))
 
 
-def empty_findings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FINDING_SCHEMA)
-
-
-def as_findings(df: DataFrame) -> DataFrame:
-    """Project onto the canonical column order and types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FINDING_SCHEMA.fields])
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from codeaudit import rules as R
 from codeaudit.functions.regex import ScanRule, rule_matches
 from codeaudit.functions.text import glob_match, is_low_trust, is_minified, path_glob_match
-from codeaudit.model import DOWNGRADE, _map_lit, downgrade, strip_ws
+from codeaudit.model import DOWNGRADE, _map_lit, downgrade, redact, strip_ws
 
 SCANNER = "config"
 KEYS = ["repo_id", "path"]
@@ -151,12 +151,18 @@ def config_matches(files: DataFrame) -> DataFrame:
     return rule_matches(f, KEYS, "content", SCAN_RULES, carry=CARRY, applies=applies, extra=extra)
 
 
-def config_findings(files: DataFrame, with_order: bool = False, cap: int | None = None) -> DataFrame:
-    return findings_from_matches(config_matches(files), with_order, cap)
+# Rules whose match holds a credential's value, and what comes before the value.
+VALUE_RULES = {"docker-secret-arg": r"(?is)^((?:ARG|ENV)\s+\w+\s*[= ]\s*)\S"}
 
 
-def findings_from_matches(m: DataFrame, with_order: bool = False, cap: int | None = None) -> DataFrame:
-    """Config findings from match rows carrying ``CARRY``."""
+def config_findings(files: DataFrame, with_order: bool = False, cap: int | None = None, raw_values: bool = False) -> DataFrame:
+    return findings_from_matches(config_matches(files), with_order, cap, raw_values)
+
+
+def findings_from_matches(m: DataFrame, with_order: bool = False, cap: int | None = None,
+                          raw_values: bool = False) -> DataFrame:
+    """Config findings from match rows carrying ``CARRY``.  Values that rules of
+    ``VALUE_RULES`` matched are redacted unless ``raw_values`` is set."""
     rid = F.col("rule_id")
     is_danger, is_root, is_health = rid == DANGER_ID, rid == ROOT_ID, rid == HEALTH_ID
     is_pin = rid == "ci-unpinned-action"
@@ -185,6 +191,9 @@ def findings_from_matches(m: DataFrame, with_order: bool = False, cap: int | Non
     line = F.when(is_danger, F.lit(0)).otherwise(F.col("line")).cast("int")
     evidence = F.when(is_danger | is_root | is_health, F.col("match")) \
         .otherwise(F.substring(strip_ws(F.col("match")), 1, 160))
+    for rule, head in ({} if raw_values else VALUE_RULES).items():
+        known = F.regexp_extract(evidence, head, 1)
+        evidence = F.when(rid == rule, F.concat(known, redact(F.substr(evidence, F.length(known) + 1), 2))).otherwise(evidence)
     down = F.col("scanned") & F.col("low_trust")
     out = m.select(
         "repo_id", fid.alias("id"),

@@ -78,9 +78,10 @@ def apply_policy(findings: DataFrame, policy: DataFrame) -> DataFrame:
     return out.drop("_sev_map", "_ignore", "_rx")
 
 
-def sort_findings(findings: DataFrame) -> DataFrame:
-    """A5: (severity order, scanner, path, line) within each repo."""
-    return findings.orderBy("repo_id", sev_ord("severity"), "scanner", "path", "line")
+def report_order() -> list[Column]:
+    """A5: severity, scanner, path, line; then what tells findings apart."""
+    return [sev_ord("severity").alias("sev"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("scanner", "path")],
+            F.coalesce("line", F.lit(0)).alias("line"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("id", "evidence")]]
 
 
 def severity_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
@@ -134,17 +135,11 @@ def gate(findings: DataFrame, fail_on: str | None = None, policy: DataFrame | No
     return g
 
 
-def top_k(df: DataFrame, group: list[str], order: list, k: int, salts: int = 16) -> DataFrame:
-    """Top ``k`` rows per group by ``order`` with a salted first phase: rows are
-    ranked within (group, salt) and only the best ``k`` of each salt survive,
-    so the final per-group ranking sees at most ``k × salts`` rows even when
-    one group holds a large share of the input.  Adds ``rank`` (1-based)."""
-    salt = (F.abs(F.xxhash64(*df.columns)) % salts).alias("_salt")
-    d = df.withColumn("_salt", salt)
-    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
-    d = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    return d.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+def top_k(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
+    """Top ``k`` rows per group by ``order``, with ``rank`` (1-based).  Spark
+    keeps only the best ``k`` of a group in each task before the exchange."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def top_per_rule(findings: DataFrame, k: int = 5) -> DataFrame:

@@ -199,11 +199,12 @@ WITH d AS ({_POLICY_APPLIED_SQL}),
 p AS (SELECT DISTINCT repo_id, fail_on FROM ({_POLICY_SQL})),
 j AS (SELECT d.*, coalesce(p.fail_on, 'high') AS thr FROM d LEFT JOIN p USING (repo_id)),
 k AS (SELECT repo_id, thr <> 'never' AND {_SEV_ORD} <= {RS.sql_map({s: i for i, s in enumerate(['critical','high','medium','low','info'])}, 'thr')} AS hit FROM j)
-SELECT repo_id, coalesce(bool_or(hit), false) AS failed, CAST(count_if(hit) AS BIGINT) AS blocking FROM k GROUP BY repo_id""")
+SELECT r.repo_id, coalesce(bool_or(hit), false) AS failed, CAST(count_if(hit) AS BIGINT) AS blocking
+FROM (SELECT DISTINCT 'repo-' || user_id AS repo_id FROM events) r LEFT JOIN k USING (repo_id) GROUP BY r.repo_id""")
 def gate(spark, sf):
     pol = T.policy_from_events(spark, sf)
     f = A.apply_policy(A.dedupe(T.findings_from_events(spark, sf)).select(*FINDING_COLUMNS), pol)
-    return A.gate(f, fail_on="high", policy=pol)
+    return A.gate(f, fail_on="high", policy=pol, repos=T.repos_from_events(spark, sf))
 
 
 @register("top_findings_per_rule", f"""
@@ -649,7 +650,7 @@ WITH p AS (
            CASE WHEN page_id % 2 = 0 THEN 200 ELSE 404 END AS status,
            CASE WHEN page_id % 2 <> 0 THEN '' WHEN page_id % 10 = 4 THEN {_ENV_BODY} ELSE html END AS body_text,
            CASE WHEN page_id % 2 <> 0 THEN 0 WHEN page_id % 10 = 4 THEN octet_length(encode({_ENV_BODY}))
-                ELSE least(400, octet_length(encode(html))) END AS body_len
+                ELSE octet_length(encode(html)) END AS body_len
     FROM pages),
 m(path, sev, title) AS (VALUES {', '.join(f"('{p}', '{s}', {RS.q(t)})" for p, s, t in RR.PROBE_PATHS)})
 SELECT host AS repo_id, 'surface/no-security-txt' AS id, m.title, 'info' AS severity, 'surface' AS scanner,
@@ -1043,7 +1044,7 @@ def baseline_rows(spark, sf):
 
 @register("sarif_documents")
 def sarif_documents(spark, sf):
-    return X.sarif_documents(_applied(spark, sf))
+    return X.sarif_documents(_applied(spark, sf), T.repos_from_events(spark, sf))
 
 
 @register("spdx_documents")
@@ -1080,11 +1081,12 @@ WITH fl AS (SELECT repo_id,
                    bool_or(starts_with(id, 'git-history/')) AS purge,
                    bool_or(id IN ('config/committed-secret-file', 'git/tracked-secret-file')) AS untrack,
                    bool_or(starts_with(id, 'deps/')) AS upgrade
-            FROM ({_POLICY_APPLIED_SQL}) GROUP BY repo_id)
+            FROM (SELECT DISTINCT 'repo-' || user_id AS repo_id FROM events) LEFT JOIN ({_POLICY_APPLIED_SQL}) USING (repo_id)
+            GROUP BY repo_id)
 {' UNION ALL '.join(f"SELECT repo_id, {n} AS step_no, {RS.q(t)} AS step FROM fl WHERE {k}" for n, (k, t) in enumerate(_STEPS))}
 UNION ALL {' UNION ALL '.join(f"SELECT repo_id, {len(_STEPS) + n}, {RS.q(m)} FROM fl" for n, m in enumerate(_MAN))}""")
 def manual_steps(spark, sf):
-    return G.manual_steps(_applied(spark, sf))
+    return G.manual_steps(_applied(spark, sf), T.repos_from_events(spark, sf))
 
 
 _GI = "[" + ", ".join(RS.q(x) for x in G.GITIGNORE_LINES) + "]"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit import rules as R
+from codeaudit.operators.findings import report_order
 from codeaudit.model import SARIF_LEVEL, SARIF_RANK, _map_lit, fingerprint, sev_ord
 
 TOOL_NAME = "codeaudit"
@@ -116,7 +117,7 @@ def spdx_documents(packages: DataFrame, timestamp: str = "1970-01-01T00:00:00Z")
     return g.select("repo_id", F.to_json(doc).alias("document"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
+def sarif_results(findings: DataFrame, extra: list | None = None) -> DataFrame:
     """K2 rows: one SARIF result per finding (level, message, location,
     fingerprint); URLs and empty paths point at '.', line at least 1."""
     local = (F.coalesce(F.col("path"), F.lit("")) != "") & ~F.col("path").startswith("http")
@@ -127,7 +128,7 @@ def sarif_results(findings: DataFrame) -> DataFrame:
         msg.alias("message"),
         F.when(local, F.col("path")).otherwise(F.lit(".")).alias("uri"),
         F.when(local, F.greatest(F.lit(1), F.col("line"))).otherwise(F.lit(1)).cast("int").alias("start_line"),
-        fingerprint().alias("fingerprint"))
+        fingerprint().alias("fingerprint"), *(extra or []))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -147,30 +148,42 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
         _map_lit(SARIF_LEVEL)[F.col("severity")].alias("level"), "scanner")
 
 
-def sarif_documents(findings: DataFrame) -> DataFrame:
-    """K2 documents: one SARIF 2.1.0 JSON per repo."""
-    res = sarif_results(findings).select("repo_id", F.struct(
+def _in_report_order(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Per repo the values of its rows as one array in report order (``_o``)."""
+    return rows.groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", value))),
+                                                   lambda x: x[value]).alias(name))
+
+
+def sarif_documents(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """K2 documents: one SARIF 2.1.0 JSON per repo, results and rules in report
+    order; repositories of ``repos`` without findings get one without results.
+    A document is one string: repositories beyond a string's size take the row
+    sinks (``sarif_results``, ``sarif_rules``)."""
+    order = report_order()
+    res = sarif_results(findings, [F.struct(*order).alias("_o")]).select("repo_id", "_o", F.struct(
         F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"),
         F.array(F.struct(F.struct(F.struct(F.col("uri")).alias("artifactLocation"),
                                   F.struct(F.col("start_line").alias("startLine")).alias("region")
                                   ).alias("physicalLocation"))).alias("locations"),
         F.struct(F.col("fingerprint").alias("codeauditFingerprint/v1")).alias("partialFingerprints")).alias("r"))
-    rules = sarif_rules(findings).select("repo_id", F.struct(
+    rules = sarif_rules(findings).select("repo_id", F.struct("id").alias("_o"), F.struct(
         "id", "name", F.struct(F.col("short_description").alias("text")).alias("shortDescription"),
         F.struct(F.col("full_description").alias("text")).alias("fullDescription"),
         F.col("help_uri").alias("helpUri"),
         F.struct(F.col("security_severity").alias("security-severity"),
                  F.array(F.lit("security"), F.col("scanner")).alias("tags")).alias("properties"),
         F.struct(F.col("level")).alias("defaultConfiguration")).alias("rule"))
-    rg = rules.groupBy("repo_id").agg(F.collect_list("rule").alias("rules"))
-    rr = res.groupBy("repo_id").agg(F.collect_list("r").alias("results"))
+    both = _in_report_order(rules, "rule", "rules").join(_in_report_order(res, "r", "results"), "repo_id")
+    if repos is not None:
+        both = repos.select("repo_id").distinct().join(both, "repo_id", "left")
+    both = both.withColumns({c: F.coalesce(c, F.array().cast(both.schema[c].dataType)) for c in ("rules", "results")})
     doc = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"),
                    F.lit("2.1.0").alias("version"),
                    F.array(F.struct(F.struct(F.struct(F.lit(TOOL_NAME).alias("name"),
                                                       F.lit(R.RULESET_VERSION).alias("version"),
                                                       F.col("rules")).alias("driver")).alias("tool"),
                                     F.col("results"))).alias("runs"))
-    return rg.join(rr, "repo_id").select("repo_id", F.to_json(doc).alias("document"))
+    return both.select("repo_id", F.to_json(doc).alias("document"))
 
 
 def markdown_rows(findings: DataFrame, k: int = 25) -> DataFrame:
@@ -200,7 +213,7 @@ def json_reports(findings: DataFrame, scores: DataFrame, counts: DataFrame,
     the findings with fingerprints."""
     f = findings.withColumn("fingerprint", fingerprint())
     cols = [c for c in f.columns if c != "repo_id"]
-    g = f.groupBy("repo_id").agg(F.collect_list(F.struct(*cols)).alias("findings"))
+    g = _in_report_order(f.select("repo_id", F.struct(*report_order()).alias("_o"), F.struct(*cols).alias("f")), "f", "findings")
     j = scores.join(counts, "repo_id").join(g, "repo_id", "left")
     extra = []
     if readiness is not None:

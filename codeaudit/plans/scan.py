@@ -90,8 +90,10 @@ CONFIG_ORD_OFFSET = 100
 _SECRET_IDS = [r.id for r in S.SCAN_RULES]
 
 
-def file_findings(files: DataFrame, enabled: list[str]) -> DataFrame | None:
-    """Secret + config findings of the given files, deduplicated (A2)."""
+def file_findings(files: DataFrame, enabled: list[str], kept: list[DataFrame] | None = None) -> DataFrame | None:
+    """Secret + config findings of the given files, deduplicated (A2).  The
+    persisted match rows are added to ``kept``, for callers that go on after
+    the findings are written to release."""
     want_s, want_c = "secrets" in enabled, "config" in enabled
     if not (want_s or want_c):
         return None
@@ -100,6 +102,8 @@ def file_findings(files: DataFrame, enabled: list[str]) -> DataFrame | None:
         # the two detectors filter the shared match rows by rule; kept once so
         # those filters are not pushed below the scan (which would run it twice)
         m = file_matches(files).persist(StorageLevel.MEMORY_AND_DISK)
+        if kept is not None:
+            kept.append(m)
         is_secret = F.col("rule_id").isin(*_SECRET_IDS)
         sec = S.findings_from_matches(m.filter(is_secret).withColumn("low_trust", F.col("secret_low_trust")), with_order=True)
         cfg = m.filter(~is_secret).withColumn(
@@ -188,7 +192,9 @@ def incremental_file_findings(files: DataFrame, state: DataFrame, enabled: list[
     st = state.filter(F.col("ruleset") == key).select("repo_id", "path", "size", "mtime",
                                                       F.col("findings").alias("_f"))
     hits = files.select("repo_id", "path", "size", "mtime").join(st, ["repo_id", "path", "size", "mtime"])
-    misses = files.join(hits.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    # decided on the listing alone: contents are read for the changed files only, whose keys are the small side
+    changed = files.select("repo_id", "path").join(hits.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    misses = diff_scope(files, changed)
     fresh = file_findings(misses, enabled)
     reused = hits.select("repo_id", F.explode("_f").alias("f")).select("repo_id", "f.*")
     findings = reused.select(*FINDING_COLUMNS).unionByName(fresh.select(*FINDING_COLUMNS))

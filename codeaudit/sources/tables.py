@@ -16,31 +16,13 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-# Text tables whose per-row work (regex scans) is CPU-heavy.
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table.  Its tasks are its file splits, unless the session asks
+    for so many partitions by ``spark.codeaudit.inputPartitions`` (for inputs
+    that are single row groups, which no reader can split)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    # text rows carry regex work whose cost varies a lot per row: smaller tasks balance it
-    return spread(df, 4 if name in TEXT_TABLES else 1)
-
-
-def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Rebalance an under-split scan before CPU-heavy per-row work.
-
-    A scan normally yields one task per file split, far more than the cluster
-    has cores, and this is a no-op.  When the input arrives as fewer splits
-    than the default parallelism (e.g. one file with a single row group), the
-    rows are spread round-robin so the scan work is not serialised in a
-    single task.  Costs one shuffle of that (small) input only."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            return df.repartition(par * factor)
-    except Exception:  # noqa: BLE001 — no RDD view (e.g. a remote session): leave the scan as it is
-        pass
-    return df
+    n = spark.conf.get("spark.codeaudit.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,8 +231,11 @@ def advisories_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.concat(F.lit("1."), (F.col("p_size") % 7 + 1).cast("string"), F.lit(".9"))
     sid = k.cast("string")
     event = "struct<introduced:string,fixed:string>"
-    events = F.array(F.struct(F.lit("1.0.0").alias("introduced"), F.lit(None).cast("string").alias("fixed")),
+    events = F.array(F.struct(F.lit("1.0").alias("introduced"), F.lit(None).cast("string").alias("fixed")),
                      F.struct(F.lit(None).cast("string").alias("introduced"), fixed.alias("fixed"))).cast(f"array<{event}>")
+    # commits of a GIT range, which no version may be compared with
+    commits = F.array(F.struct(F.lit("0").alias("introduced"), F.lit(None).cast("string").alias("fixed")),
+                      F.struct(F.lit(None).cast("string").alias("introduced"), F.lit("9fa3bc12").alias("fixed"))).cast(f"array<{event}>")
     return p.select(
         F.concat(F.lit("ADV-"), sid).alias("id"),
         F.concat(F.initcap("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" handling flaw")).alias("summary"),
@@ -265,7 +250,8 @@ def advisories_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(
             F.regexp_replace("p_name", " ", "-").alias("name"), _eco().alias("eco"),
             F.array(listed).alias("versions"),
-            F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))).alias("ranges"))).alias("affected"))
+            F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events")),
+                    F.struct(F.lit("GIT").alias("type"), commits.alias("events"))).alias("ranges"))).alias("affected"))
 
 
 def registry_docs_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,7 +343,7 @@ def plain_http_obs_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probe_obs_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``probe_obs`` stand-in: each page answers one well-known probe path
-    (by page id) with its own first 400 bytes, or with a small env-style
+    (by page id) with its own html, or with a small env-style
     body for a few ids; odd ids answer 404 with no body."""
     from codeaudit import rules as R
     p = read(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -365,7 +351,7 @@ def probe_obs_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = F.array(*[F.lit(x) for x, _s, _t in R.PROBE_PATHS])
     ok = k % 2 == 0
     body = F.when(k % 10 == 4, F.encode(F.lit("APP_KEY=base64:abc\nDB_PASSWORD=x\n"), "UTF-8")) \
-        .otherwise(F.substring(F.encode("html", "UTF-8"), 1, 400))
+        .otherwise(F.encode("html", "UTF-8"))
     return p.select(_host().alias("host"), F.concat(F.lit("https://"), _host()).alias("base"),
                     F.element_at(paths, (k % len(R.PROBE_PATHS) + 1).cast("int")).alias("path"),
                     F.when(ok, F.lit(200)).otherwise(F.lit(404)).alias("status"),

@@ -72,18 +72,24 @@ def run_to_completion(query) -> None:
 
 def stream_file_findings(spark: SparkSession, source_dir: str, glob: str, schema: T.StructType,
                          to_files: Callable[[DataFrame], DataFrame], enabled: list[str] | None = None,
-                         out_dir: str | None = None) -> str:
-    """Scan every arriving batch of files; returns the sink directory."""
+                         out_dir: str | None = None, files_per_batch: int | None = None) -> str:
+    """Scan every arriving batch of files; returns the sink directory.
+    ``files_per_batch`` bounds the input files of a batch (all that wait, by
+    default)."""
     from codeaudit.plans.scan import file_findings
     enabled = enabled or ["secrets", "config"]
     base = _scratch(spark, "file-findings")
     out_dir = out_dir or os.path.join(base, "out")
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        f = file_findings(to_files(df), enabled)
+        kept: list[DataFrame] = []
+        f = file_findings(to_files(df), enabled, kept)
         f.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}"))
+        for k in kept:
+            k.unpersist()
 
-    stream = _source(spark, source_dir, glob, schema, maxFilesPerTrigger=64)
+    limit = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
+    stream = _source(spark, source_dir, glob, schema, **limit)
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(base, "ckpt"))
          .trigger(availableNow=True).start())
     run_to_completion(q)

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 FAKE_AWS = "AKIA" + "QZ7X4NPLMR3TVK9D"
 FAKE_STRIPE = "sk_" + "live_" + "51H8xQpKj2mNvRt7bZaYcXwEr"
 FAKE_GH = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
-FAKE_DSN = "postgresql://admin:" + "hunter2ZxQ" + "@db.internal:5432/prod"
+FAKE_DSN = "postgresql://admin:" + "hunter2ZxQ" + "@db.shop.test:5432/prod"
 SF = "/root/testdata/sf0.001"
 
 

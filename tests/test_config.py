@@ -89,3 +89,13 @@ def test_minified_bundle_has_no_config_findings(make_files):
 def test_line_numbers(make_files):
     r = _scan(make_files, [("docker-compose.yml", "services:\n  a:\n    privileged: true\n")]).collect()
     assert {(x["id"], x["line"]) for x in r} >= {("config/compose-privileged", 3)}
+
+
+def test_build_arg_values_are_redacted(make_files):
+    from codeaudit.operators import config
+    value = "Zq8" + "Rw3Np6Ty1Kd=x"
+    f = make_files([("Dockerfile", f"FROM a:1\nARG API_TOKEN={value}\nENV DB_PASSWORD {value}\nUSER app\nHEALTHCHECK CMD true\n")])
+    got = [r["evidence"] for r in config.config_findings(f).filter("id = 'config/docker-secret-arg'").collect()]
+    assert len(got) == 2 and all(value not in e and e.startswith(("ARG API_TOKEN=Zq*", "ENV DB_PASSWORD Zq*")) for e in got)
+    raw = config.config_findings(f, raw_values=True).filter("id = 'config/docker-secret-arg'").collect()
+    assert all(value in r["evidence"] for r in raw)
