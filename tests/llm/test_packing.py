@@ -1,4 +1,5 @@
 """Operator 8: ids, cuts, gapless sequences, few of them."""
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -12,20 +13,21 @@ from codeaudit.llm.packing import encode_words, evolve, pack
 PATH = "/opt/tokenizers/word_bpe_49k.json"
 
 
-def encode(texts):
-    return encode_words(texts, PATH)
+encode = functools.partial(encode_words, path=PATH)
+
+
+TOKENIZER = Tokenizer.from_file(PATH)
 
 
 def whole(t):
-    return Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids
+    return TOKENIZER.encode(t or "", add_special_tokens=False).ids
 
 
 def test_words_give_the_ids_of_whole_texts():
     r = random.Random(2)
     odd = ["é", "é", "́", "İ", "ΑΣ", "ǅ", "don't", "'S", "<|endoftext|>", "<|startoftext|>x", "日本", "\xa0", "\x1c", " ", "a-b", "​", "🙂", "\x85", "12"]
     texts = ["".join(r.choice(odd + ["word", "Word.", " ", "\n", "\t", "  "]) for _ in range(r.randrange(0, 40))) for _ in range(400)]
-    t = Tokenizer.from_file(PATH)
-    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    want = [whole(x) for x in texts]
     assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == want
     old = packing._CACHE
     packing._CACHE = 5
