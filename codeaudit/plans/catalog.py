@@ -1295,3 +1295,36 @@ def pipeline_scores(spark, sf):
     → risk and grade per repository."""
     files = T.files_from_documents(spark, sf)
     return PS.scan(files, enabled=["secrets", "config", "git", "readiness"]).scores
+
+
+# --------------------------------------------------------------------------
+# planted rule hits: expectations from row keys alone
+# --------------------------------------------------------------------------
+from codeaudit.sources import planted as PL  # noqa: E402
+
+
+def _planted_case(samples, field: int, doc_id: str = "doc_id") -> str:
+    values = "[" + ", ".join(RS.q(s[field]) for s in samples) + "]"
+    return f"replace({values}[{doc_id} % {len(samples)} + 1], '{{d}}', {doc_id}::varchar)"
+
+
+@register("planted_rule_hits", f"""
+    SELECT source AS repo_id, {_planted_case(PL.SAMPLES, 1)} AS path, {_planted_case(PL.SAMPLES, 0)} AS id,
+           CAST({PL.LINE} AS INTEGER) AS line
+    FROM documents""")
+def planted_rule_hits(spark, sf):
+    """Every rule of the file detectors on files derived from every document:
+    each must find its own sample at its line, and leave the calm twin alone."""
+    f = PL.planted_files(T.read(spark, sf, "documents"))
+    found = PS.file_findings(f.drop("planted", "hit"), ["secrets", "config"])
+    return found.join(f.select("repo_id", "path", F.col("planted").alias("id")), ["repo_id", "path", "id"], "left_semi").select(
+        "repo_id", "path", "id", "line")
+
+
+@register("planted_history_hits", f"""
+    SELECT source AS repo_id, 'git-history/' || split_part({_planted_case(PL.COMMIT_SAMPLES, 0)}, '/', 2) AS id,
+           'src/h_' || doc_id || '.py @ ' || left(sha256(doc_id::varchar), 8) AS path, 'git' AS scanner
+    FROM documents""")
+def planted_history_hits(spark, sf):
+    """A credential added in a commit of every document."""
+    return HI.history_findings(PL.planted_commits(T.read(spark, sf, "documents"))).select("repo_id", "id", "path", "scanner")
