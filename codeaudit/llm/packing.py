@@ -22,9 +22,12 @@ are not read.
 
 from __future__ import annotations
 
+import os
 import random
 import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable
 
@@ -38,38 +41,80 @@ from codeaudit.llm.common import map_batches, written
 #: White space that str.split and the tokenizers' patterns may see differently.
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (
     0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-_CACHE = 400_000
+#: Entries of the caches of chunks between white space and of words.
+_CHUNKS, _WORDS = 400_000, 800_000
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         from tokenizers import Tokenizer
-        _tokenizers[path] = Tokenizer.from_file(path), {}
+        _tokenizers[path] = Tokenizer.from_file(path), {}, {}
     return _tokenizers[path]
 
 
+def _parts(chunk: str) -> tuple[str, ...]:
+    """The word of a chunk and the ASCII marks after it, which the tokenizers'
+    patterns part; any other chunk whole."""
+    word = chunk.rstrip(_MARKS)
+    if not word.isalpha():
+        return (chunk,)
+    word_key = word.lower() if word.isascii() else word
+    return (word_key,) if len(word) == len(chunk) else (word_key, chunk[len(word):])
+
+
+def _plain_bytes() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 characters stand for themselves,
+    the other bytes for the code points from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+_ALPHABET = _plain_bytes()
+
+
+def _byte_level(word: str) -> str | None:
+    """A word in the byte-level alphabet as the tokenizers' pipeline would give
+    it to the model; None where lower case or composition is not letter by
+    letter, so only the pipeline itself can tell."""
+    low = word if word.isascii() else word.lower()
+    if not word.isalpha() or len(low) != len(word) or "\u03a3" in word or not unicodedata.is_normalized("NFC", low):
+        return None
+    return low if low.isascii() else "".join(map(_ALPHABET.__getitem__, low.encode()))
+
+
 def encode_words(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, for tokenizers that never join
-    characters across white space: each distinct word is encoded once and kept
-    in a cache of bounded size."""
-    tok, known = _tokenizer(path)
-    pack = lambda e: np.array(e.ids, "<u4").tobytes()
+    """Little-endian 32-bit ids of each text, for tokenizers that lower-case,
+    part words from marks and never join characters across white space: each
+    distinct word is encoded once and kept in a cache of bounded size."""
+    tok, chunks, words = _tokenizer(path)
     split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-    out = []
-    for t, w in zip(texts, split, strict=True):
-        if w is None:
-            out.append(pack(tok.encode(t, add_special_tokens=False)))
-            continue
-        new = list({x for x in w if x not in known})
-        if len(known) + len(new) > _CACHE:
-            known.clear()
-            new = list(set(w))
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            known.update(zip(part, map(pack, tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        out.append(b"".join(map(known.__getitem__, w)))
-    return out
+    new = {x for w in split if w for x in w if x not in chunks}
+    if len(chunks) + len(new) > _CHUNKS:
+        chunks.clear()
+        new = {x for w in split if w for x in w}
+    parts = {x: _parts(x) for x in new}
+    ask = list({p for ps in parts.values() for p in ps if p not in words})
+    if len(words) + len(ask) > _WORDS:
+        words.clear()
+        ask = list({p for ps in parts.values() for p in ps})
+    model, odd = tok.model, []
+    for p in ask:
+        plain = _byte_level(p)
+        if plain is None:
+            odd.append(p)
+        else:
+            words[p] = array("I", [t.id for t in model.tokenize(plain)]).tobytes()
+    for i in range(0, len(odd), 10_000):
+        for p, e in zip(odd[i:i + 10_000], tok.encode_batch_fast(odd[i:i + 10_000], add_special_tokens=False), strict=True):
+            words[p] = array("I", e.ids).tobytes()
+    for x, ps in parts.items():
+        chunks[x] = words[ps[0]] if len(ps) == 1 else words[ps[0]] + words[ps[1]]
+    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(chunks.__getitem__, w))
+            for t, w in zip(texts, split, strict=True)]
 
 
 # One block

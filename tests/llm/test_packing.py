@@ -25,16 +25,16 @@ def whole(t):
 
 def test_words_give_the_ids_of_whole_texts():
     r = random.Random(2)
-    odd = ["é", "é", "́", "İ", "ΑΣ", "ǅ", "don't", "'S", "<|endoftext|>", "<|startoftext|>x", "日本", "\xa0", "\x1c", " ", "a-b", "​", "🙂", "\x85", "12"]
+    odd = ["é", "é", "́", "İ", "ΑΣ", "ǅ", "don't", "'S", "<|endoftext|>", "<|startoftext|>x", "日本", "ÉTÉ.", "e\u0301", "ﬁn", "Ⅷ", "ΣΑΣ", "Ǆ", "ŉ", "K", "가각", "À", "STRASSE,", "ẞ!", "x--", "\xa0", "\x1c", " ", "a-b", "​", "🙂", "\x85", "12"]
     texts = ["".join(r.choice(odd + ["word", "Word.", " ", "\n", "\t", "  "]) for _ in range(r.randrange(0, 40))) for _ in range(400)]
     want = [whole(x) for x in texts]
     assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == want
-    old = packing._CACHE
-    packing._CACHE = 5
+    old = packing._CHUNKS, packing._WORDS
+    packing._CHUNKS, packing._WORDS = 5, 3
     try:
         assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts[:50])] == want[:50]
     finally:
-        packing._CACHE = old
+        packing._CHUNKS, packing._WORDS = old
 
 
 def check(rows, got, length):
