@@ -10,7 +10,8 @@ Method: a valid number or date is an element of a domain whose size has two
 factors; a balanced or unbalanced Feistel network over the two parts, keyed by
 SHA-256, permutes the domain exactly, so every pseudonym is valid in the same
 format, equal values get equal pseudonyms in all documents and formats, and
-whoever has the key can invert it.  Cards keep their first digit and length
+whoever has the key can invert it (an unpadded date, 7/4/2001, may come back
+padded, when its pseudonym had two-digit fields).  Cards keep their first digit and length
 and get a new check digit.  Day-first slash dates walk the permutation until
 the day is again no month.  The name part of a mail address becomes a keyed
 hash of the address (not invertible); its domain stays.
