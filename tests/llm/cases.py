@@ -1,6 +1,4 @@
-import random
-import re
-
+"""A fixture of the tests beside."""
 import pytest
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -13,12 +11,3 @@ def documents(spark):
     def build(rows, parts=3):
         return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC).repartition(parts)
     return build
-
-
-def lower(s):
-    return re.sub("[A-Z]", lambda m: m.group().lower(), s or "")
-
-
-def prose(seed, n, vocabulary=400):
-    r = random.Random(seed)
-    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]

@@ -2,6 +2,7 @@
 import random
 import re
 
+from cases import documents  # noqa: F401
 from codeaudit.llm.decontaminate import decontaminate
 
 

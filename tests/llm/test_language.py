@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from cases import documents  # noqa: F401
 from codeaudit.llm.language import Model, fit, keep_known, label
 
 VOCABULARY = {"en": "the of and that with this house river walking quickly thought under", "de": "der die und nicht straße über mädchen gehen schnell gedanke fluss",

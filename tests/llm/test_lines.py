@@ -1,6 +1,7 @@
 """Operator 7 against brute force."""
 import random
 
+from cases import documents  # noqa: F401
 from codeaudit.llm.lines import dedup_lines
 
 

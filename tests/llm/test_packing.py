@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+from cases import documents  # noqa: F401
 from codeaudit.llm import packing
 from codeaudit.llm.packing import encode_words, evolve, pack
 

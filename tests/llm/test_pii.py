@@ -3,6 +3,7 @@ import datetime
 import random
 import re
 
+from cases import documents  # noqa: F401
 from codeaudit.llm.pii import pseudonymise
 
 

@@ -2,6 +2,7 @@
 import random
 from collections import defaultdict
 
+from cases import documents  # noqa: F401
 from codeaudit.llm.shards import shard
 
 
