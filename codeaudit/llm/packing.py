@@ -42,7 +42,7 @@ from codeaudit.llm.common import map_batches, written
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (
     0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: Entries of the caches of chunks between white space and of words.
-_CHUNKS, _WORDS = 400_000, 800_000
+_CHUNKS, _WORDS = 100_000, 200_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _tokenizers: dict[str, tuple] = {}
 
