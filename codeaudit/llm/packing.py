@@ -226,14 +226,16 @@ def _level(left: DataFrame, count: int, length: int, level: int, *, block_items:
              .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("item", "size"))).alias("x"))
              .select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.item").alias("items"),
                      F.col("x.size").alias("sizes"), F.expr("cast(array() as array<array<int>>)").alias("pop")))
-    # One row is much work: rows are spread over all tasks.
-    state = state.repartitionById(min(blocks * islands, 20_000), F.expr(f"cast(block * {islands} + island as int)"))
+    # A row is some work, so a task gets a few, evenly.
+    tasks = min(-(-blocks * islands // 8), 20_000)
+    task = F.expr(f"cast(pmod(block * {islands} + island, {tasks}) as int)")
+    state = state.repartitionById(tasks, task)
     for epoch in range(epochs):
         state = written(_epoch(state, length, epoch, members, generations), f"pack-{level}-{epoch}")
         if epoch + 1 < epochs:
             elite = state.select("block", F.expr(f"(island + 1) % {islands}").alias("island"), F.expr("slice(pop, 1, 1)").alias("guests"))
             state = state.join(elite, ["block", "island"]).withColumn("pop", F.concat("pop", "guests")).drop("guests").repartitionById(
-                min(blocks * islands, 20_000), F.expr(f"cast(block * {islands} + island as int)"))
+                tasks, task)
 
     def settle(b: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[list] = [[] for _ in range(6)]
