@@ -44,10 +44,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, that of the smallest
-    doc_id."""
+    """One document of each group of similar ones (five-word shingles, 0.8 or
+    more) stays, that of the smallest doc_id."""
     rows = rows_of(docs)
-    found = jaccard_components(rows.select(ROW, "d.doc_id", "d.text"), row=ROW)
+    found = jaccard_components(rows.select(ROW, "d.doc_id", "d.text"), shingle=5, percent=80, row=ROW)
     return rows.join(found.filter(F.col(ROW) == F.col("component_row")).select(ROW), ROW, "left_semi").select("d.*")
 
 

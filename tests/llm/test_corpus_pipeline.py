@@ -62,3 +62,18 @@ def test_nulls_and_empty_tables(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 50
+
+
+def test_near_takes_five_words_and_four_fifths(spark):
+    """Pairs of five-word similarity 0.8 or more are one, others are not."""
+    words = lambda d, n: [f"w{d}x{i}" for i in range(n)]
+    shingled = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    rows, kept = [], []
+    for k, (n, more) in enumerate([(104, 25), (104, 26), (100, 22), (100, 30), (204, 50), (204, 51)]):
+        one, two = words(k, n), words(k, n + more)
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+        same = len(shingled(one) & shingled(two)) >= 0.8 * len(shingled(one) | shingled(two))
+        kept += [2 * k] if same else [2 * k, 2 * k + 1]
+    assert len(kept) == 9
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [i for i, _ in pairs(P.near(spark, docs, SF))] == kept
