@@ -121,10 +121,13 @@ class Model:
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best language of each word."""
         best = int(s.sum(0, dtype=np.float64).argmax())
-        # Where no stretch of another language gains more than one change costs, the best path never changes.
+        # A row of stretches of other languages costs as many changes as it has stretches, or one more, unless it
+        # covers the whole text: then one less.  So the best path never changes where no stretch gains more than one
+        # change costs, nor a first and a last stretch together.
         gain = np.cumsum(s.astype(np.float64) - s[:, best:best + 1], axis=0)
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-        if (gain - low).max() <= self.penalty:
+        ends = gain[:-1].max() + (gain[-1] - gain[:-1]).max() if len(s) > 1 else 0
+        if max((gain - low).max(), ends) <= self.penalty:
             return np.full(len(s), best)
         v = s[0].tolist()
         history, penalty = [v], self.penalty

@@ -47,6 +47,22 @@ def test_best_paths():
         assert abs(value - best.max()) < 1e-9
 
 
+def test_two_languages_over_a_third():
+    """Two adjacent stretches of two languages, each within the penalty, against the language best in total."""
+    m = Model(["c", "a", "b"], np.zeros((0, 3)), np.zeros((0, 3)), np.zeros((0, 3)))
+    assert m.path(np.array([[0.0, 10, -20], [0, -20, 10]])).tolist() == [1, 2]
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(r.integers(1, 5))
+        s = np.repeat([[0.0, 10, -20], [0, -20, 10], [0, 1, 1]], n, axis=0)[r.permutation(3 * n) if r.random() < 0.5 else slice(2 * n)] / n
+        s = s + r.normal(size=s.shape)
+        best = s[0].copy()
+        for row in s[1:]:
+            best = np.maximum(best, best.max() - m.penalty) + row
+        path = m.path(s)
+        assert abs(s[np.arange(len(s)), path].sum() - m.penalty * (np.diff(path) != 0).sum() - best.max()) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     from codeaudit.llm import queries
     got = queries.op2_language(spark, "/root/testdata/sf0.01").join(
