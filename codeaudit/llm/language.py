@@ -7,8 +7,8 @@ a word's score for a language is the mean log-likelihood ratio of its 2- and
 each change of language, labels the spans.
 
 The classifier is fitted on a bounded sample of the labelled rows, about
-`per_lang` whole documents a language (all, if fewer), and on the `max_langs`
-most frequent labels, ties by name.
+`per_lang` whole documents a language (all, if fewer), and on every label that
+is not null; the tables of more than `DENSE` labels are stored sparsely.
 
 Defined results: a null text or one without letters is `und` with score 0 and
 no spans, and so is every text if there is nothing to learn from; null labels
@@ -49,6 +49,9 @@ _WIDTH = 2 * _GRAMS + len(SCRIPTS)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
 _CHUNK = 1 << 20
+#: Labels whose tables are stored whole, those that a task counts for at a
+#: time, and numbers that a step of scoring holds.
+DENSE, _COUNTED, _CELLS = 64, 64, 1 << 23
 
 
 def _pieces(text: str | None):
@@ -90,11 +93,36 @@ def _grams(piece: bytes):
     return start, end, two, three, script
 
 
+class Sparse:
+    """The table of log-likelihood ratios of grams and languages, by the grams
+    that a language was seen with: per seen pair what the count adds, per
+    language what an unseen gram has, per gram the mean."""
+
+    def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray]):
+        lang = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        gram = np.concatenate(grams)
+        order = np.argsort(gram, kind="stable")
+        self.lang = lang[order]
+        self.more = np.log(2.0 * np.concatenate(counts) + 1)[order].astype(np.float32)
+        self.at = np.searchsorted(gram[order], np.arange(_GRAMS + 1))
+        base = np.log(0.5) - np.log([n.sum() + 0.5 * _GRAMS for n in counts])
+        self.base = base - base.mean()
+        self.mean = np.bincount(gram[order], self.more, _GRAMS) / len(grams)
+
+    def sums(self, codes: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+        """Scores (word x language) summed over grams `codes` of words `word`."""
+        n = self.at[codes + 1] - self.at[codes]
+        one = np.repeat(self.at[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out = np.bincount(np.repeat(word, n) * len(self.base) + self.lang[one], self.more[one], words * len(self.base))
+        return (out.reshape(words, -1) - np.bincount(word, self.mean[codes], words)[:, None]
+                + np.bincount(word, minlength=words)[:, None] * self.base)
+
+
 @dataclass
 class Model:
     langs: list[str]
-    two: np.ndarray
-    three: np.ndarray
+    two: np.ndarray | Sparse
+    three: np.ndarray | Sparse
     writes: np.ndarray  # script x language
     penalty: float = 12.0
     #: Added to a word's score for languages that don't write its script.
@@ -107,17 +135,46 @@ class Model:
             start, end, two, three, script = _grams(piece)
             if not len(start):
                 continue
-            # From the space before a word to its last byte: words alternate with gaps in reduceat.
-            at = np.column_stack([start - 1, end]).ravel()
-            per = (self.two[two] + self.three[three]) * np.float32(0.5)
-            s = np.add.reduceat(per, at[:-1] if at[-1] >= len(per) else at, axis=0)[::2]
-            known = self.writes[script]
-            rows.append(s + np.where(known.any(1)[:, None] & ~known, np.float32(self.foreign), np.float32(0)))
+            step = max(1, _CELLS // len(self.langs))
+            cuts = np.unique(np.searchsorted(start, np.arange(0, len(two) + step, step)))
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                first, last = int(start[a]) - 1, int(end[z - 1])
+                s = self._sums(two[first:last], three[first:last], start[a:z] - 1 - first, end[a:z] - first)
+                known = self.writes[script[a:z]]
+                rows.append(s + np.where(known.any(1)[:, None] & ~known, np.float32(self.foreign), np.float32(0)))
             sizes.append(end - start)
         if not rows:
             return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(sizes)
 
+    def _sums(self, two: np.ndarray, three: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Scores of the words whose grams are from `start` to `end`."""
+        if isinstance(self.two, Sparse):
+            word = np.repeat(np.arange(len(start)), end - start)
+            at = np.arange(len(word)) + np.repeat(start - (np.cumsum(end - start) - (end - start)), end - start)
+            return ((self.two.sums(two[at], word, len(start)) + self.three.sums(three[at], word, len(start))) * 0.5).astype(np.float32)
+        # From the space before a word to its last byte: words alternate with gaps in reduceat.
+        at = np.column_stack([start, end]).ravel()
+        per = (self.two[two] + self.three[three]) * np.float32(0.5)
+        return np.add.reduceat(per, at[:-1] if at[-1] >= len(per) else at, axis=0)[::2]
+
+    def _many(self, s: np.ndarray) -> np.ndarray:
+        """The best path over many languages, a bit for each word and language."""
+        v = s[0].astype(np.float64)
+        changed, to = np.zeros((len(s), -(-s.shape[1] // 8)), np.uint8), np.zeros(len(s), np.int64)
+        for i in range(1, len(s)):
+            to[i] = v.argmax()
+            t = v[to[i]] - self.penalty
+            changed[i] = np.packbits(v < t)
+            v = np.maximum(v, t) + s[i]
+        out = np.empty(len(s), np.int64)
+        at = out[-1] = int(v.argmax())
+        for i in range(len(s) - 1, 0, -1):
+            if changed[i, at >> 3] >> (7 - (at & 7)) & 1:
+                at = int(to[i])
+            out[i - 1] = at
+        return out
+
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best language of each word."""
         best = int(s.sum(0, dtype=np.float64).argmax())
@@ -129,6 +186,8 @@ class Model:
         ends = gain[:-1].max() + (gain[-1] - gain[:-1]).max() if len(s) > 1 else 0
         if max((gain - low).max(), ends) <= self.penalty:
             return np.full(len(s), best)
+        if s.shape[1] > DENSE:
+            return self._many(s)
         v = s[0].tolist()
         history, penalty = [v], self.penalty
         for row in s[1:].tolist():
@@ -147,24 +206,33 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 5000,
-        max_langs: int = 64) -> Model | None:
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 5000) -> Model | None:
     """The classifier; None if there is nothing to learn from."""
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h")).filter(
         "t is not null and lang is not null")
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
-             .limit(max_langs).collect()}
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not count:
         return None
     langs = sorted(count)
-    part = {x: min(1.0, per_lang / count[x]) for x in langs}
-    below = F.create_map(*[F.lit(v) for x in langs for v in (x, int(part[x] * (1 << 20)))])
-    sample = rows.filter(F.expr(f"pmod(h, {1 << 20})") < below[F.col("lang")]).select("t", "lang")
+    number = {x: i for i, x in enumerate(langs)}
+    large = [x for x in langs if count[x] > per_lang]
+    below = F.create_map(*[F.lit(v) for x in large for v in (x, max(1, int(per_lang / count[x] * (1 << 20))))]) if large else None
+    sample = rows.select("t", "lang") if below is None else rows.filter(
+        F.expr(f"pmod(h, {1 << 20})") < F.coalesce(below[F.col("lang")], F.lit(1 << 20))).select("t", "lang")
+
+    def row(i: int, v: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(v)
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+                                           pa.array([v[at].tobytes()], pa.binary())], names=["lang", "at", "n"])
 
     def count_grams(batches):
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if x not in total and len(total) == _COUNTED:
+                    for y, v in total.items():
+                        yield row(number[y], v)
+                    total.clear()
                 mine = total.setdefault(x, np.zeros(_WIDTH, np.int64))
                 for piece in _pieces(t):
                     start, end, two, three, script = _grams(piece)
@@ -177,29 +245,47 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
                         mine[_GRAMS:2 * _GRAMS] += np.bincount(three[used], minlength=_GRAMS)
                         mine[2 * _GRAMS:] += np.bincount(script, minlength=len(SCRIPTS))
         for x, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([langs.index(x)], pa.int32()), pa.array([v.tobytes()], pa.binary())],
-                                             names=["lang", "n"])
+            yield row(number[x], v)
 
     def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for x, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.setdefault(x, np.zeros(_WIDTH, np.int64))[:] += np.frombuffer(v, np.int64)
-        for x, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["lang", "n"])
-
-    counts = np.zeros((len(langs), _WIDTH))
-    for r in sample.mapInArrow(count_grams, "lang int, n binary").repartitionById(len(langs), F.col("lang")).mapInArrow(
-            add, "lang int, n binary").toLocalIterator():  # a row of 1 MB a language
-        counts[r["lang"]] = np.frombuffer(r["n"], np.int64)
+        at, total = -1, np.zeros(_WIDTH, np.int64)
+        for b in batches:  # by language
+            for x, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if x != at:
+                    if at >= 0:
+                        yield row(at, total)
+                    at, total = x, np.zeros(_WIDTH, np.int64)
+                total[np.frombuffer(i, np.int32)] += np.frombuffer(v, np.int64)
+        if at >= 0:
+            yield row(at, total)
+
+    kind, tasks = "lang int, at binary, n binary", min(len(langs), 1000)
+    none = np.zeros(0, np.int64)
+    counts = [(none, none)] * len(langs)
+    for r in sample.mapInArrow(count_grams, kind).repartitionById(tasks, F.col("lang") % tasks).sortWithinPartitions("lang").mapInArrow(
+            add, kind).toLocalIterator():  # a row a language, of 1.5 MB at most
+        counts[r["lang"]] = np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int64)
+
+    def part(lo: int, hi: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        inside = [(at >= lo) & (at < hi) for at, _ in counts]
+        return [at[x] - lo for (at, _), x in zip(counts, inside, strict=True)], [n[x] for (_, n), x in zip(counts, inside, strict=True)]
+
+    def whole(lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((len(langs), hi - lo))
+        for v, at, n in zip(out, *part(lo, hi), strict=True):
+            v[at] = n
+        return out
 
-    def table(n: np.ndarray) -> np.ndarray:
-        p = np.log((n + 0.5) / (n + 0.5).sum(1, keepdims=True))
+    def table(lo: int, hi: int) -> np.ndarray | Sparse:
+        if len(langs) > DENSE:
+            return Sparse(*part(lo, hi))
+        n = whole(lo, hi) + 0.5
+        p = np.log(n / n.sum(1, keepdims=True))
         return np.ascontiguousarray((p - p.mean(0)).T.astype(np.float32))
 
-    seen = counts[:, 2 * _GRAMS:]
+    seen = whole(2 * _GRAMS, _WIDTH)
     writes = (seen > 0.005 * np.maximum(seen.sum(1, keepdims=True), 1)).T
-    return Model(langs, table(counts[:, :_GRAMS]), table(counts[:, _GRAMS:2 * _GRAMS]), writes)
+    return Model(langs, table(0, _GRAMS), table(_GRAMS, 2 * _GRAMS), writes)
 
 
 def _read(model: Model | None, text: str | None) -> tuple[str, float, list[dict]]:

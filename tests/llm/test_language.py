@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cases import documents  # noqa: F401
+from codeaudit.llm import language
 from codeaudit.llm.language import Model, fit, keep_known, label
 
 VOCABULARY = {"en": "the of and that with this house river walking quickly thought under", "de": "der die und nicht straße über mädchen gehen schnell gedanke fluss",
@@ -89,3 +90,33 @@ def test_rejects_and_keeps(documents):
     docs = corpus(documents).union(documents([(900, None), (901, "12 34"), (902, ""), (None, text("en", 20, 3))]))
     kept = keep_known(docs, fit(docs)).collect()
     assert {r.doc_id for r in kept} == {*range(120), None}
+
+
+def test_every_label_is_learned(documents):
+    """More labels than are stored whole, the last of them with the fewest rows."""
+    r = random.Random(8)
+    names = [f"l{i:03}" for i in range(90)]
+    alphabet = {x: r.sample("abcdefghijklmnopqrstuvwxyz", 7) for x in names}
+    say = lambda x: " ".join("".join(r.choice(alphabet[x]) for _ in range(6)) for _ in range(60))
+    rows = [(k * 100 + i, say(x), x) for i, x in enumerate(names) for k in range(2 if i < 80 else 1)]
+    name = F.create_map(*[F.lit(v) for d, _, x in rows for v in (d, x)])
+    model = fit(documents([(d, t) for d, t, _ in rows]).withColumn("lang", name[F.col("doc_id")]))
+    assert model.langs == names
+    new = [(i, say(x)) for i, x in enumerate(names)]
+    got = {x.doc_id: x.lang_pred for x in label(documents(new), model).collect()}
+    assert sum(got[i] == x for i, x in enumerate(names)) >= 85
+
+
+def test_sparse_tables_and_many_labels(documents, monkeypatch):
+    """Tables stored sparsely, small steps and the path by bits give the same labels."""
+    docs = corpus(documents)
+    mixed = [". ".join(text(x, 9, i + 10 * k) for k, x in enumerate(VOCABULARY)) for i in range(20)]
+    want = fit(docs)
+    plain = [(want.scores(t), want.path(want.scores(t)[0])) for t in mixed]
+    monkeypatch.setattr(language, "DENSE", 2)
+    monkeypatch.setattr(language, "_CELLS", 200)
+    got = fit(docs)
+    assert isinstance(got.two, language.Sparse)
+    for t, ((s, sizes), path) in zip(mixed, plain, strict=True):
+        mine, letters = got.scores(t)
+        assert np.abs(mine - s).max() < 1e-3 and (letters == sizes).all() and (got.path(mine) == path).all()
