@@ -12,7 +12,9 @@ SHA-256, permutes the domain exactly, so every pseudonym is valid in the same
 format, equal values get equal pseudonyms in all documents and formats, and
 whoever has the key can invert it (an unpadded date, 7/4/2001, may come back
 padded, when its pseudonym had two-digit fields).  Cards keep their first digit and length
-and get a new check digit.  Day-first slash dates walk the permutation until
+and get a new check digit; beside other digits (an expiry date, a check value,
+a number before it) a card is found in the groups that cards are written in,
+and walks the permutation until the same groups are a card again.  Day-first slash dates walk the permutation until
 the day is again no month.  The name part of a mail address becomes a keyed
 hash of the address (not invertible); its domain stays.
 
@@ -40,8 +42,16 @@ FORMATS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-]?)[2-9]\d{2}[ .-]?\d{4}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
+# A run of digits that may hold cards: of 13 digits or more, up to where another value begins.  In its first 13 digits
+# ten in groups may be a card's, so a phone number ends it only if written with hyphens.
+_NO_PHONE = "|".join(f"(?:{p})" for k, p in FORMATS.items() if k != "phone")
+_HYPHENS = r"(?<= )[2-9]\d{2}-[2-9]\d{2}-\d{4}(?!\d)"
+FORMATS["card"] = (rf"(?<!\d)\d(?:(?:[ -](?!{_NO_PHONE}|{_HYPHENS}))?\d){{12}}"
+                   rf"(?:(?:[ -](?!{_NO_PHONE}|{FORMATS['phone']}))?\d)*+")
+#: The groups that cards are written in (with the separator before them).
+CARD_GROUPS = (r"^[ -]?(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}|"
+               r"\d{4}([ -])\d{3}\3\d{3}\3\d{3}|\d{6}[ -]\d{7,13})$")
 
 
 def _q(s: str) -> str:
@@ -72,13 +82,42 @@ class _Sql:
 
     digits = "regexp_replace(m, '[^0-9]', '')"
 
-    def fill(self, digits: str) -> str:
+    def fill(self, digits: str, m: str = "m") -> str:
         """`m` with its digits replaced in order."""
         return self.let(digits, "ds", (
-            "array_join(transform(sequence(1, length(m)), p -> if(substr(m, p, 1) between '0' and '9', "
-            "substr(ds, length(regexp_replace(substr(m, 1, p), '[^0-9]', '')), 1), substr(m, p, 1))), '')"))
-
-    def card(self) -> str:
+            f"array_join(transform(sequence(1, length({m})), p -> if(substr({m}, p, 1) between '0' and '9', "
+            f"substr(ds, length(regexp_replace(substr({m}, 1, p), '[^0-9]', '')), 1), substr({m}, p, 1))), '')"))
+
+    @staticmethod
+    def _join(parts: str, start: str, n: str) -> str:
+        return f"array_join(slice({parts}, {start}, {n}), '')"
+
+    def cards(self, run: str) -> str:
+        """array<struct<i, n>>: the cards of a digit run, as the first group and
+        the number of groups: from the left the longest in groups that cards
+        are written in; if there is none, the whole run."""
+        valid = lambda w: f"length(regexp_replace({w}, '[^0-9]', '')) between 13 and 19 and luhn_check(regexp_replace({w}, '[^0-9]', ''))"
+        size = f"cast(coalesce(array_max(filter(sequence(1, least(5, size(gs) - i + 1)), n -> {self.let(self._join('gs', 'i', 'n'), 'w', f'regexp_like(w, {_q(CARD_GROUPS)}) and {valid('w')}')})), 0) as int)"
+        kind = "array<struct<i:int,n:int>>"
+        some = (f"aggregate(sequence(1, size(gs)), named_struct('free', 1, 'found', cast(array() as {kind})), (s, i) -> if(i < s.free, s, "
+                + self.let(size, "k", "if(k = 0, s, named_struct('free', i + k, 'found', concat(s.found, array(named_struct('i', i, 'n', k)))))")
+                + ")).found")
+        return self.let(f"split({run}, '(?=[ -])', -1)", "gs", self.let(some, "found", (
+            f"if(size(found) = 0 and {valid(run)}, array(named_struct('i', 1, 'n', size(gs))), found)")))
+
+    def card_run(self) -> str:
+        """`m` with its cards replaced, by pseudonyms with which the same groups
+        of the run are its cards."""
+        end = "(if(j = 0, 1, at[j - 1].i + at[j - 1].n))"
+        one = self.let(self._join("hs", "x.i", "x.n"), "c", self.card("c"))
+        moved = self.let("split(s.run, '(?=[ -])', -1)", "hs", (
+            f"concat(array_join(transform(at, (x, j) -> concat({self._join('hs', end, f'x.i - {end}')}, {one})), ''), "
+            + self._join("hs", "element_at(at, -1).i + element_at(at, -1).n", "size(hs)") + ")"))
+        walk = ("aggregate(sequence(1, 64), named_struct('run', m, 'done', false), (s, r) -> if(s.done, s, "
+                + self.let(moved, "v", f"named_struct('run', v, 'done', {self.cards('v')} = at)") + ")).run")
+        return self.let(self.cards("m"), "at", f"if(size(at) = 0, m, {walk})")
+
+    def card(self, m: str) -> str:
         # The first digit stays; the next n - 2 are permuted; the last is the check digit.
         half, rest = "cast((length(d) - 2) div 2 as int)", "cast(length(d) - 2 - (length(d) - 2) div 2 as int)"
         ten = lambda n: f"cast(rpad('1', {n} + 1, '0') as bigint)"
@@ -90,7 +129,7 @@ class _Sql:
                  "element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), cast(substr(body, i, 1) as int) + 1), "
                  "cast(substr(body, i, 1) as int)))")
         new = self.let(moved, "x", self.let(body, "body", f"concat(body, pmod(-{total}, 10))"))
-        return self.let(self.digits, "d", f"if(luhn_check(d) and length(d) between 13 and 19, {self.fill(new)}, m)")
+        return self.let(f"regexp_replace({m}, '[^0-9]', '')", "d", self.fill(new, m))
 
     def phone(self) -> str:
         ten = "right(d, 10)"
@@ -147,7 +186,7 @@ class _Sql:
         slash = ("if(cast(split(m, '/')[0] as int) > 12, " + self.date("dmy", True) + f", {self.date('mdy')})")
         cases = [("instr(m, '@') > 0", "m" if self.invert else self.mail()), (one("ymd"), self.date("ymd")), (one("slash"), slash),
                  (one("dot"), self.date("dmy")), (one("ssn"), self.ssn()), (one("ip"), self.ip()), (one("phone"), self.phone()),
-                 ("true", self.card())]
+                 ("true", self.card_run())]
         return "case " + " ".join(f"when {c} then {v}" for c, v in cases) + " end"
 
 
@@ -164,5 +203,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", out: str = "n
     joined = f"""if(size(found) = 0, {t}, concat_ws('', flatten(zip_with(split({t}, {every}, -1), new,
         (gap, x) -> array(gap, coalesce(x, ''))))))"""
     same = lambda a, b: a.lower() == b.lower()
+    count = ("aggregate(zip_with(found, new, (m, x) -> if(m = x, 0, if(regexp_like(m, '^[0-9][0-9 -]{12,}$'), greatest(1, size("
+             + sql.cards("m") + ")), 1))), 0, (n, k) -> n + k)")
     return new.select(*[(F.expr(joined) if same(c, text) else F.col("d")[c]).alias(c) for c in docs.columns if not same(c, out)],
-                      F.expr(f"if({t} is null, 0, size(filter(zip_with(found, new, (a, b) -> a <> b), x -> x)))").cast("long").alias(out))
+                      F.expr(f"if({t} is null, 0, {count})").cast("long").alias(out))

@@ -90,3 +90,36 @@ def test_edges(documents):
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "d", "found", "new", "n_private"]
     assert sorted(((r.doc_id or 0), r.n_private) for r in got.collect()) == [(0, 0), (2, 0), (2, 0), (3, 1)]
     assert pseudonymise(documents([]), "k").count() == 0
+
+
+def test_cards_beside_other_digits(documents):
+    r, rows = random.Random(12), []
+    spaced = lambda c: " ".join(re.findall(".{1,4}", c))
+    for i in range(40):
+        c, a, b = card(r, 16), card(r, 15), card(r, r.choice([13, 16, 19]))
+        rows += [(spaced(c), " 05/27", ""), (c, f" {r.randrange(100, 1000)}", ""), (spaced(c), "", "05/27 "), (spaced(c), "", "order 12 "),
+                 (c, " 05/27x", "order 12 "), (b, "", "7 "), (f"{a[:4]} {a[4:10]} {a[10:]}", " 11/30 123", ""),
+                 (c.replace(c, "-".join(re.findall("....", c))), " 99", "1-")]
+    rows = [("4111 1111 1111 1111", " 05/27", ""), ("4111111111111111", " 123", ""), *rows]
+    made = pseudonymise(documents([(i, x + c + y) for i, (c, y, x) in enumerate(rows)]), "k").cache()
+    got = {t.doc_id: (t.text, t.n_private) for t in made.collect()}
+    for i, (c, y, x) in enumerate(rows):
+        new, n = got[i]
+        mid = new[len(x):len(new) - len(y)]
+        assert new.startswith(x) and new.endswith(y) and n == 1, (x, c, y, new)
+        assert mid != c and luhn(re.sub(r"\D", "", mid)) and mid[0] == c[0] and re.sub(r"\d", "9", mid) == re.sub(r"\d", "9", c)
+    back = {t.doc_id: t.text for t in pseudonymise(made.drop("n_private"), "k", invert=True).collect()}
+    assert back == {i: x + c + y for i, (c, y, x) in enumerate(rows)}
+
+
+def test_values_after_cards_and_long_runs(documents):
+    c = "4111 1111 1111 1111"
+    more = ["212-555-0147", "123-45-6789", "2001-07-04", "07/04/2001", "10.0.0.1", "77@x.example", "2125550147", "4242 4242 4242 4242"]
+    rows = [(i, f"{c} {x}") for i, x in enumerate(more)] + [(90, "12345 123-45-6789"), (91, "7" * 300_001), (92, "1 " * 100_000 + c)]
+    made = pseudonymise(documents(rows), "k").cache()
+    got = {t.doc_id: t.text for t in made.collect()}
+    assert {t.doc_id: t.n_private for t in made.collect() if t.doc_id < 91} == {**dict.fromkeys(range(len(more)), 2), 90: 1}
+    for i, x in enumerate(more):
+        assert got[i][:19] != c and luhn(got[i][:19].replace(" ", "")) and got[i][20:] != x, got[i]
+    assert got[90][:6] == "12345 " and got[90][6:] != "123-45-6789" and got[91] == "7" * 300_001
+    assert got[92].startswith("1 " * 100_000) and not got[92].endswith(c)
