@@ -12,8 +12,10 @@ sequences that hold the same pieces and puts displaced pieces back by best
 fit; mutation dissolves the emptiest sequences.  Between epochs each island's
 elite moves to the next island.  The best packing of a block is taken; pieces
 of sequences that are not well filled form the next level's blocks, until one
-block is left.  Blocks and islands are rows, so no task holds more than some
-blocks, and every level is a few narrow jobs.
+block is left.  Where that brings too little, only the emptiest tenth of each
+block's sequences goes on, and where blocks are of hardly more than one
+sequence, the next are twice as large.  Blocks and islands are rows, so no task
+holds more than some blocks, and every level is a few narrow jobs.
 
 Defined results: a null text is an empty one, of `end_id` alone; repeated rows
 and null ids are packed like others; empty tables give no rows; other columns
@@ -219,8 +221,9 @@ def _epoch(state: DataFrame, length: int, epoch: int, members: int, generations:
 
 def _level(left: DataFrame, count: int, length: int, level: int, *, block_items: int, islands: int, epochs: int, members: int,
            generations: int, well_filled: float, last: bool) -> DataFrame:
-    """(item, size, block, bin, place, keep) of one level; `keep` is false for
-    the items of sequences to be packed again."""
+    """(item, size, block, bin, place, keep, emptiest) of one level; `keep` is
+    false for the items of sequences to be packed again, `emptiest` true for
+    those of the emptiest tenth of a block's sequences, of one at least."""
     blocks = max(1, count // block_items)
     state = (left.withColumn("block", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)))
              .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("item", "size"))).alias("x"))
@@ -238,24 +241,26 @@ def _level(left: DataFrame, count: int, length: int, level: int, *, block_items:
                 tasks, task)
 
     def settle(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[list] = [[] for _ in range(6)]
+        rows: list[list] = [[] for _ in range(7)]
         for block, solutions in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             items, sizes = solutions[0]["items"], solutions[0]["sizes"]
             bins = max((_nested(s["best"]) for s in solutions), key=lambda x: fitness(x, sizes, length))
+            filled = [sum(sizes[i] for i in x) for x in bins]
+            emptiest = set(sorted(range(len(bins)), key=filled.__getitem__)[:max(1, len(bins) // 10)])
             for k, x in enumerate(bins):
-                keep = last or sum(sizes[i] for i in x) >= well_filled * length
+                keep = last or filled[k] >= well_filled * length
                 at = 0
                 for i in x:
-                    for c, v in zip(rows, (items[i], sizes[i], block, k, at, keep), strict=True):
+                    for c, v in zip(rows, (items[i], sizes[i], block, k, at, keep, k in emptiest), strict=True):
                         c.append(v)
                     at += sizes[i]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)],
-                                          names=["item", "size", "block", "bin", "place", "keep"])
+                                          names=["item", "size", "block", "bin", "place", "keep", "emptiest"])
 
     best = state.select("block", F.struct("island", "items", "sizes", F.col("pop")[0].alias("best")).alias("s")).groupBy("block").agg(
         F.sort_array(F.collect_list("s")).alias("s"))
-    return map_batches(best, settle, "item long, size int, block long, bin int, place int, keep boolean")
+    return map_batches(best, settle, "item long, size int, block long, bin int, place int, keep boolean, emptiest boolean")
 
 
 def pack(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], *, doc_id: str = "doc_id", text: str = "text",
@@ -290,22 +295,24 @@ def pack(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], *, doc_id:
     left = pieces.filter(F.col("length") < length).select("item", F.col("length").cast("int").alias("size"))
     count, level = left.count(), 0
     while count:
-        last = count <= block_items or level == 12
+        last = count <= block_items
         done = written(_level(left, count, length, level, block_items=block_items, islands=islands, epochs=epochs, members=members,
                               generations=generations, well_filled=well_filled, last=last), f"packed-{level}")
         again = done.filter(~F.col("keep")).count()
-        kept = done if again > 0.9 * count else done.filter("keep")  # no use in trying once more
-        plan.append(kept.select("item", F.concat_ws(":", F.lit(level), "block", "bin").alias("name"), "place"))
-        if last or again > 0.9 * count:
-            break
+        if not last and (again > 0.9 * count or level >= 12):  # little use in trying all once more
+            done = done.withColumn("keep", F.expr("keep or not emptiest"))
+            again = done.filter(~F.col("keep")).count()
+            if again > 0.5 * count:
+                block_items *= 2
+        plan.append(done.filter("keep").select("item", F.concat_ws(":", F.lit(level), "block", "bin").alias("name"), "place"))
         left, count, level = done.filter(~F.col("keep")).select("item", "size"), again, level + 1
     placed = plan[0]
     for p in plan[1:]:
         placed = placed.unionByName(p)
     # Names are numbered without a global sort: a hash would do but for collisions.
     parts = F.split("name", ":")
-    number = F.when(parts[0] == "f", parts[1].cast("decimal(38,0)") * 16 + 15).otherwise(
-        (parts[1].cast("decimal(38,0)") * block_items * 16 + parts[2].cast("decimal(38,0)")) * 16 + parts[0].cast("decimal(38,0)"))
+    number = F.when(parts[0] == "f", parts[1].cast("decimal(38,0)") * 64 + 63).otherwise(
+        (parts[1].cast("decimal(38,0)") * (1 << 20) + parts[2].cast("decimal(38,0)")) * 64 + parts[0].cast("decimal(38,0)"))
     out = pieces.join(placed, "item").select(
         "doc_id", "piece", "start", "length", "ids_crc32", number.cast("long").alias("sequence_id"),
         F.col("place").cast("long").alias("offset"), "raw")

@@ -57,6 +57,15 @@ def check(rows, got, length):
     return len(sequences), -(-sum(r.length for r in got) // length)
 
 
+def test_partly_empty_sequences_of_all_blocks_are_merged(documents):
+    """Equal sizes that never fill a sequence, and tiny ones that need larger blocks."""
+    ids = lambda texts: [np.zeros(int(t) - 1, "<u4").tobytes() for t in texts]
+    for size, n, most in ((30, 400, 135), (1, 900, 10), (7, 500, 38)):
+        got = pack(documents([(i, str(size)) for i in range(n)]), ids, length=100, block_items=20, epochs=1).collect()
+        assert len(got) == n and len({(r.sequence_id, r.offset) for r in got}) == n
+        assert len({r.sequence_id for r in got}) <= most, (size, len({r.sequence_id for r in got}))
+
+
 def test_packing(documents):
     r = random.Random(6)
     rows = [(i, " ".join(r.choice(["tree", "house", "Extraordinary", "x1,"]) for _ in range(int(r.lognormvariate(3.5, 1.2))))) for i in range(900)]
