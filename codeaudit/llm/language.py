@@ -317,9 +317,10 @@ def label(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text:
                        "spans array<struct<start:int, end:int, lang:string>>")
 
 
-def keep_known(docs: DataFrame, model: Model | None, *, text: str = "text", least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model | None, *, text: str = "text", least: float = 0.0) -> DataFrame:
     """The rows of `docs`, as they are, whose text has a language with a score
-    of `least` or more; all, if there is no model."""
+    of `least` or more (by default, any language: texts of many are kept); all,
+    if there is no model."""
     if model is None:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -30,8 +30,7 @@ def encode(texts: list[str]) -> list[bytes]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that holds half of
-    their letters, go."""
+    """Documents without letters go; those of several languages stay."""
     return keep_known(docs, fit(docs))
 
 

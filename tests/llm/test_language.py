@@ -120,3 +120,11 @@ def test_sparse_tables_and_many_labels(documents, monkeypatch):
     for t, ((s, sizes), path) in zip(mixed, plain, strict=True):
         mine, letters = got.scores(t)
         assert np.abs(mine - s).max() < 1e-3 and (letters == sizes).all() and (got.path(mine) == path).all()
+
+
+def test_keeps_a_text_of_many_languages(documents):
+    model = fit(corpus(documents))
+    mixed = documents([(1, ". ".join(text(x, 20, 7) for x in ("en", "ru", "el", "de"))), (2, "12 34")])
+    (r,) = label(mixed.filter("doc_id = 1"), model).collect()
+    assert r.score < 0.5 and len(r.spans) == 4
+    assert [x.doc_id for x in keep_known(mixed, model).collect()] == [1]
