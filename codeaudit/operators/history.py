@@ -57,7 +57,10 @@ def commit_adds(commit_lines: DataFrame) -> DataFrame:
 
 def history_findings(commit_lines: DataFrame, limit: int | None = None) -> DataFrame:
     """R8.  ``limit`` keeps only the first so many findings of a repository;
-    by default every leaked credential is reported."""
+    by default there is no cap.  As in the reference (and the query's SQL),
+    values of a rule that share their first 24 characters are one finding of
+    the repository: of several Slack webhooks, private keys or database URLs
+    with equal heads only the first is reported."""
     adds = commit_adds(commit_lines)
     rules = [r for r in SCAN_RULES if r.id != R.GENERIC_RULE_ID]
     # two commits may share a short sha (or have none): their order tells them apart
