@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from codeaudit.llm.collocations import collocations
 from codeaudit.llm.common import table
 from codeaudit.llm.decontaminate import decontaminate
 from codeaudit.llm.jaccard import jaccard_components
@@ -70,12 +71,17 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("__row")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_knn": op1_knn, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms,
            "op4_decontaminate": op4_decontaminate, "op5_shards": op5_shards, "op6_jaccard_join": op6_jaccard_join,
            "op7_line_dedup": op7_line_dedup, "op8_packing": op8_packing, "op9_warc": op9_warc,
-           "op10_passages": op10_passages, "pipeline": corpus_pipeline.run}
+           "op10_passages": op10_passages, "op13_collocations": op13_collocations, "pipeline": corpus_pipeline.run}
 
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
     "op1_knn": """
@@ -118,4 +124,25 @@ select page_id, payload_bytes, payload_digest,
        case when payload_bytes >= 1000 and page_id <> kept then 'revisit' else 'response' end as record_type,
        case when payload_bytes >= 1000 and page_id <> kept then kept end as refers_to
 from h""",
+    "op13_collocations": rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as s from documents),
+     w as (select lang, regexp_extract_all(s, '[^\x20\x09]+') as w from p),
+     g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+           from (select lang, w, unnest(range(1, len(w) + 1)) as i from w), (select unnest(range(1, 6)) as k)
+           where i + k - 1 <= len(w) group by all),
+     t as (select lang, sum(f)::hugeint as n from g where k = 1 group by lang),
+     c as (select *, string_split(phrase, ' ') as v from g where k > 1 and f >= 100),
+     gone as (select distinct c.lang, c.phrase
+              from (select lang, f, array_to_string(v[i:i + j - 1], ' ') as phrase
+                    from c, (select unnest(range(2, 5)) as j), (select unnest(range(1, 5)) as i) where j < k and i + j - 1 <= k) x
+              join c using (lang, phrase) where 100 * x.f >= 100 * c.f),
+     cut as (select c.lang, c.phrase, c.f as a, l.f as l, r.f as r, n, h,
+                    ((1000 * c.f::hugeint * n) // (l.f::hugeint * r.f))::bigint as score
+             from c, (select unnest(range(1, 5)) as h), t, g as l, g as r
+             where h < c.k and t.lang = c.lang and l.lang = c.lang and l.phrase = array_to_string(v[1:h], ' ')
+               and r.lang = c.lang and r.phrase = array_to_string(v[h + 1:], ' ')),
+     best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, h) = 1),
+     ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+                from best anti join gone using (lang, phrase))
+select lang, rank, phrase, a, l, r, n::bigint as n, score from ranked where rank <= 2000""",
 }
