@@ -129,18 +129,18 @@ with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOW
      w as (select lang, regexp_extract_all(s, '[^\x20\x09]+') as w from p),
      g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
            from (select lang, w, unnest(range(1, len(w) + 1)) as i from w), (select unnest(range(1, 6)) as k)
-           where i + k - 1 <= len(w) group by all),
+           where i + k - 1 <= len(w) group by lang, k, phrase),
      t as (select lang, sum(f)::hugeint as n from g where k = 1 group by lang),
-     c as (select *, string_split(phrase, ' ') as v from g where k > 1 and f >= 100),
+     q as materialized (select lang, phrase, k, f, string_split(phrase, ' ') as v from g where f >= 100),
+     c as (select * from q where k > 1),
      gone as (select distinct c.lang, c.phrase
               from (select lang, f, array_to_string(v[i:i + j - 1], ' ') as phrase
                     from c, (select unnest(range(2, 5)) as j), (select unnest(range(1, 5)) as i) where j < k and i + j - 1 <= k) x
               join c using (lang, phrase) where 100 * x.f >= 100 * c.f),
-     cut as (select c.lang, c.phrase, c.f as a, l.f as l, r.f as r, n, h,
-                    ((1000 * c.f::hugeint * n) // (l.f::hugeint * r.f))::bigint as score
-             from c, (select unnest(range(1, 5)) as h), t, g as l, g as r
-             where h < c.k and t.lang = c.lang and l.lang = c.lang and l.phrase = array_to_string(v[1:h], ' ')
-               and r.lang = c.lang and r.phrase = array_to_string(v[h + 1:], ' ')),
+     h as (select lang, phrase, f as a, h, array_to_string(v[1:h], ' ') as x, array_to_string(v[h + 1:], ' ') as y
+           from (select *, unnest(range(1, k)) as h from c)),
+     cut as (select h.lang, h.phrase, a, l.f as l, r.f as r, n, h, ((1000 * a::hugeint * n) // (l.f::hugeint * r.f))::bigint as score
+             from h join t using (lang) join q as l on l.lang = h.lang and l.phrase = x join q as r on r.lang = h.lang and r.phrase = y),
      best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, h) = 1),
      ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
                 from best anti join gone using (lang, phrase))
