@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from codeaudit.llm.collocations import collocations
 from codeaudit.llm.common import table
+from codeaudit.llm.conversations import damage, repair_conversations
 from codeaudit.llm.decontaminate import decontaminate
 from codeaudit.llm.jaccard import jaccard_components
 from codeaudit.llm.knn import knn_join
@@ -71,6 +72,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("__row")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")), present="present")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -78,11 +83,34 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_knn": op1_knn, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms,
            "op4_decontaminate": op4_decontaminate, "op5_shards": op5_shards, "op6_jaccard_join": op6_jaccard_join,
            "op7_line_dedup": op7_line_dedup, "op8_packing": op8_packing, "op9_warc": op9_warc,
-           "op10_passages": op10_passages, "op13_collocations": op13_collocations, "pipeline": corpus_pipeline.run}
+           "op10_passages": op10_passages, "op11_conversations": op11_conversations,
+           "op13_collocations": op13_collocations, "pipeline": corpus_pipeline.run}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# op11: the cheapest repair from row p on, per grammar state, as (cost, audit, text); the last rows come first.
+_DELETE = "{'c': 3 + v%d.c, 'a': 'D' || v%d.a, 't': v%d.t}"
+_INSERT = "{'c': 2 + %s.c, 'a': 'I' || %s.a, 't': chr(10) || '%s:' || %s.t}"
+
+
+def _edit(letter: str, cost: str, to: int, role: str, allowed: str) -> str:
+    return (f"case when {allowed} then {{'c': {cost} + cut + v{to}.c, 'a': '{letter}' || v{to}.a, "
+            f"'t': chr(10) || {role} || ':' || text || v{to}.t}} end")
+
+
+def _best(q: int) -> str:
+    to, role = (3, "assistant") if q == 2 else (2, "user")
+    keeps = [_edit("K", "0", to, "role", f"ok and left(role, 1) = '{role[0]}'")]
+    keeps += [_edit("K", "0", 1, "role", "ok and left(role, 1) = 's'")] if q == 0 else []
+    options = [_DELETE % (q, q, q), _edit("R", "2", to, f"'{role}'", "ok"), *keeps]
+    return f"list_min(list_filter([{', '.join(options)}], lambda x: x is not null)) as b{q}"
+
+
+def _insert(v: str, role: str) -> str:
+    return _INSERT % (v, v, role, v)
+
+
 ORACLES = {
     "op1_knn": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
@@ -145,4 +173,39 @@ with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOW
      ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
                 from best anti join gone using (lang, phrase))
 select lang, rank, phrase, a, l, r, n::bigint as n, score from ranked where rank <= 2000""",
+    "op11_conversations": rf"""
+with recursive
+     crc as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+                    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t),
+     k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                  list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+                                 lambda c: ord(c)::bigint) as b from conversations),
+     f as (select k.*, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::bigint), 4294967295) % 20 as f
+           from k, crc),
+     d as (select conv_id, turn, case when f = 4 then 'user' else role end as role,
+                  case f when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+                  unnest(range(case when f = 3 then 2 else 1 end)) as copy from f where f <> 0),
+     o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as p,
+                  count(*) over (partition by conv_id) as n from d),
+     e as (select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank,
+                  row_number() over (partition by conv_id, role, text order by p) > 1 as again,
+                  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') as tail,
+                  left(lag(role) over (partition by conv_id order by p), 1) || left(role, 1) as two from o),
+     g as materialized (select *, not blank and not again as ok, (not blank and not again and tail)::bigint as cut from e),
+     r as (select conv_id, max(n) + 1 as p, {{'c': 0::bigint, 'a': '', 't': ''}} as v0, {{'c': 4::bigint, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} as v1,
+                  {{'c': 2::bigint, 'a': 'I', 't': chr(10) || 'assistant:'}} as v2, {{'c': 0::bigint, 'a': '', 't': ''}} as v3
+           from g group by conv_id
+           union all
+           select conv_id, p, list_min([b0, {_insert("x2", "user")}]), list_min([b1, {_insert("x2", "user")}]), x2, x3
+           from (select *, list_min([b2, {_insert("b3", "assistant")}]) as x2, list_min([b3, {_insert("b2", "user")}]) as x3
+                 from (select g.conv_id, g.p, {_best(0)}, {_best(1)}, {_best(2)}, {_best(3)}
+                       from r join g on g.conv_id is not distinct from r.conv_id and g.p = r.p - 1))),
+     s as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+                  count(*) filter (again and not blank) as duplicate, sum(cut) as truncated,
+                  count(*) filter (two not in ('su', 'ua', 'au')) as illegal from g group by conv_id)
+select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(v0.c, 0)::bigint as cost,
+       coalesce(v0.a, '') as audit, sha256(coalesce(substr(v0.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join s on s.conv_id is not distinct from i.conv_id
+     left join r on r.conv_id is not distinct from i.conv_id and r.p = 1""",
 }
