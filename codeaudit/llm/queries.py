@@ -13,6 +13,7 @@ from codeaudit.llm.decontaminate import decontaminate
 from codeaudit.llm.jaccard import jaccard_components
 from codeaudit.llm.knn import knn_join
 from codeaudit.llm.language import fit, label
+from codeaudit.llm.license_scan import BASE, TEMPLATES, needed, scan_licenses, split
 from codeaudit.llm.lines import dedup_lines
 from codeaudit.llm.packing import pack
 from codeaudit.llm.pii import pseudonymise
@@ -76,6 +77,16 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(table(spark, sf_dir, "conversations")), present="present")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda x: x["base"])
+    joined = lambda places: F.array_join(F.array_sort(F.array_distinct(places["label"])), ",")
+    return d.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base["start"]).alias("first_word"),
+                    F.array_max(base["start"]).alias("last_word"), joined(base).alias("base_labels"),
+                    joined(F.col("places")).alias("labels"),
+                    F.coalesce(F.array_max(F.transform("places", lambda x: x["matched"] / x["words"])), F.lit(0.0)).alias("score"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -84,7 +95,7 @@ QUERIES = {"op1_knn": op1_knn, "op2_language": op2_language, "op3_pseudonyms": o
            "op4_decontaminate": op4_decontaminate, "op5_shards": op5_shards, "op6_jaccard_join": op6_jaccard_join,
            "op7_line_dedup": op7_line_dedup, "op8_packing": op8_packing, "op9_warc": op9_warc,
            "op10_passages": op10_passages, "op11_conversations": op11_conversations,
-           "op13_collocations": op13_collocations, "pipeline": corpus_pipeline.run}
+           "op12_licenses": op12_licenses, "op13_collocations": op13_collocations, "pipeline": corpus_pipeline.run}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -111,6 +122,16 @@ def _insert(v: str, role: str) -> str:
     return _INSERT % (v, v, role, v)
 
 
+def _template_rows() -> str:
+    """The templates of op12 as rows: number, label, base, words that must
+    match, words, key phrases."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    return ",\n     ".join(
+        f"({n}, '{t.label}', {str(n < len(BASE)).lower()}, {needed(t)}, {quoted(split(t.text))}, "
+        f"{'[' + ', '.join(quoted(split(p)) for p in t.phrases) + ']' if t.phrases else '[]::varchar[][]'})"
+        for n, t in enumerate((*BASE, *TEMPLATES)))
+
+
 ORACLES = {
     "op1_knn": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
@@ -208,4 +229,21 @@ select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
        coalesce(v0.a, '') as audit, sha256(coalesce(substr(v0.t, 2), '')) as repaired_sha256
 from (select distinct conv_id from conversations) i left join s on s.conv_id is not distinct from i.conv_id
      left join r on r.conv_id is not distinct from i.conv_id and r.p = 1""",
+    "op12_licenses": rf"""
+with t(tid, label, base, need, tw, phrases) as (values
+     {_template_rows()}),
+     tw as (select tid, need, unnest(tw) as word, unnest(range(len(tw))) as j from t),
+     d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+     dw as (select r, unnest(w) as word, unnest(range(len(w))) as p from d),
+     al as (select r, tid, p - j as s, count(*) as m from dw join tw using (word) group by r, tid, p - j, need having count(*) >= need),
+     ok as (select r, s, m, label, base, len(tw) as n from al join t using (tid) join d using (r)
+            where len(list_filter(phrases, lambda ph: not list_contains(list_transform(
+                range(greatest(s, 0), s + len(tw) - len(ph) + 1), lambda x: w[x + 1:x + len(ph)]), ph))) = 0),
+     a as (select r, count(*) filter (base) as n_base, min(s) filter (base) as first_word, max(s) filter (base) as last_word,
+                  list_sort(list(distinct label) filter (base)) as bl, list_sort(list(distinct label)) as ll, max(m / n) as score
+           from ok group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+       last_word::bigint as last_word, coalesce(array_to_string(bl, ','), '') as base_labels,
+       coalesce(array_to_string(ll, ','), '') as labels, coalesce(score, 0)::double as score
+from d left join a using (r)""",
 }
