@@ -41,30 +41,15 @@ from pyspark.sql import functions as F
 from codeaudit.llm.common import map_batches, written
 
 #: White space that str.split and the tokenizers' patterns may see differently.
+_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (
     0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-#: Entries of the caches of chunks between white space and of words.
-_CHUNKS, _WORDS = 100_000, 200_000
+#: The contract's vocabulary file.
+TOKENIZER = "word_bpe_49k.json"
+#: Bytes of a generation of the words' cache, which holds two.
+GENERATION_BYTES = 96 << 20
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_tokenizers: dict[str, tuple] = {}
-
-
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
-        from tokenizers import Tokenizer
-        _tokenizers[path] = Tokenizer.from_file(path), {}, {}
-    return _tokenizers[path]
-
-
-def _parts(chunk: str) -> tuple[str, ...]:
-    """The word of a chunk and the ASCII marks after it, which the tokenizers'
-    patterns part; any other chunk whole."""
-    word = chunk.rstrip(_MARKS)
-    if not word.isalpha():
-        return (chunk,)
-    word_key = word.lower() if word.isascii() else word
-    return (word_key,) if len(word) == len(chunk) else (word_key, chunk[len(word):])
+_words: dict[str, _Words] = {}
 
 
 def _plain_bytes() -> dict[int, str]:
@@ -79,44 +64,77 @@ _ALPHABET = _plain_bytes()
 
 
 def _byte_level(word: str) -> str | None:
-    """A word in the byte-level alphabet as the tokenizers' pipeline would give
-    it to the model; None where lower case or composition is not letter by
+    """A word (in lower case, if ASCII) in the byte-level alphabet as the
+    tokenizers' pipeline would give it to the model; None where lower case or composition is not letter by
     letter, so only the pipeline itself can tell."""
-    low = word if word.isascii() else word.lower()
+    if word.isascii():
+        return word if word.isalpha() else None
+    low = word.lower()
     if not word.isalpha() or len(low) != len(word) or "\u03a3" in word or not unicodedata.is_normalized("NFC", low):
         return None
-    return low if low.isascii() else "".join(map(_ALPHABET.__getitem__, low.encode()))
+    return "".join(map(_ALPHABET.__getitem__, low.encode()))
+
+
+class _Words(dict):
+    """The ids, as bytes, of chunks between white space: a plain word and the
+    ASCII marks after it, which the tokenizers' patterns part, are looked up
+    apart, any other chunk is encoded whole.  What is not asked for while a
+    generation fills up is forgotten with the one after it."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.older, self.size = self.tokenizer.model, {}, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            if not chunk.isalpha():
+                word = chunk.rstrip(_MARKS)
+                ids = self[word] + self[chunk[len(word):]] if word != chunk and word.isalpha() else self.whole(chunk)
+            elif chunk.isascii() and chunk != (low := chunk.lower()):
+                ids = self[low]
+            else:
+                plain = _byte_level(chunk)
+                ids = self.whole(chunk) if plain is None else array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        self[chunk] = ids
+        self.size += 200 + len(chunk) + len(ids)  # 200: the three objects and their places
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def text(self, text: str) -> bytes:
+        if text.isascii():
+            if any(c in text for c in _ODD_ASCII):
+                return self.whole(text)
+            chunks = (text if "<|" in text else text.lower()).split()  # special tokens are found before lower case
+        elif _ODD_SPACE.search(text):
+            return self.whole(text)
+        else:
+            chunks = text.split()
+        ids = b"".join(map(self.__getitem__, chunks))
+        if self.size > GENERATION_BYTES:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        return ids
 
 
 def encode_words(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text, for tokenizers that lower-case,
-    part words from marks and never join characters across white space: each
-    distinct word is encoded once and kept in a cache of bounded size."""
-    tok, chunks, words = _tokenizer(path)
-    split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-    new = {x for w in split if w for x in w if x not in chunks}
-    if len(chunks) + len(new) > _CHUNKS:
-        chunks.clear()
-        new = {x for w in split if w for x in w}
-    parts = {x: _parts(x) for x in new}
-    ask = list({p for ps in parts.values() for p in ps if p not in words})
-    if len(words) + len(ask) > _WORDS:
-        words.clear()
-        ask = list({p for ps in parts.values() for p in ps})
-    model, odd = tok.model, []
-    for p in ask:
-        plain = _byte_level(p)
-        if plain is None:
-            odd.append(p)
-        else:
-            words[p] = array("I", [t.id for t in model.tokenize(plain)]).tobytes()
-    for i in range(0, len(odd), 10_000):
-        for p, e in zip(odd[i:i + 10_000], tok.encode_batch_fast(odd[i:i + 10_000], add_special_tokens=False), strict=True):
-            words[p] = array("I", e.ids).tobytes()
-    for x, ps in parts.items():
-        chunks[x] = words[ps[0]] if len(ps) == 1 else words[ps[0]] + words[ps[1]]
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(chunks.__getitem__, w))
-            for t, w in zip(texts, split, strict=True)]
+    part words from marks and never join characters across white space: words
+    are encoded once and kept in a cache of bounded size."""
+    if path not in _words:
+        _words[path] = _Words(path)
+    return [_words[path].text(t) for t in texts]
+
+
+def encode(texts: list[str]) -> list[bytes]:
+    """`encode_words` with the vocabulary file of the contract, found where the
+    tokenizers' package puts it on each node."""
+    import public_tokenizers
+    return encode_words(texts, public_tokenizers.path(TOKENIZER))
 
 
 # One block

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from codeaudit.llm.collocations import collocations
 from codeaudit.llm.common import table
 from codeaudit.llm.conversations import damage, repair_conversations
@@ -15,7 +14,7 @@ from codeaudit.llm.knn import knn_join
 from codeaudit.llm.language import fit, label
 from codeaudit.llm.license_scan import BASE, TEMPLATES, needed, scan_licenses, split
 from codeaudit.llm.lines import dedup_lines
-from codeaudit.llm.packing import pack
+from codeaudit.llm.packing import encode, pack
 from codeaudit.llm.pii import pseudonymise
 from codeaudit.llm.shards import shard
 from codeaudit.llm.suffixes import repeated_passages
@@ -66,7 +65,7 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), corpus_pipeline.encode)
+    return pack(table(spark, sf_dir, "documents"), encode)
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +94,7 @@ QUERIES = {"op1_knn": op1_knn, "op2_language": op2_language, "op3_pseudonyms": o
            "op4_decontaminate": op4_decontaminate, "op5_shards": op5_shards, "op6_jaccard_join": op6_jaccard_join,
            "op7_line_dedup": op7_line_dedup, "op8_packing": op8_packing, "op9_warc": op9_warc,
            "op10_passages": op10_passages, "op11_conversations": op11_conversations,
-           "op12_licenses": op12_licenses, "op13_collocations": op13_collocations, "pipeline": corpus_pipeline.run}
+           "op12_licenses": op12_licenses, "op13_collocations": op13_collocations}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -5,13 +5,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 from tokenizers import Tokenizer
 
 from cases import documents  # noqa: F401
 from codeaudit.llm import packing
 from codeaudit.llm.packing import encode_words, evolve, pack
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 encode = functools.partial(encode_words, path=PATH)
@@ -30,12 +31,24 @@ def test_words_give_the_ids_of_whole_texts():
     texts = ["".join(r.choice(odd + ["word", "Word.", " ", "\n", "\t", "  "]) for _ in range(r.randrange(0, 40))) for _ in range(400)]
     want = [whole(x) for x in texts]
     assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == want
-    old = packing._CHUNKS, packing._WORDS
-    packing._CHUNKS, packing._WORDS = 5, 3
+    old = packing.GENERATION_BYTES
+    packing.GENERATION_BYTES = 500
     try:
-        assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts[:50])] == want[:50]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == want
     finally:
-        packing._CHUNKS, packing._WORDS = old
+        packing.GENERATION_BYTES = old
+
+
+def test_forgotten_words_are_encoded_anew_and_used_ones_kept():
+    words = packing._Words(PATH)
+    old, packing.GENERATION_BYTES = packing.GENERATION_BYTES, 40_000
+    try:
+        for i in range(400):
+            words.text(f"often W{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}q, zz{i}")
+            assert "often" in words or "often" in words.older
+            assert words.size < 42_000 and len(words) + len(words.older) < 500
+    finally:
+        packing.GENERATION_BYTES = old
 
 
 def check(rows, got, length):
