@@ -859,6 +859,7 @@ def declared_names(spark, sf):
 from codeaudit.functions.text import is_low_trust, is_minified  # noqa: E402
 from codeaudit.plans import scan as PS  # noqa: E402
 from codeaudit.sources import tree as TR  # noqa: E402
+from codeaudit.sources import tree_reader as TD  # noqa: E402
 
 
 @register("file_flags", f"""
@@ -901,6 +902,16 @@ def ignored_files(spark, sf):
     return TR.files_from_raw(T.raw_tree_from_documents(spark, sf)).select("repo_id", "path", "name", "ext", "size")
 
 
+@register("tree_listing", f"""
+    SELECT repo_id, path, name, ext, CASE WHEN path = '.gitignore' THEN 32 ELSE CAST(size AS BIGINT) END AS size
+    FROM ({ORACLES['ignored_files']})""")
+def tree_listing(spark, sf):
+    """The same tree as real files: written under the checkpoint folder and
+    listed by the data source, without opening one."""
+    return TD.read_tree(spark, T.tree_on_disk(spark, sf), content=False).filter(
+        (F.col("size") <= RR.MAX_FILE_BYTES) & ~F.col("ext").isin(*RR.BINARY_EXT)).select("repo_id", "path", "name", "ext", "size")
+
+
 _FILE_FINDINGS_SQL = f"""
     SELECT {_FCOLS} FROM (
         SELECT *, row_number() OVER (PARTITION BY repo_id, path, line, left(evidence, 60) ORDER BY {_SEV_ORD}) AS rn
@@ -1273,6 +1284,13 @@ def tree_scan(spark, sf):
     return PS.file_findings(_tree_files(spark, sf), ["secrets", "config"])
 
 
+@register("tree_disk_scan", ORACLES["tree_scan"])
+def tree_disk_scan(spark, sf):
+    """Real files → the data source (ignored directories are never entered) →
+    the fused file scan."""
+    return PS.file_findings(TR.files_from_trees(spark, T.tree_on_disk(spark, sf)), ["secrets", "config"])
+
+
 @register("pipeline_scores", f"""
 WITH f AS (
     SELECT repo_id, severity, scanner FROM ({_FILE_FINDINGS_SQL})

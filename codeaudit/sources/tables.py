@@ -7,10 +7,14 @@ here, lazily and column-pruned, so every query's work grows with the inputs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit.functions.text import suffix
+from codeaudit.session import checkpoint_dir
+from codeaudit.sources.tree_reader import list_dir, write_tree
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -93,6 +97,14 @@ def raw_tree_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(gi)
 
 
+def tree_on_disk(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """The raw tree written as files, a root a repository, below the checkpoint
+    folder: (repo_id, root) pairs."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    write_tree(raw_tree_from_documents(spark, sf_dir), folder)
+    return [(e.name, f"{folder}/{e.name}") for e in list_dir(folder) if e.is_dir]
+
+
 def files_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files`` (markup): one ``.vue`` component per page; repo = host."""
     p = read(spark, sf_dir, "pages").select("page_id", "url", "html")

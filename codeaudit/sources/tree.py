@@ -1,11 +1,11 @@
 """Source trees → the ``files`` table.
 
-Ingestion is the one place with per-partition imperative work: roots are
-distributed (one task per root or group of roots) and each task walks its
-tree with ``os.walk`` — Spark's ``binaryFile`` source silently skips names
+Trees are read by the data source ``source_tree`` (``tree_reader``), which
+drops ignored directories before it descends and opens no file that a filter
+on the listing leaves out.  Spark's ``binaryFile`` source would skip names
 starting with ``.`` or ``_`` (``.env``, ``.github``, ``__init__.py``), exactly
-the files a security scan must not lose.  Everything after the walk — ignore
-patterns, binary sniffing, UTF-8 repair, eligibility — is Spark SQL.
+the files a security scan must not lose.  ``files_from_raw`` applies the same
+rules in Spark SQL to a table of files that something else has listed.
 
 Ignore semantics: a file is dropped when it or any ancestor directory matches
 a pattern by name, by relative path, as ``*/pattern`` or as ``pattern/*``
@@ -15,55 +15,12 @@ non-comment, non-negated lines of ``.codeauditignore`` and ``.gitignore``.
 
 from __future__ import annotations
 
-import os
-from datetime import datetime, timezone
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeaudit import rules as R
 from codeaudit.functions.text import glob_bodies, glob_body, suffix
-
-IGNORE_FILES = [".codeauditignore", ".gitignore"]
-
-RAW_SCHEMA = T.StructType([
-    T.StructField("repo_id", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("mtime", T.TimestampType()),
-    T.StructField("is_symlink", T.BooleanType()),
-    T.StructField("data", T.BinaryType()),
-])
-
-
-def _walk(rows):
-    """Per-partition walker: yields one row per regular file (content bytes
-    only for files within the size cap)."""
-    for repo_id, root in rows:
-        for dirpath, dirnames, filenames in os.walk(root, followlinks=False):
-            rel_dir = os.path.relpath(dirpath, root)
-            prefix = "" if rel_dir == "." else rel_dir.replace(os.sep, "/") + "/"
-            for fn in filenames:
-                p = os.path.join(dirpath, fn)
-                try:
-                    st = os.lstat(p)
-                    link = os.path.islink(p)
-                    data = None
-                    if not link and st.st_size <= R.MAX_FILE_BYTES and os.path.isfile(p):
-                        with open(p, "rb") as fh:
-                            data = fh.read()
-                except OSError:
-                    continue
-                yield (repo_id, prefix + fn, int(st.st_size),
-                       datetime.fromtimestamp(st.st_mtime, tz=timezone.utc).replace(tzinfo=None), link, data)
-
-
-def walk_trees(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
-    """Raw listing of every file under each (repo_id, root) path."""
-    n = max(1, len(roots))
-    rdd = spark.sparkContext.parallelize(roots, n).mapPartitions(_walk)
-    return spark.createDataFrame(rdd, RAW_SCHEMA)
+from codeaudit.sources.tree_reader import IGNORE_FILES, read_tree
 
 
 def decode_text(data: Column) -> Column:
@@ -125,8 +82,9 @@ def files_from_trees(spark: SparkSession, roots: list[tuple[str, str]], tracked:
     """S1–S4 + S20: walked, ignored, eligible files as the ``files`` table.
     ``tracked`` is an optional (repo_id, path) table of git-indexed paths; repos
     without it get ``tracked = NULL`` (not a git repository)."""
-    raw = walk_trees(spark, roots)
-    return files_from_raw(raw, tracked)
+    raw = read_tree(spark, roots).filter(
+        ~F.col("is_symlink") & (F.col("size") <= R.MAX_FILE_BYTES) & ~F.col("ext").isin(*R.BINARY_EXT))
+    return _files(raw, tracked, None)
 
 
 def files_from_raw(raw: DataFrame, tracked: DataFrame | None = None, git_repos: DataFrame | None = None) -> DataFrame:
@@ -136,11 +94,15 @@ def files_from_raw(raw: DataFrame, tracked: DataFrame | None = None, git_repos:
     ig = _ignored(F.col("path"), dn, dr) | F.coalesce(
         F.when(F.col("rx_name").isNotNull(), _ignored(F.col("path"), F.col("rx_name"), F.col("rx_rel"))), F.lit(False))
     name = F.element_at(F.split("path", "/"), -1)
-    f = f.filter(~ig & ~F.col("is_symlink") & (F.col("size") <= R.MAX_FILE_BYTES)
-                 & ~suffix(name).isin(*R.BINARY_EXT)) \
-        .select("repo_id", "path", name.alias("name"),
-                F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), suffix(name).alias("ext"),
-                "size", "mtime", decode_text(F.col("data")).alias("content"))
+    return _files(f.filter(~ig & ~F.col("is_symlink") & (F.col("size") <= R.MAX_FILE_BYTES) & ~suffix(name).isin(*R.BINARY_EXT)),
+                  tracked, git_repos)
+
+
+def _files(kept: DataFrame, tracked: DataFrame | None, git_repos: DataFrame | None) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    f = kept.select("repo_id", "path", name.alias("name"),
+                    F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), suffix(name).alias("ext"),
+                    "size", "mtime", decode_text(F.col("data")).alias("content"))
     if tracked is not None:
         t = tracked.select("repo_id", "path", F.lit(True).alias("_t"))
         repos = (git_repos if git_repos is not None else tracked).select("repo_id").distinct().withColumn("_git", F.lit(True))
