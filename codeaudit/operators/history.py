@@ -1,6 +1,7 @@
 """Git history as a table (S18) and the history secret scan.
 
-``commit_lines(repo_id, seq, line)`` is the text of ``git log -p`` in order.
+Logs as text files are read by ``sources.commit_log``, commit by commit.  Where
+they come as a table of lines, ``commit_lines(repo_id, seq, line)`` in order:
 Commit and file headers are forward-filled onto the ``+`` lines
 (``functions.windows.forward_fill``: running fills per range-partition block
 plus a carry across blocks, so one huge repository is not one task); added lines are then grouped per (repo,
@@ -56,12 +57,17 @@ def commit_adds(commit_lines: DataFrame) -> DataFrame:
 
 
 def history_findings(commit_lines: DataFrame, limit: int | None = None) -> DataFrame:
-    """R8.  ``limit`` keeps only the first so many findings of a repository;
+    """R8 over a table of log lines."""
+    return findings_from_adds(commit_adds(commit_lines), limit)
+
+
+def findings_from_adds(adds: DataFrame, limit: int | None = None) -> DataFrame:
+    """R8 over added texts, as ``commit_adds`` or ``read_commit_log`` give
+    them.  ``limit`` keeps only the first so many findings of a repository;
     by default there is no cap.  As in the reference (and the query's SQL),
     values of a rule that share their first 24 characters are one finding of
     the repository: of several Slack webhooks, private keys or database URLs
     with equal heads only the first is reported."""
-    adds = commit_adds(commit_lines)
     rules = [r for r in SCAN_RULES if r.id != R.GENERIC_RULE_ID]
     # two commits may share a short sha (or have none): their order tells them apart
     keys = ["repo_id", "commit_ord", "sha", "path"]

@@ -576,6 +576,7 @@ def readiness_findings(spark, sf):
 from codeaudit import rules as RR  # noqa: E402
 from codeaudit.operators import history as HI  # noqa: E402
 from codeaudit.operators import surface as H  # noqa: E402
+from codeaudit.sources import commit_log as CL  # noqa: E402
 
 NOW = "2025-01-01T00:00:00Z"  # an absolute instant, whatever the session time zone
 _HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
@@ -721,6 +722,13 @@ def history_commits(spark, sf):
     return HI.commit_adds(T.commit_lines_from_conversations(spark, sf))
 
 
+@register("history_log_commits", f"SELECT repo_id, sha, path, added FROM ({_ADDS_SQL})")
+def history_log_commits(spark, sf):
+    """The same history as log files, read commit by commit."""
+    return CL.read_commit_log(spark, T.logs_on_disk(spark, T.commit_texts_from_conversations(spark, sf))).select(
+        "repo_id", "sha", "path", "added")
+
+
 def _history_sql() -> str:
     import re as _re
     parts = []
@@ -1346,3 +1354,12 @@ def planted_rule_hits(spark, sf):
 def planted_history_hits(spark, sf):
     """A credential added in a commit of every document."""
     return HI.history_findings(PL.planted_commits(T.read(spark, sf, "documents"))).select("repo_id", "id", "path", "scanner")
+
+
+@register("planted_log_hits", ORACLES["planted_history_hits"])
+def planted_log_hits(spark, sf):
+    """The same commits as log files."""
+    lines = PL.planted_commits(T.read(spark, sf, "documents"))
+    commits = lines.groupBy("repo_id", F.floor(F.col("seq") / 4).alias("seq")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct(F.col("seq").alias("s"), "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return HI.findings_from_adds(CL.read_commit_log(spark, T.logs_on_disk(spark, commits))).select("repo_id", "id", "path", "scanner")

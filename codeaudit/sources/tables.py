@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.text import suffix
 from codeaudit.session import checkpoint_dir
+from codeaudit.sources.commit_log import write_commit_log
 from codeaudit.sources.tree_reader import list_dir, write_tree
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -316,6 +317,21 @@ def commit_lines_from_conversations(spark: SparkSession, sf_dir: str) -> DataFra
     return heads.unionByName(files).unionByName(lines)
 
 
+def logs_on_disk(spark: SparkSession, commits: DataFrame) -> str:
+    """Commits (repo_id, seq, text) written as logs below the checkpoint folder."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    write_commit_log(commits, folder)
+    return folder
+
+
+def commit_texts_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commits of ``commit_lines_from_conversations``, a text each."""
+    lines = commit_lines_from_conversations(spark, sf_dir)
+    commit = F.floor(F.col("seq") / 1_000_000).alias("seq")
+    return lines.groupBy("repo_id", commit).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+        F.col("seq").alias("s"), "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
 def _host(url_col: str = "url"):
     return F.regexp_extract(F.col(url_col), r"^[a-z]+://([^/:?#]+)", 1)
 
