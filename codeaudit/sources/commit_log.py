@@ -33,7 +33,7 @@ def read_commit_log(spark: SparkSession, path: str, repo_id: str | None = None)
         F.monotonically_increasing_id().alias("at"))
     repo = F.lit(repo_id) if repo_id is not None else F.col("repo_id").cast("string")
     # a record without a hash is what stands before the first commit
-    text = F.regexp_replace(F.regexp_replace("value", "^commit ", ""), "\r\n", "\n")
+    text = F.regexp_replace(F.regexp_replace("value", "^commit ", ""), r"\r(\n|\z)", "$1")
     head = F.trim(F.substring_index(text, "\n", 1))
     order = F.concat("file", *[x for c in ("block", "at") for x in (F.lit(":"), F.lpad(F.col(c).cast("string"), 20, "0"))])
     d = raw.select(repo.alias("repo_id"), order.alias("commit_ord"),
