@@ -6,6 +6,7 @@ whole; nothing is sampled or capped unless the cap is the feature.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -935,6 +936,18 @@ def incremental_rescan(spark, sf):
     return findings
 
 
+@register("rescan_in_place", _FILE_FINDINGS_SQL)
+def rescan_in_place(spark, sf):
+    """Scan of the previous revision, rescan of this one and a rescan without
+    changes, on one state."""
+    from codeaudit.plans import rescan as RE
+    state = f"{T.checkpoint_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    now = T.files_from_documents(spark, sf)
+    for files in (T.previous_files_from_documents(spark, sf), now, now):
+        found = RE.rescan(files, state, ["secrets", "config"])
+    return found.findings
+
+
 @register("scan_stats", """
     SELECT source AS repo_id, CAST(count(*) AS BIGINT) AS files_scanned,
            CAST(count(*) FILTER (WHERE lang <> 'fr') AS BIGINT) AS cache_hits, CAST(0 AS BIGINT) AS packages

@@ -218,8 +218,3 @@ def initial_state(files: DataFrame, enabled: list[str]) -> DataFrame:
                                   F.array().cast(STATE_FINDING).alias("findings"))
     _f, st, _h = incremental_file_findings(files, empty, enabled)
     return st.checkpoint(eager=True)
-
-
-def save_state(state: DataFrame, path: str) -> None:
-    """Replace the stored state table (parquet, partitioned by repo)."""
-    state.write.mode("overwrite").partitionBy("repo_id").parquet(path)
