@@ -242,6 +242,9 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lon
     cuts = cuts.withColumn("product", F.lit(1000).cast("decimal(38,0)") * wide("a") * wide("n")).withColumn(
         "parts", wide("l") * wide("r")).withColumn("score", F.expr("product div parts"))
     best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
-    order = Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), "phrase")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
+    # the best of each part of a language first: the last ranking gets `_SALTS` times `top` rows of it at most
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("b.score"), F.desc("a"), "phrase"))
+    best = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)))
+    best = best.withColumn("rank", rank("lang", "salt")).filter(F.col("rank") <= top).drop("salt")
+    return best.withColumn("rank", rank("lang")).filter(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "b.l", "b.r", "n", "b.score")
