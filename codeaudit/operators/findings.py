@@ -97,7 +97,11 @@ def risk_scores(findings: DataFrame, repos: DataFrame | None = None) -> DataFram
     """A7 + A8: risk = min(100, round_half_even(Σ w·(1+ln n))) over non-readiness
     findings; grade = worse of the letter for 100−risk and the severity cap."""
     f = findings.filter(F.coalesce(F.col("scanner"), F.lit("")) != "readiness")
-    per_sev = f.groupBy("repo_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return scores_from_counts(f.groupBy("repo_id", "severity").agg(F.count(F.lit(1)).alias("n")), repos)
+
+
+def scores_from_counts(per_sev: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A7 + A8 from the number of findings (repo_id, severity, n)."""
     per_repo = per_sev.groupBy("repo_id").agg(
         F.sum(sev_weight("severity") * (F.lit(1.0) + F.log(F.col("n").cast("double")))).alias("raw"),
         F.min(sev_ord("severity")).alias("worst"))

@@ -1025,6 +1025,35 @@ def stream_first_seen(spark, sf):
     return ST.read_sink(spark, out, "repo_id string, rule_id string, v24 string")
 
 
+@register("live_risk", f"""
+    WITH f AS ({_FILE_FINDINGS_SQL}),
+    per_sev AS (SELECT repo_id, severity, count(*) AS n FROM f GROUP BY ALL),
+    per_repo AS (SELECT repo_id, sum({_SEV_W} * (1 + ln(n))) AS raw, min({_SEV_ORD}) AS worst,
+                        sum(n) FILTER (severity IN ('critical', 'high')) AS blocking FROM per_sev GROUP BY ALL),
+    scored AS (SELECT r.repo_id, CAST(least(100, round_even(coalesce(raw, 0.0), 0)) AS BIGINT) AS risk_score, worst,
+                      CAST(coalesce(blocking, 0) AS BIGINT) AS blocking
+               FROM (SELECT DISTINCT source AS repo_id FROM documents) r LEFT JOIN per_repo USING (repo_id))
+    SELECT repo_id, risk_score,
+           greatest(CASE WHEN 100 - risk_score >= 85 THEN 'A' WHEN 100 - risk_score >= 70 THEN 'B'
+                         WHEN 100 - risk_score >= 50 THEN 'C' WHEN 100 - risk_score >= 30 THEN 'D' ELSE 'F' END,
+                    CASE worst WHEN 0 THEN 'F' WHEN 1 THEN 'C' WHEN 2 THEN 'B' ELSE 'A' END) AS grade,
+           blocking > 0 AS failed, blocking
+    FROM scored""")
+def live_risk(spark, sf):
+    """Two revisions of the files as a stream of versions: the first with a
+    credential in every tenth file, which the second takes out."""
+    from codeaudit.streaming import live as LI
+    root = f"{T.checkpoint_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    now = T.files_from_documents(spark, sf).withColumn("deleted", F.lit(False))
+    tenth = F.col("path").rlike("doc_[0-9]*0[.]")
+    leak = F.concat(F.col("content"), F.lit('\nK = "AKIA'), F.lit('QZ7X4NPLMR3TVK9D"\n'))
+    for rev, files in ((1, now.withColumn("content", F.when(tenth, leak).otherwise(F.col("content")))), (2, now.filter(tenth))):
+        files.withColumn("version", F.lit(rev).cast("long")).write.parquet(f"{root}/rev{rev}")
+        LI.stream_file_changes(spark, root, f"rev{rev}", spark.read.parquet(f"{root}/rev{rev}").schema, lambda d: d, out=f"{root}/changes/rev{rev}")
+        out = LI.stream_live_scores(spark, f"{root}/changes", base=f"{root}/scores")
+    return LI.live_scores(spark, out)
+
+
 # --------------------------------------------------------------------------
 # exports (K1–K7) and remediation
 # --------------------------------------------------------------------------
