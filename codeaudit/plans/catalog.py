@@ -692,14 +692,17 @@ def surface_tls(spark, sf):
     return H.tls_findings(T.tls_obs_from_pages(spark, sf), NOW)
 
 
-_COMMIT_LINES_SQL = """
+_LEAKS_SQL = """(SELECT * REPLACE (CASE WHEN conv_id % 7 = 0 AND turn = 0
+        THEN text || chr(10) || 'AWS_KEY = "AKIA' || upper(left(sha1(CAST(conv_id // 70 AS VARCHAR)), 16)) || '"' ELSE text END AS text)
+    FROM conversations)"""
+_COMMIT_LINES_SQL = f"""
     SELECT 'team-' || (conv_id % 5) AS repo_id, conv_id * 1000000 AS seq, 'commit ' || sha1(CAST(conv_id AS VARCHAR)) AS line
     FROM (SELECT DISTINCT conv_id FROM conversations)
     UNION ALL
     SELECT 'team-' || (conv_id % 5), conv_id * 1000000 + (turn + 1) * 1000, '+++ b/' || role || '/notes.md' FROM conversations
     UNION ALL
     SELECT 'team-' || (conv_id % 5), conv_id * 1000000 + (turn + 1) * 1000 + i, '+' || t
-    FROM conversations, LATERAL (SELECT unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i)"""
+    FROM {_LEAKS_SQL}, LATERAL (SELECT unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i)"""
 _ADDS_SQL = f"""
 WITH cl AS ({_COMMIT_LINES_SQL}),
 ev AS (SELECT *, CASE WHEN starts_with(line, 'commit ') THEN left(trim(substr(line, 8)), 8) END AS _sha,
@@ -1012,17 +1015,26 @@ def _first_seen_sql() -> str:
         rx = RS.q(RS.re2(r.pattern))
         parts.append(f"SELECT repo_id, '{r.id}' AS rule_id, unnest(regexp_extract_all(added, {rx}, {g})) AS value FROM a")
     return f"""
-WITH a AS (SELECT 'team-' || (conv_id % 5) AS repo_id, text AS added FROM conversations),
+WITH a AS (SELECT 'team-' || (conv_id % 5) AS repo_id, text AS added FROM {_LEAKS_SQL}),
 m AS ({' UNION ALL '.join(parts)})
-SELECT DISTINCT repo_id, rule_id, left(value, 24) AS v24 FROM m
+SELECT repo_id, rule_id, left(value, 24) AS v24 FROM m
 WHERE value <> '' AND (rule_id = 'private-key' OR NOT {RS.placeholder_sql('value')})"""
 
 
-@register("stream_first_seen", _first_seen_sql())
+@register("stream_first_seen", _first_seen_sql() + " GROUP BY ALL")
 def stream_first_seen(spark, sf):
     out = ST.stream_first_seen(spark, sf, "conversations.parquet", _schema(spark, sf, "conversations"),
                                T.conversations_to_adds)
-    return ST.read_sink(spark, out, "repo_id string, rule_id string, v24 string")
+    return ST.read_sink(spark, out, ST.SEEN).select("repo_id", "rule_id", "v24")
+
+
+@register("stream_first_seen_in_time", _first_seen_sql() + " GROUP BY ALL")
+def stream_first_seen_in_time(spark, sf):
+    """The same by commit time, with a bounded state: a credential is reported
+    anew only after a year without it."""
+    out = ST.stream_first_seen(spark, sf, "conversations.parquet", _schema(spark, sf, "conversations"),
+                               T.conversations_to_adds, delay="365 days")
+    return ST.read_sink(spark, out, ST.SEEN).select("repo_id", "rule_id", "v24")
 
 
 @register("live_risk", f"""

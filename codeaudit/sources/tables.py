@@ -299,11 +299,20 @@ def registry_licenses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def with_leaks(conversations: DataFrame) -> DataFrame:
+    """Every seventh conversation with a cloud key in its first turn, the same
+    for neighbouring ones: what history detectors are to find, once a
+    repository."""
+    key = F.concat(F.lit('\nAWS_KEY = "AKIA'), F.upper(F.left(F.sha1(F.floor(F.col("conv_id") / 70).cast("string")), F.lit(16))), F.lit('"'))
+    leaks = (F.col("conv_id") % 7 == 0) & (F.col("turn") == 0)
+    return conversations.withColumn("text", F.when(leaks, F.concat("text", key)).otherwise(F.col("text")))
+
+
 def commit_lines_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``commit_lines`` stand-in in ``git log -p`` shape: one commit per
     conversation (sha = sha1 of its id), one ``+++ b/<role>/notes.md`` header per
     turn, one ``+`` line per text line.  repo = conversation id mod 5."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = with_leaks(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     repo = F.concat(F.lit("team-"), (F.col("conv_id") % 5).cast("string"))
     base = F.col("conv_id") * 1_000_000
     heads = c.groupBy("conv_id").agg(F.min("turn").alias("t")).select(
@@ -454,10 +463,11 @@ def manifest_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversations_to_adds(conversations: DataFrame) -> DataFrame:
     """Row-wise mapping of conversation turns to added text (usable on a stream)."""
-    c = conversations.select("conv_id", "turn", "role", "text")
+    c = with_leaks(conversations.select("conv_id", "turn", "role", "text"))
     return c.select(F.concat(F.lit("team-"), (F.col("conv_id") % 5).cast("string")).alias("repo_id"),
                     F.substring(F.sha1(F.col("conv_id").cast("string")), 1, 8).alias("sha"),
-                    F.concat(F.col("role"), F.lit("/notes.md")).alias("path"), F.col("text").alias("added"))
+                    F.concat(F.col("role"), F.lit("/notes.md")).alias("path"), F.col("text").alias("added"),
+                    F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn")).alias("committed"))
 
 
 def repos_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

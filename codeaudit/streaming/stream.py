@@ -5,9 +5,10 @@
   (the offset computation uses non-time windows, which a streaming plan cannot
   hold) and written under ``epoch=<id>`` with overwrite, so a replayed epoch
   replaces its own output (exactly-once at the sink).
-* T2 ``stream_first_seen``: credential matches from added text, extracted
-  statelessly, then ``dropDuplicates`` on (repo, rule, value[:24]) — the
-  streaming state holds one key per distinct credential.
+* T2 ``stream_first_seen``: credential matches from added text, kept as the
+  history scan keeps them (leftmost, rule order on ties, going on after the
+  last kept match) within each row, then one a (repo, rule, value[:24]).  With
+  ``delay`` by commit time and in bounded state.
 * T3 ``stream_new_findings``: a findings stream left-outer-joined to the
   static accepted baseline; rows without a baseline match are alerts.
 
@@ -96,34 +97,61 @@ def stream_file_findings(spark: SparkSession, source_dir: str, glob: str, schema
     return out_dir
 
 
+_MATCH = "struct<start:int,rule_ord:int,end:int,rule_id:string,match:string>"
+SEEN = "repo_id string, rule_id string, v24 string, committed timestamp"
+
+
 def credential_matches(adds: DataFrame, text_col: str = "added") -> DataFrame:
-    """Stateless extraction of provider-rule values (no offsets needed)."""
+    """The matches (repo_id, committed, rule_id, value) that an alternation of
+    the provider rules keeps, row by row: a streaming plan holds no window, so
+    offsets are running sums within the row's arrays."""
+    from codeaudit.functions.regex import _prefilter_sql, sql_str, value_of
     from codeaudit.operators.secrets import SCAN_RULES
     rules = [r for r in SCAN_RULES if r.id != R.GENERIC_RULE_ID]
-    arrays = [F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r.pattern), F.lit(r.group)),
-                          _tag(r.id)) for r in rules]
-    m = adds.select("repo_id", F.explode(F.flatten(F.array(*arrays))).alias("m")).select("repo_id", "m.*")
-    return m.filter(F.col("value") != "")
-
-
-def _tag(rule_id: str):
-    def f(v):
-        return F.struct(F.lit(rule_id).alias("rule_id"), v.alias("value"))
-    return f
+    time = "committed" if "committed" in adds.columns else "cast(null AS timestamp) AS committed"
+    t, none = f"`{text_col}`", f"cast(array() AS array<{_MATCH}>)"
+    found = adds.selectExpr("repo_id", time, t, *[
+        f"CASE WHEN {_prefilter_sql(t, f'lower({t})', r)} THEN regexp_extract_all({t}, {sql_str(r.pattern)}, 0) END AS m{r.ord}" for r in rules])
+    found = found.selectExpr("repo_id", "committed", *[x for r in rules for x in (
+        f"m{r.ord}", f"CASE WHEN size(m{r.ord}) > 0 THEN split({t}, {sql_str(r.pattern)}, -1) END AS g{r.ord}")])
+    # the texts between the matches place them
+    spans = [f"""CASE WHEN size(m{r.ord}) > 0 THEN aggregate(slice(arrays_zip(m{r.ord}, g{r.ord}), 1, size(m{r.ord})),
+        named_struct('at', 0, 'out', {none}), (a, e) -> named_struct(
+            'at', a.at + length(e.g{r.ord}) + length(e.m{r.ord}), 'out', array_append(a.out, named_struct(
+                'start', a.at + length(e.g{r.ord}), 'rule_ord', {r.ord}, 'end', a.at + length(e.g{r.ord}) + length(e.m{r.ord}),
+                'rule_id', {sql_str(r.id)}, 'match', e.m{r.ord}))), a -> a.out) END""" for r in rules]
+    every = found.selectExpr("repo_id", "committed", f"sort_array(flatten(filter(array({', '.join(spans)}), x -> x IS NOT NULL))) AS x")
+    kept = every.selectExpr("repo_id", "committed", f"""explode(aggregate(x, named_struct('s', -1, 'k', {none}),
+        (t, e) -> if(e.start >= t.s, named_struct('s', e.end, 'k', array_append(t.k, e)), t)).k) AS m""")
+    return kept.select("repo_id", "committed", "m.rule_id", "m.match").select(
+        "repo_id", "committed", "rule_id", value_of(rules).alias("value")).filter(F.col("value") != "")
 
 
 def stream_first_seen(spark: SparkSession, source_dir: str, glob: str, schema: T.StructType,
-                      to_adds: Callable[[DataFrame], DataFrame]) -> str:
-    """First sighting of each credential (repo, rule, value[:24])."""
+                      to_adds: Callable[[DataFrame], DataFrame], delay: str | None = None,
+                      files_per_batch: int | None = None, base: str | None = None) -> str:
+    """First sighting of each credential (repo, rule, value[:24]) in the
+    order of arrival; gives the folder of ``SEEN``.
+
+    Without ``delay`` a key is held for good.  With it, ``to_adds`` gives the
+    commit time ``committed``, and a key is held until the watermark, the latest
+    commit time less ``delay``, passes its own time and ``delay``; seen again
+    after that it is reported again.  Commits without a time, or older than the
+    watermark when they arrive, are late: the stream leaves them to the history
+    scan.  With the same ``base`` a later run goes on where the last one ended."""
     from codeaudit.functions.text import is_placeholder
-    base = _scratch(spark, "first-seen")
+    base = base or _scratch(spark, "first-seen")
     out = os.path.join(base, "out")
-    stream = _source(spark, source_dir, glob, schema)
-    m = credential_matches(to_adds(stream))
+    limit = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
+    m = credential_matches(to_adds(_source(spark, source_dir, glob, schema, **limit)))
     m = m.filter((F.col("rule_id") == "private-key") | ~is_placeholder("value"))
-    keyed = m.select("repo_id", "rule_id", F.substring("value", 1, 24).alias("v24")).dropDuplicates(
-        ["repo_id", "rule_id", "v24"])
-    q = (keyed.writeStream.format("parquet").option("path", out)
+    keyed = m.select("repo_id", "rule_id", F.substring("value", 1, 24).alias("v24"), "committed")
+    keys = ["repo_id", "rule_id", "v24"]
+    if delay:
+        first = keyed.filter("committed is not null").withWatermark("committed", delay).dropDuplicatesWithinWatermark(keys)
+    else:
+        first = keyed.dropDuplicates(keys)
+    q = (first.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", os.path.join(base, "ckpt")).outputMode("append")
          .trigger(availableNow=True).start())
     run_to_completion(q)
