@@ -1,15 +1,17 @@
 """Typosquat detection.
 
 Declared names ∩ resolved packages, minus popular names, short names and the
-allow-list, then a theta join on ``levenshtein(name, target, 1) = 1`` against
-the popular-package table.  That table is a fixed constant (~70 rows), so the
-broadcast is size-bounded by construction; the packages side is first reduced
-to distinct (repo, eco, name).
+allow-list, that are one edit from a popular name.  Neighbours are found by a
+deletion index: names one edit apart share a string that is one of them or one
+of them without a character, so an equi-join on those strings proposes all of
+them, and the edit distance is checked on what it proposes.  The popular names
+may be a table of any size, such as the names most repositories of the fleet
+use (``fleet_popular``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit import rules as R
@@ -27,24 +29,43 @@ def allowlist_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "eco string, lname string")
 
 
-def typosquats(packages: DataFrame, declared: DataFrame) -> DataFrame:
-    """D12. ``declared`` is (repo_id, eco, lname) from D10.  One hit per
-    (repo, eco, name); the lexicographically first target on ties.
+def fleet_popular(packages: DataFrame, least_repos: int) -> DataFrame:
+    """(eco, target): the names that so many repositories have."""
+    names = packages.select("repo_id", "eco", F.lower("name").alias("target")).distinct()
+    return names.groupBy("eco", "target").agg(F.count("*").alias("n")).filter(F.col("n") >= least_repos).select("eco", "target")
 
-    The edit-distance theta join runs on the distinct (eco, name) pairs only
-    (a fleet has far fewer distinct names than package rows) against the
-    fixed popular table; hits are joined back to the declared packages."""
+
+def _with_deletions(name: str) -> Column:
+    """The name and, for each place, the name without the character there."""
+    return F.explode(F.expr(f"array_distinct(concat(array({name}), transform(if(length({name}) > 0, sequence(1, length({name})), "
+                            f"cast(array() as array<int>)), i -> concat(substring({name}, 1, i - 1), substring({name}, i + 1)))))"))
+
+
+def neighbours(names: DataFrame, targets: DataFrame) -> DataFrame:
+    """(eco, lname, target) of the names (eco, lname) that are one edit from a
+    target (eco, target): an insertion, a deletion or a substitution.  A string
+    is shared by few names, whatever their number: those with one character put
+    somewhere into it."""
+    a = names.select("eco", "lname").distinct().select("eco", "lname", _with_deletions("lname").alias("part"))
+    b = targets.select("eco", "target").distinct().select("eco", "target", _with_deletions("target").alias("part"))
+    return a.join(b, ["eco", "part"]).filter(F.levenshtein("lname", "target", 1) == 1).select("eco", "lname", "target").distinct()
+
+
+def typosquats(packages: DataFrame, declared: DataFrame, popular: DataFrame | None = None) -> DataFrame:
+    """D12. ``declared`` is (repo_id, eco, lname) from D10, ``popular`` (eco,
+    target) the fixed table unless given.  One hit per (repo, eco, name); the
+    lexicographically first target on ties.
+
+    Neighbours are looked for among the distinct (eco, name) pairs only (a fleet
+    has far fewer distinct names than package rows); hits are joined back to
+    the declared packages."""
     spark = packages.sparkSession
-    pop = popular_table(spark)
+    pop = popular_table(spark) if popular is None else popular
     names = (packages.select("eco", F.lower("name").alias("lname")).distinct()
              .filter(F.length("lname") >= R.MIN_TYPOSQUAT_LEN)
-             .join(F.broadcast(pop.select("eco", F.col("target").alias("lname"))), ["eco", "lname"], "left_anti")
+             .join(pop.select("eco", F.col("target").alias("lname")), ["eco", "lname"], "left_anti")
              .join(F.broadcast(allowlist_table(spark)), ["eco", "lname"], "left_anti"))
-    pop2 = pop.select(F.col("eco").alias("p_eco"), "target")
-    near = (names.join(F.broadcast(pop2), (F.col("eco") == F.col("p_eco"))
-                       & (F.abs(F.length("lname") - F.length("target")) <= 1)
-                       & (F.levenshtein(F.col("lname"), F.col("target"), 1) == 1))
-            .groupBy("eco", "lname").agg(F.min("target").alias("target")))
+    near = neighbours(names, pop).groupBy("eco", "lname").agg(F.min("target").alias("target"))
     cand = (packages.select("repo_id", "eco", "name", "version", F.lower("name").alias("lname"))
             .join(near, ["eco", "lname"])
             .join(declared.select("repo_id", "eco", "lname").distinct(), ["repo_id", "eco", "lname"], "left_semi"))

@@ -226,6 +226,7 @@ def top_findings_per_rule(spark, sf):
 # packages, SBOM, advisories, typosquats, licences
 # --------------------------------------------------------------------------
 from codeaudit.operators import licenses as L  # noqa: E402
+from codeaudit import rules as RULES  # noqa: E402
 from codeaudit.operators import packages as P  # noqa: E402
 from codeaudit.operators import supply as SU  # noqa: E402
 from codeaudit.operators import vulns as V  # noqa: E402
@@ -377,28 +378,54 @@ def vuln_join(spark, sf):
     return V.vuln_findings(_stand(spark, sf), T.advisories_from_part(spark, sf))
 
 
-@register("typosquat", f"""
-WITH pk AS (SELECT DISTINCT repo_id, eco, name, version, lower(name) AS lname FROM ({PACKAGES_SQL})),
-decl AS (SELECT DISTINCT repo_id, eco, lower(name) AS lname FROM ({PACKAGES_SQL}) WHERE NOT dev),
-pop AS (SELECT * FROM (VALUES {', '.join(f"('{e}', '{n}')" for e, ns in __import__('codeaudit.rules', fromlist=['x']).POPULAR_PACKAGES.items() for n in ns)}) t(eco, target)),
-allow AS (SELECT * FROM (VALUES {', '.join(f"('{e}', '{n}')" for e, ns in __import__('codeaudit.rules', fromlist=['x']).TYPOSQUAT_ALLOWLIST.items() for n in ns)}) t(eco, lname)),
-cand AS (SELECT * FROM pk WHERE (repo_id, eco, lname) IN (SELECT repo_id, eco, lname FROM decl)
-         AND length(lname) >= 4
+_TYPO_RING = "CASE eco " + " ".join(f"WHEN '{e}' THEN {v!r}" for e, v in T.TYPOS.items()) + " END"
+_ORDER_SQL = "CAST(split_part(repo_id, '-', 2) AS BIGINT)"
+PACKAGES_TYPOS_SQL = f"""
+    SELECT * FROM ({PACKAGES_SQL})
+    UNION ALL SELECT * REPLACE (({_TYPO_RING})[{_ORDER_SQL} % 6 + 1] AS name) FROM ({PACKAGES_SQL})
+    WHERE {_ORDER_SQL} % 20 = 0 AND NOT dev AND eco IN ({', '.join(f"'{e}'" for e in T.TYPOS)})
+    UNION ALL SELECT * REPLACE (left(name, 2) || substr(name, 4) AS name) FROM ({PACKAGES_SQL}) WHERE {_ORDER_SQL} % 20 = 0 AND NOT dev"""
+
+
+def _typosquat_sql(popular: str) -> str:
+    allow = ", ".join(f"('{e}', '{n}')" for e, ns in RULES.TYPOSQUAT_ALLOWLIST.items() for n in ns)
+    return f"""
+WITH pk AS (SELECT DISTINCT repo_id, eco, name, version, lower(name) AS lname FROM ({PACKAGES_TYPOS_SQL})),
+decl AS (SELECT DISTINCT repo_id, eco, lower(name) AS lname FROM ({PACKAGES_TYPOS_SQL}) WHERE NOT dev),
+pop AS ({popular}),
+allow AS (SELECT * FROM (VALUES {allow}) t(eco, lname)),
+cand AS (SELECT DISTINCT eco, lname FROM pk WHERE length(lname) >= 4
          AND (eco, lname) NOT IN (SELECT eco, target FROM pop) AND (eco, lname) NOT IN (SELECT eco, lname FROM allow)),
-pairs AS (SELECT c.*, p.target FROM cand c JOIN pop p ON c.eco = p.eco
-          AND abs(length(c.lname) - length(p.target)) <= 1 AND levenshtein(c.lname, p.target) = 1),
-firsts AS (SELECT repo_id, eco, name, min(target) AS target, min(version) AS version FROM pairs GROUP BY ALL)
+near AS (SELECT c.eco, c.lname, min(p.target) AS target FROM cand c JOIN pop p ON c.eco = p.eco
+         AND abs(length(c.lname) - length(p.target)) <= 1 AND levenshtein(c.lname, p.target) = 1 GROUP BY ALL),
+firsts AS (SELECT repo_id, eco, name, min(target) AS target, min(version) AS version FROM pk JOIN near USING (eco, lname)
+           WHERE (repo_id, eco, lname) IN (SELECT repo_id, eco, lname FROM decl) GROUP BY ALL)
 SELECT repo_id, 'deps/possible-typosquat' AS id,
        name || ' (' || eco || ') is 1 edit from the popular package ''' || target || '''' AS title,
        'medium' AS severity, 'deps' AS scanner, '' AS path, 0 AS line,
        eco || ':' || name || '@' || version || ' ~ ' || target AS evidence,
        'Confirm this is not a typosquat of ''' || target || ''' before shipping it; if it is legitimate, add it to the baseline.' AS remediation,
        'https://cwe.mitre.org/data/definitions/1357.html' AS reference
-FROM firsts""")
-def typosquat(spark, sf):
-    pk = _stand(spark, sf)
+FROM firsts"""
+
+
+def _typosquat(spark, sf, least_repos=None):
+    pk = T.packages_with_typos(spark, sf)
     declared = pk.filter(~F.col("dev")).select("repo_id", "eco", F.lower("name").alias("lname"))
-    return SU.typosquats(pk, declared)
+    return SU.typosquats(pk, declared, SU.fleet_popular(pk, least_repos) if least_repos else None)
+
+
+@register("typosquat", _typosquat_sql("SELECT * FROM (VALUES " + ", ".join(
+    f"('{e}', '{n}')" for e, ns in RULES.POPULAR_PACKAGES.items() for n in ns) + ") t(eco, target)"))
+def typosquat(spark, sf):
+    return _typosquat(spark, sf)
+
+
+@register("typosquat_fleet", _typosquat_sql(f"""SELECT eco, lower(name) AS target FROM ({PACKAGES_TYPOS_SQL})
+    GROUP BY ALL HAVING count(DISTINCT repo_id) >= 12"""))
+def typosquat_fleet(spark, sf):
+    """Names one edit from what a dozen repositories of the fleet use."""
+    return _typosquat(spark, sf, 12)
 
 
 _RING = "['" + "','".join(T.LICENSE_RING) + "']"

@@ -235,6 +235,22 @@ def packages_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("dev"))
 
 
+#: Names one edit from a popular one, by ecosystem.
+TYPOS = {"npm": ["lodas", "reactt", "expres", "axois", "momen", "webpak"], "PyPI": ["reqests", "numpyy", "flsk", "pandass", "pytes", "djang0"]}
+
+
+def packages_with_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packages`` and, for some orders, a name that is one edit from a
+    popular one and the first line's name without its third character."""
+    pk = packages_from_lineitem(spark, sf_dir)
+    order = F.regexp_extract("repo_id", "([0-9]+)$", 1).cast("long")
+    some = pk.filter((order % 20 == 0) & ~F.col("dev"))
+    ring = F.create_map(*[x for e, v in TYPOS.items() for x in (F.lit(e), F.array(*map(F.lit, v)))])[F.col("eco")]
+    squats = some.withColumn("name", F.element_at(ring, (order % 6 + 1).cast("int"))).filter("name is not null")
+    short = some.withColumn("name", F.concat(F.substring("name", 1, 2), F.expr("substring(name, 4)")))
+    return pk.unionByName(squats).unionByName(short)
+
+
 def advisories_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``advisories`` stand-in (OSV shape): one advisory per part, affecting the
     part's package from 1.0.0 up to a fixed version, plus one listed version."""
