@@ -12,16 +12,19 @@ SHA-256, permutes the domain exactly, so every pseudonym is valid in the same
 format, equal values get equal pseudonyms in all documents and formats, and
 whoever has the key can invert it (an unpadded date, 7/4/2001, may come back
 padded, when its pseudonym had two-digit fields).  Cards keep their first digit and length
-and get a new check digit; beside other digits (an expiry date, a check value,
-a number before it) a card is found in the groups that cards are written in,
-and walks the permutation until the same groups are a card again.  Day-first slash dates walk the permutation until
-the day is again no month.  The name part of a mail address becomes a keyed
+and get a new check digit.  Beside other digits (an expiry date, a check value,
+a number before it) a card is read in the groups that cards are written in: from
+the left, first those of an issuer's first digit, length and groups, else any
+of them, a length of 16 before others.  What stands beside a card has no part in
+its pseudonym; where digits in front of it or the first 16 of a longer one
+happen to make a card themselves, that is what is read.  Day-first slash dates
+walk the permutation until the day is again no month.  The name part of a mail address becomes a keyed
 hash of the address (not invertible); its domain stays.
 
 All work is in the row: no shuffle, no key or document that gathers rows.
 
-Defined results: a null text stays null with nothing found; empty texts, ties
-and repeated rows need no rule; empty tables give no rows; other columns are
+Defined results: a null text stays null with nothing found; texts are read
+whole, however long; empty texts, ties and repeated rows need no rule; empty tables give no rows; other columns are
 carried whatever their names (`out` is replaced).  The key is part of the
 query's plan, so logs that show plans show it.
 """
@@ -53,6 +56,11 @@ FORMATS["card"] = (rf"(?<!\d)\d(?:(?:[ -](?!{_NO_PHONE}|{_HYPHENS}))?\d){{12}}"
 CARD_GROUPS = (r"^[ -]?(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}|"
                r"\d{4}([ -])\d{3}\3\d{3}\3\d{3}|\d{6}[ -]\d{7,13})$")
 
+#: The groups of issuers' cards, and their lengths by first digit, likeliest first.
+ISSUER_GROUPS = (r"^[ -]?(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}|"
+                 r"\d{4}([ -])\d{3}\3\d{3}\3\d{3})$")
+ISSUER_LENGTHS = {"2": (16,), "3": (15, 14, 16), "4": (16, 13, 19), "5": (16,), "6": (16, 19)}
+LENGTHS = (16, 15, 14, 13, 19, 18, 17)
 
 def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -94,28 +102,36 @@ class _Sql:
 
     def cards(self, run: str) -> str:
         """array<struct<i, n>>: the cards of a digit run, as the first group and
-        the number of groups: from the left the longest in groups that cards
-        are written in; if there is none, the whole run."""
-        valid = lambda w: f"length(regexp_replace({w}, '[^0-9]', '')) between 13 and 19 and luhn_check(regexp_replace({w}, '[^0-9]', ''))"
-        size = f"cast(coalesce(array_max(filter(sequence(1, least(5, size(gs) - i + 1)), n -> {self.let(self._join('gs', 'i', 'n'), 'w', f'regexp_like(w, {_q(CARD_GROUPS)}) and {valid('w')}')})), 0) as int)"
+        the number of groups; a run of no such reading may be one card as a
+        whole."""
         kind = "array<struct<i:int,n:int>>"
-        some = (f"aggregate(sequence(1, size(gs)), named_struct('free', 1, 'found', cast(array() as {kind})), (s, i) -> if(i < s.free, s, "
-                + self.let(size, "k", "if(k = 0, s, named_struct('free', i + k, 'found', concat(s.found, array(named_struct('i', i, 'n', k)))))")
-                + ")).found")
-        return self.let(f"split({run}, '(?=[ -])', -1)", "gs", self.let(some, "found", (
-            f"if(size(found) = 0 and {valid(run)}, array(named_struct('i', 1, 'n', size(gs))), found)")))
+        issuer = "case left(w, 1) " + " ".join(f"when '{c}' then array{x if len(x) > 1 else f'({x[0]})'}" for c, x in ISSUER_LENGTHS.items()) + \
+            " else cast(array() as array<int>) end"
+
+        def readings(groups: str, lengths: str) -> str:
+            # per number of groups: the place of its length in the order, if the digits `w` are a card
+            rank = self.let("regexp_replace(u, '[^0-9]', '')", "w", f"if(luhn_check(w), array_position({lengths}, length(w)), 0)")
+            one = self.let(self._join("gs", "i", "n"), "u", f"if(regexp_like(u, {_q(groups)}), {rank}, 0)")
+            size = (f"coalesce(array_min(filter(transform(sequence(1, least(5, size(gs) - i + 1)), n -> named_struct('r', {one}, 'n', n)), "
+                    "x -> x.r > 0)).n, 0)")
+            return (f"aggregate(sequence(1, size(gs)), named_struct('free', 1, 'found', cast(array() as {kind})), (s, i) -> if(i < s.free, s, "
+                    + self.let(size, "k", "if(k = 0, s, named_struct('free', i + k, 'found', concat(s.found, array(named_struct('i', i, 'n', k)))))")
+                    + ")).found")
+
+        whole = self.let(f"regexp_replace({run}, '[^0-9]', '')", "w", "length(w) between 13 and 19 and luhn_check(w)")
+        any_card = self.let(readings(CARD_GROUPS, f"array{LENGTHS}"), "found", (
+            f"if(size(found) = 0 and {whole}, array(named_struct('i', 1, 'n', size(gs))), found)"))
+        return self.let(f"split({run}, '(?=[ -])', -1)", "gs", self.let(readings(ISSUER_GROUPS, issuer), "known", (
+            f"if(size(known) > 0, known, {any_card})")))
 
     def card_run(self) -> str:
-        """`m` with its cards replaced, by pseudonyms with which the same groups
-        of the run are its cards."""
+        """`m` with its cards replaced."""
         end = "(if(j = 0, 1, at[j - 1].i + at[j - 1].n))"
         one = self.let(self._join("hs", "x.i", "x.n"), "c", self.card("c"))
-        moved = self.let("split(s.run, '(?=[ -])', -1)", "hs", (
+        moved = self.let("split(m, '(?=[ -])', -1)", "hs", (
             f"concat(array_join(transform(at, (x, j) -> concat({self._join('hs', end, f'x.i - {end}')}, {one})), ''), "
             + self._join("hs", "element_at(at, -1).i + element_at(at, -1).n", "size(hs)") + ")"))
-        walk = ("aggregate(sequence(1, 64), named_struct('run', m, 'done', false), (s, r) -> if(s.done, s, "
-                + self.let(moved, "v", f"named_struct('run', v, 'done', {self.cards('v')} = at)") + ")).run")
-        return self.let(self.cards("m"), "at", f"if(size(at) = 0, m, {walk})")
+        return self.let(self.cards("m"), "at", f"if(size(at) = 0, m, {moved})")
 
     def card(self, m: str) -> str:
         # The first digit stays; the next n - 2 are permuted; the last is the check digit.
