@@ -836,6 +836,23 @@ def manifest_packages(spark, sf):
     return M.lockfile_packages(_mfiles(spark, sf)).distinct()
 
 
+_FORMAT = lambda field: f"CASE l_orderkey % {len(T.LOCK_FORMATS)} " + " ".join(
+    f"WHEN {i} THEN {field(x)}" for i, x in enumerate(T.LOCK_FORMATS)) + " END"
+
+
+@register("lockfile_formats", f"""
+    SELECT repo_id, {_FORMAT(lambda x: f"'{x[0]}'")} AS manifest,
+           CASE WHEN l_orderkey % {len(T.LOCK_FORMATS)} = 6 THEN 'git.test/' ELSE '' END || name AS name, version,
+           {_FORMAT(lambda x: f"'{x[1]}'")} AS eco,
+           {_FORMAT(lambda x: {None: "NULL", "true": "true", "flag": "dev"}[x[2]])} AS dev
+    FROM (SELECT repo_id, l_orderkey, name, f['v'] AS version, f['dev'] AS dev
+          FROM (SELECT repo_id, l_orderkey, name, min({{'ln': l_linenumber, 'v': version, 'dev': l_returnflag = 'R'}}) AS f
+                FROM ({_LINES_SQL}) GROUP BY repo_id, l_orderkey, name))""")
+def lockfile_formats(spark, sf):
+    """The ten other lockfile formats, one an order."""
+    return M.lockfile_packages(T.lock_files_from_orders(spark, sf)).distinct()
+
+
 _LOCKS = " / ".join(sorted(M.UNRESOLVED_MANIFESTS["package.json"][0]))
 
 

@@ -477,6 +477,49 @@ def manifest_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_columns(pj.unionByName(lock).unionByName(req))
 
 
+#: Lockfile formats besides package-lock.json and requirements.txt, one an
+#: order: file, ecosystem, and what ``dev`` is (null, true, or by return flag).
+LOCK_FORMATS = [("yarn.lock", "npm", None), ("pnpm-lock.yaml", "npm", None), ("poetry.lock", "PyPI", None), ("uv.lock", "PyPI", None),
+                ("Cargo.lock", "crates.io", None), ("Pipfile.lock", "PyPI", "flag"), ("go.mod", "Go", None),
+                ("Gemfile.lock", "RubyGems", None), ("bun.lock", "npm", "flag"), ("requirements-dev.txt", "PyPI", "true")]
+
+
+def lock_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files`` of a lockfile an order, its format by the order's key: the
+    order's part names (each with its first line's version and return flag)
+    among what such files hold besides."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    one = li.join(p, li.l_partkey == p.p_partkey).groupBy("l_orderkey", F.regexp_replace("p_name", " ", "-").alias("n")).agg(
+        F.min(F.struct(F.col("l_linenumber").alias("ln"), (F.col("p_size") % 10).alias("s"), (F.col("l_returnflag") == "R").alias("dev"))).alias("f"))
+    order = one.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
+        "n", F.concat(F.lit("1."), F.col("f.ln").cast("string"), F.lit("."), F.col("f.s").cast("string")).alias("v"), F.col("f.dev").alias("dev")))).alias("x"))
+    each = lambda part, sep="": f"array_join(transform(x, e -> {part}), '{sep}')"
+    of = lambda flag: f"filter(x, e -> {flag})"
+    toml = "concat('version = 3\n\n', " + each("concat('[[package]]\nname = \"', e.n, '\"\nversion = \"', e.v, '\"\ndescription = \"d\"\n')", "\n") \
+        + ", '\n[metadata]\nversion = \"9.9\"\n')"
+    pins = lambda flag: f"to_json(map_from_entries(transform({of(flag)}, e -> struct(e.n, struct(concat('==', e.v) as version)))))"
+    text = {
+        "yarn.lock": "concat('# yarn lockfile v1\n\n\n', " + each(
+            "concat('\"', e.n, '@^1.0.0\", ', e.n, '@1.x:\n  version \"', e.v, '\"\n  resolved \"https://r.test/x.tgz\"\n  dependencies:\n    other \"^2.0.0\"\n')", "\n") + ")",
+        "pnpm-lock.yaml": "concat('lockfileVersion: 5.4\n\npackages:\n\n', " + each("concat('  /', e.n, '/', e.v, ':\n    resolution: {integrity: sha512-x}\n    dev: false\n')", "\n") + ")",
+        "poetry.lock": toml, "uv.lock": toml, "Cargo.lock": toml,
+        "Pipfile.lock": f"concat('{{\"_meta\": {{\"hash\": {{}}}}, \"default\": ', {pins('not e.dev')}, ', \"develop\": ', {pins('e.dev')}, '}}')",
+        "go.mod": "concat('module a.test/m\n\ngo 1.22\n\nrequire (\n', " + each("concat('\t', 'git.test/', e.n, ' v', e.v, if(e.dev, ' // indirect', ''), '\n')") + ", ')\n')",
+        "Gemfile.lock": "concat('GEM\n  remote: https://gems.test/\n  specs:\n', " + each("concat('    ', e.n, ' (', e.v, ')\n      other (>= 1.0)\n')")
+                        + ", '\nPLATFORMS\n  ruby\n\nDEPENDENCIES\n  other\n')",
+        "bun.lock": "concat('{ // bun\n  \"lockfileVersion\": 1,\n  \"workspaces\": {\"\": {\"dependencies\": {', array_join(transform("
+                    + of("not e.dev") + ", e -> concat('\"', e.n, '\": \"^1.0.0\", ')), ''), '}, }, },\n  \"packages\": {\n', "
+                    + each("concat('    \"', e.n, '\": [\"', e.n, '@', e.v, '\", \"\", {}, \"sha512-//x\"],\n')") + ", '  },\n}\n')",
+        "requirements-dev.txt": "concat('# tools\n-r requirements.txt\n', " + each("concat(e.n, ' == ', e.v, '  # pin\n')") + ", 'loose>=1.0\n')"}
+    k = F.col("l_orderkey") % len(LOCK_FORMATS)
+    path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, _, _) in enumerate(LOCK_FORMATS):
+        path, content = F.when(k == i, name).otherwise(path), F.when(k == i, F.expr(text[name])).otherwise(content)
+    return file_columns(order.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("repo_id"),
+                                     path.alias("path"), content.alias("content")))
+
+
 def conversations_to_adds(conversations: DataFrame) -> DataFrame:
     """Row-wise mapping of conversation turns to added text (usable on a stream)."""
     c = with_leaks(conversations.select("conv_id", "turn", "role", "text"))
