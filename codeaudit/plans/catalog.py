@@ -1164,6 +1164,57 @@ def sarif_documents(spark, sf):
     return X.sarif_documents(_applied(spark, sf), T.repos_from_events(spark, sf))
 
 
+def _parts(spark, sf):
+    return f"{T.checkpoint_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+
+
+_SARIF_RESULT = ("ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<"
+                 "artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>, partialFingerprints map<string,string>")
+
+
+@register("sarif_parts", ORACLES["sarif_results"])
+def sarif_parts(spark, sf):
+    """SARIF documents written in parts; their results read back."""
+    from codeaudit.plans import documents as D
+    path = _parts(spark, sf)
+    D.write_sarif(path, _applied(spark, sf), T.repos_from_events(spark, sf))
+    at = "x.locations[0].physicalLocation"
+    return D.read_elements(spark, path).select("repo_id", F.from_json("json", _SARIF_RESULT).alias("x")).filter("x.ruleId is not null").selectExpr(
+        "repo_id", "x.ruleId AS rule_id", "x.level", "x.message.text AS message", f"{at}.artifactLocation.uri AS uri",
+        f"{at}.region.startLine AS start_line", "x.partialFingerprints['codeauditFingerprint/v1'] AS fingerprint")
+
+
+@register("json_report_parts", f"SELECT repo_id, id, severity, path, line, {_FP} AS fingerprint FROM ({_POLICY_APPLIED_SQL})")
+def json_report_parts(spark, sf):
+    """JSON reports written in parts; their findings read back."""
+    from codeaudit.plans import documents as D
+    f, repos, path = _applied(spark, sf), T.repos_from_events(spark, sf), _parts(spark, sf)
+    D.write_json_reports(path, f, A.risk_scores(f, repos), A.severity_counts(f, repos))
+    x = D.read_elements(spark, path).select("repo_id", F.from_json(
+        "json", "id string, severity string, path string, line int, fingerprint string").alias("x"))
+    return x.filter("x.fingerprint is not null").select("repo_id", "x.*")
+
+
+@register("cyclonedx_components", f"SELECT repo_id, name, version, type, bom_ref, purl FROM ({ORACLES['sbom_components']})")
+def cyclonedx_components(spark, sf):
+    """The components of the CycloneDX documents, read back."""
+    x = X.cyclonedx_documents(_stand(spark, sf)).select("repo_id", F.explode(F.from_json(
+        "document", "components array<struct<type:string,`bom-ref`:string,name:string,version:string,purl:string>>")["components"]).alias("x"))
+    return x.select("repo_id", "x.name", "x.version", "x.type", F.col("x.`bom-ref`").alias("bom_ref"), "x.purl")
+
+
+@register("spdx_elements", f"SELECT repo_id, spdx_id, name, version_info, purl, relationship FROM ({ORACLES['spdx_packages']})")
+def spdx_elements(spark, sf):
+    """The packages of the SPDX documents with their relationships, read back."""
+    kind = ("packages array<struct<SPDXID:string,name:string,versionInfo:string,externalRefs:array<struct<referenceLocator:string>>>>, "
+            "relationships array<struct<relationshipType:string,relatedSpdxElement:string>>")
+    x = X.spdx_documents(_stand(spark, sf)).select("repo_id", F.from_json("document", kind).alias("d")).select(
+        "repo_id", F.explode(F.arrays_zip("d.packages", "d.relationships")).alias("x"))
+    return x.filter("x.packages.SPDXID = x.relationships.relatedSpdxElement").selectExpr(
+        "repo_id", "x.packages.SPDXID AS spdx_id", "x.packages.name", "x.packages.versionInfo AS version_info",
+        "x.packages.externalRefs[0].referenceLocator AS purl", "x.relationships.relationshipType AS relationship")
+
+
 @register("spdx_documents")
 def spdx_documents(spark, sf):
     return X.spdx_documents(_stand(spark, sf))

@@ -74,6 +74,15 @@ def cyclonedx_documents(packages: DataFrame, project_license: DataFrame | None =
     comp = F.struct(F.col("name").alias("_n"), F.col("version").alias("_v"), F.col("eco").alias("_e"),
                     F.struct(F.col("type"), F.col("bom_ref").alias("bom-ref"), "name", "version", "purl").alias("c"))
     g = c.groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(comp)), lambda x: x["c"]).alias("components"))
+    return _cyclonedx(g, project_license, timestamp)
+
+
+def cyclonedx_frames(repos: DataFrame, project_license: DataFrame | None = None, timestamp: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """K5 documents without components."""
+    return _cyclonedx(repos.select("repo_id", F.array().alias("components")), project_license, timestamp)
+
+
+def _cyclonedx(g: DataFrame, project_license: DataFrame | None, timestamp: str) -> DataFrame:
     if project_license is not None:
         g = g.join(project_license, "repo_id", "left")
     else:
@@ -95,6 +104,18 @@ def cyclonedx_documents(packages: DataFrame, project_license: DataFrame | None =
 def spdx_documents(packages: DataFrame, timestamp: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """K6 documents: one SPDX 2.3 JSON per repo, packages in index order, the
     first DESCRIBED and the rest CONTAINED by the document."""
+    g = spdx_elements(packages).groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("i", "p", "r"))).alias("x")).select(
+        "repo_id", F.transform("x", lambda e: e["p"]).alias("packages"), F.transform("x", lambda e: e["r"]).alias("relationships"))
+    return _spdx(g, timestamp)
+
+
+def spdx_frames(repos: DataFrame, timestamp: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """K6 documents without packages."""
+    return _spdx(repos.select("repo_id", F.array().alias("packages"), F.array().alias("relationships")), timestamp)
+
+
+def spdx_elements(packages: DataFrame) -> DataFrame:
+    """(repo_id, i, p, r): the packages and relationships of K6 documents."""
     rows = spdx_packages(packages)
     pkg = F.struct(
         F.col("spdx_id").alias("SPDXID"), "name", F.col("version_info").alias("versionInfo"),
@@ -105,15 +126,17 @@ def spdx_documents(packages: DataFrame, timestamp: str = "1970-01-01T00:00:00Z")
                          F.col("purl").alias("referenceLocator"))).alias("externalRefs"))
     rel = F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.col("relationship").alias("relationshipType"),
                    F.col("spdx_id").alias("relatedSpdxElement"))
-    g = rows.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("i", pkg.alias("p"), rel.alias("r")))).alias("x"))
+    return rows.select("repo_id", "i", pkg.alias("p"), rel.alias("r"))
+
+
+def _spdx(g: DataFrame, timestamp: str) -> DataFrame:
     doc = F.struct(
         F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"),
         F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), F.concat(F.col("repo_id"), F.lit("-sbom")).alias("name"),
         F.concat(F.lit("https://spdx.org/spdxdocs/"), F.col("repo_id"), F.lit("-"), serial(F.col("repo_id"))).alias("documentNamespace"),
         F.struct(F.lit(timestamp).alias("created"),
                  F.array(F.lit(f"Tool: {TOOL_NAME}-{TOOL_VERSION}")).alias("creators")).alias("creationInfo"),
-        F.transform("x", lambda e: e["p"]).alias("packages"),
-        F.transform("x", lambda e: e["r"]).alias("relationships"))
+        "packages", "relationships")
     return g.select("repo_id", F.to_json(doc).alias("document"))
 
 
@@ -154,11 +177,8 @@ def _in_report_order(rows: DataFrame, value: str, name: str) -> DataFrame:
                                                    lambda x: x[value]).alias(name))
 
 
-def sarif_documents(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
-    """K2 documents: one SARIF 2.1.0 JSON per repo, results and rules in report
-    order; repositories of ``repos`` without findings get one without results.
-    A document is one string: repositories beyond a string's size take the row
-    sinks (``sarif_results``, ``sarif_rules``)."""
+def sarif_elements(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo_id, _o, rule) and (repo_id, _o, r) of K2 documents."""
     order = report_order()
     res = sarif_results(findings, [F.struct(*order).alias("_o")]).select("repo_id", "_o", F.struct(
         F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"),
@@ -173,6 +193,15 @@ def sarif_documents(findings: DataFrame, repos: DataFrame | None = None) -> Data
         F.struct(F.col("security_severity").alias("security-severity"),
                  F.array(F.lit("security"), F.col("scanner")).alias("tags")).alias("properties"),
         F.struct(F.col("level")).alias("defaultConfiguration")).alias("rule"))
+    return rules, res
+
+
+def sarif_documents(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """K2 documents: one SARIF 2.1.0 JSON per repo, results and rules in report
+    order; repositories of ``repos`` without findings get one without results.
+    A document is one string: larger ones are written in parts
+    (``documents.write_sarif``)."""
+    rules, res = sarif_elements(findings)
     both = _in_report_order(rules, "rule", "rules").join(_in_report_order(res, "r", "results"), "repo_id")
     if repos is not None:
         both = repos.select("repo_id").distinct().join(both, "repo_id", "left")
