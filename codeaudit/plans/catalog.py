@@ -378,6 +378,22 @@ def vuln_join(spark, sf):
     return V.vuln_findings(_stand(spark, sf), T.advisories_from_part(spark, sf))
 
 
+@register("advisory_update", f"SELECT DISTINCT evidence, id FROM ({_VULN_SQL})")
+def advisory_update(spark, sf):
+    """Hits of an older advisory snapshot (a tenth missing, a tenth with other
+    ranges, withdrawn ones still live) brought up to date."""
+    pk, after = _stand(spark, sf), T.advisories_from_part(spark, sf)
+    k = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    wide = F.transform("affected", lambda a: a.withField("ranges", F.transform(a["ranges"], lambda r: r.withField(
+        "events", F.slice(r["events"], 1, 1)))))
+    before = after.filter(k % 10 != 0).withColumn("affected", F.when(k % 10 == 1, wide).otherwise(F.col("affected"))).withColumn(
+        "withdrawn", F.lit(None).cast("string"))
+    stored = f"{T.checkpoint_dir(spark).rstrip('/')}/hits-{uuid.uuid4().hex}"
+    V.vulnerable_versions(pk, V.live_advisories(before)).write.parquet(stored)
+    now = V.updated_versions(spark.read.parquet(stored), pk, before, after)
+    return now.select(F.concat("eco", F.lit(":"), "name", F.lit("@"), "version").alias("evidence"), F.concat(F.lit("deps/"), "id").alias("id"))
+
+
 _TYPO_RING = "CASE eco " + " ".join(f"WHEN '{e}' THEN {v!r}" for e, v in T.TYPOS.items()) + " END"
 _ORDER_SQL = "CAST(split_part(repo_id, '-', 2) AS BIGINT)"
 PACKAGES_TYPOS_SQL = f"""
