@@ -1528,3 +1528,35 @@ def planted_log_hits(spark, sf):
     commits = lines.groupBy("repo_id", F.floor(F.col("seq") / 4).alias("seq")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(
         F.struct(F.col("seq").alias("s"), "line"))), lambda x: x["line"]), "\n").alias("text"))
     return HI.findings_from_adds(CL.read_commit_log(spark, T.logs_on_disk(spark, commits))).select("repo_id", "id", "path", "scanner")
+
+
+_BUILD_IDS = ["config/docker-root-user", "config/docker-no-healthcheck", "config/ci-unpinned-action"]
+
+
+@register("planted_builds", """
+    SELECT source AS repo_id, 'config/docker-root-user' AS id, 'medium' AS severity, 'Container runs as root' AS title,
+           'svc_' || doc_id || '/Dockerfile' AS path FROM documents WHERE doc_id % 4 IN (0, 2)
+    UNION ALL SELECT source, 'config/docker-no-healthcheck', 'info', 'No container HEALTHCHECK', 'svc_' || doc_id || '/Dockerfile'
+    FROM documents WHERE doc_id % 4 IN (0, 3)
+    UNION ALL SELECT source, 'config/ci-unpinned-action', CASE doc_id % 3 WHEN 0 THEN 'low' ELSE 'medium' END,
+           CASE doc_id % 3 WHEN 0 THEN 'First-party action actions' ELSE 'Third-party action acme' END || '/a' || doc_id
+             || ' pinned to the mutable tag `v2`', '.github/workflows/p_' || doc_id || '.yml'
+    FROM documents WHERE doc_id % 3 < 2""")
+def planted_builds(spark, sf):
+    """Dockerfile structure and action pins on a file of each a document."""
+    f = C.config_findings(PL.planted_builds(T.read(spark, sf, "documents")))
+    return f.filter(F.col("id").isin(_BUILD_IDS)).select("repo_id", "id", "severity", "title", "path")
+
+
+@register("planted_rule_rows", f"""
+    SELECT source AS repo_id, {_planted_case(PL.SAMPLES, 0)} AS id, {_planted_case(PL.SAMPLES, 1)} AS path,
+           ({RS.sql_map({**{f"secret/{r.id}": r.severity for r in RR.SECRET_RULES}, **{f"config/{r.id}": r.severity for r in RR.CONFIG_RULES}},
+                        _planted_case(PL.SAMPLES, 0))}) AS severity,
+           CASE WHEN starts_with({_planted_case(PL.SAMPLES, 0)}, 'secret/') THEN 'secrets' ELSE 'config' END AS scanner
+    FROM documents""")
+def planted_rule_rows(spark, sf):
+    """The same files' findings with severity and scanner."""
+    f = PL.planted_files(T.read(spark, sf, "documents"))
+    found = PS.file_findings(f.drop("planted", "hit"), ["secrets", "config"])
+    return found.join(f.select("repo_id", "path", F.col("planted").alias("id")), ["repo_id", "path", "id"], "left_semi").select(
+        "repo_id", "id", "path", "severity", "scanner")
