@@ -54,3 +54,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the session's default file system, if it has
+    none: what Spark takes for a shared folder must not become each executor's
+    own disk where Python opens it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()

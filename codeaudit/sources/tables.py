@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit.functions.text import suffix
-from codeaudit.session import checkpoint_dir
+from codeaudit.session import checkpoint_dir, qualified
 from codeaudit.sources.commit_log import write_commit_log
 from codeaudit.sources.tree_reader import list_dir, write_tree
 
@@ -101,7 +101,7 @@ def raw_tree_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_on_disk(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
     """The raw tree written as files, a root a repository, below the checkpoint
     folder: (repo_id, root) pairs."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}")
     write_tree(raw_tree_from_documents(spark, sf_dir), folder)
     return [(e.name, f"{folder}/{e.name}") for e in list_dir(folder) if e.is_dir]
 
