@@ -15,7 +15,8 @@ are found by the hash of all their words.
 Defined results: null, empty and wordless texts have no words and no hits;
 wordless items have no window; null item ids are not counted as items, but
 their windows hit; repeated rows are rows of their own; empty tables give no
-rows, or no hits.  Only the id and text columns are read, so others may have
+rows, or no hits; texts are read whole, a very long one in memory in proportion
+to it; ties need no rule.  Only the id and text columns are read, so others may have
 any name.
 """
 

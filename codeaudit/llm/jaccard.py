@@ -21,8 +21,8 @@ classes is.
 
 Defined results: documents without words or text have the empty set and are
 linked with nothing; repeated rows are equal documents; a component's id is
-its smallest non-null doc_id (null if it has none); an empty table gives no
-rows.  Only the id and text columns are read.
+its smallest non-null doc_id (null if it has none); texts are read whole, a
+very long one in memory in proportion to it; an empty table gives no rows.  Only the id and text columns are read.
 """
 
 from __future__ import annotations

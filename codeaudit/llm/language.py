@@ -12,8 +12,10 @@ is not null; the tables of more than `DENSE` labels are stored sparsely.
 
 Defined results: a null text or one without letters is `und` with score 0 and
 no spans, and so is every text if there is nothing to learn from; null labels
-are not learned; repeated rows are labelled alike; empty tables give no rows;
-only the id, text and label columns are read.
+are not learned; repeated rows are labelled alike; texts are read whole, a very
+long one in memory in proportion to it; of languages with equal letters and of
+equal paths the first by name is taken; empty tables give no rows; only the id,
+text and label columns are read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ to one that nothing earlier repeats.
 
 Defined results: a null text stays null, without lines; texts of fewer lines
 than a window stay as they are; a text whose lines all go becomes empty; null
-doc_ids come last; repeated rows are later copies; empty tables give no rows;
+doc_ids come last; repeated rows are later copies; texts are read whole, however
+long; empty tables give no rows;
 other columns are carried unread, whatever their names (`out` excepted).
 """
 

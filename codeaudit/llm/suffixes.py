@@ -18,7 +18,8 @@ Defined results: null, empty and short texts have no spans; a passage that a
 document repeats in itself counts as well; of equal passages those of the
 smallest doc_id (nulls last), and there the first, are the original and the
 others later copies; rows of equal id are originals alike; empty tables give
-no rows; only the id and text columns are read.  Runs are compared by 64-bit
+no rows; texts are read whole, a very long one in memory in proportion to it;
+only the id (an integer) and text columns are read.  Runs are compared by 64-bit
 hashes.
 """
 

@@ -44,6 +44,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 from pyspark.sql.types import StructType
 
 from codeaudit.llm.common import scratch
+from codeaudit.session import qualified
 
 SCHEMA = ("record_id string, record_type string, target_uri string, refers_to string, payload_digest string, "
           "payload_length long, payload binary")
@@ -359,7 +360,7 @@ def archive(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     of equal payloads that all lack an id are responses."""
     spark = pages.sparkSession
     register(spark)
-    path = path or scratch(spark, "warc")
+    path = qualified(spark, path or scratch(spark, "warc"))
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"),
                      F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload")).select(
         "*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n"))
@@ -382,7 +383,7 @@ def records(spark: SparkSession, path: str, page_type: str = "long") -> DataFram
     register(spark)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^urn:page:(.*)$', 1) as {page_type})")
     response = F.col("record_type") == "response"
-    return spark.read.format("warc").load(path).select(
+    return spark.read.format("warc").load(qualified(spark, path)).select(
         page("record_id").alias("page_id"), "target_uri", "record_type", page("refers_to").alias("refers_to"), "payload",
         F.when(response, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
         F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"))
