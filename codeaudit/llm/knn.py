@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeaudit.llm.common import map_batches, written
+from codeaudit.llm.words import mix
 
 #: Beyond this, products may leave float64's or a long's exact range.
 _SAFE, _LONG = 1 << 20, 1 << 62
@@ -78,6 +80,12 @@ def _best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[n
     return out
 
 
+def _part(task: int, sent: int, parts: int) -> int:
+    """The part of a task's pack: in turn, from a place of the task's own, so
+    parts are even whatever the ids and their order."""
+    return int((mix(np.array([task + 1], np.uint64))[0] + np.uint64(sent)) % np.uint64(parts))
+
+
 def knn_join(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10,
              scale: int = 1024, pivots: int = 8, pack_rows: int = 2048, query_rows: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best other
@@ -148,15 +156,17 @@ def knn_join(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", em
     parts = max(1, -(-n // pack_rows))
 
     def send(batches):
-        """Packs of the rows that a group may need; a row goes to a part by its place."""
+        """Packs of the rows that a group may need; a pack goes to a part in turn."""
         ids: dict[int, list[np.ndarray]] = {g: [] for g in limits.value}
         rows: dict[int, list[np.ndarray]] = {g: [] for g in limits.value}
-        count = {g: 0 for g in limits.value}
+        count, sent = {g: 0 for g in limits.value}, {g: 0 for g in limits.value}
+        task = TaskContext.get().partitionId()
 
         def pack(g: int) -> pa.RecordBatch:
             i, x = np.concatenate(ids[g]), np.concatenate(rows[g])
             ids[g], rows[g], count[g] = [], [], 0
-            part = int(i[0] % parts)
+            part = _part(task, sent[g], parts)
+            sent[g] += 1
             return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([part], pa.int32()),
                                                pa.array([i.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
                                               names=["g", "part", "ids", "xs"])

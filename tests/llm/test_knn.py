@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeaudit.llm.knn import knn_join
+from codeaudit.llm.knn import _part, knn_join
 
 KIND = "vec_id long, embedding array<double>"
 
@@ -64,3 +64,11 @@ def test_large_values_are_cut(spark):
 def test_extra_columns(spark):
     df = spark.createDataFrame([(0, [1.0], 1, 2, 3), (1, [2.0], 4, 5, 6)], KIND + ", g int, v int, part int")
     assert [tuple(r) for r in knn_join(df, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 2 * 1024 * 1024)]
+
+
+def test_parts_are_even_whatever_the_ids():
+    """Packs of many tasks fill nearly all parts, none of them much more than others."""
+    for tasks, packs, parts in ((16, 4, 64), (64, 8, 512), (200, 1, 200), (1, 64, 64)):
+        n = np.bincount([_part(t, s, parts) for t in range(tasks) for s in range(packs)], minlength=parts)
+        assert n.max() <= 8 and (n > 0).mean() > 0.5
+    assert sorted(_part(0, s, 7) for s in range(7)) == list(range(7))
