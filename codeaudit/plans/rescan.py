@@ -28,14 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit.model import FINDING_COLUMNS
-from codeaudit.plans.scan import STATE_FINDING, file_findings, ruleset_key
+from codeaudit.plans.scan import SLOTS, STATE_FINDING, file_findings, key_slot, ruleset_key
 from codeaudit.session import checkpoint_dir
 from codeaudit.streaming.stream import is_dir
 
 KEYS = ["repo_id", "path"]
 STATE = f"bucket int, repo_id string, path string, size long, mtime timestamp, ruleset string, findings {STATE_FINDING}"
-#: Hashes of changed keys that are sent to all tasks, at most.
-SLOTS = 1 << 20
 
 
 @dataclass
@@ -105,7 +103,7 @@ def rescan(files: DataFrame, path: str, enabled: list[str], *, buckets: int = 64
         (F.col("here") & F.col("ruleset0").isNotNull() & F.expr("size <=> size0 and mtime <=> mtime0 and ruleset <=> ruleset0")).alias("same")),
         "compared")
     changed = both.filter("here and not same")
-    slot = F.pmod(F.xxhash64(*KEYS, F.lit(1)), F.lit(SLOTS)).cast("int")
+    slot = key_slot(SLOTS)
     slots = changed.select(slot.alias("slot")).distinct()  # at most 2**20 integers
     at = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())  # one a bucket, at most
     scan_of = files.filter(F.col("bucket").isin(at)).withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot", "bucket")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit import rules as R
@@ -65,9 +65,22 @@ def check_diff_refs(refs: DataFrame) -> None:
         raise DiffRefError("cannot resolve diff ref(s): " + ", ".join(f"{r['repo_id']}@{r['ref']}" for r in bad))
 
 
+#: Hashes of keys that are sent to all tasks, at most.
+SLOTS = 1 << 20
+
+
+def key_slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64("repo_id", "path", F.lit(1)), F.lit(slots)).cast("int")
+
+
 def diff_scope(files: DataFrame, changed: DataFrame) -> DataFrame:
-    """only the changed files (left-semi join on repo and path)."""
-    return files.join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    """only the changed files (left-semi join on repo and path).  A bounded
+    set of key hashes, broadcast, leaves out nearly all others first, so the
+    join's exchange holds no more contents than the changed files have."""
+    keys = changed.select("repo_id", "path").distinct()
+    slots = keys.select(key_slot(SLOTS).alias("_slot")).distinct()
+    near = files.withColumn("_slot", key_slot(SLOTS)).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    return near.select(*files.columns).join(keys, ["repo_id", "path"], "left_semi")
 
 
 def file_matches(files: DataFrame) -> DataFrame:

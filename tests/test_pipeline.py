@@ -74,6 +74,16 @@ def test_diff_scope(spark, tmp_path):
     assert full == {"old.py", "new.py"} and diffed == {"new.py"}
 
 
+def test_diff_scope_leaves_files_out_before_the_join(spark, monkeypatch):
+    monkeypatch.setattr(PS, "SLOTS", 4)  # hashes are shared: the join decides
+    files = spark.range(500).select(F.concat(F.lit("r"), F.col("id") % 3).alias("repo_id"), F.concat(F.lit("f"), "id").alias("path"),
+                                    F.lit("x").alias("content"))
+    changed = files.filter("id % 50 = 0").select("repo_id", "path")
+    out = PS.diff_scope(files, changed.union(changed))
+    assert sorted(map(tuple, out.select("repo_id", "path").collect())) == sorted(map(tuple, changed.collect())) and out.columns == files.columns
+    assert "BroadcastHashJoin [_slot" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
