@@ -11,10 +11,13 @@ use (``fleet_popular``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit import rules as R
+from codeaudit.session import checkpoint_dir
 
 SCANNER = "deps"
 
@@ -65,10 +68,15 @@ def typosquats(packages: DataFrame, declared: DataFrame, popular: DataFrame | No
              .filter(F.length("lname") >= R.MIN_TYPOSQUAT_LEN)
              .join(pop.select("eco", F.col("target").alias("lname")), ["eco", "lname"], "left_anti")
              .join(F.broadcast(allowlist_table(spark)), ["eco", "lname"], "left_anti"))
-    near = neighbours(names, pop).groupBy("eco", "lname").agg(F.min("target").alias("target"))
+    found = neighbours(names, pop).groupBy("eco", "lname").agg(F.min("target").alias("target"))
+    # stored, so that its size is known before the fleet's rows are read: only rows with such names pass an exchange
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/near-{uuid.uuid4().hex}"
+    found.write.parquet(folder)
+    near = spark.read.schema(found.schema).parquet(folder)
     cand = (packages.select("repo_id", "eco", "name", "version", F.lower("name").alias("lname"))
             .join(near, ["eco", "lname"])
-            .join(declared.select("repo_id", "eco", "lname").distinct(), ["repo_id", "eco", "lname"], "left_semi"))
+            .join(declared.select("repo_id", "eco", "lname").join(near.select("eco", "lname"), ["eco", "lname"], "left_semi"),
+                  ["repo_id", "eco", "lname"], "left_semi"))
     first = cand.groupBy("repo_id", "eco", "name").agg(F.min("target").alias("target"), F.min("version").alias("version"))
     return first.select(
         "repo_id", F.lit("deps/possible-typosquat").alias("id"),
