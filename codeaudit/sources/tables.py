@@ -299,7 +299,13 @@ def registry_docs_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     part's package; the licence comes from a ring of ids and is written in one
     of the shapes registries use (string, list, object, classifier)."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    v = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"))
+    v = p.select(_eco().alias("eco"), F.regexp_replace("p_name", " ", "-").alias("name"), (F.col("p_size") % 10).alias("s"), "p_partkey",
+                 F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"))
+    # one document per (eco, name, version): the lowest part key's; its text is built after the aggregate, which holds numbers
+    # alone (a buffer of texts is sorted with all rows of a task in memory)
+    v = v.groupBy("eco", "name", F.concat(F.lit("1."), F.col("line").cast("string"), F.lit("."), F.col("s").cast("string")).alias("version")).agg(
+        F.min("p_partkey").alias("p_partkey"), F.max("line").alias("line"))  # without a version: the last line's
+    eco = F.col("eco")
     lic = F.element_at(_lit_array(LICENSE_RING), ((F.col("p_partkey") + F.col("line")) % len(LICENSE_RING) + 1).cast("int"))
     shape = (F.col("p_partkey") + F.col("line")) % 4
     npm = (F.when(shape == 1, F.to_json(F.struct(F.array(F.struct(lic.alias("type"))).alias("licenses"))))
@@ -310,13 +316,8 @@ def registry_docs_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(shape == 2, F.to_json(F.struct(F.struct(long_text.alias("license"), F.array(
                 F.lit("Topic :: Security"), F.concat(F.lit("License :: OSI Approved :: "), lic)).alias("classifiers")).alias("info"))))
             .otherwise(F.to_json(F.struct(F.struct(lic.alias("license")).alias("info")))))
-    eco = _eco()
-    rows = v.select(eco.alias("eco"), F.regexp_replace("p_name", " ", "-").alias("name"),
-                    F.concat(F.lit("1."), F.col("line").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version"),
-                    F.when(eco == "npm", npm).when(eco == "PyPI", pypi).otherwise(F.to_json(F.struct(lic.alias("license")))).alias("doc"),
-                    "p_partkey")
-    # one document per (eco, name, version): the lowest part key's
-    return rows.groupBy("eco", "name", "version").agg(F.min_by("doc", "p_partkey").alias("doc"))
+    doc = F.when(eco == "npm", npm).when(eco == "PyPI", pypi).otherwise(F.to_json(F.struct(lic.alias("license"))))
+    return v.select("eco", "name", "version", F.when(F.col("p_partkey").isNotNull(), doc).alias("doc"))
 
 
 def registry_licenses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,3 +26,16 @@ def test_typos_are_the_three_shapes_of_a_package(spark):
     assert pk.unionByName(short).exceptAll(T.packages_with_typos(spark, SF)).count() == 0
     assert squats.count() == some.filter(F.col("eco").isin(*T.TYPOS)).count() > 0
     assert {r.name for r in squats.select("name").distinct().collect()} <= {n for v in T.TYPOS.values() for n in v}
+
+
+def test_registry_documents_aggregate_numbers_alone(spark, tmp_path):
+    """A buffer of texts makes a sort aggregate, which holds a task's rows."""
+    rows = [(9, "a b", "Brand#1", 3), (4, "a b", "Brand#1", 3), (4, "a b", "Brand#1", 3), (5, "a b", "Brand#1", 4), (None, "c", "Brand#2", 1),
+            (6, "d", "Brand#0", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    docs = T.registry_docs_from_part(spark, str(tmp_path))
+    assert "SortAggregate" not in _plan(docs) and "ObjectHashAggregate" not in _plan(docs)
+    got = {(r["name"], r["version"]): r["doc"] for r in docs.collect()}
+    assert len(got) == 7 + 7 + 7 + 1 and got[("c", "1.2.1")] is None and got[("d", None)]
+    ring = T.LICENSE_RING
+    assert ring[(4 + 2) % len(ring)] in got[("a-b", "1.2.3")] and ring[(5 + 2) % len(ring)] in got[("a-b", "1.2.4")]
