@@ -57,16 +57,19 @@ def spdx_packages(packages: DataFrame) -> DataFrame:
     relationship (DESCRIBES for the first, CONTAINS after).  The index is a
     per-repo position computed with ``row_index`` (range-partitioned), so a
     repository with a very large package list is spread over many tasks."""
-    from codeaudit.functions.windows import row_index
-    d = packages.select("repo_id", "name", "version", "eco").distinct()
-    d = row_index(d, ["repo_id"], ["name", "version", "eco"]).withColumn("i", F.col("i").cast("int"))
-    return d.select(
+    return _spdx_rows(packages).select(
         "repo_id", "i", F.concat(F.lit("SPDXRef-Package-"), F.col("i").cast("string")).alias("spdx_id"),
         "name", F.col("version").alias("version_info"),
         purl(F.col("name"), F.col("version"), F.col("eco")).alias("purl"),
         F.when(F.col("i") == 0, "DESCRIBES").otherwise("CONTAINS").alias("relationship"))
 
 
+def _spdx_rows(packages: DataFrame) -> DataFrame:
+    from codeaudit.functions.windows import row_index
+    d = packages.select("repo_id", "name", "version", "eco").distinct()
+    return row_index(d, ["repo_id"], ["name", "version", "eco"]).withColumn("i", F.col("i").cast("int"))
+
+
 def cyclonedx_documents(packages: DataFrame, project_license: DataFrame | None = None,
                         timestamp: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """K5 documents: one CycloneDX 1.5 JSON string per repo."""
@@ -104,9 +107,12 @@ def _cyclonedx(g: DataFrame, project_license: DataFrame | None, timestamp: str)
 def spdx_documents(packages: DataFrame, timestamp: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """K6 documents: one SPDX 2.3 JSON per repo, packages in index order, the
     first DESCRIBED and the rest CONTAINED by the document."""
-    g = spdx_elements(packages).groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("i", "p", "r"))).alias("x")).select(
-        "repo_id", F.transform("x", lambda e: e["p"]).alias("packages"), F.transform("x", lambda e: e["r"]).alias("relationships"))
-    return _spdx(g, timestamp)
+    # a document gathers its repository's packages anyway: bare names and versions pass the exchange, places come from the
+    # sorted array, and elements are made from it
+    d = packages.select("repo_id", "name", "version", "eco").filter("repo_id is not null").distinct()
+    g = d.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("name", "version", "eco"))).alias("x"))
+    element = lambda k: F.transform("x", lambda e, i: _spdx_element(i, e["name"], e["version"], e["eco"])[k])
+    return _spdx(g.select("repo_id", element(0).alias("packages"), element(1).alias("relationships")), timestamp)
 
 
 def spdx_frames(repos: DataFrame, timestamp: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -114,19 +120,25 @@ def spdx_frames(repos: DataFrame, timestamp: str = "1970-01-01T00:00:00Z") -> Da
     return _spdx(repos.select("repo_id", F.array().alias("packages"), F.array().alias("relationships")), timestamp)
 
 
-def spdx_elements(packages: DataFrame) -> DataFrame:
-    """(repo_id, i, p, r): the packages and relationships of K6 documents."""
-    rows = spdx_packages(packages)
+def _spdx_element(i: Column, name: Column, version: Column, eco: Column) -> tuple[Column, Column]:
+    """The package and the relationship at place ``i`` of a K6 document."""
+    spdx_id = F.concat(F.lit("SPDXRef-Package-"), i.cast("string"))
     pkg = F.struct(
-        F.col("spdx_id").alias("SPDXID"), "name", F.col("version_info").alias("versionInfo"),
+        spdx_id.alias("SPDXID"), name.alias("name"), version.alias("versionInfo"),
         F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"),
         F.lit("NOASSERTION").alias("licenseConcluded"), F.lit("NOASSERTION").alias("licenseDeclared"),
         F.lit("NOASSERTION").alias("copyrightText"),
         F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"),
-                         F.col("purl").alias("referenceLocator"))).alias("externalRefs"))
-    rel = F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.col("relationship").alias("relationshipType"),
-                   F.col("spdx_id").alias("relatedSpdxElement"))
-    return rows.select("repo_id", "i", pkg.alias("p"), rel.alias("r"))
+                         purl(name, version, eco).alias("referenceLocator"))).alias("externalRefs"))
+    rel = F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.when(i == 0, "DESCRIBES").otherwise("CONTAINS").alias("relationshipType"),
+                   spdx_id.alias("relatedSpdxElement"))
+    return pkg, rel
+
+
+def spdx_elements(packages: DataFrame) -> DataFrame:
+    """(repo_id, i, p, r): the packages and relationships of K6 documents."""
+    pkg, rel = _spdx_element(F.col("i"), F.col("name"), F.col("version"), F.col("eco"))
+    return _spdx_rows(packages).select("repo_id", "i", pkg.alias("p"), rel.alias("r"))
 
 
 def _spdx(g: DataFrame, timestamp: str) -> DataFrame:

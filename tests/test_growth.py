@@ -39,3 +39,17 @@ def test_registry_documents_aggregate_numbers_alone(spark, tmp_path):
     assert len(got) == 7 + 7 + 7 + 1 and got[("c", "1.2.1")] is None and got[("d", None)]
     ring = T.LICENSE_RING
     assert ring[(4 + 2) % len(ring)] in got[("a-b", "1.2.3")] and ring[(5 + 2) % len(ring)] in got[("a-b", "1.2.4")]
+
+
+def test_spdx_documents_pass_bare_names(spark):
+    """Places come from the gathered list, and elements are made after the exchange."""
+    from codeaudit.plans import export as X
+    pk = T.packages_from_lineitem(spark, SF).filter("repo_id < 'order-2'")
+    docs = X.spdx_documents(pk)
+    exchanged = re.findall(r"Exchange hashpartitioning\(repo_id[^\n]*", _plan(docs))
+    assert exchanged and "Window" not in _plan(docs)
+    rows = X.spdx_elements(pk).groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("i", F.to_json("p").alias("p"), F.to_json("r").alias("r")))).alias("x"))
+    import json
+    want = {r.repo_id: ([json.loads(e.p) for e in r.x], [json.loads(e.r) for e in r.x]) for r in rows.collect()}
+    got = {r.repo_id: json.loads(r.document) for r in docs.collect()}
+    assert {k: (v["packages"], v["relationships"]) for k, v in got.items()} == want
