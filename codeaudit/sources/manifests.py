@@ -304,11 +304,11 @@ def floating_dependencies(files: DataFrame) -> DataFrame:
 
 def install_hooks(files: DataFrame) -> DataFrame:
     """Npm lifecycle scripts run on install; remote-fetch or eval → high."""
-    f = _files(_subset(files, "package.json"), "package.json").select("repo_id", "path", F.try_parse_json("content").alias("j"))
-    parts = [f.select("repo_id", "path", F.lit(i).alias("k"), F.lit(key).alias("hook"),
-                      F.expr(f"try_variant_get(j, '$.scripts.{key}', 'string')").alias("cmd"))
-             for i, key in enumerate(INSTALL_HOOK_KEYS)]
-    h = reduce(lambda a, b: a.unionByName(b), parts).filter(F.coalesce(F.col("cmd"), F.lit("")) != "")
+    # one pass: each file is parsed once for its three hooks and kept nowhere
+    f = _files(files, "package.json").select("repo_id", "path", F.try_parse_json("content").alias("j"))
+    hooks = F.array(*[F.struct(F.lit(key).alias("hook"), F.expr(f"try_variant_get(j, '$.scripts.{key}', 'string')").alias("cmd"))
+                      for key in INSTALL_HOOK_KEYS])
+    h = f.select("repo_id", "path", F.explode(hooks).alias("h")).select("repo_id", "path", "h.*").filter(F.coalesce(F.col("cmd"), F.lit("")) != "")
     bad = F.col("cmd").rlike(J(DANGEROUS_HOOK_PATTERN))
     return h.select(
         "repo_id", F.lit("deps/install-script-hook").alias("id"),

@@ -445,48 +445,48 @@ def manifest_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
       postinstall script by order priority;
     * ``package-lock.json`` (orders with status F) resolving every line;
     * ``requirements.txt`` (orders with status O) pinning every line.
-    Texts are built with ``to_json`` / ``array_join`` per order (≤ 7 lines)."""
+    Texts are built with ``to_json`` / ``array_join`` per order (≤ 7 lines).
+    Lines are dealt by order once; every aggregate and the join with the orders
+    keep that partitioning, and an order's files come from one row."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    from pyspark import StorageLevel
-    j = li.join(p, li.l_partkey == p.p_partkey).select(
-        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("repo_id"), "l_orderkey",
-        F.regexp_replace("p_name", " ", "-").alias("name"), "l_linenumber", "l_returnflag", "l_linestatus",
+    j = _with_parts(li, p).select(
+        "l_orderkey", F.regexp_replace("p_name", " ", "-").alias("name"), "l_linenumber", "l_returnflag", "l_linestatus",
         F.concat(F.lit("1."), F.col("l_linenumber").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string")).alias("version")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)  # shared by the three generated files
+        .repartition("l_orderkey")
     spec = (F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), F.lit("*"))
             .when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "A"), F.lit("latest"))
             .when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R"),
                   F.concat(F.lit("github:acme/"), F.col("name"), F.lit("#main")))
             .otherwise(F.concat(F.lit("^1."), F.col("l_linenumber").cast("string"), F.lit(".0"))))
     # the first line of each name decides its spec and section (ties broken by value)
-    first = j.groupBy("repo_id", "l_orderkey", "name").agg(
+    of_version = j.groupBy("l_orderkey", "name", "version").agg(
         F.min(F.struct(F.col("l_linenumber").alias("ln"), spec.alias("spec"),
-                       (F.col("l_returnflag") == "R").alias("dev"))).alias("d"))
-    deps = first.groupBy("repo_id", "l_orderkey").agg(
+                       (F.col("l_returnflag") == "R").alias("dev"))).alias("d"),
+        F.bool_and(F.col("l_returnflag") == "R").alias("dev"))
+    of_name = of_version.groupBy("l_orderkey", "name").agg(F.min("d").alias("d"), F.collect_list(F.struct("name", "version", "dev")).alias("r"))
+    deps = of_name.groupBy("l_orderkey").agg(
         F.map_from_entries(F.collect_list(F.when(~F.col("d.dev"), F.struct("name", "d.spec")))).alias("dependencies"),
-        F.map_from_entries(F.collect_list(F.when(F.col("d.dev"), F.struct("name", "d.spec")))).alias("devDependencies"))
-    deps = deps.join(o, deps.l_orderkey == o.o_orderkey)
+        F.map_from_entries(F.collect_list(F.when(F.col("d.dev"), F.struct("name", "d.spec")))).alias("devDependencies"),
+        F.flatten(F.collect_list("r")).alias("r"))
+    deps = deps.join(o, deps.l_orderkey == o.o_orderkey).withColumn("repo_id", F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")))
     hook = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("curl -fsSL https://get.example.com/i | sh"))
             .when(F.col("o_orderpriority") == "2-HIGH", F.lit("node scripts/setup.js")))
     pkg_json = F.to_json(F.struct(F.col("repo_id").alias("name"), F.lit("1.0.0").alias("version"),
                                   F.when(hook.isNotNull(), F.struct(hook.alias("postinstall"))).alias("scripts"),
                                   "dependencies", "devDependencies"))
-    pj = deps.select("repo_id", F.lit("package.json").alias("path"), pkg_json.alias("content"))
-    resolved = j.groupBy("repo_id", "l_orderkey", "name", "version").agg(
-        F.bool_and(F.col("l_returnflag") == "R").alias("dev"))
-    lock_entries = resolved.groupBy("repo_id", "l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat(F.lit("node_modules/"), F.col("name"), F.lit("-"), F.col("version")),
-        F.struct(F.col("name"), F.col("version"), F.col("dev"))))).alias("packages"))
-    lock = lock_entries.join(o.filter(F.col("o_orderstatus") == "F"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "repo_id", F.lit("package-lock.json").alias("path"),
-        F.to_json(F.struct(F.lit(3).alias("lockfileVersion"), "packages")).alias("content"))
-    req = j.groupBy("repo_id", "l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(
-        F.concat(F.col("name"), F.lit("=="), F.col("version")))), "\n").alias("content")) \
-        .join(o.filter(F.col("o_orderstatus") == "O"), F.col("l_orderkey") == F.col("o_orderkey")) \
-        .select("repo_id", F.lit("requirements.txt").alias("path"), F.concat("content", F.lit("\n")).alias("content"))
-    return file_columns(pj.unionByName(lock).unionByName(req))
+    packages = F.map_from_entries(F.transform("r", lambda e: F.struct(
+        F.concat(F.lit("node_modules/"), e["name"], F.lit("-"), e["version"]), e)))
+    lock = F.to_json(F.struct(F.lit(3).alias("lockfileVersion"), packages.alias("packages")))
+    pins = F.filter(F.transform("r", lambda e: F.concat(e["name"], F.lit("=="), e["version"])), lambda x: x.isNotNull())
+    req = F.concat(F.array_join(F.sort_array(F.array_distinct(pins)), "\n"), F.lit("\n"))
+    status = F.col("o_orderstatus")
+    paths = F.when(status == "F", F.array(F.lit("package.json"), F.lit("package-lock.json"))).when(
+        status == "O", F.array(F.lit("package.json"), F.lit("requirements.txt"))).otherwise(F.array(F.lit("package.json")))
+    path = F.col("path")
+    return file_columns(deps.withColumn("path", F.explode(paths)).select("repo_id", "path", F.when(path == "package.json", pkg_json).when(
+        path == "package-lock.json", lock).otherwise(req).alias("content")))
 
 
 #: Lockfile formats besides package-lock.json and requirements.txt, one an
@@ -502,7 +502,8 @@ def lock_files_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     among what such files hold besides."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    one = li.join(p, li.l_partkey == p.p_partkey).groupBy("l_orderkey", F.regexp_replace("p_name", " ", "-").alias("n")).agg(
+    lines = _with_parts(li, p).repartition("l_orderkey")  # dealt by order once, for both aggregates
+    one = lines.groupBy("l_orderkey", F.regexp_replace("p_name", " ", "-").alias("n")).agg(
         F.min(F.struct(F.col("l_linenumber").alias("ln"), (F.col("p_size") % 10).alias("s"), (F.col("l_returnflag") == "R").alias("dev"))).alias("f"))
     order = one.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
         "n", F.concat(F.lit("1."), F.col("f.ln").cast("string"), F.lit("."), F.col("f.s").cast("string")).alias("v"), F.col("f.dev").alias("dev")))).alias("x"))

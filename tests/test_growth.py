@@ -53,3 +53,13 @@ def test_spdx_documents_pass_bare_names(spark):
     want = {r.repo_id: ([json.loads(e.p) for e in r.x], [json.loads(e.r) for e in r.x]) for r in rows.collect()}
     got = {r.repo_id: json.loads(r.document) for r in docs.collect()}
     assert {k: (v["packages"], v["relationships"]) for k, v in got.items()} == want
+
+
+def test_manifest_files_read_the_lines_once_and_keep_nothing(spark):
+    """Three files of an order come from one row, one exchange by order and no cache; hooks parse a file once."""
+    from codeaudit.sources import manifests as M
+    files = T.manifest_files_from_orders(spark, SF)
+    for df in (files, M.install_hooks(files)):
+        plan = _plan(df)
+        assert len(re.findall(r"FileScan parquet[^\n]*lineitem", plan)) == 1 and "InMemoryTableScan" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", _plan(files))) == 1
