@@ -63,3 +63,28 @@ def test_manifest_files_read_the_lines_once_and_keep_nothing(spark):
         plan = _plan(df)
         assert len(re.findall(r"FileScan parquet[^\n]*lineitem", plan)) == 1 and "InMemoryTableScan" not in plan
     assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", _plan(files))) == 1
+
+
+def _advisories(spark, rows):
+    return spark.createDataFrame([(i, None, [(n, "npm", v, [("SEMVER", [(lo, None), (None, hi)])])]) for i, n, v, lo, hi in rows],
+                                 "id string, withdrawn string, affected array<struct<name:string,eco:string,versions:array<string>,"
+                                 "ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>>>")
+
+
+def test_hits_of_advisories_pass_no_exchange(spark):
+    """Rows of (version, advisory) are made once, by the last step: neither sorted, compared nor made distinct."""
+    from codeaudit.operators import vulns as V
+    adv = _advisories(spark, [(f"A{i % 40}", "p", ["1.0", "3.0", "9.9"], "1.0", "2.0" if i % 2 else "2.5") for i in range(80)])
+    pv = spark.createDataFrame([("npm", "p", f"{a}.{b}") for a in range(4) for b in range(8)] * 2, "eco string, name string, version string")
+    hits = V.vulnerable_versions(pv, adv)
+    rows = [tuple(r) for r in hits.select("id", "version").collect()]
+    assert len(rows) == len(set(rows)) == sum(8 + (5 if i % 2 == 0 else 0) + 1 for i in range(40))
+    assert re.match(r"AdaptiveSparkPlan[^\n]*\n\+- Union", _plan(hits)), "an aggregate above the hits"
+
+
+def test_an_update_reads_the_packages_once(spark, tmp_path):
+    """Both joins of an update start from the distinct versions, which are written once."""
+    from codeaudit.operators import vulns as V
+    pk = spark.createDataFrame([("npm", "p", "1.0")] * 3 + [("npm", None, "1.0"), (None, "p", None)], "eco string, name string, version string")
+    pv = V.package_versions(pk)
+    assert pv.count() == 3 and "Aggregate" not in _plan(pv) and "FileScan parquet" in _plan(pv)
