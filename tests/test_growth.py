@@ -88,3 +88,16 @@ def test_an_update_reads_the_packages_once(spark, tmp_path):
     pk = spark.createDataFrame([("npm", "p", "1.0")] * 3 + [("npm", None, "1.0"), (None, "p", None)], "eco string, name string, version string")
     pv = V.package_versions(pk)
     assert pv.count() == 3 and "Aggregate" not in _plan(pv) and "FileScan parquet" in _plan(pv)
+
+
+def test_package_stats_make_packages_once(spark):
+    """No branch of the counts makes the packages anew; nulls and repeated rows count as before."""
+    from codeaudit.operators import vulns as V
+    adv = _advisories(spark, [("A1", "p", ["7.0"], "1.0", "2.0"), ("A2", "p", ["1.5"], "1.2", "3.0"), ("A3", "q", [], "0", "1.0")])
+    rows = [("r", "m1", "p", "1.0", "npm", False), ("r", "m2", "p", "1.0", "npm", True), ("r", "m1", "p", "7.0", "npm", True),
+            ("r", None, None, "1.0", "npm", None), ("s", None, "q", "1.0", "npm", True), (None, "m", "p", "1.5", "npm", True)] * 2
+    pk = spark.createDataFrame(rows, "repo_id string, manifest string, name string, version string, eco string, dev boolean")
+    out = V.package_stats(pk, adv)
+    assert not re.search(r"Scan ExistingRDD\[repo_id", _plan(out)) and re.search(r"Scan ExistingRDD\[repo_id", _plan(pk))
+    assert sorted(tuple(r) for r in out.collect()) == [("r", 3, 1, 2, 2), ("s", 1, 1, 0, 0)]
+    assert sorted(tuple(r) for r in V.package_stats(pk).collect()) == [("r", 3, 1, 2, 0), ("s", 1, 1, 0, 0)]
