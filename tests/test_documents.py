@@ -61,3 +61,23 @@ def test_boms(spark, tmp_path):
     D.write_spdx(str(tmp_path / "spdx"), pk)
     got = same(spark, str(tmp_path / "spdx"), X.spdx_documents(pk), "hot")
     assert json.loads(got["hot"])["relationships"][0]["relationshipType"] == "DESCRIBES"
+
+
+def test_many_documents_need_no_listing(spark, tmp_path):
+    """Files are listed by the tasks that wrote them; names keep their letters, and nothing half written is shown."""
+    names = ["007", "1e3", "a/b", "x=y%", "é [1]", "plain"]
+    f = spark.createDataFrame([(n, f"config/x{i % 3}", "t \r\n", "high", "config", "p", i, "", "fix", "") for i in range(40) for n in names],
+                              "repo_id string, id string, title string, severity string, scanner string, path string, line int, evidence string, "
+                              "remediation string, reference string")
+    at = str(tmp_path / "sarif")
+    D.write_sarif(at, f, f.select("repo_id").distinct())
+    assert sorted(os.listdir(tmp_path)) == ["sarif"]
+    assert not [n for _, _, files in os.walk(at) for n in files if n.startswith(".part") and ".txt." in n]
+    back = D.read_elements(spark, at)
+    assert not [x for x in back.inputFiles() if "repo_id=" in x]
+    got = {r.repo_id: r.n for r in back.filter("json like '%ruleId%'").groupBy("repo_id").agg(F.count("*").alias("n")).collect()}
+    assert got == dict.fromkeys(names, 40)
+    lines = {r.repo_id: r.n for r in spark.read.text(at).groupBy(F.col("repo_id")).agg(F.count("*").alias("n")).collect()}
+    assert set(lines.values()) == {40 + 3 + 3} and len(lines) == len(names)
+    with pytest.raises(FileExistsError):
+        D.write_sarif(at, f, f.select("repo_id").distinct())
