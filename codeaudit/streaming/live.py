@@ -84,7 +84,7 @@ class NewestFile(StatefulProcessor):
         self.state = handle.getValueState("newest", "version long, scored array<long>, gated array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()  # null for a new file; each call is a round trip to the JVM
         now = None if held is None else (held[0], list(held[1]), list(held[2]))
         first = now
         for r in rows:
@@ -145,7 +145,10 @@ def stream_live_scores(spark: SparkSession, changes: str, *, base: str | None =
     out = os.path.join(base, "out")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        totals = _summed(_totals(spark, out, epoch).unionByName(df))
+        # written first: every branch of the scores would run the state operator of the batch again
+        summed = os.path.join(base, "totals", f"epoch={epoch}")
+        _summed(_totals(spark, out, epoch).unionByName(df)).write.mode("overwrite").parquet(summed)
+        totals = spark.read.schema(_TOTALS).parquet(summed)
         scores = scores_of_totals(totals, fail_on)
         totals.join(scores, "repo_id").write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
 

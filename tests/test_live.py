@@ -90,3 +90,20 @@ def test_files_to_changes(spark):
     got = {(r.repo_id, r.path): (r.version, r.deleted, r.scored) for r in L.file_changes(
         f, file_findings(f.filter(~F.coalesce("deleted", F.lit(False))), ["secrets"])).collect()}
     assert got == {("r", "a.py"): (2, False, [0] * 5), ("r", "b.py"): (3, True, [0] * 5), ("s", "c.py"): (1, False, [1, 0, 0, 0, 0])}
+
+
+def test_an_epoch_runs_its_state_operator_once(spark, tmp_path, monkeypatch):
+    """The scores of a batch start from its written totals; its keys are asked for once."""
+    rows, runs = history(4), spark.sparkContext.accumulator(0)
+    handle = L.NewestFile.handleInputRows
+
+    class Counted(L.NewestFile):
+        def handleInputRows(self, key, rows, timerValues):
+            runs.add(1)
+            return handle(self, key, rows, timerValues)
+
+    monkeypatch.setattr(L, "NewestFile", Counted)
+    put(spark, rows, folder := str(tmp_path / "changes"))
+    out = L.stream_live_scores(spark, folder, base=str(tmp_path / "base"))
+    assert sorted(map(tuple, L.live_scores(spark, out).collect())) == batch_scores(spark, rows, "high")
+    assert runs.value == len({r[:2] for r in rows})
