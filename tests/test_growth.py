@@ -90,7 +90,7 @@ def test_an_update_reads_the_packages_once(spark, tmp_path):
     assert pv.count() == 3 and "Aggregate" not in _plan(pv) and "FileScan parquet" in _plan(pv)
 
 
-def test_package_stats_make_packages_once(spark):
+def test_package_stats_make_packages_once(spark, monkeypatch):
     """No branch of the counts makes the packages anew; nulls and repeated rows count as before."""
     from codeaudit.operators import vulns as V
     adv = _advisories(spark, [("A1", "p", ["7.0"], "1.0", "2.0"), ("A2", "p", ["1.5"], "1.2", "3.0"), ("A3", "q", [], "0", "1.0")])
@@ -101,3 +101,7 @@ def test_package_stats_make_packages_once(spark):
     assert not re.search(r"Scan ExistingRDD\[repo_id", _plan(out)) and re.search(r"Scan ExistingRDD\[repo_id", _plan(pk))
     assert sorted(tuple(r) for r in out.collect()) == [("r", 3, 1, 2, 2), ("s", 1, 1, 0, 0)]
     assert sorted(tuple(r) for r in V.package_stats(pk).collect()) == [("r", 3, 1, 2, 0), ("s", 1, 1, 0, 0)]
+    assert not re.search(r"Exchange hashpartitioning\(eco#[^\n]*\n[^\n]*HashAggregate\(keys=\[repo_id", _plan(out))
+    monkeypatch.setattr(V, "SENT_ROWS", 0)  # a large table of versions is joined by exchange
+    large = V.package_stats(pk, adv)
+    assert "SortMergeJoin [eco" in _plan(large) and sorted(map(tuple, large.collect())) == sorted(map(tuple, out.collect()))
