@@ -72,3 +72,44 @@ def test_parts_are_even_whatever_the_ids():
         n = np.bincount([_part(t, s, parts) for t in range(tasks) for s in range(packs)], minlength=parts)
         assert n.max() <= 8 and (n > 0).mean() > 0.5
     assert sorted(_part(0, s, 7) for s in range(7)) == list(range(7))
+
+
+def test_rows_meet_queries_by_parts_not_by_a_join(spark):
+    """No row of a join holds a pack of rows and one of queries; each row is sent once, whatever the groups that need it."""
+    r = np.random.default_rng(2)
+    rows = [(i, v) for i, v in enumerate(r.normal(size=(900, 5)).tolist())]
+    out = knn_join(spark.createDataFrame(rows, KIND).repartition(3), F.col("vec_id") % 100 == 0, pack_rows=32)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert sorted(tuple(x) for x in out.collect()) == brute(rows, 10)
+
+
+@pytest.mark.parametrize("held, part", [(40, 200), (1 << 22, 64)])
+def test_shares_and_parts(spark, monkeypatch, held, part):
+    """Queries and data of many tasks, each of a share and a part."""
+    from codeaudit.llm import knn
+    monkeypatch.setattr(knn, "_HELD", held)
+    monkeypatch.setattr(knn, "_PART", part)
+    rows = clustered(700, 3)
+    df = spark.createDataFrame(rows, KIND).repartition(3)
+    got = sorted(tuple(x) for x in knn_join(df, F.col("vec_id") % 100 == 0, pack_rows=16, query_rows=2).collect())
+    assert got == brute(rows, 10)
+
+
+@pytest.mark.parametrize("size, small", [(1, True), (900, True), (1 << 40, False)])
+def test_the_best_of_a_stream(size, small):
+    """Ties go to smaller ids, own rows are left out, whatever the packs."""
+    from codeaudit.llm.knn import _Best
+    r = np.random.default_rng(4)
+    q, x = r.integers(-size, size, (30, 7), endpoint=True), r.integers(-size, size, (3000, 7), endpoint=True)
+    own, ids = np.arange(30) * 7, r.integers(0, 2500, 3000)
+    best = _Best(own, q, 5, small)
+    for s in (slice(0, 3), slice(3, 700), slice(700, 3000)):
+        best.put(ids[s], x[s])
+    got = {}
+    for a, i, n in zip(*(c.to_pylist() for c in best.rows().columns), strict=True):
+        got.setdefault(a, []).append((-n, i))
+    low = 1 - (1 << 63)
+    for a, v in zip(own.tolist(), q.tolist(), strict=True):
+        want = sorted((-max(low, min(-low, sum(m * n for m, n in zip(v, y)))), int(i)) for i, y in zip(ids, x.tolist()) if i != a)[:5]
+        assert got[a] == want
