@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeaudit import rules as R
 from codeaudit.operators.packages import distinct_packages
+from codeaudit.session import stored
 
 SCANNER = "licenses"
 SPDX_REF = "https://spdx.org/licenses/"
@@ -66,23 +67,28 @@ def license_inventory(packages: DataFrame, registry: DataFrame, top: int = R.LIC
 
 
 def license_hits(packages: DataFrame, registry: DataFrame) -> DataFrame:
-    lp = licensed_packages(packages, registry)
-    v = lp.withColumn("v", classify(F.col("license"))).filter(F.col("v").isNotNull())
-    lic_label = F.when(F.coalesce(F.col("license"), F.lit("")) == "", F.lit("no license")).otherwise(F.col("license"))
-    return v.select("repo_id", "first_manifest", "name", "version", "eco",
-                    F.col("v.severity").alias("severity"), F.col("v.family").alias("family"),
-                    F.col("v.why").alias("why"), F.trim(lic_label).alias("lic"),
-                    F.concat(F.col("eco"), F.lit(":"), F.col("name"), F.lit("@"), F.col("version"),
-                             F.lit(" — "), lic_label).alias("evidence"),
-                    family_key(F.col("name")).alias("fkey"))
+    """Packages whose licence is not permissive.  Licences are made and written
+    before they are classified: a condition on the class, put down to where
+    licences are made, would repeat that whole expression for every word looked
+    for.  What is said of a licence is said once, before its packages come."""
+    reg = stored(registry.select("eco", "name", "version", "license").filter(
+        F.col("license").isNotNull() & F.col("eco").isin(*R.LICENSE_FETCH_ECOSYSTEMS)), "licences")
+    lic_label = F.when(F.col("license") == "", F.lit("no license")).otherwise(F.col("license"))
+    said = reg.withColumn("v", classify(F.col("license"))).filter(F.col("v").isNotNull()).select(
+        "eco", "name", "version", F.col("v.severity").alias("severity"), F.col("v.family").alias("family"),
+        F.col("v.why").alias("why"), F.trim(lic_label).alias("lic"),
+        F.concat(F.col("eco"), F.lit(":"), F.col("name"), F.lit("@"), F.col("version"),
+                 F.lit(" — "), lic_label).alias("evidence"),
+        family_key(F.col("name")).alias("fkey"))
+    return distinct_packages(packages).join(said, ["eco", "name", "version"]).select(
+        "repo_id", "first_manifest", "name", "version", "eco", "severity", "family", "why", "lic", "evidence", "fkey")
 
 
 def license_findings(packages: DataFrame, registry: DataFrame) -> DataFrame:
     """Per (repo, family, licence, family key): fewer than 3 members → one
     finding each; otherwise one grouped finding naming the first 6 (sorted)."""
-    from pyspark import StorageLevel
-    # the hits feed three branches (counts, singles, groups): compute them once
-    h = license_hits(packages, registry).persist(StorageLevel.MEMORY_AND_DISK)
+    # the hits feed four branches (counts, singles, groups, names shown): written once
+    h = stored(license_hits(packages, registry), "hits")
     gk = ["repo_id", "family", "lic", "fkey"]
     # member counts by aggregate + join (combines map-side; no group lands whole in one task)
     h = h.join(h.groupBy(*gk).agg(F.count(F.lit(1)).alias("n")), gk)

@@ -148,3 +148,24 @@ def test_hits_are_made_by_many_tasks(spark):
     hits = V.vulnerable_versions(pk, spark.createDataFrame([_advisory(i, "2.0") for i in range(200)], _ADVISORY)).withColumn("task", F.spark_partition_id())
     n = [r["count"] for r in hits.groupBy("task").count().collect()]
     assert sum(n) == 1200 * 200 and max(n) < sum(n) * 0.6, n
+
+
+def test_license_findings_hold_no_licence_expression(spark):
+    """The driver holds a plan's text many times over: what makes a licence must not stand in it once for every word looked for."""
+    from codeaudit.operators import licenses as L
+    found = L.license_findings(T.packages_from_lineitem(spark, SF), T.registry_licenses_from_part(spark, SF))
+    assert len(found._jdf.queryExecution().toString()) < 200_000 and "InMemoryRelation" not in _plan(found)
+
+
+def test_license_findings_of_repeated_and_missing_keys(spark):
+    from codeaudit.operators import licenses as L
+    pk = spark.createDataFrame([("r", "lock", n, v, e, False) for n, v, e in (
+        ("a-x", "1", "npm"), ("a-x", "1", "npm"), ("b", "1", "PyPI"), ("c", None, "npm"), ("d", "1", "Go"), ("e", "1", "npm"), ("f", "1", "npm"))],
+        "repo_id string, manifest string, name string, version string, eco string, dev boolean")
+    reg = spark.createDataFrame([("npm", "a-x", "1", " GPL-3.0 "), ("npm", "a-x", "1", "AGPL-3.0"), ("PyPI", "b", "1", ""), ("npm", "c", None, "GPL-3.0"),
+                                 ("Go", "d", "1", "GPL-3.0"), ("npm", "e", "1", "MIT"), ("npm", "f", "1", None)],
+                                "eco string, name string, version string, license string")
+    got = sorted((r.id, r.title, r.severity, r.evidence) for r in L.license_findings(pk, reg).collect())
+    assert got == [("license/network-copyleft", "a-x 1 is AGPL-3.0 (network copyleft)", "high", "npm:a-x@1 — AGPL-3.0"),
+                   ("license/strong-copyleft", "a-x 1 is GPL-3.0 (strong copyleft)", "high", "npm:a-x@1 —  GPL-3.0 "),
+                   ("license/unknown", "b 1 is no license (unknown)", "low", "PyPI:b@1 — no license")]
