@@ -184,15 +184,20 @@ def knn_join(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", em
     rows.  `is_query` is a predicate on the column `vec_id`."""
     spark = vectors.sparkSession
 
-    def pack_vectors(b: pa.RecordBatch) -> pa.RecordBatch:
-        good, cols = _packed(b.column(1), scale)
-        return pa.RecordBatch.from_arrays([b.column(0), *cols], names=["vec_id", "x", "n", "square", "most"]).filter(pa.array(good))
+    def pack_vectors(batches):
+        for b in batches:
+            at = b.column(1).offsets
+            step = max(1, _PACK * b.num_rows // max(1, at[-1].as_py() - at[0].as_py())) if b.num_rows else 1
+            for s in range(0, b.num_rows, step):
+                some = b.slice(s, step)
+                good, cols = _packed(some.column(1), scale)
+                yield pa.RecordBatch.from_arrays([some.column(0), *cols], names=["vec_id", "x", "n", "square", "most"]).filter(pa.array(good))
 
     e = F.col(embedding)
     if vectors.select(e).schema[0].dataType.elementType.typeName() not in ("float", "double"):
         e = e.cast("array<double>")
-    data = written(map_batches(
-        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("e")).filter("vec_id is not null and e is not null"), pack_vectors, "vec_id long, x binary, n int, square double, most long"), "vectors")
+    data = written(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("e")).filter("vec_id is not null and e is not null").mapInArrow(
+        pack_vectors, "vec_id long, x binary, n int, square double, most long"), "vectors")
 
     def unpack(b: pa.RecordBatch) -> pa.RecordBatch:
         x = b.column(1).cast(pa.large_binary())
